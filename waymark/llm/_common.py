@@ -50,15 +50,15 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batches: Iterable[pa.RecordBatch], text_at: int, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut by rows into pieces with at most that many bytes of text (one row at least)."""
+def slices(batches: Iterable[pa.RecordBatch], text_at: int, most: int = SLICE_BYTES, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
+    """The batches cut by rows into pieces with at most that many rows and bytes of text (one row at least)."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start = 0
         while start < batch.num_rows:
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            stop = min(start + rows, max(start + 1, int(np.searchsorted(ends, before + most, side="right"))))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -37,6 +37,20 @@ _CUT = regex.compile(r"(?<=\S)(?= \S)")
 _ODD_SPACE = regex.compile(r"[^\S ] | [^\S ]|  |[\x1c-\x1f\x85]")
 
 
+def chunks_of(text: str) -> list[str]:
+    """The text cut at spaces that no match of the pattern crosses."""
+    if _ODD_SPACE.search(text):
+        return _CUT.split(text)
+    first, *rest = text.split(" ")
+    if not first and rest:  # a leading space belongs to the first word
+        first, *rest = " " + rest[0], *rest[1:]
+    out = [" " + x for x in rest]
+    out.insert(0, first)
+    if out[-1] == " " and len(out) > 1:  # a trailing space stands alone
+        out[-2:] = [out[-2] + " "]
+    return out
+
+
 class PairTable:
     """Open-addressing hash table from a pair of token ids to the id that they merge into."""
 
@@ -191,19 +205,6 @@ class BytePairEncoder:
 
     # texts -> ids
 
-    def chunks_of(self, text: str) -> list[str]:
-        """The text cut at spaces that no match of the pattern crosses."""
-        if _ODD_SPACE.search(text):
-            return _CUT.split(text)
-        first, *rest = text.split(" ")
-        if not first and rest:  # a leading space belongs to the first word
-            first, *rest = " " + rest[0], *rest[1:]
-        out = [" " + x for x in rest]
-        out.insert(0, first)
-        if out[-1] == " " and len(out) > 1:  # a trailing space stands alone
-            out[-2:] = [out[-2] + " "]
-        return out
-
     def learn(self, chunks: set[str]) -> None:
         """Put the ids of the chunks, and of the words in them, into the caches."""
         new = list(chunks.difference(self.cache))
@@ -223,7 +224,7 @@ class BytePairEncoder:
 
     def encode(self, docs: list[str]) -> Iterator[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut = [self.chunks_of(d) for d in docs]
+        cut = [chunks_of(d) for d in docs]
         self.learn(set().union(*cut))
         get = self.cache.__getitem__
         for c in cut:

@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe
-from waymark.llm._common import table
+from waymark.llm import bpe, token_files
+from waymark.llm._common import fresh_path, table
 
 
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,7 +16,15 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the ids of every text of documents to token files and read them back."""
+    folder = fresh_path(spark, "token-files")
+    token_files.write_token_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), 2)
+    return token_files.read_token_files(spark, folder)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op5_token_files": op5_token_files,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, token_files
+from waymark.llm import bpe, chat, langid, token_files
 from waymark.llm._common import fresh_path, table
 
 
@@ -16,6 +16,12 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text of documents, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict_languages(docs, langid.fit(docs))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of every text of documents to token files and read them back."""
     folder = fresh_path(spark, "token-files")
@@ -23,8 +29,18 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations, and one full of control strings, and read them back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
+    return chat.read_back(chat.format_conversations(turns.unionByName(more)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
+    "op3_language_id": op3_language_id,
     "op5_token_files": op5_token_files,
+    "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, chat, langid, token_files
+from waymark.llm import bpe, chat, fertility, langid, token_files
 from waymark.llm._common import fresh_path, table
 
 
@@ -22,6 +22,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, langid.fit(docs))
 
 
+def op4_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and tokeniser fertility of every text of documents."""
+    return fertility.measure_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of every text of documents to token files and read them back."""
     folder = fresh_path(spark, "token-files")
@@ -40,6 +45,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_language_id": op3_language_id,
+    "op4_fertility_rules": op4_fertility_rules,
     "op5_token_files": op5_token_files,
     "op10_chat_format": op10_chat_format,
 }

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, chat, fertility, langid, token_files
+from waymark.llm import bpe, chat, fertility, langid, token_files, urls
 from waymark.llm._common import fresh_path, table
 
 
@@ -34,6 +34,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every URL of pages by written rules and rules mined from the labelled ones."""
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.mine(pages, table(spark, sf_dir, "labels")))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations, and one full of control strings, and read them back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -47,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_fertility_rules": op4_fertility_rules,
     "op5_token_files": op5_token_files,
+    "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe, chat, fertility, langid, token_files, urls
+from waymark.llm import bpe, chat, fertility, langid, licenses, token_files, urls
 from waymark.llm._common import fresh_path, table
 
 
@@ -34,6 +34,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures in every text of documents."""
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge every URL of pages by written rules and rules mined from the labelled ones."""
     pages = table(spark, sf_dir, "pages")
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_fertility_rules": op4_fertility_rules,
     "op5_token_files": op5_token_files,
+    "op8_license_scan": op8_license_scan,
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
 }

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, fertility, langid, licenses, token_files, urls
+from waymark.llm import bpe, chat, fertility, langid, licenses, mixing, token_files, urls
 from waymark.llm._common import fresh_path, table
 
 
@@ -34,6 +35,70 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+#: Domains of the mixing queries: sources by their number modulo three.
+MIX_WEIGHTS = {"domain": {"domain0": 3.0, "domain1": 2.0, "domain2": 1.0}, "lang": {"en": 4.0, "de": 2.0}, "source": {}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.9, 2, 17
+
+
+def mix_domain() -> Column:
+    """The domain of a row of documents."""
+    return F.expr("concat('domain', try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 3)")
+
+
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents taken for nine tenths of all tokens, two epochs at most, at target weights."""
+    rows = mixing.sizes(table(spark, sf_dir, "documents"), mix_domain())
+    return mixing.mix_documents(rows, mixing.mix_plan(rows, MIX_SHARE, MIX_EPOCHS, MIX_WEIGHTS, MIX_SEED), MIX_SEED)
+
+
+def _filled(name: str, nodes: str, parents: str, child: str) -> str:
+    """SQL of one level of water-filling: name(parents, child, budget) from nodes(parents, child, capacity, weight, total)."""
+    by = f"partition by {parents}, 1" if parents else "partition by 1"
+    key = f"{parents}, " if parents else ""
+    return f"""
+{name}_steps as (
+  select *, (total - coalesce(sum(capacity) over (o rows between unbounded preceding and 1 preceding), 0))
+    / (sum(weight) over ({by}) - coalesce(sum(weight) over (o rows between unbounded preceding and 1 preceding), 0)) as level
+  from {nodes} window o as ({by} order by capacity / weight, {child})),
+{name}_level as (
+  select *, min(case when capacity > level * weight then {{'r': capacity / weight, 'c': {child}, 'l': level}} end) over ({by}).l as final
+  from {name}_steps),
+{name} as (select {key}{child}, case when final is null or capacity <= final * weight then cast(capacity as double) else final * weight end as budget from {name}_level)"""
+
+
+_OP7_SQL = f"""
+with rows_ as (
+  select doc_id, coalesce('domain' || (try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 3), 'unknown') as domain,
+    coalesce(lang, 'unknown') as lang, coalesce(source, 'unknown') as source,
+    cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as n_tokens
+  from documents),
+leaves as (select domain, lang, source, cast(sum(n_tokens) as bigint) as tokens from rows_ where n_tokens > 0 group by all),
+sized as (select *, tokens * {MIX_EPOCHS} as capacity, cast(1 as double) as weight from leaves),
+domains as (
+  select domain, cast(sum(capacity) as bigint) as capacity,
+    cast(case domain when 'domain0' then 3 when 'domain1' then 2 when 'domain2' then 1 else 1 end as double) as weight,
+    (select floor(sum(tokens) * cast({MIX_SHARE} as double)) from leaves) as total
+  from sized group by domain),{_filled("top_", "domains", "", "domain")},
+langs as (
+  select domain, lang, capacity, weight, budget as total from (
+    select domain, lang, cast(sum(capacity) as bigint) as capacity, cast(case lang when 'en' then 4 when 'de' then 2 else 1 end as double) as weight
+    from sized group by domain, lang) join top_ using (domain)),{_filled("middle_", "langs", "domain", "lang")},
+sources as (select domain, lang, source, capacity, weight, budget as total from sized join middle_ using (domain, lang)),{_filled("bottom_", "sources", "domain, lang", "source")},
+plan as (
+  select domain, lang, source, cast(floor(b.budget + 1e-6) as bigint) // tokens as epochs, cast(floor(b.budget + 1e-6) as bigint) % tokens as rest
+  from leaves join bottom_ b using (domain, lang, source)),
+hashed as (
+  select *, md5(concat_ws('|', '{MIX_SEED}', cast(epochs as varchar), coalesce(cast(doc_id as varchar), ''))) as hash
+  from rows_ join plan using (domain, lang, source) where n_tokens > 0),
+placed as (
+  select *, sum(n_tokens) over (partition by domain, lang, source order by hash range between unbounded preceding and current row)
+    - sum(n_tokens) over (partition by domain, lang, source, hash) < rest as in_prefix
+  from hashed)
+select doc_id, domain, lang, source, n_tokens, cast(epochs + cast(in_prefix as int) as bigint) as copies, in_prefix
+from placed where epochs + cast(in_prefix as int) > 0
+"""
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and signatures in every text of documents."""
     return licenses.scan_documents(table(spark, sf_dir, "documents"))
@@ -58,8 +123,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_fertility_rules": op4_fertility_rules,
     "op5_token_files": op5_token_files,
+    "op7_source_mix": op7_source_mix,
     "op8_license_scan": op8_license_scan,
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_source_mix": _OP7_SQL}

@@ -23,12 +23,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm._common import slices, texts, without_gc
-from waymark.llm.bpe import chunks_of
+from waymark.llm.chunks import ChunkCodec
 
 #: Stands for a null document id in the .ids files.
 NO_ID = -(2**63)
-#: Distinct chunks whose ids a worker remembers before it starts anew.
-CACHE_SIZE = 300_000
 
 
 class ChunkEncoder:
@@ -42,27 +40,34 @@ class ChunkEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if self.size <= 2**16 else "<u4"
-        self.cache: dict[str, bytes] = {}
-
-    def encode(self, docs: list[str]) -> Iterator[bytes]:
-        """For each text the bytes of its ids in the file's width."""
-        cut = [chunks_of(d) for d in docs]
-        chunks = set().union(*cut)
-        new = list(chunks.difference(self.cache))
-        if len(self.cache) + len(new) > CACHE_SIZE:
-            self.cache.clear()
-            new = list(chunks)
+        self.token_bytes = np.zeros(self.size, np.int64)  # a byte-level token has one character for each byte
+        for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.token_bytes[i] = len(token)
+        self.codec = ChunkCodec(self._encode_new, self.dtype)
+
+    def _encode_new(self, chunks: list[str]) -> list[bytes]:
+        """Ids of single chunks. Those that start and end like words are encoded in runs and cut apart by bytes."""
+        out: list[bytes | None] = [None] * len(chunks)
+        words = [k for k, c in enumerate(chunks) if c[:1] == " " and c[1:2].isalpha() and c[-1].isprintable() and not c[-1].isspace()]
         width = int(self.dtype[-1])
-        for start in range(0, len(new), 20_000):
-            part = new[start : start + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, found), np.int64, len(found))
-            raw = np.fromiter((i for f in found for i in f), self.dtype, int(sizes.sum())).tobytes()
-            ends = (np.cumsum(sizes) * width).tolist()
-            self.cache.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
-        get = self.cache.__getitem__
-        for c in cut:
-            yield b"".join(map(get, c))
+        for start in range(0, len(words), 5_000):
+            part = words[start : start + 5_000]
+            joined = "".join([chunks[k] for k in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.cumsum([len(chunks[k].encode()) for k in part])
+            at = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends, side="left") + 1
+            raw, cuts = ids.tobytes(), (at * width).tolist()
+            for k, a, b in zip(part, [0, *cuts], cuts, strict=False):
+                out[k] = raw[a:b]
+        rest = [k for k, x in enumerate(out) if x is None]
+        if rest:
+            for k, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[k] for k in rest], add_special_tokens=False), strict=True):
+                out[k] = np.array(e.ids, self.dtype).tobytes()
+        return out
+
+    def encode(self, docs: list[str]) -> Iterator[list[np.ndarray]]:
+        """For each text its ids in the file's width, in arrays that follow each other."""
+        return self.codec.encode(docs)
 
 
 _ENCODERS: dict[str, ChunkEncoder] = {}
@@ -121,10 +126,11 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
         tmp, sizes, ids = f"{final}.{uuid.uuid4().hex}", [], []
         with where.open_output_stream(tmp) as out:
             for batch in slices(batches, 1):
-                for raw in enc.encode(texts(batch, 1)):
-                    out.write(raw)
+                for ids_of in enc.encode(texts(batch, 1)):
+                    for part_ids in ids_of:
+                        out.write(part_ids.tobytes())
                     out.write(end)
-                    sizes.append(len(raw) + len(end))
+                    sizes.append(sum(x.nbytes for x in ids_of) + len(end))
                 ids.append(batch.column(0).fill_null(NO_ID).to_numpy(zero_copy_only=False))
         where.move(tmp, final)
         offsets = np.concatenate([[0], np.cumsum(np.array(sizes, np.int64))]) // int(enc.dtype[-1])

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, fertility, langid, licenses, mixing, token_files, urls
+from waymark.llm import bpe, chat, fertility, langid, licenses, mixing, syncmers, token_files, urls
 from waymark.llm._common import fresh_path, table
 
 
@@ -35,6 +35,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, folder)
 
 
+def op6_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text of documents and of its edited text, and their likeness."""
+    return syncmers.compare_edited(table(spark, sf_dir, "documents"))
+
+
 #: Domains of the mixing queries: sources by their number modulo three.
 MIX_WEIGHTS = {"domain": {"domain0": 3.0, "domain1": 2.0, "domain2": 1.0}, "lang": {"en": 4.0, "de": 2.0}, "source": {}}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.9, 2, 17
@@ -123,6 +128,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_fertility_rules": op4_fertility_rules,
     "op5_token_files": op5_token_files,
+    "op6_syncmer_fingerprints": op6_syncmer_fingerprints,
     "op7_source_mix": op7_source_mix,
     "op8_license_scan": op8_license_scan,
     "op9_url_rules": op9_url_rules,

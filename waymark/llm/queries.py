@@ -8,10 +8,15 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, fertility, langid, licenses, mixing, syncmers, token_files, urls
+from waymark.llm import bpe, chat, dedup, fertility, langid, licenses, mixing, syncmers, token_files, urls
 from waymark.llm._common import fresh_path, table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of documents: three-word shingles, 85 per cent."""
+    return dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=3)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text of documents."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -124,6 +129,7 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash_dedup": op1_minhash_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
     "op3_language_id": op3_language_id,
     "op4_fertility_rules": op4_fertility_rules,

@@ -1,21 +1,57 @@
-"""The corpus pipeline: stages that each read what the one before kept."""
+"""The corpus pipeline: stages that each read what the one before kept.
+
+Language ID and tokeniser fertility drop the documents that they reject, deduplication keeps
+one document of each group, mixing takes documents of each source by its budget, and the last
+stage encodes what is left.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.llm import bpe
+from waymark.llm import bpe, dedup, fertility, langid, mixing, queries
 from waymark.llm._common import stored
 
+#: Share of the tokens that reach the mixing stage, and how often it may take a document.
+MIX_SHARE, MIX_EPOCHS = 0.9, 1
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text is near the centroids of a language; the others go."""
+    return langid.keep_identified(docs, langid.fit(docs))
+
+
+def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the fertility bands of their script; the others go."""
+    return fertility.keep_fertile(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, 80 per cent."""
+    return dedup.keep_one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents taken for nine tenths of the tokens, each once at most, at target weights."""
+    rows = mixing.sizes(docs, queries.mix_domain())
+    plan = mixing.mix_plan(rows, MIX_SHARE, MIX_EPOCHS, queries.MIX_WEIGHTS, queries.MIX_SEED)
+    return mixing.mixed_rows(docs, plan, queries.MIX_SEED, queries.mix_domain())
+
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digests of ids and decoded bytes."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("bpe", encode)]
-#: Language ID and tokeniser fertility are learned or measured by Python operators, which SQL can't express.
+STAGES = [
+    ("language_id", identify_languages),
+    ("quality", check_quality),
+    ("minhash_dedup", drop_near_duplicates),
+    ("source_mix", mix_sources),
+    ("bpe", encode),
+]
+#: SQL can't express the learned centroids and the tokenisers; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

@@ -1,11 +1,9 @@
-"""Registry of the library's queries: name -> callable, name -> DuckDB SQL."""
+"""The library's queries: name -> callable, name -> DuckDB SQL."""
 
-from __future__ import annotations
+from waymark.plans.registry import ORACLE_SQL, QUERIES, load
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+load()
 
 FLAGSHIP = "AG4_vote_fusion"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]

@@ -23,14 +23,14 @@ SQL = {
     "raster": """select ix, iy, max(occ) as occ, max(label) as label from (
         select cast(p_partkey % 64 as bigint) as ix, cast(floor(p_partkey / 64) as bigint) % 64 as iy, p_size / 49.0 as occ, cast(p_partkey % 7 as int) as label from part) r group by ix, iy""",
     # trajectory: run, time, speed, position from steps in varying directions
-    "track": """select user_id as run, event_id as id, MICROS[ts] as t, value as v,
-        sum(value * cos(radians(event_id % 360))) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as x,
-        sum(value * sin(radians(event_id % 360))) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as y
+    "track": """select user_id as run, event_id as id, MICROS[ts] as t, value / 0.997 as v,
+        sum(value / 0.997 * cos(radians(event_id % 360))) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as x,
+        sum(value / 0.997 * sin(radians(event_id % 360))) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row) as y
         from events""",
     # poses: position, unit quaternion about a fixed axis
     "poses": """select run, id, t, x, y, v / 7 as z, cos(radians(id % 97)) as qw, sin(radians(id % 97)) * 0.6 as qx, cast(0 as double) as qy, sin(radians(id % 97)) * 0.8 as qz from track""",
-    "est": """select user_id as run, event_id as id, MICROS[ts] as t, value as x, value * 0.7 as y, value / 3 as z from events where event_type = 'view'""",
-    "gt": """select user_id as run, event_id as id, MICROS[ts] as t, value + 0.37 as x, value * 0.71 as y, value / 3.1 as z from events where event_type = 'click'""",
+    "est": """select user_id as run, event_id as id, MICROS[ts] as t, value / 0.997 as x, value * 0.7013 as y, value / 3 as z from events where event_type = 'view'""",
+    "gt": """select user_id as run, event_id as id, MICROS[ts] as t, value / 0.991 as x, value * 0.7117 as y, value / 3.1 as z from events where event_type = 'click'""",
     "imu": """select user_id as run, event_id as id, MICROS[ts] as t, value / 997.0 as w from events where event_type = 'signup'""",
     "geo": """select s_suppkey as id, s_acctbal / 200 as lat, s_suppkey * 0.001 as lon, s_acctbal / 10 as alt from supplier""",
     # pose-graph edges: orders of a customer in turn

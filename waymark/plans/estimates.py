@@ -1 +1,119 @@
-"""Queries."""
+"""Queries on sequential estimation."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from waymark.operators import asof, estimate, folds, grid
+from waymark.plans.clouds import rounded
+from waymark.plans.registry import query
+from waymark.plans.views import Views
+
+H = 3_600_000_000
+FOLD = """with recursive s as (select *, row_number() over (partition by run order by t, id) as n from ({src}) q),
+  f as (select run, n, id, {init} from s where n = 1 union all select s.run, s.n, s.id, {step} from f join s on s.run = f.run and s.n = f.n + 1)
+  select {out} from f"""
+
+
+@query("EST1_inertial_propagation")
+def est1(v: Views):
+    rows = v.imu.select("run", "id", "t", (F.col("w") / 50).alias("w"), (F.col("w") - 0.25).alias("a"))
+    out = folds.fold(rows, ["run"], ["t", "id"], estimate.inertial("t"), "run long, id long, t long, w double, a double, yaw double, v double, px double, py double, var double")
+    return rounded(out.select("id", "yaw", "v", "px", "py", "var"))
+
+
+@query("EST2_constant_velocity")
+def est2(v: Views):
+    out = folds.fold(v.track.select("run", "id", "t", "x", "y"), ["run"], ["t", "id"], estimate.constant_velocity("t", 500), "run long, id long, t long, x double, y double, px double, py double, used string")
+    return rounded(out.select("id", "px", "py", "used"), 5)
+
+
+@query("EST3_deskew", """with q as (select run, id, t + 1000000 as t, v from track where id % 3 = 0), k as (select * from track where id % 3 <> 0),
+  b as (select q.run, q.id, q.t, q.v, k.t as t0, k.x as x0 from q join k on q.run = k.run and k.t <= q.t qualify row_number() over (partition by q.id order by k.t desc, k.id desc) = 1),
+  a as (select q.id, k.t as t1, k.x as x1 from q join k on q.run = k.run and k.t > q.t qualify row_number() over (partition by q.id order by k.t, k.id) = 1),
+  e as (select run, arg_max(x, (t, id)) as xe from k group by run)
+  select b.id, round(v + x0 + (t - t0) / cast(t1 - t0 as double) * (x1 - x0) - xe, 5) as x from b join a using (id) join e using (run)""")
+def est3(v: Views):
+    poses = v.track.filter("id % 3 <> 0")
+    points = v.track.filter("id % 3 = 0").select("run", "id", (F.col("t") + 1_000_000).alias("t"), "v")
+    at = asof.around(points.select("run", "id", "t"), poses, ["run"], "t", "id", ["x"], "id").filter("before is not null and after is not null")
+    at = at.select("id", (F.col("before.x") + asof.interpolation_share() * (F.col("after.x") - F.col("before.x"))).alias("px"))
+    ends = poses.groupBy("run").agg(F.max_by("x", F.struct("t", "id")).alias("xe"))
+    rows = points.join(at, "id").join(ends, "run")
+    return rounded(rows.select("id", (F.col("v") + F.col("px") - F.col("xe")).alias("x")), 5)
+
+
+@query("EST4_gated_update")
+def est4(v: Views):
+    out = folds.fold(v.track.select("run", "id", "t", "v"), ["run"], ["t", "id"], estimate.scalar_update("v", 20, 100, 9), "run long, id long, t long, v double, state double, nis double, accepted boolean")
+    return rounded(out.select("id", "state", "nis", "accepted"), 5)
+
+
+@query("EST5_wheel_gates", "select id, v * v / (v + 4) <= 40 as accepted, round(v * 0.1 / (v + 4), 6) as gain from track")
+def est5(v: Views):
+    return rounded(v.track.select("id", (F.col("v") * F.col("v") / (F.col("v") + 4) <= 40).alias("accepted"), (F.col("v") * 0.1 / (F.col("v") + 4)).alias("gain")))
+
+
+@query("EST7_voxel_update")
+def est7(v: Views):
+    rows = grid.with_cells(v.pts, 16).select("ix", "iy", "iz", "id", "x", "y", "z")
+    out = folds.fold(rows, ["ix", "iy", "iz"], ["id"], estimate.voxel_welford(10), "ix long, iy long, iz long, id long, x double, y double, z double, n long, mx double, my double, mz double, spread double")
+    return rounded(out.select("id", "n", "mx", "my", "mz", "spread"), 5)
+
+
+@query("EST8_outage_guard")
+def est8(v: Views):
+    rows = v.track.select("run", "id", "t", "v", (F.col("id") % 4 != 0).alias("good"))
+    out = folds.fold(rows, ["run"], ["t", "id"], estimate.outage_guard("t", "v", "good", 20 * H, 2), "run long, id long, t long, v double, good boolean, state double, mode string")
+    return rounded(out.select("id", "state", "mode"))
+
+
+@query("EST9_preintegration", FOLD.format(src="select run, id, t, w / 1e6 as a from imu", init="t as last, cast(0 as double) as v, cast(0 as double) as p",
+    step=f"s.t, case when s.t - f.last between 1 and {100 * H} then f.v + s.a * (s.t - f.last) / 1e6 else f.v end, case when s.t - f.last between 1 and {100 * H} then f.p + f.v * (s.t - f.last) / 1e6 + 0.5 * s.a * ((s.t - f.last) / 1e6) * ((s.t - f.last) / 1e6) else f.p end",
+    out="id, round(v, 6) as dv, round(p / 1e6, 6) as dp"))
+def est9(v: Views):
+    rows = v.imu.select("run", "id", "t", (F.col("w") / 1e6).alias("a"))
+    out = folds.fold(rows, ["run"], ["t", "id"], folds.preintegrate("t", "a", 100 * H), "run long, id long, t long, a double, dv double, dp double")
+    return rounded(out.select("id", "dv", (F.col("dp") / 1e6).alias("dp")))
+
+
+K = "(f.p + 0.5) / (f.p + 0.5 + 4)"
+
+
+@query("EST10_planar_filter", FOLD.format(src="select run, id, t, v / 10 as d, case when id % 5 = 0 then x end as fx from track",
+    init="case when fx is null then d else d + 1.5 / 5.5 * (fx - d) end as x, case when fx is null then 1.5 else 1.5 * 4 / 5.5 end as p",
+    step=f"case when s.fx is null then f.x + s.d else f.x + s.d + {K} * (s.fx - f.x - s.d) end, case when s.fx is null then f.p + 0.5 else (1 - {K}) * (1 - {K}) * (f.p + 0.5) + 4 * {K} * {K} end",
+    out="id, round(x, 5) as ex, round(p, 5) as var"))
+def est10(v: Views):
+    fix = F.col("id") % 5 == 0
+    rows = v.track.select("run", "id", "t", (F.col("v") / 10).alias("dx"), (-F.col("v") / 20).alias("dy"), F.when(fix, F.col("x")).alias("fx"), F.when(fix, F.col("y")).alias("fy"))
+    out = folds.fold(rows, ["run"], ["t", "id"], estimate.planar_filter("t", 0.5, 2.0), "run long, id long, t long, dx double, dy double, fx double, fy double, ex double, ey double, var double")
+    return rounded(out.select("id", "ex", "var"), 5)
+
+
+@query("EST11_prediction_reset")
+def est11(v: Views):
+    out = folds.fold(v.track.select("run", "id", "t", "x", "y"), ["run"], ["t", "id"], estimate.constant_velocity("t", 60), "run long, id long, t long, x double, y double, px double, py double, used string")
+    return out.groupBy("used").agg(F.count("*").alias("n"))
+
+
+@query("EST12_object_association")
+def est12(v: Views):
+    rows = v.pts.select("frame", "id", "label", "x", "y").filter("label <> 0")
+    return folds.fold(rows, ["frame"], ["id"], folds.associate(12, 60), "frame long, id long, label int, x double, y double, object long").select("frame", "id", "object")
+
+
+@query("EST13_height_controller")
+def est13(v: Views):
+    rows = v.track.select("run", "id", "t", (F.col("v") / 40 - 1).alias("r"))
+    out = folds.fold(rows, ["run"], ["t", "id"], estimate.height_controller("r", 0.2, 0.3, 2), "run long, id long, t long, r double, correction double, streak long")
+    return rounded(out.select("id", "correction", "streak"))
+
+
+@query("OPT12_window_solution", "select run, k, round(sum(d) over (partition by run order by k) - d, 5) as x from ranked where run in (select run from ranked group by run having count(*) between 2 and 5)")
+def opt12(v: Views):
+    from waymark.operators import graph
+
+    few = v.ranked.groupBy("run").agg(F.count("*").alias("n")).filter("n between 2 and 5").select("run")
+    edges = v.edges.join(few, "run").select("run", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "dx", "loop").filter("not loop")
+    return rounded(graph.solve_chain(edges, ["run"]), 5)

@@ -102,3 +102,11 @@ def neighbour_pairs(df: DataFrame, keys: list[str] = ()) -> DataFrame:
 def node_id(ix: Column, iy: Column) -> Column:
     """One integer for a cell with coordinates of at most 31 bits."""
     return F.shiftleft(ix.cast("long"), 32).bitwiseXOR(iy.cast("long").bitwiseAND(F.lit((1 << 32) - 1)))
+
+
+def sobel(df: DataFrame, value: str) -> DataFrame:
+    """Horizontal and vertical Sobel sums of each cell; missing neighbours count as 0."""
+    weights = {(dx, dy): (-dx * (2 - abs(dy)), -dy * (2 - abs(dx))) for dx in (-1, 0, 1) for dy in (-1, 0, 1)}
+    at = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for (dx, dy), (a, b) in weights.items()])).alias("o")
+    parts = df.select("ix", "iy", F.col(value).alias("v"), at).select((F.col("ix") + F.col("o.dx")).alias("ix"), (F.col("iy") + F.col("o.dy")).alias("iy"), (F.col("v") * F.col("o.a")).alias("gx"), (F.col("v") * F.col("o.b")).alias("gy"))
+    return df.select("ix", "iy").join(parts.groupBy("ix", "iy").agg(F.sum("gx").alias("gx"), F.sum("gy").alias("gy")), ["ix", "iy"])

@@ -68,3 +68,42 @@ def huber_shift(df: DataFrame, keys: list[str], value: str, delta: float, rounds
         w = F.when(F.abs(r) <= delta, 1.0).otherwise(delta / F.abs(r))
         at = df.join(at, keys).groupBy(*keys).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("m"))
     return at
+
+
+def _apply(points: DataFrame, at: DataFrame, keys: list[str]) -> DataFrame:
+    """Points moved by their key's yaw, dx, dy."""
+    rows = points.join(at.select(*keys, F.col("yaw").alias("_a"), F.col("dx").alias("_dx"), F.col("dy").alias("_dy")), keys)
+    moved = rows.withColumns({"_x": F.cos("_a") * F.col("x") - F.sin("_a") * F.col("y") + F.col("_dx"), "_y": F.sin("_a") * F.col("x") + F.cos("_a") * F.col("y") + F.col("_dy")})
+    return moved.drop("x", "y", "_a", "_dx", "_dy").withColumnsRenamed({"_x": "x", "_y": "y"})
+
+
+def register_rounds(a: DataFrame, b: DataFrame, keys: list[str], start: DataFrame, radius: float, rounds: int, max_turn: float, max_shift: float) -> DataFrame:
+    """(keys, yaw, dx, dy, matched, rmse): points a (id, x, y, label) moved onto points b (other, x, y, label) by rounds of mutual matches and closed-form fits.
+
+    start gives each key's first yaw, dx, dy; a round's step is cut at max_turn and max_shift.
+    Rounds are few and fixed, so the plan stays small; each is two nearest joins and one aggregate.
+    """
+    from waymark.operators import near, stats
+
+    at = start.select(*keys, "yaw", "dx", "dy")
+    for _ in range(rounds):
+        moved = _apply(a, at, keys)
+        pairs = near.mutual_nearest(moved, b, radius, "id", "other", keys, ["label"])
+        both = pairs.join(moved.select("id", *keys, F.col("x").alias("sx"), F.col("y").alias("sy")), "id").join(b.select("other", F.col("x").alias("tx"), F.col("y").alias("ty")), "other")
+        quality = both.groupBy(*keys).agg(F.count("*").alias("matched"), F.sqrt(F.avg(F.col("distance") ** 2)).alias("rmse"))
+        step = stats.planar_fit(both.withColumn("w", F.lit(1.0)), keys).select(*keys, *[F.greatest(F.lit(-m), F.least(F.lit(m), F.col(c))).alias(f"_{c}") for c, m in (("yaw", max_turn), ("dx", max_shift), ("dy", max_shift))])
+        joined = at.select(*keys, "yaw", "dx", "dy").join(step, keys).join(quality, keys)
+        at = joined.select(
+            *keys, (F.col("yaw") + F.col("_yaw")).alias("yaw"), (F.cos("_yaw") * F.col("dx") - F.sin("_yaw") * F.col("dy") + F.col("_dx")).alias("dx"),
+            (F.sin("_yaw") * F.col("dx") + F.cos("_yaw") * F.col("dy") + F.col("_dy")).alias("dy"), "matched", "rmse",
+        )
+    return at
+
+
+def match_keyframes(a: DataFrame, b: DataFrame, keys: list[str], start: DataFrame, radius: float, least: int, most_rmse: float) -> DataFrame:
+    """Registration of keyframes with its gates: (keys, yaw, dx, dy, matched, rmse, score, reason)."""
+    from waymark.operators.filters import first_reason
+
+    at = register_rounds(a, b, keys, start, radius, 2, 0.2, 5.0)
+    reason = first_reason([(F.col("matched") < least, "few_pairs"), (F.col("rmse") > most_rmse, "residual"), (F.abs("yaw") > 0.3, "rotation")])
+    return at.withColumn("score", F.col("matched") / (F.col("matched") + least) * F.exp(-F.col("rmse") / most_rmse)).withColumn("reason", reason)

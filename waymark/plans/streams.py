@@ -104,3 +104,20 @@ def st1(v: Views):
 def passing():
     """Every row goes through."""
     return None, lambda state, row: (state, [row])
+
+
+@query("SRC12_stream_source", f"with r as ({KINDS}) select run, id, t from r where kind = 'view'")
+def src12(v: Views):
+    """One kind of events as a stream of its own, run to its end."""
+    base = f"{select.shared_folder(v.spark)}/stream-{uuid.uuid4().hex}"
+    events = ordered.read_files(v.spark, v.sf_dir, v.events, pattern="events.parquet").filter("event_type = 'view'")
+    rows = events.select(F.col("user_id").alias("run"), F.col("event_id").alias("id"), F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)").alias("t"))
+    return ordered.run_to_end(rows, f"{base}/out", f"{base}/state")
+
+
+@query("ST7_bounded_batches", "select o_orderkey as id from orders where o_orderstatus = 'F' union all select l_orderkey from lineitem where false")
+def st7(v: Views):
+    """A stream that takes one file at a time, run to its end."""
+    base = f"{select.shared_folder(v.spark)}/stream-{uuid.uuid4().hex}"
+    rows = ordered.read_files(v.spark, v.sf_dir, v.orders, 1, "orders.parquet").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"))
+    return ordered.run_to_end(rows, f"{base}/out", f"{base}/state")

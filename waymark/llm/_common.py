@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import gc
 import tempfile
@@ -14,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one step of a Python operator works on at once; a longer text is a step of its own.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,8 +69,16 @@ def texts(batch: pa.RecordBatch, at: int) -> list[str]:
     return [x or "" for x in batch.column(at).to_pylist()]
 
 
+def _give_back() -> None:
+    """Return freed memory to the system, where the C library can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def without_gc(f: Callable) -> Callable:
-    """For a generator over batches: no cyclic collection while it runs, as its many small objects hold no cycles."""
+    """For a generator over batches: no cyclic collection while it runs, as its many small objects hold no cycles; then freed memory is given back."""
 
     @functools.wraps(f)
     def run(batches):
@@ -80,5 +89,18 @@ def without_gc(f: Callable) -> Callable:
         finally:
             if was:
                 gc.enable()
+            _give_back()
 
     return run
+
+
+_HELD: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable):
+    """A worker's own copy of what make() builds, kept for later tasks; of one operator (the key's first part) at a time, so that a reused worker doesn't gather the tables of all."""
+    if key not in _HELD:
+        for other in [k for k in _HELD if k[0] != key[0]]:
+            del _HELD[other]
+        _HELD[key] = make()
+    return _HELD[key]

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import slices, texts, without_gc
+from waymark.llm._common import held, slices, texts, without_gc
 
 #: Rows of more bytes than this are merged by a heap instead: same order of merges, without the square of their length.
 MAX_ROW_BYTES = 256
@@ -250,14 +250,9 @@ def text_parts(text: str, most: int = CHUNK_CHARS) -> Iterator[str]:
     yield text[start:]
 
 
-_ENCODERS: dict[tuple[str, str], BytePairEncoder] = {}
-
-
 def encoder(rank_file: str, pattern: str) -> BytePairEncoder:
     """A worker's own encoder for that file."""
-    if (rank_file, pattern) not in _ENCODERS:
-        _ENCODERS[rank_file, pattern] = BytePairEncoder(rank_file, pattern)
-    return _ENCODERS[rank_file, pattern]
+    return held(("bpe", rank_file, pattern), lambda: BytePairEncoder(rank_file, pattern))
 
 
 def encode_documents(df: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:

@@ -19,7 +19,7 @@ TABLE_SIZE = 700_000
 #: Bits of a place in the table.
 TABLE_BITS = 21
 #: Bytes of text in one step; a part of a text without a place to cut may be longer and is encoded by itself.
-STEP_BYTES = 2_500_000
+STEP_BYTES = 1_500_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import slices, stored, without_gc
+from waymark.llm._common import SLICE_BYTES, held, slices, stored, without_gc
 
 #: Bands and rows of a signature: at a similarity of 0.85 a pair shares no band with probability 4e-7.
 BANDS, ROWS = 25, 5
@@ -37,8 +37,6 @@ MAX_BROADCAST_IDS = 1_000_000
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(9, 14), 32]] = True
 _BASE = 0x9E3779B97F4A7C15
-_PERMUTATIONS: list[np.ndarray] = []
-_POWERS: list[np.ndarray] = []
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -49,18 +47,18 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            x = np.full(n, base, np.uint64)
-            x[:1] = 1
-            _POWERS.append(np.cumprod(x, dtype=np.uint64))
-        del _POWERS[:-2]
-    return _POWERS[0], _POWERS[1]
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2 ** 64, one for each byte of a part."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 2**64)):
+        x = np.full(PART_BYTES + SLICE_BYTES, base, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x, dtype=np.uint64))
+    return out[0], out[1]
 
 
 #: Bytes of text whose words are hashed at once; a longer text is cut at white space.
-PART_BYTES = 4_000_000
+PART_BYTES = 1_000_000
 _CUT = re.compile(rb"[\x20\x09-\x0d]")
 
 
@@ -68,7 +66,9 @@ def _words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and hash of each word of some bytes that end in white space."""
     edge = np.flatnonzero(np.diff(np.concatenate([[True], _WHITE[buf]]).astype(np.int8)))
     start, end = edge[0::2], edge[1::2]
-    up, down = _powers(len(buf))
+    up, down = held(("dedup", "powers"), _powers)
+    if len(buf) > len(up):  # a single word longer than a part: its hash needs more powers
+        up, down = (np.concatenate([x, np.cumprod(np.full(len(buf) - len(x), x[1]), dtype=np.uint64) * x[-1]]) for x in (up, down))
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[: len(buf)], out=sums[1:])
     return start, _mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
@@ -113,14 +113,17 @@ def shingle_sets(texts: list[str | None], words: int = 3) -> list[np.ndarray]:
     return out
 
 
+def _permutations() -> tuple[np.ndarray, np.ndarray]:
+    """The spreading permutation, and for each place the turned one's values under all shifts as one row of a view."""
+    rng = np.random.default_rng(SEED)
+    spread, turned = rng.permutation(UNIVERSE).astype(np.int32), rng.permutation(UNIVERSE).astype(np.uint32)
+    size = BANDS * ROWS
+    return spread, np.lib.stride_tricks.sliding_window_view(np.concatenate([turned, turned[: size - 1]]), size)
+
+
 def signature(elements: np.ndarray) -> np.ndarray:
     """All coordinates of the circulant MinHash of a set that isn't empty."""
-    size = BANDS * ROWS
-    if not _PERMUTATIONS:
-        rng = np.random.default_rng(SEED)
-        spread, turned = rng.permutation(UNIVERSE).astype(np.int64), rng.permutation(UNIVERSE).astype(np.uint32)
-        _PERMUTATIONS.extend([spread, np.lib.stride_tricks.sliding_window_view(np.concatenate([turned, turned[: size - 1]]), size)])
-    spread, rows = _PERMUTATIONS
+    spread, rows = held(("dedup", "permutations"), _permutations)
     at = spread[(elements & np.uint64(UNIVERSE - 1)).astype(np.int64)]
     out = rows[at[:2048]].min(axis=0)
     for k in range(2048, len(at), 2048):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import slices, texts, without_gc
+from waymark.llm._common import held, slices, texts, without_gc
 
 #: Distinct words whose tokens a worker remembers before it starts anew.
 CACHE_SIZE = 250_000
@@ -55,22 +55,24 @@ BANDS = {
 #: First words of Unicode letter names that stand for a script of BANDS.
 _NAMES = {"LATIN": "Latin", "CYRILLIC": "Cyrillic", "GREEK": "Greek", "CJK": "Han", "HIRAGANA": "Kana", "KATAKANA": "Kana", "HANGUL": "Hangul", "ARABIC": "Arabic", "HEBREW": "Hebrew", "DEVANAGARI": "Devanagari", "THAI": "Thai"}
 _SCRIPTS = list(BANDS)
-_OF_CODE: list[np.ndarray] = []
 
 
 def script_of(text: str) -> str:
     """The script of most of the text's letters; "Latin" for a text without letters, ties to the first in BANDS."""
     if text.isascii():
         return "Latin"
-    if not _OF_CODE:
-        of = np.full(0x110000, len(_SCRIPTS), np.uint8)  # no letter
-        for cp in range(0x110000):
-            c = chr(cp)
-            if c.isalpha():
-                of[cp] = _SCRIPTS.index(_NAMES.get(unicodedata.name(c, "").split(" ")[0].split("-")[0], "Other"))
-        _OF_CODE.append(of)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _SCRIPTS[int(np.bincount(_OF_CODE[0][codes], minlength=len(_SCRIPTS) + 1)[: len(_SCRIPTS)].argmax())]
+    return _SCRIPTS[int(np.bincount(held(("fertility", "scripts"), _script_table)[codes], minlength=len(_SCRIPTS) + 1)[: len(_SCRIPTS)].argmax())]
+
+
+def _script_table() -> np.ndarray:
+    """Of every code point the number of its script, one past the last for those that are no letters."""
+    of = np.full(0x110000, len(_SCRIPTS), np.uint8)
+    for cp in range(0x110000):
+        c = chr(cp)
+        if c.isalpha():
+            of[cp] = _SCRIPTS.index(_NAMES.get(unicodedata.name(c, "").split(" ")[0].split("-")[0], "Other"))
+    return of
 
 
 class WordTokens:
@@ -97,14 +99,9 @@ class WordTokens:
             self.cache.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
 
-_WORD_TOKENS: dict[str, WordTokens] = {}
-
-
 def word_tokens(path: str) -> WordTokens:
     """A worker's own vocabulary for that file."""
-    if path not in _WORD_TOKENS:
-        _WORD_TOKENS[path] = WordTokens(path)
-    return _WORD_TOKENS[path]
+    return held(("fertility", path), lambda: WordTokens(path))
 
 
 def repeated_words(ids: np.ndarray) -> int:

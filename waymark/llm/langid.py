@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm._common import slices, texts
+from waymark.llm._common import held, slices, texts, without_gc
 
 #: Hashed features of a text.
 FEATURES = 8192
@@ -35,25 +35,24 @@ REJECT_SHARE = 0.5
 REJECT_GRAMS = 200
 
 _LETTER = regex.compile(r"\p{L}")
-_FOLD: list[np.ndarray] = []
+#: Texts whose feature rows are made at once.
+ROWS = 64
 
 
 def _fold_table() -> np.ndarray:
     """Of every code point the lower-case letter, or a space if it is no letter."""
-    if not _FOLD:
-        table = np.full(0x110000, 32, np.uint32)
-        for cp in range(0x110000):
-            if chr(cp).isalpha():
-                low = chr(cp).lower()
-                table[cp] = ord(low) if len(low) == 1 else cp
-        _FOLD.append(table)
-    return _FOLD[0]
+    table = np.full(0x110000, 32, np.uint32)
+    for cp in range(0x110000):
+        if chr(cp).isalpha():
+            low = chr(cp).lower()
+            table[cp] = ord(low) if len(low) == 1 else cp
+    return table
 
 
 def vectors(docs: list[str], idf: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Normalised feature rows (not weighted by document frequency if idf is None) and n-gram counts of the texts."""
     codes = np.frombuffer("\n\n".join(docs).encode("utf-32-le", "surrogatepass"), np.uint32)
-    folded = _fold_table()[codes].astype(np.uint64)
+    folded = held(("langid", "fold"), _fold_table)[codes].astype(np.uint64)
     lengths = np.array([len(d) for d in docs], np.int64)
     owner = np.repeat(np.arange(len(docs)), lengths + 2)[: len(codes)]
     space = folded == 32
@@ -131,8 +130,9 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     draw = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) / float(1 << 30)
     sample = known.filter(F.col("lang").isin(list(counts)) & F.col("text").isNotNull()).filter(draw < share[F.col("lang")]).select("id", "lang", "text")
 
+    @without_gc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, rows=256):
+        for batch in slices(batches, 2, rows=ROWS):
             rows, grams = vectors(texts(batch, 2))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(grams, pa.int64()), pa.array([r.astype("<f2").tobytes() for r in rows], pa.binary())], ["id", "lang", "grams", "vector"])
 
@@ -179,8 +179,9 @@ def predict_languages(df: DataFrame, model: Model, id_col: str = "doc_id", text_
     """
     model = _shared(df, model)
 
+    @without_gc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 2, rows=256):
+        for batch in slices(batches, 2, rows=ROWS):
             lang, score, rejected = predict(texts(batch, 2), model.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
@@ -192,8 +193,9 @@ def keep_identified(df: DataFrame, model: Model, text_col: str = "text") -> Data
     """The rows of df, all columns, whose text is not rejected."""
     model, at = _shared(df, model), df.columns.index(text_col)
 
+    @without_gc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, at, rows=256):
+        for batch in slices(batches, at, rows=ROWS):
             yield batch.filter(pa.array(~predict(texts(batch, at), model.value)[2]))
 
     return df.mapInArrow(run, df.schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm._common import slices, texts, without_gc
+from waymark.llm._common import held, slices, texts, without_gc
 from waymark.llm.chunks import ChunkCodec
 
 #: Stands for a null document id in the .ids files.
@@ -70,14 +70,9 @@ class ChunkEncoder:
         return self.codec.encode(docs)
 
 
-_ENCODERS: dict[str, ChunkEncoder] = {}
-
-
 def chunk_encoder(path: str) -> ChunkEncoder:
     """A worker's own encoder for that file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkEncoder(path)
-    return _ENCODERS[path]
+    return held(("token_files", path), lambda: ChunkEncoder(path))
 
 
 def _file(folder: str, name: str) -> tuple[pafs.FileSystem, str]:

@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from waymark.llm import bpe, queries
+from waymark.llm import bpe, chunks, queries
 
 PATH = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -28,15 +28,22 @@ def test_ids_equal_the_library(enc, oracle):
     some = ["", " ", "  ", " a", "a ", "a  b", "a\n b", "a \nb", "x" * 5000, " " * 700, "ab" * 2000, "bé'll don't 中文 \U0001f600\n\n  \n x", "\x1c a \x85 b\xa0 c", "<|endoftext|>"]
     some += ["".join(rng.choice("ab \n\t'sé1中!\xa0\x1c") for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     for text, raw in zip(some, enc.encode(some), strict=True):
-        ids = np.frombuffer(raw, "<u4")
+        ids = np.concatenate([*raw, np.empty(0, "<u4")])
         assert ids.tolist() == oracle.encode_ordinary(text), text
         assert enc.decode(ids) == text.encode()
 
 
-def test_parts_of_long_texts_keep_ids(enc, oracle, monkeypatch):
+def test_parts_of_long_texts_keep_ids(enc, oracle):
     text = "Some words, and 12 more.\n " * 300 + "x" * 200
-    got = b"".join(next(enc.encode([p])) for p in bpe.text_parts(text, 100))
-    assert np.frombuffer(got, "<u4").tolist() == oracle.encode_ordinary(text)
+    got = [x for p in chunks.text_parts(text, 100) for a in next(enc.encode([p])) for x in a]
+    assert got == oracle.encode_ordinary(text)
+
+
+def test_long_texts(enc, oracle, monkeypatch):
+    monkeypatch.setattr(chunks, "STEP_BYTES", 400)
+    some = ["Some words, and 12 more.\n " * 300 + "x" * 2000, "a\u00a0b c " * 90, "", "short one", "é " * 700]
+    for text, found in zip(some, enc.encode(some), strict=True):
+        assert [x for a in found for x in a] == oracle.encode_ordinary(text)
 
 
 def test_rows(spark, oracle):

@@ -1,6 +1,6 @@
 """Byte-level BPE on length-bucketed padded matrices.
 
-Words that the split pattern finds are gathered per slice, made distinct and laid out by
+Words that the split pattern finds are made distinct and laid out by
 byte length as rows of integer matrices. In each round every row looks up the ranks of its
 adjacent pairs in a hashed table, merges its leftmost pair of the lowest rank and is
 compacted by one column; rows without a mergeable pair leave the matrix. Decoding gathers
@@ -21,34 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm._common import held, slices, texts, without_gc
+from waymark.llm.chunks import ChunkCodec
 
 #: Rows of more bytes than this are merged by a heap instead: same order of merges, without the square of their length.
 MAX_ROW_BYTES = 256
 #: Cells of one matrix.
 MATRIX_CELLS = 400_000
-#: Distinct chunks whose ids a worker remembers before it starts anew.
-CACHE_SIZE = 250_000
-#: Characters of a text that are worked on at once; cut where a word surely ends.
-CHUNK_CHARS = 1_000_000
 
 _NO_RANK = np.int32(2**31 - 1)
-#: A place between two characters that no match of a GPT-2-like pattern crosses: non-space, then a single space, then non-space.
-_CUT = regex.compile(r"(?<=\S)(?= \S)")
-_ODD_SPACE = regex.compile(r"[^\S ] | [^\S ]|  |[\x1c-\x1f\x85]")
-
-
-def chunks_of(text: str) -> list[str]:
-    """The text cut at spaces that no match of the pattern crosses."""
-    if _ODD_SPACE.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    if not first and rest:  # a leading space belongs to the first word
-        first, *rest = " " + rest[0], *rest[1:]
-    out = [" " + x for x in rest]
-    out.insert(0, first)
-    if out[-1] == " " and len(out) > 1:  # a trailing space stands alone
-        out[-2:] = [out[-2] + " "]
-    return out
 
 
 class PairTable:
@@ -118,8 +98,7 @@ class BytePairEncoder:
         self.table = PairTable(left, right, merged.astype(np.int32))
         self.of_pair: dict[int, int] = {}
         self.whole = {t: r.to_bytes(4, "little") for t, r in self.ranks.items()} | {b"": b""}
-        self.words: dict[str, bytes] = {}
-        self.cache: dict[str, bytes] = {}
+        self.codec = ChunkCodec(self.encode_chunks, "<u4")
 
     # words -> ids
 
@@ -205,30 +184,16 @@ class BytePairEncoder:
 
     # texts -> ids
 
-    def learn(self, chunks: set[str]) -> None:
-        """Put the ids of the chunks, and of the words in them, into the caches."""
-        new = list(chunks.difference(self.cache))
-        if not new:
-            return
-        if len(self.cache) + len(new) > CACHE_SIZE:
-            self.cache.clear()
-            new = list(chunks)
-        found = list(map(self.pattern.findall, new))
-        words = set().union(*found)
-        if len(self.words) + len(words) > CACHE_SIZE:
-            self.words.clear()
-        fresh = list(words.difference(self.words))
-        self.words.update(zip(fresh, self.encode_words([w.encode() for w in fresh]), strict=True))
-        get = self.words.__getitem__
-        self.cache.update(zip(new, [get(f[0]) if len(f) == 1 else b"".join(map(get, f)) for f in found], strict=True))
+    def encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """For each chunk the ids of the words that the pattern finds in it, each distinct word merged once."""
+        found = list(map(self.pattern.findall, chunks))
+        words = list(set().union(*found))
+        ids = dict(zip(words, self.encode_words([w.encode() for w in words]), strict=True))
+        return [ids[f[0]] if len(f) == 1 else b"".join(map(ids.__getitem__, f)) for f in found]
 
-    def encode(self, docs: list[str]) -> Iterator[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        cut = [chunks_of(d) for d in docs]
-        self.learn(set().union(*cut))
-        get = self.cache.__getitem__
-        for c in cut:
-            yield b"".join(map(get, c))
+    def encode(self, docs: list[str]) -> Iterator[list[np.ndarray]]:
+        """For each text its ids, in arrays that follow each other."""
+        return self.codec.encode(docs)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids."""
@@ -238,18 +203,6 @@ class BytePairEncoder:
         return self.flat[shift + np.arange(total)].tobytes()
 
 
-def text_parts(text: str, most: int = CHUNK_CHARS) -> Iterator[str]:
-    """A long text in parts that end where no match of the pattern crosses; a text without such a place stays whole."""
-    start = 0
-    while len(text) - start > most:
-        found = _CUT.search(text, start + most)
-        if not found:
-            break
-        yield text[start : found.start()]
-        start = found.start()
-    yield text[start:]
-
-
 def encoder(rank_file: str, pattern: str) -> BytePairEncoder:
     """A worker's own encoder for that file."""
     return held(("bpe", rank_file, pattern), lambda: BytePairEncoder(rank_file, pattern))
@@ -273,22 +226,17 @@ def encode_documents(df: DataFrame, rank_file: str, pattern: str, id_col: str =
         enc = encoder(rank_file, pattern)
         for batch in slices(batches, 1):
             count, digest, back, kept = [], [], [], []
-            whole = texts(batch, 1)
-            short = iter(enc.encode([t for t in whole if len(t) <= CHUNK_CHARS]))
-            for text in whole:
-                one, two, n, ids = hashlib.sha256(), hashlib.sha256(), 0, []
-                for raw in [next(short)] if len(text) <= CHUNK_CHARS else (next(enc.encode([p])) for p in text_parts(text)):
-                    part = np.frombuffer(raw, "<u4")
-                    one.update(raw)
+            for found in enc.encode(texts(batch, 1)):
+                one, two, n = hashlib.sha256(), hashlib.sha256(), 0
+                for part in found:
+                    one.update(part.tobytes())
                     two.update(enc.decode(part))
                     n += len(part)
-                    if keep_ids:
-                        ids.append(part.astype(np.int32))
                 count.append(n)
                 digest.append(one.hexdigest())
                 back.append(two.hexdigest())
                 if keep_ids:
-                    kept.append(np.concatenate(ids))
+                    kept.append(np.concatenate([*found, np.empty(0, "<u4")]).astype(np.int32))
             arrays = [batch.column(0), pa.array(count, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep_ids:

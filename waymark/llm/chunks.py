@@ -11,8 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
-
-from waymark.llm.bpe import chunks_of, text_parts
+import regex
 
 #: Known chunks at most; those met later are encoded in each slice that has them.
 TABLE_SIZE = 700_000
@@ -21,6 +20,10 @@ TABLE_BITS = 21
 #: Bytes of text in one step; a part of a text without a place to cut may be longer and is encoded by itself.
 STEP_BYTES = 1_500_000
 
+#: A place between two characters that no match of a GPT-2-like pattern crosses: non-space, then a single space, then non-space.
+_CUT = regex.compile(r"(?<=\S)(?= \S)")
+_ODD_SPACE = regex.compile(r"[^\S ] | [^\S ]|  |[\x1c-\x1f\x85]")
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
@@ -29,6 +32,32 @@ _SPACE[[*range(9, 14), *range(28, 33)]] = True
 _WIDE_SPACE = [c.encode() for c in "\x85\xa0     　"] + [b"\xe2\x80" + bytes([k]) for k in range(0x80, 0x8B)]
 
 
+def chunks_of(text: str) -> list[str]:
+    """The text cut at spaces that no match of the pattern crosses."""
+    if _ODD_SPACE.search(text):
+        return _CUT.split(text)
+    first, *rest = text.split(" ")
+    if not first and rest:  # a leading space belongs to the first word
+        first, *rest = " " + rest[0], *rest[1:]
+    out = [" " + x for x in rest]
+    out.insert(0, first)
+    if out[-1] == " " and len(out) > 1:  # a trailing space stands alone
+        out[-2:] = [out[-2] + " "]
+    return out
+
+
+def text_parts(text: str, most: int) -> Iterator[str]:
+    """A long text in parts that end where no match of the pattern crosses; a text without such a place stays whole."""
+    start = 0
+    while len(text) - start > most:
+        found = _CUT.search(text, start + most)
+        if not found:
+            break
+        yield text[start : found.start()]
+        start = found.start()
+    yield text[start:]
+
+
 def _powers(base: int, n: int) -> np.ndarray:
     """base ** (0 ... n - 1) modulo 2 ** 64."""
     out = np.ones(n, np.uint64)

@@ -135,12 +135,11 @@ def _blanks_sql(x: str) -> str:
     return f"(length({x}) - length(replace({x}, ' ', '')))"
 
 
-def normal_words(text: Column) -> Column:
-    """The words of a text, A-Z lower-cased, each between two blanks; empty without words."""
+def joined_words(text: Column) -> Column:
+    """The words of a text, A-Z lower-cased, with one blank between them; empty without words."""
     # two letters whose lower case would turn into ASCII stand for themselves
-    kept = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ı"))
-    joined = F.trim(F.regexp_replace(F.lower(kept), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", "  "))
-    return F.when(joined == "", F.lit("")).otherwise(F.concat(F.lit(" "), joined, F.lit(" ")))
+    kept = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")), F.lit("\u0130"), F.lit("\u0131"))
+    return F.trim(F.regexp_replace(F.lower(kept), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", " "))
 
 
 def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", signature_rules: list[dict] | None = None) -> DataFrame:
@@ -155,44 +154,46 @@ def scan_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     are ignored. Narrow: no shuffle, no Python.
     """
     signature_rules = rules() if signature_rules is None else signature_rules
-    rows = df.select(F.col(id_col).alias("doc_id"), normal_words(F.col(text_col)).alias("norm"))
-    rows = rows.select("doc_id", "norm", F.expr(f"cast({_words_sql('norm')} as bigint)").alias("n_words"))
+    rows = df.select(F.col(id_col).alias("doc_id"), joined_words(F.col(text_col)).alias("joined"))
+    rows = rows.selectExpr("doc_id", "concat(' ', joined, ' ') as line", "if(joined = '', array(), split(joined, ' ')) as words")
+    rows = rows.selectExpr("doc_id", "line", "words", "cast(size(words) as bigint) as n_words")
 
     base = []
     for phrase, label in BASE_PHRASES:
-        wide = "".join(f" {w} " for w in phrase.split())
+        wide = "".join(f" {w} " for w in phrase.split())  # between two blanks of its own each, so that places don't share any
         base.append(
-            f"if(contains(norm, '{wide}'), named_struct("
+            f"if(contains(line, ' {phrase} '), transform(array(concat(' ', replace(trim(line), ' ', '  '), ' ')), norm -> named_struct("
             f"'n', cast((length(norm) - length(replace(norm, '{wide}', ''))) div {len(wide)} as bigint), "
-            f"'first', cast({_words_sql(f'''substring(norm, 1, instr(norm, '{wide}') - 1)''')} as bigint), "
-            f"'last', cast(n_words - {_words_sql(f'''substring_index(norm, '{wide}', -1)''')} - {len(phrase.split())} as bigint), 'label', '{label}'), null)"
+            f"'first', cast({_words_sql(f"""substring(norm, 1, instr(norm, '{wide}') - 1)""")} as bigint), "
+            f"'last', cast(n_words - {_words_sql(f"""substring_index(norm, '{wide}', -1)""")} - {len(phrase.split())} as bigint), 'label', '{label}'))[0], null)"
         )
     rows = rows.withColumn("base", F.expr(f"filter(array({', '.join(base)}), x -> x is not null)"))
 
     keywords = sorted({r["kw"] for r in signature_rules})
-    gate = " or ".join(f"contains(norm, '{k}')" for k in keywords) or "false"
-    table = json.dumps(signature_rules).replace("\\", "\\\\").replace("'", "\\'")
-    literal = f"from_json('{table}', 'array<struct<kw:string,re:string,label:string,level:int,k:int>>')"
+    listed = ", ".join(f"'{k.strip()}'" for k in keywords)
+    gate = f"arrays_overlap(words, array({listed}))" if keywords else "false"
+    by_keyword = {k.strip(): [r for r in signature_rules if r["kw"] == k] for k in keywords}
+    table = json.dumps(by_keyword).replace("\\", "\\\\").replace("'", "\\'")
+    rules_of = f"from_json('{table}', 'map<string,array<struct<re:string,label:string,level:int,k:int>>>')"
     span = STRIDE + 2 * REACH
+    first, count = f"greatest(b * {STRIDE} - {REACH}, 0) + 1", f"{span} + least(b * {STRIDE} - {REACH}, 0)"
     blocks = (
-        "transform(array(filter(split(norm, ' '), w -> w <> '')), words -> "
-        f"transform(sequence(0, (size(words) - 1) div {STRIDE}), b -> named_struct("
-        f"'lo', b * {STRIDE}, 'from', greatest(b * {STRIDE} - {REACH}, 0), "
-        f"'t', concat(' ', array_join(slice(words, greatest(b * {STRIDE} - {REACH}, 0) + 1, {span} + least(b * {STRIDE} - {REACH}, 0)), ' '), ' '))))[0]"
+        f"transform(transform(sequence(0, (size(words) - 1) div {STRIDE}), b -> named_struct('lo', b * {STRIDE}, 'from', {first} - 1, 'w', slice(words, {first}, {count}))), "
+        f"b -> named_struct('lo', b.lo, 'from', b.from, 'ks', array_intersect(b.w, array({listed})), 'w', b.w))"
     )
-    some = " or ".join(f"contains(b.t, '{k}')" for k in keywords) or "false"
     found = (
-        f"flatten(transform(filter({literal}, r -> contains(b.t, r.kw)), r -> "
+        f"flatten(transform(flatten(transform(b.ks, k -> {rules_of}[k])), r -> "
         "flatten(transform(array(split(regexp_replace(b.t, r.re, '\\u0001$1\\u0002'), '\\u0001')), p -> "
         "transform(slice(sequence(1, size(p)), 2, size(p)), i -> named_struct("
         f"'s', b.from + {_blanks_sql('array_join(slice(p, 1, i - 1), chr(0))')} - 1, "
-        f"'n', {_blanks_sql('''substring_index(p[i - 1], '\\u0002', 1)''')} + 1, 'level', r.level, 'k', r.k, 'label', r.label))))))"
+        f"'n', {_blanks_sql("""substring_index(p[i - 1], '\\u0002', 1)""")} + 1, 'level', r.level, 'k', r.k, 'label', r.label))))))"
     )
+    text = "transform(array(b), b -> named_struct('lo', b.lo, 'from', b.from, 'ks', b.ks, 't', concat(' ', array_join(b.w, ' '), ' ')))"
     standing = (
         f"filter(d, x -> x.s >= b.lo and x.s < b.lo + {STRIDE} and not exists(d, y -> y.s <= x.s and y.s + y.n >= x.s + x.n and "
         "((y.n > x.n and y.level <= x.level) or (y.n = x.n and (y.level < x.level or (y.level = x.level and y.k < x.k))))))"
     )
-    detections = f"if({gate}, flatten(transform(filter({blocks}, b -> {some}), b -> transform(array({found}), d -> {standing})[0])), null)"
+    detections = "cast(null as array<struct<s:int,n:int,level:int,k:int,label:string>>)" if not keywords else f"if({gate}, flatten(transform(flatten(transform(filter({blocks}, b -> size(b.ks) > 0), b -> {text})), b -> transform(array({found}), d -> {standing})[0])), null)"
     rows = rows.withColumn("own", F.expr(detections))
     worth = "case x.level " + " ".join(f"when {k} then {w}D" for k, w in enumerate(WORTH)) + " else 0D end"
     return rows.selectExpr(

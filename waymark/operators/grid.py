@@ -42,7 +42,7 @@ def vote_fusion(df: DataFrame, size: float, labels: list[int], scale: float, min
     w = F.col(weight)
     votes = [F.sum(F.when(F.col(label) == k, w).otherwise(0.0)).alias(f"v{k}") for k in labels]
     cells = with_cells(df, size).groupBy(*CELL3).agg(F.sum(w).alias("votes"), F.count("*").alias("n"), *[(F.sum(F.col(a) * w) / F.sum(w)).alias(a) for a in "xyz"], *votes)
-    ranked = F.array_sort(F.array(*[F.struct((-F.col(f"v{k}")).alias("minus"), F.lit(k).alias("k")) for k in labels]))
+    ranked = F.array_sort(F.array(*[F.struct((-F.round(F.col(f"v{k}"), 9)).alias("minus"), F.lit(k).alias("k")) for k in labels]))
     cells = cells.withColumn("r", ranked).withColumn("best", -F.col("r")[0]["minus"]).withColumn("second", -F.col("r")[1]["minus"] if len(labels) > 1 else F.lit(0.0))
     purity, margin = F.col("best") / F.col("votes"), (F.col("best") - F.col("second")) / F.col("votes")
     cells = cells.withColumn("confidence", clamp((0.65 * purity + 0.35 * margin) * (0.45 + 0.55 * (1 - F.exp(-F.col("votes") / scale))), 0, 1))
@@ -57,7 +57,7 @@ def keyframe_features(df: DataFrame, size: float, label: str = "label", weight:
         *[(F.sum(F.col(a) * w) / F.sum(w)).alias(a) for a in "xyz"], F.min("z").alias("z_min"), F.max("z").alias("z_max"), F.count("*").alias("n"),
         *[F.sum(F.when(F.col(label) == k, w).otherwise(0.0)).alias(f"v{k}") for k in some],
     )
-    best = F.array_sort(F.array(*[F.struct((-F.col(f"v{k}")).alias("minus"), F.lit(k).alias("k")) for k in some]))[0]
+    best = F.array_sort(F.array(*[F.struct((-F.round(F.col(f"v{k}"), 9)).alias("minus"), F.lit(k).alias("k")) for k in some]))[0]
     cells = cells.withColumn("label", F.when(-best["minus"] > 0.5, best["k"]).otherwise(0)).drop(*[f"v{k}" for k in some])
     return cells.withColumn("structural", F.col("label").isin(*structural) | (F.col("z_max") - F.col("z_min") > 1.5)).withColumn("ground", (F.col("label") == ground) & (F.col("z_max") - F.col("z_min") <= 0.5))
 

@@ -11,7 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.select import best_and_second
+from waymark.operators.select import best_and_second, checkpointed
 
 #: Candidates that one search may have.
 MAX_CANDIDATES = 20_000
@@ -81,7 +81,7 @@ def register_rounds(a: DataFrame, b: DataFrame, keys: list[str], start: DataFram
     """(keys, yaw, dx, dy, matched, rmse): points a (id, x, y, label) moved onto points b (other, x, y, label) by rounds of mutual matches and closed-form fits.
 
     start gives each key's first yaw, dx, dy; a round's step is cut at max_turn and max_shift.
-    Rounds are few and fixed, so the plan stays small; each is two nearest joins and one aggregate.
+    Each round is two nearest joins and one aggregate and is checkpointed, as the next one reads it more than once.
     """
     from waymark.operators import near, stats
 
@@ -93,10 +93,10 @@ def register_rounds(a: DataFrame, b: DataFrame, keys: list[str], start: DataFram
         quality = both.groupBy(*keys).agg(F.count("*").alias("matched"), F.sqrt(F.avg(F.col("distance") ** 2)).alias("rmse"))
         step = stats.planar_fit(both.withColumn("w", F.lit(1.0)), keys).select(*keys, *[F.greatest(F.lit(-m), F.least(F.lit(m), F.col(c))).alias(f"_{c}") for c, m in (("yaw", max_turn), ("dx", max_shift), ("dy", max_shift))])
         joined = at.select(*keys, "yaw", "dx", "dy").join(step, keys).join(quality, keys)
-        at = joined.select(
+        at = checkpointed(joined.select(
             *keys, (F.col("yaw") + F.col("_yaw")).alias("yaw"), (F.cos("_yaw") * F.col("dx") - F.sin("_yaw") * F.col("dy") + F.col("_dx")).alias("dx"),
             (F.sin("_yaw") * F.col("dx") + F.cos("_yaw") * F.col("dy") + F.col("_dy")).alias("dy"), "matched", "rmse",
-        )
+        ))
     return at
 
 

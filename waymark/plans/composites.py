@@ -136,7 +136,7 @@ def opt21(v: Views):
     return rounded(graph.solve_chain(chain.unionByName(matches), ["run"]), 5)
 
 
-@query("ST2_idle_flush", f"select run, count(*) as n, sum(cast(coalesce(d > {40 * H}, true) as bigint)) as flushes from (select run, lead(t) over (partition by run order by t, id) - t as d from track) group by run")
+@query("ST2_idle_flush", f"select run, count(*) as n, cast(sum(cast(coalesce(d > {40 * H}, true) as bigint)) as bigint) as flushes from (select run, lead(t) over (partition by run order by t, id) - t as d from track) group by run")
 def st2(v: Views):
     from pyspark.sql import Window
 

@@ -54,11 +54,11 @@ def grf5(v: Views):
 
 
 @query("GRF6_dense_labels", """with v as (select b.ix, b.iy, a.label, sum(a.occ) as w from raster a join raster b on abs(a.ix - b.ix) <= 1 and abs(a.iy - b.iy) <= 1 where a.label <> 0 group by b.ix, b.iy, a.label), k as (select *, sum(w) over (partition by ix, iy) as t, row_number() over (partition by ix, iy order by round(w, 9) desc, label) as rn from v)
-  select ix, iy, label, round(w / t, 6) as confidence from k where rn = 1 and t > 0""")
+  select ix, iy, label, round(w / t, 5) as confidence from k where rn = 1 and t > 0""")
 def grf6(v: Views):
     votes = v.raster.filter("label <> 0").select("ix", "iy", "label", "occ")
     spread = grid.neighbours(votes, 1).join(v.raster.select("ix", "iy"), ["ix", "iy"])
-    return rounded(stats.label_map(spread, ["ix", "iy"], "label", "occ").filter("confidence is not null"))
+    return rounded(stats.label_map(spread, ["ix", "iy"], "label", "occ").filter("confidence is not null"), 5)
 
 
 @query("GRF7_edge_map", """select c.ix, c.iy, round(least(1, abs(coalesce(e.occ, 0) - coalesce(w.occ, 0)) / 2 + abs(coalesce(s.occ, 0) - coalesce(n.occ, 0)) / 2), 6) as edge from raster c left join raster e on e.ix = c.ix + 1 and e.iy = c.iy left join raster w on w.ix = c.ix - 1 and w.iy = c.iy left join raster s on s.ix = c.ix and s.iy = c.iy + 1 left join raster n on n.ix = c.ix and n.iy = c.iy - 1""")
@@ -153,7 +153,7 @@ RANSAC = f"""with p as (select *, x as id from (select frame, w, sx, sy, tx, ty,
   g as (select frame, h, sx, sy, tx, ty, atan2((sx2-sx)*(ty2-ty) - (sy2-sy)*(tx2-tx), (sx2-sx)*(tx2-tx) + (sy2-sy)*(ty2-ty)) as yaw from f where h <= 12 and sx2 is not null and (sx2-sx)*(sx2-sx) + (sy2-sy)*(sy2-sy) > 1),
   y as (select frame, h, yaw, tx - (cos(yaw)*sx - sin(yaw)*sy) as dx, ty - (sin(yaw)*sx + cos(yaw)*sy) as dy from g),
   c as (select p.frame, h, sum(cast((cos(yaw)*p.sx - sin(yaw)*p.sy + dx - p.tx)*(cos(yaw)*p.sx - sin(yaw)*p.sy + dx - p.tx) + (sin(yaw)*p.sx + cos(yaw)*p.sy + dy - p.ty)*(sin(yaw)*p.sx + cos(yaw)*p.sy + dy - p.ty) <= 0.002809 as bigint)) as inliers, count(*) as n from p join y on p.frame = y.frame group by p.frame, h)
-  select frame, inliers, n from (select *, row_number() over (partition by frame order by inliers desc, h) as rn from c) where rn = 1"""
+  select frame, cast(inliers as bigint) as inliers, n from (select *, row_number() over (partition by frame order by inliers desc, h) as rn from c) where rn = 1"""
 
 
 @query("OPT6_ransac", RANSAC.replace("cast((cos", "cast((cos"))

@@ -34,7 +34,7 @@ SQL = {
     "imu": """select user_id as run, event_id as id, MICROS[ts] as t, value / 997.0 as w from events where event_type = 'signup'""",
     "geo": """select s_suppkey as id, s_acctbal / 200 as lat, s_suppkey * 0.001 as lon, s_acctbal / 10 as alt from supplier""",
     # pose-graph edges: orders of a customer in turn
-    "ranked": """select o_custkey as run, row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as k, o_totalprice / 99991.0 as d from orders""",
+    "ranked": """select o_custkey as run, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as bigint) as k, o_totalprice / 99991.0 as d from orders""",
     "edges": """select a.run, a.k as i, b.k as j, a.d as dx, b.k - a.k > 1 as loop from ranked a join ranked b on a.run = b.run and b.k in (a.k + 1, a.k + 5)""",
 }
 

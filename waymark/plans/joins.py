@@ -234,8 +234,8 @@ def jn30(v: Views):
   select round(f, 6) as dz, round((select median(abs(dz - f)) from i), 6) as mad, n, n >= 5 as accepted from f""")
 def opt9(v: Views):
     m = near.mutual_nearest(frame(v, 1), frame(v, 2, "other"), 15, "id", "other", same=["label"])
-    z = m.join(frame(v, 1).select("id", F.col("z").alias("za")), "id").join(frame(v, 2, "other").select("other", F.col("z").alias("zb")), "other").select((F.col("za") - F.col("zb")).alias("dz"))
+    z = m.join(v.pts.select("id", "frame", F.col("z").alias("za")), "id").join(v.pts.select(F.col("id").alias("other"), F.col("z").alias("zb")), "other").select("frame", (F.col("za") - F.col("zb")).alias("dz"))
     broad = z.filter("abs(dz) < 4")
-    inner = broad.withColumn("k", F.lit(1)).join(broad.agg(F.median("dz").alias("m")).withColumn("k", F.lit(1)), "k").filter("abs(dz - m) < 1.5").select("k", "dz")
-    out = stats.median_mad(inner, ["k"], "dz").join(inner.groupBy("k").agg(F.count("*").alias("n")), "k")
+    inner = broad.join(broad.groupBy("frame").agg(F.median("dz").alias("m")), "frame").filter("abs(dz - m) < 1.5").select("frame", "dz")
+    out = stats.median_mad(inner, ["frame"], "dz").join(inner.groupBy("frame").agg(F.count("*").alias("n")), "frame")
     return out.select(r("median").alias("dz"), r("mad").alias("mad"), "n", (F.col("n") >= 5).alias("accepted"))

@@ -1,3 +1,5 @@
+import random
+
 import public_tokenizers as P
 from test_dedup import brute
 
@@ -39,3 +41,22 @@ def test_stages_equal_brute_force(spark, sf):
 def test_empty_table(spark, tmp_path, sf):
     spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_odd_rows(spark, tmp_path):
+    rng = random.Random(8)
+    prose = lambda n: " ".join(rng.choices("the of and engine table reads writes rows files slowly surely every day while another one found nothing here at all so it went back home again".split(), k=n))
+    rows = [(k, prose(80 + k), "en" if k % 3 else None, f"src{k % 4}" if k % 5 else None, k) for k in range(60)]
+    rows += [rows[5], rows[5], (None, prose(90), "en", "src1", None), (None, None, None, None, None), (900, None, "en", "src1", 0), (901, "", "en", "src1", 0), (902, prose(20_000), "en", "odd", 1), (903, rows[7][1], "en", "src1", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, str(tmp_path)).cache()
+        ids = [r.doc_id for r in made.collect()]
+        if name == "minhash_dedup":
+            assert ids.count(5) == 1 and 903 not in ids and 900 in ids
+        if name == "bpe":
+            assert len(ids) == len(rows)
+        else:
+            assert made.columns == docs.columns and set(ids) <= {r[0] for r in rows}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    assert 0 < corpus_pipeline.run(spark, str(tmp_path)).count() < len(rows)

@@ -7,8 +7,6 @@ Each view is one SQL text for both engines; HASH60[...] (an integer from md5) an
 from __future__ import annotations
 
 import re
-from functools import cached_property
-
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -95,7 +93,3 @@ class Views:
         for n in names:
             text = re.sub(rf"((?:from|join|,)\s+){n}\b", rf"\1{{{n}}}", text, flags=re.IGNORECASE)
         return self.spark.sql(text, **{n: getattr(self, n) for n in names})
-
-    @cached_property
-    def nothing(self) -> DataFrame:
-        return self.spark.range(0)

@@ -7,6 +7,7 @@ Each view is one SQL text for both engines; HASH60[...] (an integer from md5) an
 from __future__ import annotations
 
 import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]

@@ -40,7 +40,7 @@ def test_parts_of_long_texts_keep_ids(enc, oracle):
 
 
 def test_long_texts(enc, oracle, monkeypatch):
-    monkeypatch.setattr(chunks, "STEP_BYTES", 400)
+    monkeypatch.setattr(enc.codec, "step_bytes", 400)
     some = ["Some words, and 12 more.\n " * 300 + "x" * 2000, "a\u00a0b c " * 90, "", "short one", "é " * 700]
     for text, found in zip(some, enc.encode(some), strict=True):
         assert [x for a in found for x in a] == oracle.encode_ordinary(text)

@@ -27,6 +27,8 @@ from waymark.llm.chunks import ChunkCodec
 MAX_ROW_BYTES = 256
 #: Cells of one matrix.
 MATRIX_CELLS = 400_000
+#: Chunks that a worker's table knows at most, and bytes of one step: small, as a worker shares an executor's memory with the JVM.
+TABLE_SIZE, STEP_BYTES = 200_000, 500_000
 
 _NO_RANK = np.int32(2**31 - 1)
 
@@ -98,7 +100,7 @@ class BytePairEncoder:
         self.table = PairTable(left, right, merged.astype(np.int32))
         self.of_pair: dict[int, int] = {}
         self.whole = {t: r.to_bytes(4, "little") for t, r in self.ranks.items()} | {b"": b""}
-        self.codec = ChunkCodec(self.encode_chunks, "<u4")
+        self.codec = ChunkCodec(self.encode_chunks, "<u4", TABLE_SIZE, STEP_BYTES)
 
     # words -> ids
 

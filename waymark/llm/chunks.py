@@ -13,10 +13,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import regex
 
-#: Known chunks at most; those met later are encoded in each slice that has them.
+#: Known chunks at most, unless an operator asks for another number; those met later are encoded in each step that has them.
 TABLE_SIZE = 700_000
-#: Bits of a place in the table.
-TABLE_BITS = 21
 #: Bytes of text in one step; a part of a text without a place to cut may be longer and is encoded by itself.
 STEP_BYTES = 1_500_000
 
@@ -74,25 +72,27 @@ def gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarra
 class ChunkCodec:
     """Encodes texts; encode_new gives, for distinct chunks, their ids as bytes of dtype."""
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], dtype: str):
+    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], dtype: str, table_size: int | None = None, step_bytes: int | None = None):
         self.encode_new, self.dtype = encode_new, np.dtype(dtype)
-        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
-        self.entry = np.full(1 << TABLE_BITS, -1, np.int64)
+        self.table_size, self.step_bytes = table_size or TABLE_SIZE, step_bytes or STEP_BYTES
+        self.bits = int(np.ceil(np.log2(2 * self.table_size)))
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.entry = np.full(1 << self.bits, -1, np.int32)
         self.probes = 0
         self.text, self.ids = np.empty(0, np.uint8), np.empty(0, self.dtype)
         self.text_start = self.text_size = self.ids_start = self.ids_size = np.empty(0, np.int64)
-        self.up, self.down = _powers(_BASE, STEP_BYTES), _powers(_INVERSE, STEP_BYTES)
+        self.up, self.down = _powers(_BASE, self.step_bytes), _powers(_INVERSE, self.step_bytes)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
-        at = (keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
-        out = self.entry[at]
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = self.entry[at].astype(np.int64)
         todo = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
         out[todo] = -1
         at = at[todo]
         for _ in range(self.probes):
             if not len(todo):
                 break
-            at = (at + 1) & ((1 << TABLE_BITS) - 1)
+            at = (at + 1) & ((1 << self.bits) - 1)
             used = self.entry[at] >= 0
             hit = used & (self.keys[at] == keys[todo])
             out[todo[hit]] = self.entry[at[hit]]
@@ -101,7 +101,7 @@ class ChunkCodec:
         return out
 
     def _put(self, keys: np.ndarray, entries: np.ndarray) -> None:
-        todo, at, rounds = np.arange(len(keys)), (keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64), 0
+        todo, at, rounds = np.arange(len(keys)), (keys >> np.uint64(64 - self.bits)).astype(np.int64), 0
         while len(todo):
             free = self.entry[at] < 0
             slots, first = np.unique(at[free], return_index=True)
@@ -109,7 +109,7 @@ class ChunkCodec:
             self.keys[slots], self.entry[slots] = keys[todo[won]], entries[todo[won]]
             rest = np.ones(len(todo), bool)
             rest[won] = False
-            todo, at = todo[rest], (at[rest] + 1) & ((1 << TABLE_BITS) - 1)
+            todo, at = todo[rest], (at[rest] + 1) & ((1 << self.bits) - 1)
             rounds += 1
         self.probes = max(self.probes, rounds)
 
@@ -161,8 +161,8 @@ class ChunkCodec:
         if len(start):
             counts[sizes > 0] = np.add.reduceat(ids_size[entry], np.searchsorted(start, first))
 
-        if n < TABLE_SIZE and len(chunks):
-            keep = n + min(len(chunks), TABLE_SIZE - n)
+        if n < self.table_size and len(chunks):
+            keep = n + min(len(chunks), self.table_size - n)
             # the most frequent of the new ones first, if not all fit
             order = np.argsort(-np.bincount(inverse, minlength=len(chunks)), kind="stable")[: keep - n]
             chosen = np.concatenate([np.arange(n), n + order])
@@ -195,13 +195,13 @@ class ChunkCodec:
             total = 0
 
         for k, text in enumerate(docs):
-            for part in text_parts(text, STEP_BYTES // 8) if len(text) > STEP_BYTES // 8 else (text,):
+            for part in text_parts(text, self.step_bytes // 8) if len(text) > self.step_bytes // 8 else (text,):
                 raw = part.encode()
-                if len(raw) > STEP_BYTES or (len(raw) != len(part) and any(c in raw for c in _WIDE_SPACE)):
+                if len(raw) > self.step_bytes or (len(raw) != len(part) and any(c in raw for c in _WIDE_SPACE)):
                     flush()  # keeps the order of a text's parts
                     out[k].append(self._odd(part))
                     continue
-                if total + len(raw) > STEP_BYTES:
+                if total + len(raw) > self.step_bytes:
                     flush()
                 parts.append(raw)
                 owners.append(k)

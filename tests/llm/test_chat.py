@@ -47,3 +47,16 @@ def test_query(spark, sf):
     got = queries.op10_chat_format(spark, sf).collect()
     assert {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in got} == brute(rows)
     assert all(r.formatted_chars > r.loss_chars for r in got)
+
+
+def test_examples_hold_their_whole_context(spark):
+    turns = [("user", "q<|end|>"), ("assistant", "aé"), ("user", "r"), ("assistant", "</s>b"), ("assistant", "c\\"), ("user", "tail"), ("user", "")]
+    segments = [chat.format_turn(*t)[0] for t in turns]
+    rows = [(c, k, *t) for c in (1, 2) for k, t in enumerate(turns)] + [(3, 0, "user", "only")]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = [r for r in chat.render_examples(formatted).collect() if r.conv_id == 1]
+    assert [(r.example, r.text) for r in got] == [(0, "".join(segments[:2])), (1, "".join(segments[:4])), (2, "".join(segments[:5])), (None, "".join(segments[5:]))]
+    assert [chat.unescape(r.text[r.loss_start : r.loss_end]) for r in got[:3]] == ["aé", "</s>b", "c\\"]
+    back = {r.conv_id: (r.n_turns, r.n_examples, r.formatted_chars) for r in chat.read_back(formatted).collect()}
+    assert back[1] == back[2] == (7, 3, sum(len(r.text) for r in got))
+    assert back[3] == (1, 0, len(chat.format_turn("user", "only")[0]))

@@ -2,9 +2,8 @@
 
 Every turn becomes one segment of its conversation's formatted text. Every assistant turn is
 an example of its own: its context is all of the conversation before it, and only the text of
-that reply is trainable. Examples of one conversation share their context, so an example is
-kept as the place where its context ends plus its own reply; ``render_examples`` spells them
-out. Control strings inside roles and texts are broken by an escape character and come back
+that reply is trainable. ``format_conversations`` places the turns, ``render_examples`` makes
+the examples of them, and all digests are read from the examples. Control strings inside roles and texts are broken by an escape character and come back
 whole when read.
 """
 
@@ -25,6 +24,8 @@ TURN_END = "<|end|>"
 CONTROL_OPENINGS = ["<|", "</s>", "<s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<unk>", "<pad>", "[SEP]", "[CLS]", "[MASK]", "<start_of_turn>", "<end_of_turn>", "<bos>", "<eos>"]
 ESCAPE = "\\"
 ASSISTANT = "assistant"
+#: Characters of examples that are handed on at once (one example at least).
+_BATCH_CHARS = 1_000_000
 
 _BREAK = re.compile("|".join(f"{re.escape(c[0])}(?={re.escape(c[1:])})" for c in CONTROL_OPENINGS))
 _JOIN = re.compile(r"\\(\\?)")
@@ -55,6 +56,18 @@ def read_turn(segment: str) -> tuple[str, str]:
     return unescape(found[1]), unescape(found[2])
 
 
+def read_turns(text: str) -> Iterator[tuple[str, str]]:
+    """Role and text of each of a formatted text's segments."""
+    at = 0
+    for found in _SEGMENT.finditer(text):
+        if found.start() != at:
+            raise ValueError("not formatted turns")
+        at = found.end()
+        yield unescape(found[1]), unescape(found[2])
+    if at != len(text):
+        raise ValueError("not formatted turns")
+
+
 def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """One row per turn: (conv_id, position, segment, segment_start, example, loss_start, loss_end).
 
@@ -106,67 +119,90 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
 
 
 def render_examples(formatted: DataFrame) -> DataFrame:
-    """The examples spelled out: (conv_id, example, text, loss_start, loss_end), context and reply in text.
+    """One row per assistant turn: (conv_id, example, text, loss_start, loss_end), all turns before the reply and the reply in text.
 
-    The size is, for each conversation, that of all its prefixes, as the method asks; long
-    conversations are cheaper to train on from format_conversations(). Takes its rows, in its order.
+    loss_start and loss_end bound, in text, the reply's own text. Turns after a conversation's
+    last reply (or of one without replies) are no context of any example; they make one row
+    more, after the examples, with null in example and loss. The size is, for each conversation,
+    that of all its prefixes, as the method asks. Takes the rows of format_conversations() as
+    they are dealt there, and gives them in that order; a task holds one conversation's text.
     """
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    dealt = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "position")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, context = object(), ""
+        current, context, tail = object(), "", []
+        out, chars, schema = [], 0, None
         for batch in batches:
-            for r in batch.to_pylist():
-                if r["conv_id"] != current:
-                    current, context = r["conv_id"], ""
-                if r["example"] is not None:
-                    yield pa.RecordBatch.from_pylist(
-                        [{"conv_id": current, "example": r["example"], "text": context + r["segment"], "loss_start": len(context) + r["loss_start"], "loss_end": len(context) + r["loss_end"]}],
-                        pa.schema([batch.schema.field("conv_id"), ("example", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())]),
-                    )
-                context += r["segment"]
-
-    return dealt.mapInArrow(run, f"conv_id {kind}, example long, text string, loss_start long, loss_end long")
-
-
-def read_back(formatted: DataFrame) -> DataFrame:
-    """Per conversation, from its formatted turns: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples).
-
-    turns_sha256 covers role, newline, text, newline of each turn; the loss columns cover all
-    text under the loss masks, unescaped; formatted_chars is the length of the conversation's
-    formatted text, each turn once. Takes the rows of format_conversations() as they are dealt
-    there; the digests of a conversation are taken by one task as its turns pass by.
+            schema = schema or pa.schema([batch.schema.field("conv_id"), ("example", pa.int64()), ("text", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
+            columns = [batch.column(n).to_pylist() for n in ("conv_id", "position", "segment", "segment_start", "example", "loss_start", "loss_end")]
+            for conv, position, segment, start, example, a, b in zip(*columns, strict=True):
+                if position == 0:
+                    if tail:
+                        out.append((current, None, "".join(tail), None, None))
+                    current, context, tail = conv, "", []
+                tail.append(segment)
+                if example is not None:
+                    context, tail = context + "".join(tail), []
+                    out.append((conv, example, context, start + a, start + b))
+                    chars += len(context)
+                if chars > _BATCH_CHARS or len(out) > 1_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                    out, chars = [], 0
+        if tail:
+            out.append((current, None, "".join(tail), None, None))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    return formatted.mapInArrow(run, f"conv_id {kind}, example long, text string, loss_start long, loss_end long")
+
+
+def read_examples(examples: DataFrame) -> DataFrame:
+    """Per conversation, from its examples: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples).
+
+    turns_sha256 covers role, newline, text, newline of each turn; the loss columns cover the
+    text under the examples' loss masks, unescaped; formatted_chars is the length of all rows'
+    text, so that a turn counts in each example that holds it. Every example must start with the
+    whole of the one before. Takes the rows of render_examples() in their order; the digests of a
+    conversation are taken by one task as its examples pass by.
     """
-    kind = formatted.schema["conv_id"].dataType.simpleString()
+    kind = examples.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state, out = object(), None, []
+        current, before, state, out = object(), "", None, []
         schema = None
         for batch in batches:
             schema = schema or pa.schema([batch.schema.field("conv_id"), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64()), ("n_examples", pa.int64())])
-            columns = [batch.column(n).to_pylist() for n in ("conv_id", "position", "segment", "loss_start", "loss_end")]
-            for conv, position, segment, a, b in zip(*columns, strict=True):
-                if position == 0:
+            columns = [batch.column(n).to_pylist() for n in ("conv_id", "example", "text", "loss_start", "loss_end")]
+            for conv, example, text, a, b in zip(*columns, strict=True):
+                if conv != current:
                     if state:
                         out.append(_totals(current, state))
-                    current, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
-                role, text = read_turn(segment)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
-                if a is not None:
-                    trained = unescape(segment[a:b])
+                    current, before, state = conv, "", [0, hashlib.sha256(), 0, hashlib.sha256(), 0, 0]
+                added = text
+                if example is not None:
+                    if not text.startswith(before):
+                        raise ValueError("an example without the turns before it")
+                    added, before = text[len(before) :], text
+                    trained = unescape(text[a:b])
                     state[2] += len(trained)
                     state[3].update(trained.encode())
                     state[5] += 1
-                state[4] += len(segment)
+                for role, said in read_turns(added):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{said}\n".encode())
+                state[4] += len(text)
             if len(out) > 1_000:
                 yield pa.RecordBatch.from_pylist(out, schema)
                 out = []
         if state:
             yield pa.RecordBatch.from_pylist([*out, _totals(current, state)], schema)
 
-    return formatted.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+    return examples.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
+
+
+def read_back(formatted: DataFrame) -> DataFrame:
+    """What read_examples() finds in the examples of formatted turns."""
+    return read_examples(render_examples(formatted))
 
 
 def _totals(conv, state: list) -> dict:

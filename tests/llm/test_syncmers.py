@@ -87,3 +87,15 @@ def test_query(spark, sf):
     assert rows_got == brute(rows)
     long = [r for r in rows_got if r[1] > 1500]
     assert sum(r[5] > r[6] for r in long) > 0.95 * len(long)
+
+
+def test_long_texts_keep_all_anchors(spark):
+    """A passage and a short document inside a long one are found, as no anchor is dropped by its hash."""
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    short = words("s", 50)
+    rows = [(1, short), (2, f"{words('a', 9000)} {short} {words('b', 9000)}")]
+    got = {r.doc_id: r.anchors for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert 0.3 < len(got[2]) / 18_045 < 0.5
+    assert len(got[1]) > 5 and {x.h for x in got[1]} <= {x.h for x in got[2]}
+    near = {r.doc_id: r.near_next for r in syncmers.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert near[1] == near[2] == len(got[1]) / len(got[2])

@@ -2,8 +2,8 @@
 
 Of a text's windows of K words those are anchors whose smallest inner run of S words (by
 hash) stands first or last. Whether a window is one depends on its own words alone, so an
-edit moves or changes only the anchors that touch it. A fingerprint keeps the anchors with
-the smallest hashes and their places; two fingerprints are compared by the anchors they
+edit moves or changes only the anchors that touch it. A fingerprint keeps all anchors with
+their places, about two of five windows; two fingerprints are compared by the anchors they
 share at one and the same shift.
 """
 
@@ -16,8 +16,8 @@ from waymark.llm._common import stored
 
 #: Words of a window, and of the inner runs whose smallest decides (runs of two words, windows of a whole number of them).
 K, S = 6, 2
-#: Anchors that a fingerprint keeps: those with the smallest hashes.
-KEPT = 96
+#: Anchors that a fingerprint keeps: all.
+KEPT = None
 #: Longest word; longer runs without white space (such as texts that use none) are cut into words of that length.
 WORD_CHARS = 24
 #: Document ids of a group that looks up its next documents together: 2 ** GROUP_BITS; then the bits of each level above.
@@ -34,7 +34,7 @@ def words_of(text: str) -> str:
 
 
 def anchors_of(text: str) -> str:
-    """SQL of a text's anchors, array<struct<h bigint, p int>>: the KEPT smallest distinct hashes, each at its first place, by hash.
+    """SQL of a text's anchors, array<struct<h bigint, p int>>: all distinct hashes, each at its first place, by hash.
 
     A text with words but fewer than K has one anchor, the hash of all of them.
     """
@@ -49,7 +49,7 @@ def anchors_of(text: str) -> str:
     )
     # sorted by hash and place, so that of equal hashes the first is the first place
     firsts = "filter(s, (x, i) -> i = 0 or s[greatest(i - 1, 0)].h <> x.h)"
-    return f"slice(transform(array(sort_array({made})), s -> {firsts})[0], 1, {KEPT})"
+    return f"transform(array(sort_array({made})), s -> {firsts})[0]"
 
 
 def fingerprint_text(anchors: str) -> str:
@@ -60,18 +60,19 @@ def fingerprint_text(anchors: str) -> str:
 def likeness(a: str, b: str) -> str:
     """SQL of the likeness of two arrays of anchors, 0 to 1.
 
-    Both are cut at the smaller of their largest hashes if they are full, so that both hold all
-    anchors under it; of the shared anchors those at the most frequent shift count, over all
-    that either holds. Equal fingerprints are 1, one without anchors against another 0.
+    Of the shared anchors those at the most frequent shift count, over all that either holds.
+    Equal fingerprints are 1, one without anchors against another 0. Both arrays are merged by
+    hash and the shifts sorted, so the work is n log n in the anchors.
     """
-    limit = f"least(if(size({a}) = {KEPT}, {a}[{KEPT - 1}].h, 9223372036854775807L), if(size({b}) = {KEPT}, {b}[{KEPT - 1}].h, 9223372036854775807L))"
-    inside = lambda x: f"filter({x}, e -> e.h <= {limit})"
-    shared = "filter(transform(array(map_from_entries(r)), m -> transform(l, x -> try_element_at(m, x.h) - x.p))[0], s -> s is not null)"
-    most = "array_max(transform(array_distinct(d), s -> size(filter(d, e -> e = s))))"
+    sided = lambda x, k: f"transform({x}, e -> struct(e.h as h, {k} as k, e.p as p))"
+    # a hash stands once in each array, so equal neighbours are one of either
+    shared = "transform(filter(sequence(0, size(m) - 2), i -> m[i].h = m[i + 1].h), i -> m[i + 1].p - m[i].p)"
+    starts = "filter(sequence(0, size(d) - 1), i -> i = 0 or d[greatest(i - 1, 0)] <> d[i])"
+    most = f"transform(array({starts}), q -> array_max(transform(q, (x, i) -> if(i + 1 < size(q), q[least(i + 1, size(q) - 1)], size(d)) - x)))[0]"
     return (
         f"case when {a} = {b} then 1D when size({a}) = 0 or size({b}) = 0 then 0D else "
-        f"transform(array({inside(a)}), l -> transform(array({inside(b)}), r -> transform(array({shared}), d -> "
-        f"if(size(d) = 0, 0D, cast({most} as double) / (size(l) + size(r) - size(d))))[0])[0])[0] end"
+        f"transform(array(sort_array(concat({sided(a, 0)}, {sided(b, 1)}))), m -> transform(array(sort_array({shared})), d -> "
+        f"if(size(d) = 0, 0D, cast({most} as double) / (size(m) - size(d))))[0])[0] end"
     )
 
 
@@ -111,7 +112,7 @@ def with_next(df: DataFrame, columns: list[str], derived: dict[str, str], id_col
     """id, columns and derived columns (name: SQL over columns) of df and, for each, next_<column>: its value in the next document by descending id (after the last: the first).
 
     A null id comes last; rows of one id follow each other in the order of the columns. Rows are
-    shuffled once, by groups of ids; each group also gets the document that follows its last one.
+    shuffled once, by groups of ids, before the derived columns are made; each group also gets the document that follows its last one.
     That list is broadcast while it is small, else joined.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
@@ -120,7 +121,7 @@ def with_next(df: DataFrame, columns: list[str], derived: dict[str, str], id_col
     rows = df.select(key.alias("key"), id_col, *columns).withColumn("host", F.shiftright("key", GROUP_BITS))
     guests = rows.drop("host").join(F.broadcast(hosts) if small else hosts, F.col("key") == F.col("guest"))
     both = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)).select("key", id_col, *columns, "host", "guest"))
-    both = both.selectExpr("*", *[f"{sql} as {name}" for name, sql in derived.items()])
+    both = both.repartition("host").selectExpr("*", *[f"{sql} as {name}" for name, sql in derived.items()])
     order = Window.partitionBy("host").orderBy("guest", F.desc("key"), *columns)
     every = [*columns, *derived]
     after = [F.lead(c).over(order).alias(f"next_{c}") for c in every]

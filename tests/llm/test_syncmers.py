@@ -99,3 +99,22 @@ def test_long_texts_keep_all_anchors(spark):
     assert len(got[1]) > 5 and {x.h for x in got[1]} <= {x.h for x in got[2]}
     near = {r.doc_id: r.near_next for r in syncmers.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert near[1] == near[2] == len(got[1]) / len(got[2])
+
+
+def test_texts_without_syncmers(spark):
+    """Of texts of K to K + 2 words, those without a closed syncmer have the hash of all words."""
+    texts = [" ".join(f"{a}{k}" for k in range(n)) for a in "abcdefghijklmnopqrstuvwxyz" for n in (K, K + 1, K + 2)]
+    bare = [t for t in texts if not anchors(t)]
+    assert len(bare) > 3
+    df = spark.createDataFrame([*enumerate(texts), (-1, " "), (-2, "")], "doc_id long, text string")
+    got = {r.doc_id: r for r in syncmers.fingerprints(df).collect()}
+    assert got[-1].fingerprint == got[-2].fingerprint == ""
+    assert all(got[k].fingerprint for k in range(len(texts)))
+    for k, t in enumerate(texts):
+        if t in bare:
+            h = 0
+            for x in t.split():
+                h = xx(h, xx(x))
+            assert [tuple(a) for a in got[k].anchors] == [(h, 0)]
+    pair = spark.createDataFrame([(1, bare[0]), (2, bare[1])], "doc_id long, text string")
+    assert [r.near_next for r in syncmers.compare_edited(pair).collect()] == [0.0, 0.0]

@@ -36,16 +36,17 @@ def words_of(text: str) -> str:
 def anchors_of(text: str) -> str:
     """SQL of a text's anchors, array<struct<h bigint, p int>>: all distinct hashes, each at its first place, by hash.
 
-    A text with words but fewer than K has one anchor, the hash of all of them.
+    A text with words but without a syncmer (as any of fewer than K) has one anchor, the hash of all of them.
     """
     last = K - S  # place of the last inner run in a window
     middle = ", ".join(f"r[i + {k}]" for k in range(1, last))
     chosen = f"filter(sequence(0, size(w) - {K}), i -> least(r[i], r[i + {last}]) <= least({middle}))"
     hashed = f"transform({chosen}, i -> struct(xxhash64({', '.join(f'r[i + {k}]' for k in range(0, K - 1, S))}) as h, i as p))"
+    whole = "array(struct(aggregate(w, 0L, (a, x) -> xxhash64(a, x)) as h, 0 as p))"
     made = (
         f"transform(array(transform({words_of(text)}, w -> xxhash64(w))), w -> "
-        f"case when size(w) = 0 then array() when size(w) < {K} then array(struct(aggregate(w, 0L, (a, x) -> xxhash64(a, x)) as h, 0 as p)) "
-        f"else transform(array(transform(w, (x, i) -> xxhash64(x, w[least(i + 1, size(w) - 1)]))), r -> {hashed})[0] end)[0]"
+        f"case when size(w) = 0 then array() when size(w) < {K} then {whole} "
+        f"else transform(transform(array(transform(w, (x, i) -> xxhash64(x, w[least(i + 1, size(w) - 1)]))), r -> {hashed}), x -> if(size(x) = 0, {whole}, x))[0] end)[0]"
     )
     # sorted by hash and place, so that of equal hashes the first is the first place
     firsts = "filter(s, (x, i) -> i = 0 or s[greatest(i - 1, 0)].h <> x.h)"

@@ -1,5 +1,6 @@
 import random
 import re
+from re import _parser
 
 from waymark.llm import licenses, queries
 
@@ -49,3 +50,37 @@ def test_query(spark, sf):
     got = queries.op8_license_scan(spark, sf)
     assert "Python" not in got._jdf.queryExecution().toString() and "Arrow" not in got._jdf.queryExecution().toString()
     check(rows, got.collect())
+
+
+def matches(parsed):
+    """Texts that a parsed expression matches: the shortest, and it with each part's other forms in turn."""
+    parts = []
+    for op, value in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(value)])
+        elif name == "IN":
+            parts.append([chr(v) if str(o) == "LITERAL" else "7" for o, v in value])
+        elif name == "BRANCH":
+            parts.append([m for branch in value[1] for m in matches(branch)])
+        elif name == "SUBPATTERN":
+            parts.append(matches(value[3]))
+        elif name == "MAX_REPEAT":
+            parts.append([m * value[0] for m in matches(value[2])][: None if value[0] else 1] + (matches(value[2]) if value[0] == 0 else []))
+        else:
+            assert name == "ASSERT"
+    least = [p[0] for p in parts]
+    return ["".join(least)] + ["".join([*least[:k], other, *least[k + 1 :]]) for k, p in enumerate(parts) for other in p[1:]]
+
+
+def test_every_match_holds_its_keyword_and_is_found(spark):
+    made, found = licenses.rules(), set()
+    for r in made:
+        some = set(matches(_parser.parse(r["re"])))
+        assert all(re.fullmatch(".*" + r["re"] + ".*", f" {m} ") for m in some)
+        assert [m for m in some if r["kw"] not in f" {m} "] == []
+        found |= {min(some), max(some)}
+    rows = list(enumerate(sorted(found))) + [(-1, "released under the FreeBSD license"), (-2, "Permission to use, copy, modify, and/or distribute this software for any purpose")]
+    got = {r.doc_id: r.labels for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[-1] == "bsd-2" and got[-2] == "isc-text"
+    assert [t for i, t in rows if not got[i]] == []

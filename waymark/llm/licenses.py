@@ -58,7 +58,8 @@ FAMILIES = [
     ("mit", "expat", r"expat licen[sc]e", []),
     ("isc", "isc", r"isc licen[sc]e", []),
     ("zlib", "zlib", r"zlib(?: libpng)? licen[sc]e", []),
-    ("bsd-2", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?", []),
+    ("bsd-2", "bsd", r"(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: licen[sc]e)?", []),
+    ("bsd-2", "freebsd", r"freebsd(?: licen[sc]e)?", []),
     ("bsd-3", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)(?: licen[sc]e)?", []),
     ("bsd-4", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)(?: licen[sc]e)?", []),
     ("bsd", "bsd", r"bsd(?: style)? licen[sc]e", []),
@@ -85,7 +86,7 @@ NOTICES = [
     ("no-redistribution", "redistribution", r"redistribution (?:is |are )?(?:strictly )?(?:prohibited|forbidden)"),
     ("bsd-text", "redistribution", r"redistribution and use in source and binary forms"),
     ("mit-text", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc-text", "hereby", r"permission to use copy modify and or distribute this software(?: for any purpose)?"),
+    ("isc-text", "permission", r"permission to use copy modify and or distribute this software(?: for any purpose)?"),
     ("commercial-license", "commercial", r"commercial licen[sc]e (?:is )?required"),
     ("copyright-notice", "copyright", r"copyright (?:c )?(?:19|20)\d\d"),
 ]

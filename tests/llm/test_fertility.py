@@ -1,3 +1,4 @@
+import base64
 import math
 import random
 import re
@@ -70,3 +71,34 @@ def test_bands_reject(spark):
 def test_query(spark, sf):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     check(rows, queries.op4_fertility_rules(spark, sf).collect())
+
+
+PROSE = {
+    "Latin": "Wszyscy ludzie rodzą się wolni i równi w swojej godności i prawach Są obdarzeni rozumem i sumieniem i powinni postępować wobec innych w duchu braterstwa",
+    "Vietnamese": "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi Mọi con người đều được tạo hóa ban cho lý trí và lương tâm và cần phải đối xử với nhau trong tình anh em",
+    "Cyrillic": "Все люди рождаются свободными и равными в своем достоинстве и правах Они наделены разумом и совестью и должны поступать в отношении друг друга в духе братства",
+    "Greek": "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα Είναι προικισμένοι με λογική και συνείδηση και οφείλουν να συμπεριφέρονται μεταξύ τους με πνεύμα αδελφοσύνης",
+    "Hangul": "모든 인간은 태어날 때부터 자유로우며 그 존엄과 권리에 있어 동등하다 인간은 천부적으로 이성과 양심을 부여받았으며 서로 형제애의 정신으로 행동하여야 한다",
+    "Hebrew": "כל בני האדם נולדו בני חורין ושווים בערכם ובזכויותיהם כולם חוננו בתבונה ובמצפון לפיכך חובה עליהם לנהוג איש ברעהו ברוח של אחוה",
+    "Other": "የሰው ልጅ ሁሉ ሲወለድ ነጻና በክብርና በመብትም እኩልነት ያለው ነው የተፈጥሮ ማስተዋልና ሕሊና ስላለው አንዱ ሌላውን በወንድማማችነት መንፈስ መመልከት ይገባዋል",
+}
+
+
+def test_bands_tell_junk_from_prose():
+    rng = random.Random(11)
+    prose = {k: " ".join(rng.choices(t.split(), k=90)) for k, t in PROSE.items()}
+    junk = {
+        "base64": " ".join(base64.b64encode(rng.randbytes(30)).decode() for _ in range(100)),
+        "hex": " ".join(rng.randbytes(20).hex() for _ in range(100)),
+        "mojibake": prose["Cyrillic"].encode().decode("latin-1").replace("\x85", "?"),
+        "mojibake 2": prose["Greek"].encode().decode("latin-1").replace("\x85", "?"),
+        "noise": " ".join("".join(rng.choices("ᚠᚡᚁᐃ", k=6)) for _ in range(90)),
+        "more noise": " ".join("".join(chr(rng.randrange(0x10000, 0x10300)) for _ in range(6)) for _ in range(90)),
+    }
+    vocabulary = fertility.word_tokens(MODEL)
+    verdict = lambda t: {k: v[0] for k, v in zip(fertility.COLUMNS, fertility.measure([t], vocabulary), strict=True)}
+    for script, t in prose.items():
+        assert (verdict(t)["script"], verdict(t)["reason"]) == (script, None), verdict(t)
+    for name, t in junk.items():
+        assert verdict(t)["reason"] in ("chars_per_token", "byte_share", "token_entropy"), (name, verdict(t))
+    assert all(b.byte_share < 1 for b in fertility.BANDS.values())

@@ -14,10 +14,11 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.llm._common import SLICE_BYTES, held, slices, stored, without_gc
@@ -31,8 +32,10 @@ SEED = 11
 HUB_SHARE = 2_000
 #: Members of a block in the verification of all pairs.
 BLOCK = 256
-#: Rows of wanted ids up to which they are broadcast to where the texts are read (under 100 MB).
-MAX_BROADCAST_IDS = 1_000_000
+#: Bytes up to which a table of counted rows is broadcast.
+MAX_BROADCAST_BYTES = 32_000_000
+#: Rows of one key from which they aren't sent to one task.
+HOT_ROWS = 4_096
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[*range(9, 14), 32]] = True
@@ -150,69 +153,128 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def fits(df: DataFrame, most: int | None = None) -> bool:
+    """Whether df, counted, surely stays under MAX_BROADCAST_BYTES (or most) as a broadcast table; its columns must be numbers or short keys."""
+    return df.count() * (64 + 24 * len(df.columns)) <= (MAX_BROADCAST_BYTES if most is None else most)
+
+
+def join_spread(rows: DataFrame, values: DataFrame, by: str, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with values, which has one row for each key.
+
+    hot lists the keys of more than HOT_ROWS rows; there are few, so their values are broadcast
+    and their rows stay where they are instead of meeting in one task. Beyond the size of a
+    broadcast table all go by a plain join, whose large partitions adaptive execution splits.
+    """
+    keys = stored(hot.select(by).distinct(), "dedup-hot")
+    if keys.isEmpty() or not fits(keys):
+        return rows.join(values, by, how)
+    few = F.broadcast(keys)
+    theirs = stored(values.join(few, by, "left_semi"), "dedup-hot")
+    return rows.join(few, by, "left_semi").join(F.broadcast(theirs), by, how).unionByName(rows.join(few, by, "left_anti").join(values, by, how))
+
+
+def mark_of(text: Column) -> Column:
+    """16 bytes that stand for a whole text (null as empty)."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def signatures(df: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, n_shingles, digest of the set, keys of the bands); no keys for an empty set."""
+    """(doc_id, mark of the text, n_shingles, digest of the set, keys of the bands); no keys for an empty set."""
 
     @without_gc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, rows=5_000):
-            sets = shingle_sets(batch.column(1).to_pylist(), words)
+        for batch in slices(batches, 2, rows=5_000):
+            sets = shingle_sets(batch.column(2).to_pylist(), words)
             some = [s for s in sets if len(s)]
             keys = band_keys(np.stack([signature(s) for s in some])) if some else np.empty((0, BANDS), np.int64)
             offsets = np.concatenate([[0], np.cumsum([BANDS if len(s) else 0 for s in sets])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel(), pa.int64()))],
-                ["doc_id", "n_shingles", "digest", "keys"],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel(), pa.int64()))],
+                ["doc_id", "mark", "n_shingles", "digest", "keys"],
             )
 
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return stored(rows.mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>"), "dedup-signatures")
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), mark_of(F.col(text_col)).alias("mark"), F.col(text_col).alias("text"))
+    return stored(rows.mapInArrow(run, "doc_id long, mark binary, n_shingles long, digest binary, keys array<long>"), "dedup-signatures")
 
 
-def _texts_of(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """wanted (with a column node) with the text of each node: wanted is broadcast while it is small, else joined."""
-    small = wanted.count() <= MAX_BROADCAST_IDS
-    docs = df.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("text"))
-    return docs.join(F.broadcast(wanted) if small else wanted, "node")
+def number_sets(sig: DataFrame) -> DataFrame:
+    """(node, id, mark, digest, n, copies) of every distinct set that isn't empty.
 
-
-def verify_hubs(df: DataFrame, pairs: DataFrame, percent: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    id and mark are those of its first document (smallest id, null last, then smallest mark);
+    nodes count the sets from 0 in the order of these, so a smaller node never has a larger id.
+    Sets are dealt out by range and numbered from the sizes of the partitions before.
+    """
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "mark"))
+    sets = stored(sig.filter("n_shingles > 0").groupBy("digest").agg(least.alias("least"), F.first("n_shingles").alias("n"), F.count("*").alias("copies")), "dedup-sets")
+    order = ["none", "id", "mark", "digest"]
+    dealt = sets.select("least.*", "digest", "n", "copies").repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = stored(dealt.select("id", "mark", "digest", "n", "copies", F.spark_partition_id().alias("part"), place.alias("place")), "dedup-places")
+    before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = dealt.groupBy("part").agg(F.count("*").alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))  # one row per partition
+    return stored(dealt.join(F.broadcast(bases), "part").select((F.col("base") + F.col("place")).alias("node"), "id", "mark", "digest", "n", "copies"), "dedup-numbered")
+
+
+class Texts:
+    """Where the text of a node is read: rows of df by id and mark of the text (or by id alone, if nodes are ids)."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, sets: DataFrame | None = None, repeated: bool = False):
+        self.docs = df.select(F.col(id_col).cast("long").alias("own_id"), F.col(text_col).alias("text"))
+        self.sets, self.repeated = sets, repeated
+
+    def of(self, wanted: DataFrame) -> DataFrame:
+        """wanted (a column node and others) with the text of each node: wanted is broadcast while it is small, else joined."""
+        columns = wanted.columns
+        wanted = stored(wanted if self.sets is None else wanted.join(self.sets.select("node", "id", "mark"), "node"), "dedup-wanted")
+        if self.sets is None:
+            on, docs = F.col("node") == F.col("own_id"), self.docs
+        else:
+            on = F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_mark") == F.col("mark"))
+            docs = self.docs.withColumn("own_mark", mark_of(F.col("text")))
+        rows = docs.join(F.broadcast(wanted) if fits(wanted) else wanted, on).select(*columns, "text")
+        return rows.dropDuplicates(columns) if self.repeated else rows
+
+
+def verify_hubs(texts: Texts, pairs: DataFrame, percent: int, words: int) -> DataFrame:
     """(a, b) of those pairs (node, hub) that are similar enough. A hub with many members is met in several tasks."""
-    shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / HUB_SHARE).alias("shares"))
-    members = pairs.join(shares, "hub").select("node", "hub", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"), F.lit(1).alias("rank"))
+    counts = stored(pairs.groupBy("hub").agg(F.count("*").alias("members")), "dedup-shares")
+    shares = counts.select("hub", F.ceil(F.col("members") / HUB_SHARE).alias("shares"))
+    members = join_spread(pairs, shares, "hub", counts.filter(F.col("members") > HOT_ROWS)).select("node", "hub", F.pmod(F.xxhash64("node"), F.col("shares")).alias("share"), F.lit(1).alias("rank"))
     hubs = shares.select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"), F.lit(0).alias("rank"))
-    wanted = stored(members.unionByName(hubs), "dedup-pairs")
-    rows = _texts_of(df, wanted, id_col, text_col).repartition("hub", "share").sortWithinPartitions("hub", "share", "rank").select("node", "hub", "share", "rank", "text")
+    rows = texts.of(members.unionByName(hubs)).repartition("hub", "share").sortWithinPartitions("hub", "share", "rank").select("node", "hub", "share", "rank", "text")
 
     @without_gc
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, center = None, []
+        current, center = None, None
         for batch in slices(batches, 4, rows=5_000):
             sets, links = shingle_sets(batch.column(4).to_pylist(), words), []
             for node, hub, share, rank, own in zip(*(batch.column(k).to_pylist() for k in range(4)), sets, strict=True):
                 if (hub, share) != current:
-                    current, center = (hub, share), []
+                    current, center = (hub, share), None
                 if rank == 0:
-                    center.append(own)
-                elif any(similar(own, c, percent) for c in center):
+                    center = own
+                elif center is not None and similar(own, center, percent):
                     links.append((node, hub))
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     return rows.mapInArrow(run, "a long, b long")
 
 
-def verify_blocks(df: DataFrame, members: DataFrame, percent: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def verify_blocks(texts: Texts | DataFrame, members: DataFrame, percent: int, words: int) -> DataFrame:
     """(a, b): links that join all nodes of a bucket that are connected by similar pairs in it; members are (key, node, label).
 
     Large buckets are cut into blocks by a hash, and every pair of blocks is a group of its own,
-    so a group holds a few hundred documents. Of the pairs found, those between nodes that
-    others (or equal labels) already join are left out.
+    so a group holds a few hundred documents; members of a large bucket don't meet in one task
+    before that. Of the pairs found, those between nodes that others (or equal labels) already
+    join are left out. For a DataFrame in place of Texts nodes are its doc_id.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    own = members.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
+    texts = texts if isinstance(texts, Texts) else Texts(texts, "doc_id", "text")
+    counts = stored(members.groupBy("key").agg(F.count("*").alias("members")), "dedup-sizes")
+    sizes = counts.select("key", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    own = join_spread(members, sizes, "key", counts.filter(F.col("members") > HOT_ROWS)).withColumn("block", F.pmod(F.xxhash64("node", "key"), F.col("blocks")))
     own = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    wanted = stored(own.select("node", "label", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi")), "dedup-blocks")
-    rows = _texts_of(df, wanted, id_col, text_col).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("node", "label", "key", "lo", "hi", "text")
+    wanted = own.select("node", "label", "key", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    rows = texts.of(wanted).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node").select("node", "label", "key", "lo", "hi", "text")
 
     def links_of(group: list[tuple[int, int, np.ndarray]]) -> list[tuple[int, int]]:
         top: dict[int, int] = {}
@@ -271,67 +333,115 @@ def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of the links (a, b) reaches.
 
     Labels move along links and then jump to their label's label, until none changes; every
-    round is written to the shared folder.
+    round is written to the shared folder. Neither the links of one node nor the nodes of one
+    label meet in one task.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
     both = stored(both.distinct(), "dedup-links")
+    centers = stored(both.groupBy("b").agg(F.count("*").alias("links")).filter(F.col("links") > HOT_ROWS), "dedup-centers")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "dedup-labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        moved = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = join_spread(both, labels.select(F.col("node").alias("b"), F.col("label").alias("near")), "b", centers).groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+        moved = stored(labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "dedup-moved")
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = stored(moved.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "dedup-labels")
+        common = moved.groupBy("label").agg(F.count("*").alias("nodes")).filter(F.col("nodes") > HOT_ROWS)
+        new = stored(join_spread(moved, jump, "label", common, "left").select("node", "old", F.least("label", F.coalesce("far", "label")).alias("label")), "dedup-labels")
         labels = new.select("node", "label")
         if new.filter("old <> label").isEmpty():
             return labels
 
 
-def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every document.
+@dataclass
+class Found:
+    """Signatures by row, sets with their component, and whether any row (id and text) occurs twice."""
 
-    Documents are linked if 100 * intersection >= percent * union of their sets of distinct
-    shingles of that many words; component_id is the smallest id that links reach, kept whether
-    it is the document's own. Texts without words (null, empty) are linked with nothing. Rows
-    that share an id are one node of the links, each with its own text's component. Rows without an id join the component of their copies
-    but link none; without copies that have an id their component is null and they are kept.
-    One row per input row; an empty table gives an empty result; other columns are ignored.
-    """
+    sig: DataFrame
+    sets: DataFrame
+    repeated: DataFrame
+
+
+def find_components(df: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> Found:
+    """Sets are (node, id, mark, digest, copies, label, component_id): label is the least node reached, component_id its id."""
     sig = signatures(df, words, id_col, text_col)
-    classes = stored(sig.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n")), "dedup-classes")
-    only = sig.select(F.col("doc_id").alias("node"), "digest", "keys").join(classes, ["node", "digest"]).dropDuplicates(["node", "digest"])
+    repeated = stored(sig.groupBy("doc_id", "mark").agg(F.count("*").alias("times")).filter("times > 1"), "dedup-repeated")
+    twice = not repeated.isEmpty()
+    sets = number_sets(sig)
+    texts = Texts(df, id_col, text_col, sets, twice)
+    once = sig.select("doc_id", "mark", "digest", "keys")
+    once = once.dropDuplicates(["doc_id", "mark"]) if twice else once
+    firsts = sets.select("node", "n", "id", "mark", "digest")
+    only = once.join(firsts, (once.digest == firsts.digest) & (once.mark == firsts.mark) & once.doc_id.eqNullSafe(firsts.id))
     bands = stored(only.select("node", "n", F.explode("keys").alias("key")), "dedup-bands")
 
-    many = bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    buckets = stored(bands.join(many, "key"), "dedup-buckets")
+    many = stored(bands.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), "dedup-many")
+    hot = many.filter(F.col("members") > HOT_ROWS)
+    buckets = stored(join_spread(bands, many, "key", hot), "dedup-buckets")
     weight = buckets.groupBy("node").agg(F.sum("members").alias("weight"))
     hubs = buckets.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("minus"), F.col("node").alias("hub"), F.col("n").alias("hub_n"))).alias("best")).select("key", "best.hub", "best.hub_n")
     near = (F.col("node") != F.col("hub")) & (100 * F.least("n", "hub_n") >= percent * F.greatest("n", "hub_n"))
-    pairs = stored(buckets.join(hubs, "key").filter(near).select("node", "hub").distinct(), "dedup-hubs")
-    links = stored(verify_hubs(df, pairs, percent, words, id_col, text_col), "dedup-links")
+    pairs = stored(join_spread(buckets, hubs, "key", hot).filter(near).select("node", "hub").distinct(), "dedup-hubs")
+    links = stored(verify_hubs(texts, pairs, percent, words), "dedup-links")
     labels = components(links)
 
     # buckets of three and more that hubs left in several components: all their pairs, in blocks
     placed = buckets.filter("members > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
     open_ = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.expr("bit_xor(xxhash64(node, 7))").alias("mix")).filter("lo <> hi")
     open_ = open_.groupBy("size", "sum", "mix").agg(F.min("key").alias("key")).select("key")  # equal buckets once
-    left = stored(placed.join(open_, "key").select("key", "node", "label"), "dedup-open")
+    left = stored(join_spread(placed, open_, "key", hot).select("key", "node", "label"), "dedup-open")
     if not left.isEmpty():
-        more = verify_blocks(df, left, percent, words, id_col, text_col)
+        more = verify_blocks(texts, left, percent, words)
         labels = components(stored(links.unionByName(more), "dedup-links"))
 
-    named = stored(classes.join(labels, "node", "left").select("digest", F.coalesce("label", "node").alias("component_id")), "dedup-named")
-    out = sig.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    named = sets.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    roots = sets.select(F.col("node").alias("label"), F.col("id").alias("component_id"))
+    sizes = named.groupBy("label").agg(F.count("*").alias("sets")).filter(F.col("sets") > HOT_ROWS)
+    return Found(sig, stored(join_spread(named, roots, "label", sizes), "dedup-named"), repeated)
+
+
+def near_duplicates(df: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of every document.
+
+    Documents are linked if 100 * intersection >= percent * union of their sets of distinct
+    shingles of that many words; component_id is the smallest id that links reach, kept whether
+    it is the document's own. Texts without words (null, empty) are linked with nothing. Rows
+    that share an id are documents of their own, each with its text's component. Rows without
+    an id are linked like others; their component has an id only if a row with one is in it
+    (else null, and they are kept). One row per input row; an empty table gives an empty result;
+    other columns are ignored.
+    """
+    found = find_components(df, percent, words, id_col, text_col)
+    named = found.sets.select("digest", "component_id", "copies")
+    out = join_spread(found.sig.select("doc_id", "n_shingles", "digest"), named.drop("copies"), "digest", named.filter(F.col("copies") > HOT_ROWS), "left")
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one_of_each(df: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, without near duplicates: of each component the document with the smallest id, once."""
-    found = stored(near_duplicates(df, percent, words, id_col, text_col), "dedup-result")
-    gone = found.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    small = gone.count() <= MAX_BROADCAST_IDS
-    rows = df.join(F.broadcast(gone) if small else gone, F.col(id_col).cast("long") == F.col("gone"), "left_anti")
-    if not found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        rows = rows.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(rows.filter(F.col(id_col).isNull()))
-    return rows
-
+    """The rows of df, all columns, without near duplicates: of each component the document with the smallest id stays, once.
+
+    A document is an id with a text: rows of one id with unlike texts are documents of their
+    own and stay; of those of one id in one component the one of the least digest of its text
+    stays. Of rows with the same id and the same text (null and empty too) the first by the
+    other columns, as JSON, stays. Rows without an id come last in their component; texts
+    without words are linked with nothing and stay. An empty table gives an empty one; columns
+    may have any names.
+    """
+    found = find_components(df, percent, words, id_col, text_col)
+    sets = found.sets.filter("copies > 1 or node <> label").select("digest", "copies", F.col("id").alias("first_id"), F.col("mark").alias("first_mark"), (F.col("node") == F.col("label")).alias("root"))
+    rows = join_spread(found.sig.select("doc_id", "mark", "digest"), sets.drop("copies"), "digest", sets.filter(F.col("copies") > HOT_ROWS))
+    first = F.col("root") & F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark"))
+    gone = stored(rows.filter(~first).select("doc_id", "mark").distinct(), "dedup-gone")
+
+    # names of df can't clash with these
+    named = df.select(*[F.struct(F.col(c)).alias(f"own{k}") for k, c in enumerate(df.columns)], F.col(id_col).cast("long").alias("key_id"), mark_of(F.col(text_col)).alias("key_mark"))
+
+    def same(other: DataFrame) -> Column:
+        return F.col("key_id").eqNullSafe(other.doc_id) & (F.col("key_mark") == other.mark)
+
+    rows = named.join(F.broadcast(gone) if fits(gone) else gone, same(gone), "left_anti")
+    if not found.repeated.isEmpty():
+        few = F.broadcast(found.repeated) if fits(found.repeated) else found.repeated
+        own = F.struct(*named.columns)
+        one = rows.join(few, same(found.repeated), "left_semi").groupBy("key_id", "key_mark").agg(F.min_by(own, F.to_json(F.struct(*[c for c in named.columns if c.startswith("own")]))).alias("row")).select("row.*")
+        rows = rows.join(few, same(found.repeated), "left_anti").unionByName(one)
+    return rows.select(*[F.col(f"own{k}")[c].alias(c) for k, c in enumerate(df.columns)])

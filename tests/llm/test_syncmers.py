@@ -1,12 +1,12 @@
 import hashlib
+import random
 import re
 import struct
-from collections import Counter
 
 import xxhash
 
 from waymark.llm import queries, syncmers
-from waymark.llm.syncmers import KEPT, K, S
+from waymark.llm.syncmers import K, S
 
 
 def xx(*values):
@@ -17,26 +17,27 @@ def xx(*values):
     return seed - 2**64 if seed >= 2**63 else seed
 
 
+def words_of(text):
+    out = []
+    for run in re.findall(r"[^\x20\x09-\x0d]+", text):
+        out += [run] if len(run) <= syncmers.WORD_CHARS else list(run)
+    return out
+
+
 def anchors(text):
-    if re.search(r"[^\x20\x09-\x0d]{%d}" % (syncmers.WORD_CHARS + 1), text):
-        words = re.findall(r"[^\x20\x09-\x0d]{1,%d}" % syncmers.WORD_CHARS, text)
-    else:
-        words = re.findall(r"[^\x20\x09-\x0d]+", text)
-    w = [xx(x) for x in words]
+    w = [xx(x) for x in words_of(text)]
     if not w:
         return []
-    if len(w) < K:
-        h = 0
-        for x in w:
-            h = xx(h, x)
-        return [(h, 0)]
+    h = 0
+    for x in w:
+        h = xx(h, x)
     r = [xx(a, b) for a, b in zip(w, w[1:])]
     first = {}
     for i in range(len(w) - K + 1):
         inner = r[i : i + K - S + 1]
         if min(inner) in (inner[0], inner[-1]):
             first.setdefault(xx(*r[i : i + K - 1 : S]), i)
-    return sorted(first.items())[:KEPT]
+    return sorted(first.items()) or [(h, 0)]
 
 
 def likeness(a, b):
@@ -44,10 +45,11 @@ def likeness(a, b):
         return 1.0
     if not a or not b:
         return 0.0
-    limit = min([x[-1][0] for x in (a, b) if len(x) == KEPT], default=2**63)
-    a, b = ({h: p for h, p in x if h <= limit} for x in (a, b))
-    shifts = Counter(b[h] - p for h, p in a.items() if h in b)
-    return max(shifts.values()) / (len(a) + len(b) - sum(shifts.values())) if shifts else 0.0
+    there = dict(b)
+    shifts = [there[h] - p for h, p in sorted(a, key=lambda x: x[1]) if h in there]
+    near = [None, *shifts, None]
+    chained = sum(x in (near[k], near[k + 2]) for k, x in enumerate(shifts))
+    return max(chained, 1) / (len(a) + len(b) - len(shifts)) if shifts else 0.0
 
 
 def shown(a):
@@ -101,10 +103,17 @@ def test_long_texts_keep_all_anchors(spark):
     assert near[1] == near[2] == len(got[1]) / len(got[2])
 
 
+def whole(text):
+    h = 0
+    for x in text.split():
+        h = xx(h, xx(x))
+    return h
+
+
 def test_texts_without_syncmers(spark):
     """Of texts of K to K + 2 words, those without a closed syncmer have the hash of all words."""
     texts = [" ".join(f"{a}{k}" for k in range(n)) for a in "abcdefghijklmnopqrstuvwxyz" for n in (K, K + 1, K + 2)]
-    bare = [t for t in texts if not anchors(t)]
+    bare = [t for t in texts if len(anchors(t)) == 1 and anchors(t)[0][0] == whole(t)]
     assert len(bare) > 3
     df = spark.createDataFrame([*enumerate(texts), (-1, " "), (-2, "")], "doc_id long, text string")
     got = {r.doc_id: r for r in syncmers.fingerprints(df).collect()}
@@ -112,9 +121,30 @@ def test_texts_without_syncmers(spark):
     assert all(got[k].fingerprint for k in range(len(texts)))
     for k, t in enumerate(texts):
         if t in bare:
-            h = 0
-            for x in t.split():
-                h = xx(h, xx(x))
-            assert [tuple(a) for a in got[k].anchors] == [(h, 0)]
+            assert [tuple(a) for a in got[k].anchors] == [(whole(t), 0)]
     pair = spark.createDataFrame([(1, bare[0]), (2, bare[1])], "doc_id long, text string")
     assert [r.near_next for r in syncmers.compare_edited(pair).collect()] == [0.0, 0.0]
+
+
+def test_short_unrelated_texts_differ(spark):
+    """Of random texts of six to eight words no two are alike, and none is like its edited text unless that is the same."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.choice([6, 7, 8])))) for k in range(300)]
+    got = syncmers.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r.fingerprint for r in got)
+    assert [r.doc_id for r in got if r.near_next > 0] == []
+    texts = dict(rows)
+    assert [r.doc_id for r in got if r.near_edited == 1 and r.edited_sha256 != hashlib.sha256(texts[r.doc_id].encode()).hexdigest()] == []
+
+
+def test_copies_with_insertions(spark):
+    """A character put into a text without white space, or words into prose, changes only the anchors there."""
+    rng = random.Random(7)
+    signs = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000))
+    prose = [f"w{rng.randrange(3000)}" for _ in range(1500)]
+    edited = prose[:300] + ["new", "words"] + prose[300:900] + prose[910:]
+    link = "http://example.org/" + "".join(rng.choice("abcdefgh/") for _ in range(80))
+    rows = [(6, signs), (5, signs[:3] + "\u4e00" + signs[3:]), (4, " ".join(prose)), (3, " ".join(edited)), (2, " ".join([*prose[:50], link, *prose[50:]])), (1, " ".join([*prose[:50], link + "x", *prose[50:]]))]
+    got = {r.doc_id: r for r in syncmers.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[6].near_next > 0.98 and got[4].near_next > 0.95 and got[2].near_next > 0.95
+    assert got[5].near_next == 0 and len(got[6].fingerprint.split()) > 500

@@ -4,7 +4,8 @@ Of a text's windows of K words those are anchors whose smallest inner run of S w
 hash) stands first or last. Whether a window is one depends on its own words alone, so an
 edit moves or changes only the anchors that touch it. A fingerprint keeps all anchors with
 their places, about two of five windows; two fingerprints are compared by the anchors they
-share at one and the same shift.
+share in chains of one shift. In long runs without white space, as in scripts that write
+none, every character is a word.
 """
 
 from __future__ import annotations
@@ -16,9 +17,7 @@ from waymark.llm._common import stored
 
 #: Words of a window, and of the inner runs whose smallest decides (runs of two words, windows of a whole number of them).
 K, S = 6, 2
-#: Anchors that a fingerprint keeps: all.
-KEPT = None
-#: Longest word; longer runs without white space (such as texts that use none) are cut into words of that length.
+#: Longest word; of longer runs without white space (such as texts that use none) every character is a word.
 WORD_CHARS = 24
 #: Document ids of a group that looks up its next documents together: 2 ** GROUP_BITS; then the bits of each level above.
 GROUP_BITS, LEVEL_BITS = 8, (28, 44)
@@ -29,8 +28,9 @@ _LEAST = -(2**63)
 
 
 def words_of(text: str) -> str:
-    """SQL of a text's words: runs without white space, cut at WORD_CHARS."""
-    return f"if({text} rlike '[^\\\\s]{{{WORD_CHARS + 1}}}', regexp_extract_all({text}, '[^\\\\s]{{1,{WORD_CHARS}}}', 0), filter(split({text}, '\\\\s+'), w -> w <> ''))"
+    """SQL of a text's words: runs without white space, those longer than WORD_CHARS as single characters."""
+    word = f"(?<!\\\\S)\\\\S{{1,{WORD_CHARS}}}(?!\\\\S)|\\\\S"  # within a longer run the first form fits nowhere
+    return f"if({text} rlike '\\\\S{{{WORD_CHARS + 1}}}', regexp_extract_all({text}, '{word}', 0), filter(split({text}, '\\\\s+'), w -> w <> ''))"
 
 
 def anchors_of(text: str) -> str:
@@ -61,19 +61,21 @@ def fingerprint_text(anchors: str) -> str:
 def likeness(a: str, b: str) -> str:
     """SQL of the likeness of two arrays of anchors, 0 to 1.
 
-    Of the shared anchors those at the most frequent shift count, over all that either holds.
-    Equal fingerprints are 1, one without anchors against another 0. Both arrays are merged by
-    hash and the shifts sorted, so the work is n log n in the anchors.
+    Of the shared anchors, in the order of their places in a, those count whose shift is that of
+    the one before or after (one of them, if none is), over all anchors that either holds: what
+    was inserted or cut out splits a copy into chains, each with a shift of its own. Equal
+    fingerprints are 1 (a text with words has one that isn't empty), one without anchors against
+    another 0. Both arrays are merged by hash and the shared ones sorted by place, so the work is
+    n log n in the anchors.
     """
     sided = lambda x, k: f"transform({x}, e -> struct(e.h as h, {k} as k, e.p as p))"
     # a hash stands once in each array, so equal neighbours are one of either
-    shared = "transform(filter(sequence(0, size(m) - 2), i -> m[i].h = m[i + 1].h), i -> m[i + 1].p - m[i].p)"
-    starts = "filter(sequence(0, size(d) - 1), i -> i = 0 or d[greatest(i - 1, 0)] <> d[i])"
-    most = f"transform(array({starts}), q -> array_max(transform(q, (x, i) -> if(i + 1 < size(q), q[least(i + 1, size(q) - 1)], size(d)) - x)))[0]"
+    shared = "transform(filter(sequence(0, size(m) - 2), i -> m[i].h = m[i + 1].h), i -> struct(m[i].p as p, m[i + 1].p - m[i].p as d))"
+    chained = "size(filter(s, (x, i) -> (i > 0 and s[greatest(i - 1, 0)].d = x.d) or (i + 1 < size(s) and s[least(i + 1, size(s) - 1)].d = x.d)))"
     return (
         f"case when {a} = {b} then 1D when size({a}) = 0 or size({b}) = 0 then 0D else "
-        f"transform(array(sort_array(concat({sided(a, 0)}, {sided(b, 1)}))), m -> transform(array(sort_array({shared})), d -> "
-        f"if(size(d) = 0, 0D, cast({most} as double) / (size(m) - size(d))))[0])[0] end"
+        f"transform(array(sort_array(concat({sided(a, 0)}, {sided(b, 1)}))), m -> transform(array(sort_array({shared})), s -> "
+        f"if(size(s) = 0, 0D, cast(greatest({chained}, 1) as double) / (size(m) - size(s))))[0])[0] end"
     )
 
 

@@ -33,6 +33,13 @@ def test_ids_equal_the_library(enc, oracle):
         assert enc.decode(ids) == text.encode()
 
 
+def test_long_rows_in_segments(enc, oracle):
+    rng = random.Random(3)
+    words = ["".join(rng.choice(letters) for _ in range(n)) for n in (257, 300, 301, 999, 4000, 20_000) for letters in ("ab", "etaoinshrdlu", "xyzéñ中文", "x")]
+    for text, raw in zip(words, enc.encode(words), strict=True):
+        assert np.concatenate(raw).tolist() == oracle.encode_ordinary(text), text[:20]
+
+
 def test_parts_of_long_texts_keep_ids(enc, oracle):
     text = "Some words, and 12 more.\n " * 300 + "x" * 200
     got = [x for p in chunks.text_parts(text, 100) for a in next(enc.encode([p])) for x in a]

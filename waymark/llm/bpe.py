@@ -3,15 +3,16 @@
 Words that the split pattern finds are made distinct and laid out by
 byte length as rows of integer matrices. In each round every row looks up the ranks of its
 adjacent pairs in a hashed table, merges its leftmost pair of the lowest rank and is
-compacted by one column; rows without a mergeable pair leave the matrix. Decoding gathers
-the tokens' bytes from one flat array.
+compacted by one column; rows without a mergeable pair leave the matrix. Long rows lie in
+matrices of segments: a round looks for the pair among the segments' lowest ranks and then in
+one segment, and a row is compacted when half of it is merged away. Decoding gathers the
+tokens' bytes from one flat array.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -23,8 +24,8 @@ from pyspark.sql import functions as F
 from waymark.llm._common import held, slices, texts, without_gc
 from waymark.llm.chunks import ChunkCodec
 
-#: Rows of more bytes than this are merged by a heap instead: same order of merges, without the square of their length.
-MAX_ROW_BYTES = 256
+#: Rows of more bytes than this lie in matrices of segments: same order of merges, without the square of their length.
+SEGMENTED_FROM = 256
 #: Cells of one matrix.
 MATRIX_CELLS = 400_000
 #: Chunks that a worker's table knows at most, and bytes of one step: small, as a worker shares an executor's memory with the JVM.
@@ -98,7 +99,6 @@ class BytePairEncoder:
         pairs = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         left, right, merged = np.array(pairs, np.int64).reshape(-1, 3).T
         self.table = PairTable(left, right, merged.astype(np.int32))
-        self.of_pair: dict[int, int] = {}
         self.whole = {t: r.to_bytes(4, "little") for t, r in self.ranks.items()} | {b"": b""}
         self.codec = ChunkCodec(self.encode_chunks, "<u4", TABLE_SIZE, STEP_BYTES)
 
@@ -110,18 +110,18 @@ class BytePairEncoder:
         out: list[bytes | None] = [whole(w) for w in words]
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         todo = np.array([i for i, x in enumerate(out) if x is None], np.int64)
-        for i in todo[lengths[todo] > MAX_ROW_BYTES]:
-            out[i] = self._merge_long(words[i])
-        todo = todo[lengths[todo] <= MAX_ROW_BYTES]
         order = todo[np.argsort(lengths[todo], kind="stable")]
         start = 0
         while start < len(order):  # buckets: rows of like length, so that little is padding
             width = int(lengths[order[start]])
             limit = width if width < 24 else width + width // 8
+            if width <= SEGMENTED_FROM:
+                limit = min(limit, SEGMENTED_FROM)
             stop = int(np.searchsorted(lengths[order], limit, side="right"))
             width = int(lengths[order[stop - 1]])
             stop = min(stop, start + max(1, MATRIX_CELLS // width))
-            self._merge_matrix([words[i] for i in order[start:stop]], lengths[order[start:stop]], width, out, order[start:stop])
+            merge = self._merge_matrix if width <= SEGMENTED_FROM else self._merge_segments
+            merge([words[i] for i in order[start:stop]], lengths[order[start:stop]], width, out, order[start:stop])
             start = stop
         return out
 
@@ -161,28 +161,50 @@ class BytePairEncoder:
             last = np.flatnonzero(n - 1 < ranks.shape[1])
             ranks[last, n[last] - 1] = _NO_RANK
 
-    def _merge_long(self, word: bytes) -> bytes:
-        """The same merges for one long row, by a heap of (rank, place)."""
-        if not self.of_pair:
-            live = self.table.values != _NO_RANK
-            self.of_pair = dict(zip(self.table.keys[live].tolist(), self.table.values[live].tolist(), strict=True))
-        ids = self.of_byte[np.frombuffer(word, np.uint8)].tolist()
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := self.of_pair.get((ids[i] << 32) | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else n
-            if j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], after[i] = rank, -1, after[j]
-            if after[i] < n:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0 and after[k] < n and (r := self.of_pair.get((ids[k] << 32) | ids[after[k]])) is not None:
-                    heapq.heappush(heap, (r, k, ids[k], ids[after[k]]))
-        return np.array([x for x in ids if x >= 0], "<u4").tobytes()
+    def _merge_segments(self, words: list[bytes], lengths: np.ndarray, width: int, out: list, rows: np.ndarray) -> None:
+        """The same merges for long rows: a round costs a row the number and the size of its segments."""
+        n = lengths.copy()
+        ids = self.of_byte[np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), np.uint8).reshape(len(words), width)]
+        while len(rows):
+            size = max(8, int(np.sqrt(width)))
+            width = -(-width // size) * size
+            ids = np.pad(ids, ((0, 0), (0, width - ids.shape[1])))
+            ranks = np.full(ids.shape, _NO_RANK, np.int32)
+            ranks[:, :-1] = self.table.find(ids[:, :-1], ids[:, 1:])
+            ranks[np.arange(width)[None, :] + 1 >= n[:, None]] = _NO_RANK
+            segments = ranks.reshape(len(rows), -1, size)
+            lowest = segments.min(axis=2)
+            live = np.arange(width)[None, :] < n[:, None]
+            after = np.broadcast_to(np.arange(1, width + 1), ids.shape).copy()
+            before = np.broadcast_to(np.arange(-1, width - 1), ids.shape).copy()
+            every, end = np.arange(len(rows)), n
+            for _ in range(max(1, width // 2)):  # then what is merged away is dropped
+                k = lowest[every].argmin(axis=1)
+                low = lowest[every, k]
+                every, k, low = every[low != _NO_RANK], k[low != _NO_RANK], low[low != _NO_RANK]
+                if not len(every):
+                    break
+                i = k * size + segments[every, k].argmin(axis=1)
+                j = after[every, i]
+                beyond, ahead = after[every, j], before[every, i]
+                ids[every, i], after[every, i], live[every, j], ranks[every, j] = low, beyond, False, _NO_RANK
+                on = beyond < end[every]
+                before[every[on], beyond[on]] = i[on]
+                ranks[every, i] = _NO_RANK
+                ranks[every[on], i[on]] = self.table.find(low[on], ids[every[on], beyond[on]])
+                off = ahead >= 0
+                ranks[every[off], ahead[off]] = self.table.find(ids[every[off], ahead[off]], low[off])
+                for e, at in ((every, i), (every, j), (every[off], ahead[off])):
+                    lowest[e, at // size] = segments[e, at // size].min(axis=1)
+            more = lowest.min(axis=1) != _NO_RANK
+            for row in np.flatnonzero(~more):
+                out[rows[row]] = ids[row][live[row]].astype("<u4").tobytes()
+            rows, n = rows[more], live[more].sum(axis=1)
+            if len(rows):
+                width = int(n.max())
+                packed = np.zeros((len(rows), width), ids.dtype)
+                packed[np.arange(width)[None, :] < n[:, None]] = ids[more][live[more]]
+                ids = packed
 
     # texts -> ids
 

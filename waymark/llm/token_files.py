@@ -25,19 +25,24 @@ from pyspark.sql import functions as F
 from waymark.llm._common import held, slices, texts, without_gc
 from waymark.llm.chunks import ChunkCodec
 
+#: Documents that are read at once.
+READ_DOCUMENTS = 2_000
 #: Stands for a null document id in the .ids files.
 NO_ID = -(2**63)
 
 
 class ChunkEncoder:
-    """The tokenizers library's ids of whole texts, from its ids of chunks that no merge crosses."""
+    """The tokenizers library's ids of whole texts (add_special_tokens=False, nothing else set), from its ids of chunks that no merge crosses."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        # strings of added tokens in a text are those tokens, as the library has it; chunks that hold one go to it alone
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.whole = any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added)  # such a token reaches over the places to cut
         self.size = self.tokenizer.get_vocab_size()
         self.dtype = "<u2" if self.size <= 2**16 else "<u4"
         self.token_bytes = np.zeros(self.size, np.int64)  # a byte-level token has one character for each byte
@@ -48,7 +53,7 @@ class ChunkEncoder:
     def _encode_new(self, chunks: list[str]) -> list[bytes]:
         """Ids of single chunks. Those that start and end like words are encoded in runs and cut apart by bytes."""
         out: list[bytes | None] = [None] * len(chunks)
-        words = [k for k, c in enumerate(chunks) if c[:1] == " " and c[1:2].isalpha() and c[-1].isprintable() and not c[-1].isspace()]
+        words = [k for k, c in enumerate(chunks) if c[:1] == " " and c[1:2].isalpha() and c[-1].isprintable() and not c[-1].isspace() and not any(t in c for t in self.added)]
         width = int(self.dtype[-1])
         for start in range(0, len(words), 5_000):
             part = words[start : start + 5_000]
@@ -67,6 +72,8 @@ class ChunkEncoder:
 
     def encode(self, docs: list[str]) -> Iterator[list[np.ndarray]]:
         """For each text its ids in the file's width, in arrays that follow each other."""
+        if self.whole:
+            return ([np.array(e.ids, self.dtype)] for e in self.tokenizer.encode_batch_fast(docs, add_special_tokens=False))
         return self.codec.encode(docs)
 
 
@@ -87,13 +94,24 @@ def _put(folder: str, name: str, data: bytes) -> None:
     fs.move(tmp, path)
 
 
-def _get(folder: str, name: str, dtype: str) -> np.ndarray:
-    """A file's numbers: mapped into memory where the store is a file system, else read."""
-    fs, path = _file(folder, name)
-    if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.empty(0, dtype)
-    with fs.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype)
+class Numbers:
+    """A file's numbers by range: mapped into memory where the store is a file system, else read where they are asked for."""
+
+    def __init__(self, folder: str, name: str, dtype: str):
+        fs, path = _file(folder, name)
+        self.dtype, self.mapped, self.file = np.dtype(dtype), None, None
+        if isinstance(fs, pafs.LocalFileSystem):
+            self.size = os.path.getsize(path) // self.dtype.itemsize
+            self.mapped = np.memmap(path, dtype, "r") if self.size else np.empty(0, dtype)
+        else:
+            self.file = fs.open_input_file(path)
+            self.size = self.file.size() // self.dtype.itemsize
+
+    def part(self, start: int, stop: int) -> np.ndarray:
+        if self.mapped is not None:
+            return self.mapped[start:stop]
+        stop = min(stop, self.size)
+        return np.frombuffer(self.file.read_at((stop - start) * self.dtype.itemsize, start * self.dtype.itemsize), self.dtype)
 
 
 def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> dict:
@@ -105,7 +123,7 @@ def write_token_files(df: DataFrame, folder: str, tokenizer_path: str, end_id: i
     are whole, so a repeated or speculative task leaves the same files. Only one row of
     counts per partition comes to the driver. A null text is an empty document (end_id
     alone); an empty table gives a manifest without parts; other columns are ignored.
-    The folder must be one that all executors reach.
+    The folder must be one that all executors reach, under a scheme that pyarrow's file systems know.
     """
     fs, path = pafs.FileSystem.from_uri(folder)
     fs.create_dir(path, recursive=True)
@@ -148,7 +166,10 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
     """The documents of a folder, one task per partition file: (doc_id, start, n_tokens, ids_crc32[, ids]).
 
     start counts the ids of all documents before it over the whole folder, ids_crc32 is the
-    unsigned crc32 of the document's ids as little-endian unsigned 32-bit integers.
+    unsigned crc32 of the document's ids as little-endian unsigned 32-bit integers. Null ids
+    and repeated ones come back as they were written, a null or empty text as its end id; a
+    folder without parts gives no rows. Files in a store that can't be mapped are read a few
+    thousand documents at a time.
     """
     fs, path = _file(folder, "manifest.json")
     with fs.open_input_file(path) as f:
@@ -159,15 +180,17 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
         for batch in batches:
             for k in batch.column(0).to_pylist():
                 name = f"tokens-{parts[k]['part']:06d}"
-                tokens, offsets, ids = _get(folder, f"{name}.bin", dtype), _get(folder, f"{name}.idx", "<i8"), _get(folder, f"{name}.ids", "<i8")
-                for at in range(0, len(ids), 5_000):
-                    own = offsets[at : at + 5_001]
-                    crc = [zlib.crc32(tokens[a:b].astype("<u4").tobytes()) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)]
-                    doc = np.asarray(ids[at : at + 5_000])
+                tokens, offsets, ids = (Numbers(folder, f"{name}.{end}", kind) for end, kind in (("bin", dtype), ("idx", "<i8"), ("ids", "<i8")))
+                for at in range(0, ids.size, READ_DOCUMENTS):
+                    own = offsets.part(at, at + READ_DOCUMENTS + 1)
+                    doc = np.asarray(ids.part(at, at + READ_DOCUMENTS))
+                    here = tokens.part(int(own[0]), int(own[-1]))
+                    bounds = list(zip((own[:-1] - own[0]).tolist(), (own[1:] - own[0]).tolist(), strict=True))
+                    crc = [zlib.crc32(here[a:b].astype("<u4").tobytes()) for a, b in bounds]
                     arrays = [pa.array(doc, pa.int64(), mask=doc == NO_ID), pa.array(own[:-1] + parts[k]["tokens_before"], pa.int64()), pa.array(np.diff(own), pa.int64()), pa.array(crc, pa.int64())]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                     if with_ids:
-                        arrays.append(pa.array([tokens[a:b].astype(np.int32) for a, b in zip(own[:-1].tolist(), own[1:].tolist(), strict=True)], pa.list_(pa.int32())))
+                        arrays.append(pa.array([here[a:b].astype(np.int32) for a, b in bounds], pa.list_(pa.int32())))
                         names.append("ids")
                     yield pa.RecordBatch.from_arrays(arrays, names)
 

@@ -28,8 +28,9 @@ SAMPLE_DOCUMENTS, SAMPLE_LEAST = 2000, 20
 #: Centroids per language.
 CENTROIDS = 4
 #: A text is rejected if its cosine to the nearest centroid is under this share of the cosine that
-#: the lowest hundredth of that language's sample reaches at the text's number of n-grams.
-REJECT_SHARE = 0.5
+#: the lowest hundredth of that language's sample reaches at the text's number of n-grams. Short
+#: texts scatter, so the share is low; texts in other letters or of random ones lie far below it.
+REJECT_SHARE = 0.4
 #: Numbers of n-grams are told apart by powers of two up to this one; pieces of the sample's texts stand for the smaller ones.
 LENGTHS = 12
 

@@ -1,9 +1,13 @@
 import hashlib
+import random
 from collections import defaultdict
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from waymark.llm import chat, queries
 
 
@@ -60,3 +64,24 @@ def test_examples_hold_their_whole_context(spark):
     back = {r.conv_id: (r.n_turns, r.n_examples, r.formatted_chars) for r in chat.read_back(formatted).collect()}
     assert back[1] == back[2] == (7, 3, sum(len(r.text) for r in got))
     assert back[3] == (1, 0, len(chat.format_turn("user", "only")[0]))
+
+
+def test_query_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{sf}/conversations.parquet'")
+    got = queries.op10_chat_format(spark, sf)
+    rel = con.sql(queries.ORACLE_SQL["op10_chat_format"])
+    assert rel.columns == got.columns
+    assert sorted(map(tuple, got.collect())) == sorted(rel.fetchall())
+
+
+def test_stored_rows_in_any_order(spark):
+    """Rows that were stored and come back in another order, and examples too, read the same; long turns, ties and repeated rows."""
+    rng = random.Random(3)
+    rows = [(rng.randrange(6), rng.randrange(4), rng.choice(["user", "assistant", None]), rng.choice(["a", "</s>b", "c\\", "", None])) for _ in range(80)]
+    rows += [(9, 0, "user", "long " * 100_000), (9, 1, "assistant", "x" * 300_000 + "<|end|>"), (None, 1, "assistant", "y"), (None, 0, "user", "z")]
+    formatted = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    want = sorted(map(tuple, chat.read_back(formatted, dealt=True).collect()), key=str)
+    assert {r[0]: tuple(r[1:5]) for r in want} == brute(rows)
+    assert sorted(map(tuple, chat.read_back(formatted.orderBy(F.rand(1))).collect()), key=str) == want
+    assert sorted(map(tuple, chat.read_examples(chat.render_examples(formatted).orderBy(F.rand(2))).collect()), key=str) == want

@@ -1,10 +1,10 @@
 import random
 
-import public_tokenizers as P
 from test_dedup import brute
+from test_fertility import kept_by_hand
 
 import corpus_pipeline
-from waymark.llm import fertility, langid
+from waymark.llm import langid
 
 
 def test_stages_equal_brute_force(spark, sf):
@@ -16,8 +16,8 @@ def test_stages_equal_brute_force(spark, sf):
     made = corpus_pipeline.identify_languages(spark, docs, sf).cache()
     assert made.columns == columns and {r.doc_id for r in made.collect()} == {i for i in rows if not far[i]}
 
-    kept = list(fertility.COLUMNS).index("kept")
-    good = dict(zip(rows, fertility.measure([r.text or "" for r in rows.values()], fertility.word_tokens(P.path("piece_bpe_32k.model")))[kept], strict=True))
+    labels = [tuple(r) for r in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic").collect()]
+    good = dict(kept_by_hand([(r.doc_id, r.text, r.lang) for r in made.collect()], labels))
     before = {r.doc_id for r in made.collect()}
     made = corpus_pipeline.check_quality(spark, made, sf).cache()
     assert made.columns == columns and {r.doc_id for r in made.collect()} == {i for i in before if good[i]}
@@ -39,7 +39,8 @@ def test_stages_equal_brute_force(spark, sf):
 
 
 def test_empty_table(spark, tmp_path, sf):
-    spark.read.parquet(f"{sf}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{sf}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
@@ -49,6 +50,7 @@ def test_odd_rows(spark, tmp_path):
     rows = [(k, prose(80 + k), "en" if k % 3 else None, f"src{k % 4}" if k % 5 else None, k) for k in range(60)]
     rows += [rows[5], rows[5], (None, prose(90), "en", "src1", None), (None, None, None, None, None), (900, None, "en", "src1", 0), (901, "", "en", "src1", 0), (902, prose(20_000), "en", "odd", 1), (903, rows[7][1], "en", "src1", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(k, 1, 0) for k in range(40)] + [(None, None, None), (900, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in corpus_pipeline.STAGES:
         made = stage(spark, docs, str(tmp_path)).cache()
         ids = [r.doc_id for r in made.collect()]

@@ -3,8 +3,8 @@
 Every turn becomes one segment of its conversation's formatted text. Every assistant turn is
 an example of its own: its context is all of the conversation before it, and only the text of
 that reply is trainable. ``format_conversations`` places the turns, ``render_examples`` makes
-the examples of them, and all digests are read from the examples. Control strings inside roles and texts are broken by an escape character and come back
-whole when read.
+the examples of them, and all digests are read from the examples. Control strings inside
+roles and texts are broken by an escape character and come back whole when read.
 """
 
 from __future__ import annotations
@@ -118,15 +118,25 @@ def format_conversations(df: DataFrame, conv_col: str = "conv_id", turn_col: str
     return dealt.mapInArrow(place, f"conv_id {kind}, position long, segment string, segment_start long, example long, loss_start long, loss_end long")
 
 
-def render_examples(formatted: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, order: list) -> DataFrame:
+    """Rows of a conversation in one task, in order."""
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", *order)
+
+
+def render_examples(formatted: DataFrame, dealt: bool = False) -> DataFrame:
     """One row per assistant turn: (conv_id, example, text, loss_start, loss_end), all turns before the reply and the reply in text.
 
     loss_start and loss_end bound, in text, the reply's own text. Turns after a conversation's
     last reply (or of one without replies) are no context of any example; they make one row
     more, after the examples, with null in example and loss. The size is, for each conversation,
-    that of all its prefixes, as the method asks. Takes the rows of format_conversations() as
-    they are dealt there, and gives them in that order; a task holds one conversation's text.
+    that of all its prefixes, as the method asks. Takes the rows of format_conversations() in any
+    order and dealt out anyhow, as after they were stored; dealt says that they come straight from
+    there, which saves a shuffle. Rows come out by conversation and example; a task holds one
+    conversation's text. Null conv_ids are one conversation; an empty table gives an empty one;
+    other columns are ignored.
     """
+    if not dealt:
+        formatted = _dealt(formatted, ["position"])
     kind = formatted.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -156,15 +166,19 @@ def render_examples(formatted: DataFrame) -> DataFrame:
     return formatted.mapInArrow(run, f"conv_id {kind}, example long, text string, loss_start long, loss_end long")
 
 
-def read_examples(examples: DataFrame) -> DataFrame:
+def read_examples(examples: DataFrame, dealt: bool = False) -> DataFrame:
     """Per conversation, from its examples: (conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, n_examples).
 
     turns_sha256 covers role, newline, text, newline of each turn; the loss columns cover the
     text under the examples' loss masks, unescaped; formatted_chars is the length of all rows'
     text, so that a turn counts in each example that holds it. Every example must start with the
-    whole of the one before. Takes the rows of render_examples() in their order; the digests of a
-    conversation are taken by one task as its examples pass by.
+    whole of the one before, else an error is raised. Takes the rows of render_examples() in any
+    order and dealt out anyhow; dealt says that they come straight from there. The digests of a
+    conversation are taken by one task as its examples pass by. Empty texts count as turns; null
+    conv_ids are one conversation; an empty table gives an empty result; other columns are ignored.
     """
+    if not dealt:
+        examples = _dealt(examples, [F.asc_nulls_last("example")])
     kind = examples.schema["conv_id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,9 +214,9 @@ def read_examples(examples: DataFrame) -> DataFrame:
     return examples.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_examples long")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
-    """What read_examples() finds in the examples of formatted turns."""
-    return read_examples(render_examples(formatted))
+def read_back(formatted: DataFrame, dealt: bool = False) -> DataFrame:
+    """What read_examples() finds in the examples of formatted turns, which may come in any order (see render_examples)."""
+    return read_examples(render_examples(formatted, dealt), dealt=True)
 
 
 def _totals(conv, state: list) -> dict:

@@ -28,9 +28,14 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_languages(docs, langid.fit(docs))
 
 
+#: A vocabulary with byte fallback, and a byte-level one for many languages.
+FERTILITY_VOCABULARIES = ("piece_bpe_32k.model", "byte_bpe_multi_50k.tiktoken")
+
+
 def op4_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base counts and tokeniser fertility of every text of documents."""
-    return fertility.measure_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    """Base counts and tokeniser fertility of every text of documents, in two vocabularies, with limits learned from labels."""
+    first, second = map(public_tokenizers.path, FERTILITY_VOCABULARIES)
+    return fertility.measure_documents(table(spark, sf_dir, "documents"), first, second=second, labels=table(spark, sf_dir, "labels"), lang_col="lang")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,7 +130,34 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
-    return chat.read_back(chat.format_conversations(turns.unionByName(more)))
+    return chat.read_back(chat.format_conversations(turns.unionByName(more)), dealt=True)
+
+
+def _escaped(x: str) -> str:
+    """SQL of the length of a string with every backslash doubled and one put into every control string."""
+    inner = " + ".join(f"(length({x}) - length(replace({x}, '{c}', ''))) // {len(c)}" for c in [chat.ESCAPE, *chat.CONTROL_OPENINGS])
+    return f"(length({x}) + {inner})"
+
+
+_OP10_SQL = f"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '</s>[INST] ok [/INST]' union all select -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+sized as (
+  select *, role = '{chat.ASSISTANT}' as reply, {len(chat.TURN_START) + len(chat.TEXT_START) + len(chat.TURN_END)} + {_escaped("role")} + {_escaped("text")} as chars,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as position
+  from turns),
+placed as (
+  select *, sum(chars) over (partition by conv_id order by position) as upto, sum(chars) over (partition by conv_id) as whole,
+    coalesce(max(case when reply then position end) over (partition by conv_id), 0) as last
+  from sized)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by position)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (reply), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by position) filter (reply), '')) as loss_sha256,
+  cast(coalesce(sum(upto) filter (reply), 0) + coalesce(sum(chars) filter (position > last), 0) as bigint) as formatted_chars,
+  count(*) filter (reply) as n_examples
+from placed group by conv_id
+"""
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -140,4 +172,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {"op7_source_mix": _OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_source_mix": _OP7_SQL, "op10_chat_format": _OP10_SQL}

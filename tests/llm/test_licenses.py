@@ -84,3 +84,37 @@ def test_every_match_holds_its_keyword_and_is_found(spark):
     got = {r.doc_id: r.labels for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[-1] == "bsd-2" and got[-2] == "isc-text"
     assert [t for i, t in rows if not got[i]] == []
+
+
+#: Written by hand from the texts, not from the rules.
+EXPECTED = {
+    "GPLv3": "gpl-3", "GPLv2 or later": "gpl-2", "LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3", "Apache2": "apache-2", "BSD3": "bsd-3", "GPL-3.0-or-later": "gpl-3", "Apache-2.0": "apache-2",
+    "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc", "SPDX-License-Identifier: Zlib": "zlib", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3", "SPDX-License-Identifier: CC0-1.0": "cc0-1", "SPDX-License-Identifier: MPL-2.0": "mpl-2",
+    "MIT licensed": "mit", "licensed under MIT": "mit", "License: MIT": "mit", "Artistic-2.0": "artistic-2", "BSL-1.0": "bsl-1", "0BSD": "0bsd", "CC BY-SA 4.0": "cc-by-sa-4", "released under the Creative Commons Attribution-NonCommercial 3.0 Unported License": "cc-by-nc-3",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit-text",
+    "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software": "mit",
+    "Redistributions of source code must retain the above copyright notice": "bsd",
+    "You may not use this file except in compliance with the License.": "apache-2",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file": "mpl-2",
+    "This is free and unencumbered software released into the public domain.": "unlicense",
+    "The Software shall be used for Good, not Evil.": "json", "The origin of this software must not be misrepresented": "zlib",
+    "No part of this book may be reproduced": "all-rights-reserved", "text and data mining is prohibited": "no-mining", "may not be used for the training of AI models": "no-mining",
+    "the mit of the day": "", "a common house and a free font of software": "", "he is an isc officer": "", "music licensed to him": "", "3 clauses": "",
+}
+
+
+def test_labels_by_hand(spark):
+    rows = list(enumerate(EXPECTED))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.labels for r in licenses.scan_documents(df).collect()}
+    assert {t: got[i] for i, t in rows} == EXPECTED
+    # the same inside long texts, at any place of a block
+    padded = [(i, " ".join(["word"] * (37 * i % 101 + 40)) + f" {t}. " + "end " * 60) for i, t in rows]
+    got = {r.doc_id: r.labels for r in licenses.scan_documents(spark.createDataFrame(padded, "doc_id long, text string")).collect()}
+    assert {t: got[i] for i, t in rows} == EXPECTED
+
+
+def test_no_match_is_longer_than_the_overlap():
+    for r in licenses.rules():
+        assert all(m.count(" ") < licenses.REACH for m in matches(_parser.parse(r["re"])))
+        assert not re.search(r"\)[*+]|\{\d+,\}", r["re"])

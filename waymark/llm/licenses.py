@@ -91,8 +91,109 @@ NOTICES = [
     ("copyright-notice", "copyright", r"copyright (?:c )?(?:19|20)\d\d"),
 ]
 
-_UNDER = r"(?:licen[sc]ed|released|distributed|available|published|provided) under (?:the )?(?:terms of (?:the )?)?(?:a |an )?"
-#: Words that a match has at most; blocks overlap by as many on both sides.
+# Sentences of license texts, as label, keyword, expression over words. A text without its title is known by them.
+TEXTS = [
+    ("mit", "sublicense", r"to use copy modify merge publish distribute sublicense and or sell copies of the software"),
+    ("mit", "substantial", r"(?:copyright|permission) notice (?:and this permission notice )?shall be included in all copies or substantial portions of the software"),
+    ("mit", "noninfringement", r"merchantability fitness for a particular purpose and noninfringement"),
+    ("x11", "advertising", r"shall not be used in advertising or otherwise to promote the sale use or other dealings"),
+    ("json", "evil", r"the software shall be used for good not evil"),
+    ("bsd", "redistributions", r"redistributions (?:of source code|in binary form) must (?:retain|reproduce) the above copyright notice"),
+    ("bsd-3", "endorse", r"may be used to endorse or promote products derived from this software"),
+    ("bsd-4", "advertising", r"all advertising materials mentioning features or use of this software"),
+    ("bsd", "consequential", r"direct indirect incidental special exemplary or consequential damages"),
+    ("isc", "negligence", r"action of contract negligence or other tortious action arising out of"),
+    ("0bsd", "0bsd", r"0bsd(?: licen[sc]e)?"),
+    ("apache-2", "compliance", r"you may not use this file except in compliance with the licen[sc]e"),
+    ("apache-2", "worldwide", r"perpetual worldwide non exclusive no charge royalty free irrevocable copyright licen[sc]e"),
+    ("apache-2", "contribution", r"contribution shall mean any work of authorship including the original version"),
+    ("apache-1.1", "foundation", r"this product includes software developed by the apache software foundation"),
+    ("gpl", "redistribute", r"you can redistribute it and or modify it under the terms of the gnu general public licen[sc]e"),
+    ("gpl", "freedom", r"guarantee your freedom to share and change"),
+    ("gpl-2", "temple", r"free software foundation inc 59 temple place"),
+    ("gpl-2", "franklin", r"free software foundation inc 51 franklin"),
+    ("gpl", "notices", r"you must cause the modified files to carry prominent notices"),
+    ("gpl-3", "propagate", r"to propagate a work means to do anything with it"),
+    ("gpl-3", "covered", r"conveying a covered work"),
+    ("lgpl", "lesser", r"redistribute it and or modify it under the terms of the gnu lesser general public licen[sc]e"),
+    ("lgpl", "combined", r"convey a combined work under terms of your choice"),
+    ("agpl-3", "interacting", r"all users interacting with it remotely through a computer network"),
+    ("agpl", "affero", r"redistribute it and or modify it under the terms of the gnu affero general public licen[sc]e"),
+    ("gfdl", "invariant", r"with no invariant sections no front cover texts and no back cover texts"),
+    ("mpl-2", "mpl", r"if a copy of the mpl was not distributed with this file"),
+    ("mpl-2", "incompatible", r"incompatible with secondary licen[sc]es"),
+    ("mpl-1.1", "initial", r"the initial developer of the original code is"),
+    ("epl", "agreement", r"any use reproduction or distribution of the program constitutes recipient s acceptance of this agreement"),
+    ("cddl", "cddl", r"use is subject to licen[sc]e terms of the cddl"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("zlib", "altered", r"altered source versions must be plainly marked as such"),
+    ("bsl-1", "machine", r"machine executable object code generated by a source language processor"),
+    ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
+    ("unlicense", "detriment", r"to the detriment of our heirs and successors"),
+    ("wtfpl", "fuck", r"do what the fuck you want to"),
+    ("cc0-1", "waives", r"(?:affirmer|owner) (?:hereby )?(?:overtly )?(?:fully )?(?:permanently )?(?:irrevocably )?(?:and unconditionally )?waives"),
+    ("cc0-1", "dedicated", r"has dedicated the work to the public domain by waiving all of (?:his or her|their) rights"),
+    ("cc-by", "adapted", r"share adapted material you produce under the licen[sc]e"),
+    ("cc-by", "redistribute", r"you are free to share copy and redistribute the material in any medium or format"),
+    ("cc-by", "remix", r"adapt remix transform and build upon the material"),
+    ("cc-by-nc", "noncommercial", r"you may not use the material for (?:any )?noncommercial purposes|primarily intended for or directed towards commercial advantage noncommercial|for noncommercial purposes only"),
+    ("cc-by-nd", "derivatives", r"you may not distribute the modified material no derivatives|no derivatives or adaptations"),
+    ("cc-by-sa", "contributions", r"you must distribute your contributions under the same licen[sc]e"),
+    ("ofl-1.1", "reserved", r"no modified version of the font software may use the reserved font name"),
+    ("ofl-1.1", "bundled", r"may be bundled redistributed and or sold with any software"),
+    ("psf-2", "psf", r"psf is making python available to licensee on an as is basis"),
+    ("artistic", "freely", r"the package may be freely (?:copied|redistributed)"),
+    ("artistic-2", "standard", r"you are permitted to use the standard version and create and use modified versions"),
+    ("ms-pl", "contributor", r"each contributor grants you a non exclusive worldwide royalty free"),
+    ("eupl", "licensor", r"the licensor hereby grants you a worldwide royalty free non exclusive sublicensable"),
+    ("openssl", "openssl", r"this product includes software developed by the openssl project"),
+    ("php", "php", r"this product includes php software"),
+    ("ncsa", "ncsa", r"(?:university of illinois )?(?:open source licen[sc]e )?ncsa(?: open source)?(?: licen[sc]e)?"),
+    ("beerware", "beer", r"you can buy me a beer in return"),
+    ("sqlite", "blessing", r"in place of a legal notice here is a blessing"),
+    ("ijg", "independent", r"based in part on the work of the independent jpeg group"),
+    ("w3c", "w3c", r"w3c (?:software|document)(?: and document)?(?: notice and)? licen[sc]e"),
+    ("sspl-1", "functionality", r"make(?:s)? the functionality of the program(?: or a modified version)? available to third parties as a service"),
+    ("busl-1.1", "change", r"(?:on|effective on) the change date"),
+    ("busl-1.1", "production", r"make non production use of the licensed work"),
+    ("elastic-2", "managed", r"provide the software to third parties as a hosted or managed service"),
+    ("commons-clause", "clause", r"commons clause(?: licen[sc]e)?(?: condition)?"),
+    ("llama", "llama", r"llama (?:2 |3 |3 1 |3 2 )?(?:community )?licen[sc]e(?: agreement)?"),
+    ("openrail", "restrictions", r"use based restrictions(?: as referenced in paragraph 5)?"),
+    ("odbl-1", "database", r"made available under the open database licen[sc]e"),
+    ("gpl", "copyleft", r"copyleft licen[sc]e"),
+    ("no-warranty", "merchantability", r"without even the implied warranty of merchantability"),
+    ("no-warranty", "implied", r"without warranty of any kind (?:either )?express(?:ed)? (?:or )?implied"),
+    ("no-warranty", "warranty", r"(?:provided|distributed) as is without (?:any )?(?:express or implied )?warranty"),
+    ("no-warranty", "absolutely", r"absolutely no warranty"),
+    ("all-rights-reserved", "consent", r"without (?:the )?(?:prior )?(?:express )?written (?:consent|permission and consent)(?: of the (?:publisher|author|copyright holder|copyright owner))?"),
+    ("all-rights-reserved", "reproduced", r"no part of this (?:publication|book|document|work|website) may be reproduced"),
+    ("proprietary", "confidential", r"(?:confidential and proprietary|trade secret and confidential)(?: information)?"),
+    ("proprietary", "engineer", r"you may not (?:decompile )?(?:disassemble )?(?:or )?reverse engineer"),
+    ("no-mining", "mining", r"(?:text and data|data) mining (?:is |are )?(?:not permitted|prohibited|forbidden|reserved)"),
+    ("no-mining", "training", r"may not be used (?:for|in) (?:the )?training (?:of )?(?:artificial intelligence|machine learning|ai)(?: models| systems| technologies)?"),
+    ("personal-use", "personal", r"for personal (?:and )?non ?commercial use only|for personal use only"),
+    ("education-use", "educational", r"for (?:non profit |research and )?educational (?:use|purposes) only"),
+    ("evaluation-use", "evaluation", r"for evaluation (?:use|purposes) only"),
+    ("crown", "crown", r"crown copyright(?: and database right)?"),
+    ("ogl-uk", "government", r"(?:uk )?open government licen[sc]e(?: v(?:ersion )?[123]|v[123])?"),
+    ("etalab", "etalab", r"licence ouverte etalab|etalab(?: open licen[sc]e)?"),
+]
+# Identifiers of the SPDX license list that families don't make, as words, with their labels.
+SPDX = [
+    ("mit", "mit"), ("mit 0", "mit-0"), ("x11", "x11"), ("isc", "isc"), ("zlib", "zlib"), ("libpng 2 0", "libpng-2"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("0bsd", "0bsd"), ("bsl 1 0", "bsl-1"), ("ncsa", "ncsa"), ("json", "json"),
+    ("bsd 1 clause", "bsd-1"), ("bsd 2 clause", "bsd-2"), ("bsd 2 clause patent", "bsd-2"), ("bsd 3 clause", "bsd-3"), ("bsd 3 clause clear", "bsd-3"), ("bsd 4 clause", "bsd-4"), ("bsd source code", "bsd"),
+    ("artistic 1 0", "artistic-1"), ("artistic 2 0", "artistic-2"), ("psf 2 0", "psf-2"), ("python 2 0", "psf-2"), ("php 3 0", "php-3"), ("php 3 01", "php-3"), ("openssl", "openssl"), ("ruby", "ruby"), ("vim", "vim"), ("tcl", "tcl"), ("curl", "curl"), ("ftl", "ftl"), ("ijg", "ijg"), ("postgresql", "postgresql"), ("blessing", "sqlite"), ("beerware", "beerware"), ("afl 2 1", "afl-2.1"), ("afl 3 0", "afl-3"), ("ms pl", "ms-pl"), ("ms rl", "ms-rl"), ("busl 1 1", "busl-1.1"), ("sspl 1 0", "sspl-1"), ("elastic 2 0", "elastic-2"), ("odbl 1 0", "odbl-1"), ("odc by 1 0", "odc-by-1"), ("pddl 1 0", "pddl-1"), ("cc pddc", "public-domain"), ("ecl 2 0", "ecl-2"), ("upl 1 0", "upl-1"), ("mulanpsl 2 0", "mulan-2"), ("w3c", "w3c"), ("ofl 1 0", "ofl-1"), ("zpl 2 1", "zpl-2.1"), ("unicode 3 0", "unicode-3"), ("unicode dfs 2016", "unicode"), ("icu", "icu"), ("hpnd", "hpnd"), ("nist pd", "public-domain"),
+]
+#: Of these an identifier standing alone, without "SPDX", is a name too; others are words of everyday use.
+ALONE = {"mit 0", "0bsd", "bsl 1 0", "bsd 1 clause", "bsd 2 clause patent", "bsd 3 clause clear", "artistic 1 0", "artistic 2 0", "psf 2 0", "php 3 01", "busl 1 1", "sspl 1 0", "odbl 1 0", "pddl 1 0", "ecl 2 0", "upl 1 0", "zpl 2 1", "ms pl", "ms rl", "afl 2 1", "afl 3 0"}
+#: Names that are written together with their version (GPLv3, BSD3): word and label.
+GLUED = [("gpl", "gpl", ["1", "2", "3"]), ("lgpl", "lgpl", ["2", "2 1", "3"]), ("agpl", "agpl", ["1", "3"]), ("gfdl", "gfdl", ["1 1", "1 2", "1 3"]), ("apache", "apache", ["1", "1 1", "2"]), ("mpl", "mpl", ["1", "1 1", "2"]), ("epl", "epl", ["1", "2"]), ("eupl", "eupl", ["1", "1 1", "1 2"]), ("osl", "osl", ["1", "2", "2 1", "3"]), ("afl", "afl", ["2", "2 1", "3"]), ("ofl", "ofl", ["1", "1 1"]), ("cecill", "cecill", ["1", "2", "2 1"]), ("bsd", "bsd", ["2", "3", "4"]), ("artistic", "artistic", ["1", "2"]), ("sspl", "sspl", ["1"]), ("ccby", "cc-by", ["2", "3", "4"]), ("ccbysa", "cc-by-sa", ["2", "3", "4"]), ("ccbync", "cc-by-nc", ["2", "3", "4"])]
+#: Names short of "license" that count where a license is spoken of: word, label.
+SPOKEN = [("mit", "mit"), ("isc", "isc"), ("zlib", "zlib"), ("bsd", "bsd"), ("expat", "mit"), ("x11", "x11"), ("boost", "bsl"), ("cc0", "cc0"), ("unlicense", "unlicense"), ("wtfpl", "wtfpl"), ("apache", "apache"), ("gpl", "gpl"), ("lgpl", "lgpl"), ("agpl", "agpl"), ("mpl", "mpl"), ("epl", "epl"), ("cddl", "cddl"), ("eupl", "eupl"), ("artistic", "artistic"), ("ncsa", "ncsa"), ("ofl", "ofl")]
+
+_UNDER = r"(?:licen[sc]ed|released|distributed|available|published|provided|covered|governed) (?:under|by) (?:the )?(?:terms of (?:the )?)?(?:a |an )?"
+#: Words that a match has at most (no expression repeats without end); blocks overlap by as many on both sides.
 REACH = 20
 #: Words of a block without what it overlaps.
 STRIDE = 48
@@ -101,11 +202,12 @@ WORTH = [1.0, 0.9, 0.6]
 
 
 def rules() -> list[dict]:
-    """All signature rules in their order: priority 0 identifiers and versions, 1 notices, 2 bare names."""
+    """All signature rules in their order: priority 0 identifiers and versions, 1 notices and sentences of license texts, 2 bare names."""
     exact, named, bare = [], [], []
+    later = r"(?: (?:or|and) (?:any )?later(?: version)?| only)?"
 
     def version(v: str) -> str:
-        return rf"(?:version |v ?)?{v}(?: 0)*"
+        return rf"(?:version |v ?)?{v}(?: 0)?"
 
     def add(to: list, level: int, keyword: str, expression: str, label: str) -> None:
         to.append({"kw": f" {keyword} ", "re": rf"(?<= )({expression})(?= )", "label": label, "level": level})
@@ -114,7 +216,6 @@ def rules() -> list[dict]:
     for label, keyword, name, versions in families:
         for v in sorted(versions, key=len, reverse=True):
             own = f"{label}-{v.replace(' ', '.')}"
-            later = r"(?: (?:or|and) (?:any )?later(?: version)?| only)?"
             add(exact, 0, keyword, f"{name} {version(v)}{later}", own)
             add(exact, 0, "spdx", f"spdx licen[sc]e identifier {name} {version(v)}{later}", own)
             add(named, 1, keyword, f"{_UNDER}{name} {version(v)}{later}", own)
@@ -122,7 +223,22 @@ def rules() -> list[dict]:
         add(named, 1, keyword, f"{_UNDER}{name}(?: licen[sc]e)?", label)
         if label not in NEEDS_MORE:
             add(bare, 2, keyword, f"{name}(?: international| unported)?(?: licen[sc]e)?", label)
-    for label, keyword, expression in NOTICES:
+    for words, label in SPDX:
+        add(exact, 0, "spdx", f"spdx licen[sc]e identifier {words}{later}", label)
+        if words in ALONE:
+            add(exact, 0, words if " " not in words else max(words.split(), key=len), f"{words}(?: licen[sc]e)?", label)
+    for word, label, versions in GLUED:
+        for v in sorted(versions, key=len, reverse=True):
+            major, *minor = v.split()
+            rest = "".join(f" {m}" for m in minor)
+            for glued in (f"{word}v{major}", f"{word}{major}"):
+                add(exact, 0, glued, f"(?:gnu )?{glued}{rest}(?: 0)?(?: licen[sc]e)?{later}", f"{label}-{v.replace(' ', '.')}")
+    for word, label in SPOKEN:
+        add(named, 1, word, f"{word} licen[sc]ed", label)
+        add(named, 1, word, f"{_UNDER}{word}(?: style)?(?: licen[sc]e)?", label)
+        add(named, 1, word, f"licen[sc]e (?:type )?{word}", label)
+        add(named, 1, word, f"licen[sc]e is (?:the )?{word}", label)
+    for label, keyword, expression in [*NOTICES, *TEXTS]:
         add(named, 1, keyword, expression, label)
     return [r | {"k": k} for k, r in enumerate(exact + named + bare)]
 

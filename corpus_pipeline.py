@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm import bpe, dedup, fertility, langid, mixing, queries
-from waymark.llm._common import stored
+from waymark.llm._common import stored, table
 
 #: Share of the tokens that reach the mixing stage, and how often it may take a document.
 MIX_SHARE, MIX_EPOCHS = 0.9, 1
@@ -23,8 +23,12 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the fertility bands of their script; the others go."""
-    return fertility.keep_fertile(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Documents that pass the base rules, the fertility bands of their script and the limits learned from labels; the others go.
+
+    Null, empty and short texts go; texts without a language are held to their script's limits.
+    """
+    first, second = map(public_tokenizers.path, queries.FERTILITY_VOCABULARIES)
+    return fertility.keep_fertile(docs, first, second=second, labels=table(spark, sf_dir, "labels"), lang_col="lang")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

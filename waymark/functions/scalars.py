@@ -168,3 +168,18 @@ def middle_two_mean(*speeds: Column) -> Column:
 def trust(counter: Column, least: float, worst: float) -> Column:
     """Trust that decays with staleness down to a least value."""
     return least + (1 - least) * clamp(1 - counter / worst, 0, 1)
+
+
+def with_clock_offset(stamp: Column, sensor: Column, offsets: dict[str, int], default: int = 0) -> Column:
+    """A stamp moved by the offset of its sensor's clock."""
+    moved = F.lit(default)
+    for name, offset in offsets.items():
+        moved = F.when(sensor == name, F.lit(offset)).otherwise(moved)
+    return stamp + moved
+
+
+def scaled_intrinsics(camera: tuple[float, float, float, float], size: tuple[int, int], width: Column, height: Column) -> tuple[Column, Column, Column, Column]:
+    """fx, fy, cx, cy of a camera that was calibrated at a size, for images of another; null for an empty image."""
+    across, down = F.when(width > 0, width / size[0]), F.when(height > 0, height / size[1])
+    fx, fy, cx, cy = camera
+    return fx * across, fy * down, cx * across, cy * down

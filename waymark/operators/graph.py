@@ -1,4 +1,4 @@
-"""Connected components and relaxation of pose graphs by rounds of joins."""
+"""Connected components by rounds of joins, chains, rigid fits and planes from sums."""
 
 from __future__ import annotations
 
@@ -37,42 +37,26 @@ def large_components(nodes: DataFrame, edges: DataFrame, least: int) -> DataFram
     return found.join(sizes, "component").select("node", "component", "size")
 
 
-def relax(vertices: DataFrame, edges: DataFrame, keys: list[str], rounds: int, gain: float, max_step: float, loop_weight: float) -> DataFrame:
-    """Vertices (keys, k, x) moved towards what their edges (keys, i, j, dx, loop) predict.
+def solve_chain(edges: DataFrame, keys: list[str], loop_weight: float = 4.0) -> DataFrame:
+    """(keys, k, x): weighted least-squares positions of each key's vertices from its edges, the first at 0; one key is one task.
 
-    In each round a vertex moves by gain times the weighted mean of its predictions' misses, at
-    most max_step; loop edges weigh loop_weight; the first vertex of a key stays. Two joins and
-    one aggregate a round; rounds are checkpointed.
+    The system is kept as its blocks (here numbers) and solved as a chain with loops, so memory
+    grows with the key's vertices and edges only. Vertices that no edge ties to others stay at 0.
     """
-    w = F.when(F.col("loop"), loop_weight).otherwise(1.0)
-    e = edges.select(*keys, "i", "j", "dx", w.alias("w"))
-    for _ in range(rounds):
-        here = e.join(vertices.select(*keys, F.col("k").alias("i"), F.col("x").alias("xi")), [*keys, "i"]).join(vertices.select(*keys, F.col("k").alias("j"), F.col("x").alias("xj")), [*keys, "j"])
-        miss = F.col("xi") + F.col("dx") - F.col("xj")
-        ends = F.explode(F.array(F.struct(F.col("j").alias("k"), miss.alias("m")), F.struct(F.col("i").alias("k"), (-miss).alias("m")))).alias("p")
-        pull = here.select(*keys, "w", ends).groupBy(*keys, F.col("p.k").alias("k")).agg((F.sum(F.col("w") * F.col("p.m")) / F.sum("w")).alias("pull"))
-        step = F.greatest(F.lit(-max_step), F.least(F.lit(max_step), gain * F.coalesce("pull", F.lit(0.0))))
-        vertices = checkpointed(vertices.join(pull, [*keys, "k"], "left").select(*keys, "k", F.when(F.col("k") == 1, F.col("x")).otherwise(F.col("x") + step).alias("x")))
-    return vertices
-
-
-def solve_chain(edges: DataFrame, keys: list[str], loop_weight: float = 4.0) -> DataFrame:
-    """(keys, k, x): weighted least-squares positions of each key's vertices from its edges, the first at 0; one small linear system per key."""
+    from waymark.operators.posegraph import solve_blocks
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         ks = np.unique(np.concatenate([pdf["i"], pdf["j"]]))
         i, j = np.searchsorted(ks, pdf["i"]), np.searchsorted(ks, pdf["j"])
-        w = np.where(pdf["loop"], loop_weight, 1.0)
-        h, g = np.zeros((len(ks), len(ks))), np.zeros(len(ks))
-        for a, b, d, weight in zip(i, j, pdf["dx"], w, strict=True):
-            h[a, a] += weight
-            h[b, b] += weight
-            h[a, b] -= weight
-            h[b, a] -= weight
-            g[b] += weight * d
-            g[a] -= weight * d
-        x = np.zeros(len(ks))
-        x[1:] = np.linalg.lstsq(h[1:, 1:], g[1:], rcond=None)[0]
+        w, d = np.where(pdf["loop"], loop_weight, 1.0), pdf["dx"].to_numpy(float)
+        diagonal, g = np.full(len(ks), 1e-12), np.zeros(len(ks))
+        for at, sign in ((i, -1), (j, 1)):
+            np.add.at(diagonal, at, w)
+            np.add.at(g, at, sign * w * d)
+        diagonal[0], g[0] = 1, 0  # the first stays
+        lo, hi = np.minimum(i, j), np.maximum(i, j)
+        tied = lo > 0
+        x = solve_blocks(diagonal[:, None, None], lo[tied], hi[tied], -w[tied, None, None], g[:, None])[:, 0]
         out = pd.DataFrame({k: pdf[k].iloc[0] for k in keys}, index=range(len(ks)))
         return out.assign(k=ks, x=x)
 

@@ -265,9 +265,10 @@ def smooth(vertices: DataFrame, factors: DataFrame, keys: list[str], rounds: int
         return pd.DataFrame(out | {c: q[:, a] for a, c in enumerate(POSE[3:])} | {"rounds": done, "error": error})
 
     schema = ", ".join([*kinds, "k long", *[f"{c} double" for c in POSE], "rounds int", "error double"])
-    left = vertices.select(*keys, "k", *POSE)
-    right = factors.select(*keys, "i", "j", *FACTOR, "huber", "confidence")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+    # both sides may come from the same rows: names of their own keep the keys apart
+    left = vertices.select(*[F.col(c).alias(f"left_{c}") for c in keys], "k", *POSE)
+    right = factors.select(*[F.col(c).alias(f"right_{c}") for c in keys], "i", "j", *FACTOR, "huber", "confidence")
+    return left.groupBy(*[f"left_{c}" for c in keys]).cogroup(right.groupBy(*[f"right_{c}" for c in keys])).applyInPandas(run, schema)
 
 
 # ---- factors ----

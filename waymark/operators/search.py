@@ -17,9 +17,11 @@ from waymark.operators.select import best_and_second, checkpointed
 MAX_CANDIDATES = 20_000
 
 
-def lattice(dx: list[float], dy: list[float], yaw: list[float], limit: int = MAX_CANDIDATES) -> Column:
-    """Candidates (c, dx, dy, yaw), numbered in the order yaw, x, y and cut at limit."""
-    all_ = [(a, x, y) for a in yaw for x in dx for y in dy][: min(limit, MAX_CANDIDATES)]
+def lattice(dx: list[float], dy: list[float], yaw: list[float]) -> Column:
+    """Candidates (c, dx, dy, yaw), numbered in the order yaw, x, y. More than MAX_CANDIDATES are refused; search such a lattice in levels."""
+    all_ = [(a, x, y) for a in yaw for x in dx for y in dy]
+    if len(all_) > MAX_CANDIDATES:
+        raise ValueError(f"{len(all_)} candidates, {MAX_CANDIDATES} at most")
     return F.array(*[F.struct(F.lit(k).alias("c"), F.lit(float(x)).alias("dx"), F.lit(float(y)).alias("dy"), F.lit(math.cos(a)).alias("cos"), F.lit(math.sin(a)).alias("sin"), F.lit(float(a)).alias("yaw")) for k, (a, x, y) in enumerate(all_)])
 
 

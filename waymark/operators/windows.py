@@ -57,8 +57,23 @@ def monotonic(df: DataFrame, keys: list[str], arrival: list[str], stamp: str) ->
 
 
 def dedupe_by_time(df: DataFrame, keys: list[str], order: list[str], time: str, tolerance: int) -> DataFrame:
-    """Rows, in order, later than the one before them by more than tolerance (exact where such gaps don't chain)."""
-    return df.withColumn("_before", F.lag(time).over(by(keys, order))).filter(F.col("_before").isNull() | (F.col(time) - F.col("_before") > tolerance)).drop("_before")
+    """Rows, in order, later than the last kept one by more than tolerance, with how many of the key were dropped since then (dropped).
+
+    What is kept depends on all kept before, so this is an ordered fold, one task per key.
+    """
+    from waymark.operators.folds import fold
+
+    def start():
+        def step(state, row):
+            last, dropped = state
+            if last is None or row[time] - last > tolerance:
+                return (row[time], 0), [{**row, "dropped": dropped}]
+            return (last, dropped + 1), []
+
+        return (None, 0), step
+
+    schema = ", ".join(f"{n} {t}" for n, t in df.dtypes)
+    return fold(df, keys, order, start, f"{schema}, dropped long")
 
 
 def segments(df: DataFrame, keys: list[str], order: list[str], time: str, gap: int) -> DataFrame:

@@ -24,26 +24,27 @@ def rounded(df, digits: int = 6):
 
 # sources
 
-@query("SRC1_cloud_decode", """select id, frame, x, y, z, least(255, greatest(0, label * 50 - 20)) as label, round(least(1, greatest(0, conf * 2 - 0.3)), 6) as conf from pts where y > 20""")
+@query("SRC1_cloud_decode", """select id, frame, x, y, z, least(255, greatest(0, label * 50 - 20)) as label, round(least(1, greatest(0, conf * 2 - 0.3)), 6) as conf from pts""")
 def src1(v: Views):
-    raw = v.pts.filter("y > 20").selectExpr("id", "frame", "x", "y", "z", "label * 50 - 20 as class_id", "conf * 2 - 0.3 as probability")
+    raw = v.pts.selectExpr("id", "frame", "x", "y", "z", "label * 50 - 20 as class_id", "conf * 2 - 0.3 as probability")
     return clouds.decode(raw, keep=["id", "frame"]).withColumn("conf", r("conf"))
 
 
-@query("SRC2_binary_decode", "select id, x, round(y, 4) as y, round(z, 4) as z from pts where frame = 3")
+@query("SRC2_binary_decode", "select id, x, round(y, 4) as y, round(z, 4) as z from pts")
 def src2(v: Views):
-    packed = clouds.encode_binary(v.pts.filter("frame = 3").select("id", "x", "y", "z"), "id", [("x", "<f8"), ("y", "<f8"), ("z", "<f8")])
+    packed = clouds.encode_binary(v.pts.select("id", "x", "y", "z"), "id", [("x", "<f8"), ("y", "<f8"), ("z", "<f8")])
     return rounded(clouds.decode_binary(packed, "id", "data", {"x": ("<f8", 0), "y": ("<f8", 8), "z": ("<f8", 16)}, 24), 4)
 
 
-@query("SRC3_packed_points", """select id, x, y, z, line from (select *, row_number() over (partition by frame order by id) - 1 as rn, label as line from pts) where rn % 3 = 0 and x*x + y*y + z*z between 4 and 10000""")
+@query("SRC3_packed_points", """select id, x, y, z, round(conf * 255, 4) as intensity, line, offset_time, stamp + cast(floor(offset_time / 1000.0) as bigint) as t from (select *, row_number() over (partition by frame order by id) - 1 as rn, label as line, id % 100000000 as offset_time from pts) where rn % 3 = 0 and x*x + y*y + z*z between 4 and 10000""")
 def src3(v: Views):
-    return select.every_nth(v.pts, 3, ["frame"], ["id"]).filter("x*x + y*y + z*z between 4 and 10000").selectExpr("id", "x", "y", "z", "label as line")
+    packets = v.pts.selectExpr("frame", "id", "x", "y", "z", "conf * 255 as reflectivity", "label as line", "id % 100000000 as offset_time", "stamp")
+    return clouds.packed_points(packets, ["frame"], ["id"], 3, 2.0, 100.0).select("id", "x", "y", "z", (F.round("intensity", 4) + 0.0).alias("intensity"), "line", "offset_time", "t")
 
 
-@query("SRC4_cloud_reader", """select id, x, y, z, coalesce(case when label > 2 then conf end, 0) as intensity from (select *, row_number() over (partition by frame order by id) - 1 as rn from pts where z between 0.5 and 4 and x*x + y*y < 10000) where rn % 2 = 0 and rn < 40""")
+@query("SRC4_cloud_reader", """select id, x, y, z, coalesce(case when label > 2 then conf end, 0) as intensity from (select *, row_number() over (partition by frame order by id) - 1 as rn from pts where z between 0.5 and 4 and x*x + y*y < 10000) where rn % 2 = 0""")
 def src4(v: Views):
-    rows = select.numbered(v.pts.filter("z between 0.5 and 4 and x*x + y*y < 10000"), ["frame"], ["id"]).filter("rn % 2 = 0 and rn < 40")
+    rows = select.numbered(v.pts.filter("z between 0.5 and 4 and x*x + y*y < 10000"), ["frame"], ["id"]).filter("rn % 2 = 0")
     return rows.selectExpr("id", "x", "y", "z", "coalesce(case when label > 2 then conf end, 0D) as intensity")
 
 
@@ -88,9 +89,9 @@ def fil4(v: Views):
 
 
 @query("FIL5_dynamic_pixel_gate", """select p.id, round(avg(cast(coalesce(r.label, 0) = 5 as int)), 6) as share, avg(cast(coalesce(r.label, 0) = 5 as int)) >= 0.15 as dynamic
-  from (select id, cast(floor(x) as bigint) as ix, cast(floor(y / 5) as bigint) as iy from pts where frame < 8) p join raster r on r.ix between p.ix - 1 and p.ix + 1 and r.iy between p.iy - 1 and p.iy + 1 group by p.id""")
+  from (select id, cast(floor(x) as bigint) as ix, cast(floor(y / 5) as bigint) as iy from pts) p join raster r on r.ix between p.ix - 1 and p.ix + 1 and r.iy between p.iy - 1 and p.iy + 1 group by p.id""")
 def fil5(v: Views):
-    points = v.pts.filter("frame < 8").select("id", scalars.cell(F.col("x"), 1).alias("ix"), scalars.cell(F.col("y"), 5).alias("iy"))
+    points = v.pts.select("id", scalars.cell(F.col("x"), 1).alias("ix"), scalars.cell(F.col("y"), 5).alias("iy"))
     near = grid.neighbours(points, 1).join(v.raster.select("ix", "iy", "label"), ["ix", "iy"])
     out = near.groupBy("id").agg(F.avg((F.col("label") == 5).cast("int")).alias("share"))
     return rounded(out.withColumn("dynamic", F.col("share") >= 0.15))
@@ -115,12 +116,12 @@ def fil8(v: Views):
     return rounded(filters.depth_consistent(rows, ["frame", "u", "w"], "z", 1.5).select("id", "score"))
 
 
-CELLS = "select cast(floor(x / 5) as bigint) as ix, cast(floor(y / 10) as bigint) as iy, min(z) as z_min, max(z) as z_max, count(*) as n from pts where frame < 16 group by all"
+CELLS = "select cast(floor(x / 5) as bigint) as ix, cast(floor(y / 10) as bigint) as iy, min(z) as z_min, max(z) as z_max, count(*) as n from pts group by all"
 
 
 @query("FIL9_edge_scores", f"""with c as ({CELLS}) select a.ix, a.iy, round(1 - 0.75 * least(1, (max(b.z_max) - min(b.z_min)) / 6), 6) as score from c a join c b on b.ix between a.ix - 1 and a.ix + 1 and b.iy between a.iy - 1 and a.iy + 1 group by all""")
 def fil9(v: Views):
-    cells = v.pts.filter("frame < 16").select(scalars.cell(F.col("x"), 5).alias("ix"), scalars.cell(F.col("y"), 10).alias("iy"), "z").groupBy("ix", "iy").agg(F.min("z").alias("z_min"), F.max("z").alias("z_max"))
+    cells = v.pts.select(scalars.cell(F.col("x"), 5).alias("ix"), scalars.cell(F.col("y"), 10).alias("iy"), "z").groupBy("ix", "iy").agg(F.min("z").alias("z_min"), F.max("z").alias("z_max"))
     return rounded(filters.edge_scores(cells, 1, 6))
 
 
@@ -174,24 +175,6 @@ def fil15(v: Views):
     return layers.join(near, ["ix", "iy"]).select("ix", "iy", F.when((F.col("layer") == "road") & F.col("off"), "road_edge").otherwise(F.col("layer")).alias("layer"))
 
 
-@query("FIL16_acceptance_cascade", """select o_orderkey as id, case when o_totalprice < 20000 then 'few_points' when o_orderkey % 7 = 0 then 'degenerate' when o_totalprice > 300000 then 'residual' when o_custkey % 11 = 0 then 'correction' else 'accepted' end as reason from orders""")
-def fil16(v: Views):
-    rules = [(F.col("o_totalprice") < 20000, "few_points"), (F.col("o_orderkey") % 7 == 0, "degenerate"), (F.col("o_totalprice") > 300000, "residual"), (F.col("o_custkey") % 11 == 0, "correction")]
-    return v.orders.select(F.col("o_orderkey").alias("id"), filters.first_reason(rules).alias("reason"))
-
-
-@query("FIL17_insertion_gate", """select o_orderkey as id, reason = 'insert' as insert, reason from (select o_orderkey, case when o_orderstatus = 'P' then 'rejected_scan' when o_totalprice < 50000 then 'too_close' when o_orderkey % 5 = 0 then 'turning' else 'insert' end as reason from orders)""")
-def fil17(v: Views):
-    reason = filters.first_reason([(F.col("o_orderstatus") == "P", "rejected_scan"), (F.col("o_totalprice") < 50000, "too_close"), (F.col("o_orderkey") % 5 == 0, "turning")], "insert")
-    return v.orders.select(F.col("o_orderkey").alias("id"), (reason == "insert").alias("insert"), reason.alias("reason"))
-
-
-@query("FIL18_match_gate", "select id, conf >= 0.1 and z / 5 >= 0.2 and label >= 2 and sqrt(x*x + y*y) <= 70 and abs(x - y) < 60 as accepted from pts")
-def fil18(v: Views):
-    ok = (F.col("conf") >= 0.1) & (F.col("z") / 5 >= 0.2) & (F.col("label") >= 2) & (F.sqrt(F.col("x") ** 2 + F.col("y") ** 2) <= 70) & (F.abs(F.col("x") - F.col("y")) < 60)
-    return v.pts.select("id", ok.alias("accepted"))
-
-
 @query("FIL19_projection", """select id, cast(floor(300 * (a * d + 2 * 0.001 * a * b + 0.002 * (r2 + 2 * a * a)) + 160.5) as bigint) as u, cast(floor(310 * (b * d + 0.001 * (r2 + 2 * b * b) + 2 * 0.002 * a * b) + 120.5) as bigint) as w from
   (select id, a, b, a*a + b*b as r2, 1 - 0.01 * (a*a + b*b) + 0.002 * (a*a + b*b) * (a*a + b*b) + 0.0001 * (a*a + b*b) * (a*a + b*b) * (a*a + b*b) as d from (select id, x / (z * 10) as a, y / (z * 10) as b from pts where z > 0.05))""")
 def fil19(v: Views):
@@ -217,11 +200,6 @@ def fil24(v: Views):
     return rounded(grid.ring_descriptor(rows.filter("label <> 0"), 4, 25, ["frame"]))
 
 
-@query("FIL25_fix_quality", "select id from geo where id % 3 <> 0 and sqrt(abs(alt)) < 25")
-def fil25(v: Views):
-    return v.geo.filter((F.col("id") % 3 != 0) & (F.sqrt(F.abs("alt")) < 25)).select("id")
-
-
 # aggregates
 
 V3 = "cast(floor(x / 4) as bigint) as ix, cast(floor(y / 4) as bigint) as iy, cast(floor(z / 4) as bigint) as iz"
@@ -275,13 +253,13 @@ def ag6(v: Views):
     return rounded(grid.ring_descriptor(rows, 5, 20, ["frame"]))
 
 
-@query("AG7_semantic_map", """with m as (select cast(floor((x + frame) / 6) as bigint) as ix, cast(floor((y - frame) / 6) as bigint) as iy, label, conf from pts where id % 2 = 0),
+@query("AG7_semantic_map", """with m as (select cast(floor((x + frame) / 6) as bigint) as ix, cast(floor((y - frame) / 6) as bigint) as iy, label, conf from pts),
   t as (select ix, iy, sum(conf) as w from m group by ix, iy), l as (select ix, iy, label, sum(conf) as v from m group by ix, iy, label),
   b as (select *, row_number() over (partition by ix, iy order by round(v, 9) desc, label) as rn from l)
   select ix, iy, label, round(v / w, 6) as confidence from t join b using (ix, iy) where rn = 1""")
 def ag7(v: Views):
     poses = v.pts.select("frame").distinct().withColumn("tx", F.col("frame").cast("double")).withColumn("ty", -F.col("frame").cast("double"))
-    moved = v.pts.filter("id % 2 = 0").join(poses, "frame").withColumn("x", F.col("x") + F.col("tx")).withColumn("y", F.col("y") + F.col("ty"))
+    moved = v.pts.join(poses, "frame").withColumn("x", F.col("x") + F.col("tx")).withColumn("y", F.col("y") + F.col("ty"))
     return rounded(stats.label_map(grid.with_cells(moved, 6, ("x", "y")), ["ix", "iy"], "label", "conf"))
 
 
@@ -609,9 +587,10 @@ def sc28(v: Views):
     return v.pts.groupBy("frame").agg(F.when((top / 1e6 > 1e8) & (F.abs(top / 1e6 - 883612800) <= 1e9), top).otherwise(F.lit(883612800000000) + top).alias("stamp"))
 
 
-@query("SC29_clock_offset", "select id, t + case when run % 2 = 0 then 1500 else -700 end as t from track")
+@query("SC29_clock_offset", "select event_id as id, MICROS[ts] + case event_type when 'view' then 1500 when 'click' then -700 else 0 end as t from events")
 def sc29(v: Views):
-    return v.track.select("id", (F.col("t") + F.when(F.col("run") % 2 == 0, 1500).otherwise(-700)).alias("t"))
+    rows = v.sql("select event_id as id, event_type as sensor, MICROS[ts] as t from events")
+    return rows.select("id", scalars.with_clock_offset(F.col("t"), F.col("sensor"), {"view": 1500, "click": -700}).alias("t"))
 
 
 @query("SC34_colour_rules", "select id, 2 * g - r - b > 40 as green, greatest(r, g, b) - least(r, g, b) < 20 as grey from (select id, label * 30 as r, cast(floor(z * 40) as bigint) as g, cast(x as bigint) * 4 as b from pts)")
@@ -622,7 +601,8 @@ def sc34(v: Views):
 
 @query("SC36_scaled_intrinsics", "select id, round(500.0 * w / 640, 6) as fx, round(510.0 * h / 480, 6) as fy, round(320.0 * w / 640, 6) as cx, round(240.0 * h / 480, 6) as cy from (select id, 320 + id % 640 as w, 240 + id % 480 as h from geo)")
 def sc36(v: Views):
-    return rounded(v.geo.selectExpr("id", "500D * (320 + id % 640) / 640 as fx", "510D * (240 + id % 480) / 480 as fy", "320D * (320 + id % 640) / 640 as cx", "240D * (240 + id % 480) / 480 as cy"))
+    scaled = scalars.scaled_intrinsics((500.0, 510.0, 320.0, 240.0), (640, 480), 320 + F.col("id") % 640, 240 + F.col("id") % 480)
+    return rounded(v.geo.select("id", *[c.alias(n) for c, n in zip(scaled, ("fx", "fy", "cx", "cy"), strict=True)]))
 
 
 @query("SC37_rigid_check", "select id, abs(qw*qw + qx*qx + qy*qy + qz*qz - 1) < 1e-3 and isfinite(x + y + z) as ok from (select id, x, y, z, qw * (1 + case when id % 5 = 0 then 0.1 else 0 end) as qw, qx, qy, qz from poses)")

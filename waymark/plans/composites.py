@@ -65,12 +65,6 @@ def udf2(v: Views):
     return requests.select("id").join(back, "id")
 
 
-@query("EST6_observable_update", "select id, round(x - (x * 0.6 + z * 0.8) * 0.6, 5) as x, round(z - (x * 0.6 + z * 0.8) * 0.8, 5) as z, abs(z) < 60 as use_z from poses")
-def est6(v: Views):
-    along = F.col("x") * 0.6 + F.col("z") * 0.8
-    return rounded(v.poses.select("id", (F.col("x") - along * 0.6).alias("x"), (F.col("z") - along * 0.8).alias("z"), (F.abs("z") < 60).alias("use_z")), 5)
-
-
 def planar_controller(alpha: float, most: float, needed: int) -> Callable:
     """Correction (cx, cy) that follows residuals (x, y) that agree for a while, by limited steps."""
 
@@ -104,38 +98,6 @@ def pair_frames(v: Views):
     return a, b, start
 
 
-@query("OPT3_coarse_relative", """with k as (select row_number() over (order by a, x) - 1 as c, x as dx, a as yaw from (select unnest([-5.0, 0.0, 5.0]) as x) xs, (select unnest([-0.1, 0.0, 0.1]) as a) ys),
-  p as (select frame, c, cast(floor((cos(yaw) * x - sin(yaw) * y + dx) / 10) as bigint) as ix, cast(floor((sin(yaw) * x + cos(yaw) * y) / 10) as bigint) as iy, label from pts, k where frame < 8), g as (select distinct cast(floor(x / 10) as bigint) as ix, cast(floor(y / 10) as bigint) as iy, label from pts where frame = 9)
-  select frame, c, round(avg(cast(g.ix is not null as int)), 6) as score from p left join g using (ix, iy, label) group by frame, c""")
-def opt3(v: Views):
-    at = F.explode(search.lattice([-5.0, 0.0, 5.0], [0.0], [-0.1, 0.0, 0.1])).alias("k")
-    moved = v.pts.filter("frame < 8").select("frame", "label", "x", "y", at).select(
-        "frame", F.col("k.c").cast("long").alias("c"), "label", F.floor((F.col("k.cos") * F.col("x") - F.col("k.sin") * F.col("y") + F.col("k.dx")) / 10).cast("long").alias("ix"), F.floor((F.col("k.sin") * F.col("x") + F.col("k.cos") * F.col("y")) / 10).cast("long").alias("iy"))
-    cells = v.pts.filter("frame = 9").select(F.floor(F.col("x") / 10).cast("long").alias("ix"), F.floor(F.col("y") / 10).cast("long").alias("iy"), "label").distinct().withColumn("hit", F.lit(1))
-    return rounded(moved.join(cells, ["ix", "iy", "label"], "left").groupBy("frame", "c").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("score")))
-
-
-@query("OPT8_keyframe_match")
-def opt8(v: Views):
-    a, b, start = pair_frames(v)
-    return rounded(search.match_keyframes(a, b, ["pair"], start, 6, 8, 1.5).select("pair", "yaw", "dx", "dy", "matched", "rmse", "score", "reason"), 4)
-
-
-@query("OPT10_registration_rounds")
-def opt10(v: Views):
-    a, b, start = pair_frames(v)
-    return rounded(search.register_rounds(a, b, ["pair"], start, 6, 3, 0.1, 2.0), 4)
-
-
-@query("OPT21_map_match_factor")
-def opt21(v: Views):
-    """Map matches as absolute edges from the first vertex, solved with the chain."""
-    chain = v.edges.filter("not loop").select("run", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "dx", "loop")
-    at = v.sql("select run, cast(k as bigint) as k, sum(d) over (partition by run order by k) - d as x from ranked").filter("k % 4 = 0")
-    matches = at.select("run", F.lit(1).cast("long").alias("i"), F.col("k").alias("j"), (F.col("x") * 1.02).alias("dx"), F.lit(True).alias("loop"))
-    return rounded(graph.solve_chain(chain.unionByName(matches), ["run"]), 5)
-
-
 @query("ST2_idle_flush", f"select run, count(*) as n, cast(sum(cast(coalesce(d > {40 * H}, true) as bigint)) as bigint) as flushes from (select run, lead(t) over (partition by run order by t, id) - t as d from track) group by run")
 def st2(v: Views):
     from pyspark.sql import Window
@@ -150,17 +112,6 @@ def st15(v: Views):
     return select.numbered(v.track, ["run"], ["t", "id"]).filter("(rn + 1) % 8 = 0").select("run", "id")
 
 
-@query("VIS1_tracking_gates", "select id, case when conf < 0.06 then 'few_features' when z > 4.5 then 'parallax' when y > 80 then 'reprojection' else 'accepted' end as reason, round(least(1, greatest(0, 0.5 * conf + 0.1 * z)), 6) as quality from pts")
-def vis1(v: Views):
-    rules = [(F.col("conf") < 0.06, "few_features"), (F.col("z") > 4.5, "parallax"), (F.col("y") > 80, "reprojection")]
-    return rounded(v.pts.select("id", filters.first_reason(rules).alias("reason"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 0.5 * F.col("conf") + 0.1 * F.col("z"))).alias("quality")))
-
-
-@query("VIS2_loop_verification", "select run, i, j, dx >= 0.6 and j - i >= 3 as verified, round(dx / (dx + 1), 6) as quality from edges")
-def vis2(v: Views):
-    return rounded(v.edges.select("run", "i", "j", ((F.col("dx") >= 0.6) & (F.col("j") - F.col("i") >= 3)).alias("verified"), (F.col("dx") / (F.col("dx") + 1)).alias("quality")))
-
-
 def landmark_upkeep(missed_most: int) -> Callable:
     """Observed landmarks gain weight, others that should have been seen miss; too many misses in a row remove them. Returns a row's outcome."""
 
@@ -184,9 +135,3 @@ def landmark_upkeep(missed_most: int) -> Callable:
 def vis3(v: Views):
     rows = v.pts.select(F.col("instance").alias("landmark"), "stamp", "id", (F.col("label") > 2).alias("seen"))
     return folds.fold(rows, ["landmark"], ["stamp", "id"], landmark_upkeep(2), "landmark long, stamp long, id long, seen boolean, weight long, culled boolean").select("id", "weight", "culled")
-
-
-@query("VIS6_match_gates", "select id, round(dx, 6) as dx, conf > 0.07 and abs(dx) < 20 as accepted from (select id, conf, x - 25.3 as dx from pts)")
-def vis6(v: Views):
-    dx = F.col("x") - 25.3
-    return v.pts.select("id", r(dx).alias("dx"), ((F.col("conf") > 0.07) & (F.abs(dx) < 20)).alias("accepted"))

@@ -114,12 +114,6 @@ def snk11(v: Views):
     return sinks.markdown_row(rows, "status", ["a", "b"])
 
 
-@query("SNK13_pair_stages", "select case when dx < 0.5 then 'candidate' when dx < 1 then 'inlier' when dx < 2 then 'applied' else 'outlier' end as stage, loop, count(*) as n from edges group by 1, 2")
-def snk13(v: Views):
-    stage = F.when(F.col("dx") < 0.5, "candidate").when(F.col("dx") < 1, "inlier").when(F.col("dx") < 2, "applied").otherwise("outlier")
-    return v.edges.groupBy(stage.alias("stage"), "loop").agg(F.count("*").alias("n"))
-
-
 @query("SNK14_status_document", """select '{"events":' || count(*) || ',"users":' || count(distinct user_id) || ',"clicks":' || count(*) filter (event_type = 'click') || '}' as document from events""")
 def snk14(v: Views):
     return sinks.status_document(v.events, [], {"events": "count(*)", "users": "count(distinct user_id)", "clicks": "count_if(event_type = 'click')"})

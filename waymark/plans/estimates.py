@@ -15,13 +15,6 @@ FOLD = """with recursive s as (select *, row_number() over (partition by run ord
   select {out} from f"""
 
 
-@query("EST1_inertial_propagation")
-def est1(v: Views):
-    rows = v.imu.select("run", "id", "t", (F.col("w") / 50).alias("w"), (F.col("w") - 0.25).alias("a"))
-    out = folds.fold(rows, ["run"], ["t", "id"], estimate.inertial("t"), "run long, id long, t long, w double, a double, yaw double, v double, px double, py double, var double")
-    return rounded(out.select("id", "yaw", "v", "px", "py", "var"))
-
-
 @query("EST2_constant_velocity")
 def est2(v: Views):
     out = folds.fold(v.track.select("run", "id", "t", "x", "y"), ["run"], ["t", "id"], estimate.constant_velocity("t", 500), "run long, id long, t long, x double, y double, px double, py double, used string")
@@ -43,17 +36,6 @@ def est3(v: Views):
     return rounded(rows.select("id", (F.col("v") + F.col("px") - F.col("xe")).alias("x")), 5)
 
 
-@query("EST4_gated_update")
-def est4(v: Views):
-    out = folds.fold(v.track.select("run", "id", "t", "v"), ["run"], ["t", "id"], estimate.scalar_update("v", 20, 100, 9), "run long, id long, t long, v double, state double, nis double, accepted boolean")
-    return rounded(out.select("id", "state", "nis", "accepted"), 5)
-
-
-@query("EST5_wheel_gates", "select id, v * v / (v + 4) <= 40 as accepted, round(v * 0.1 / (v + 4), 6) as gain from track")
-def est5(v: Views):
-    return rounded(v.track.select("id", (F.col("v") * F.col("v") / (F.col("v") + 4) <= 40).alias("accepted"), (F.col("v") * 0.1 / (F.col("v") + 4)).alias("gain")))
-
-
 @query("EST7_voxel_update")
 def est7(v: Views):
     rows = grid.with_cells(v.pts, 16).select("ix", "iy", "iz", "id", "x", "y", "z")
@@ -108,12 +90,3 @@ def est13(v: Views):
     rows = v.track.select("run", "id", "t", (F.col("v") / 40 - 1).alias("r"))
     out = folds.fold(rows, ["run"], ["t", "id"], estimate.height_controller("r", 0.2, 0.3, 2), "run long, id long, t long, r double, correction double, streak long")
     return rounded(out.select("id", "correction", "streak"))
-
-
-@query("OPT12_window_solution", "select run, k, round(sum(d) over (partition by run order by k) - d, 5) as x from ranked where run in (select run from ranked group by run having count(*) between 2 and 5)")
-def opt12(v: Views):
-    from waymark.operators import graph
-
-    few = v.ranked.groupBy("run").agg(F.count("*").alias("n")).filter("n between 2 and 5").select("run")
-    edges = v.edges.join(few, "run").select("run", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "dx", "loop").filter("not loop")
-    return rounded(graph.solve_chain(edges, ["run"]), 5)

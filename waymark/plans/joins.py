@@ -95,60 +95,65 @@ def jn13(v: Views):
     return rounded(rows.select("id", c.alias("c")).join(v.track.select("id", "x"), "id").select("id", (F.col("x") + F.col("c")).alias("x")), 5)
 
 
-A, B = "(select * from pts where frame = 1)", "(select * from pts where frame = 2)"
-NN = "select id, other, d from (select a.id, b.id as other, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) as d, row_number() over (partition by a.id order by sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)), b.id) as rn from {a} a join {b} b on a.label = b.label and sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) < 15) k where rn = 1"
+#: Points of each frame, and those of the next one, by the number of the pair.
+A, B = "(select *, frame as pair from pts)", "(select *, frame - 1 as pair from pts where frame > 0)"
+NN = "select pair, id, other, d from (select a.pair, a.id, b.id as other, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) as d, row_number() over (partition by a.pair, a.id order by sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)), b.id) as rn from {a} a join {b} b on a.pair = b.pair and a.label = b.label and sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) < 15) k where rn = 1"
 
 
-def frame(v: Views, k: int, name: str = "id"):
-    return v.pts.filter(F.col("frame") == k).select(F.col("id").alias(name), "x", "y", "z", "label", "conf")
+def frames(v: Views, later: int, name: str = "id"):
+    """Points by pair of frames: of the earlier (0) or the later one (1)."""
+    return v.pts.filter(F.col("frame") >= later).select((F.col("frame") - later).alias("pair"), F.col("id").alias(name), "x", "y", "z", "label", "conf")
 
 
 @query("JN14_grid_nearest", f"select id, other, round(d, 6) as distance from ({NN.format(a=A, b=B)})")
 def jn14(v: Views):
-    return rounded(near.grid_nearest(frame(v, 1), frame(v, 2, "other"), 15, "id", "other", same=["label"]))
+    return rounded(near.grid_nearest(frames(v, 0), frames(v, 1, "other"), 15, "id", "other", ["pair"], ["label"]))
 
 
-MNN = f"select p.id, p.other, p.d from ({NN.format(a=A, b=B)}) p join ({NN.format(a=B, b=A)}) q on p.id = q.other and p.other = q.id"
+MNN = f"select p.pair, p.id, p.other, p.d from ({NN.format(a=A, b=B)}) p join ({NN.format(a=B, b=A)}) q on p.pair = q.pair and p.id = q.other and p.other = q.id"
+
+
+def mutual(v: Views):
+    return near.mutual_nearest(frames(v, 0), frames(v, 1, "other"), 15, "id", "other", ["pair"], ["label"])
 
 
 @query("JN15_mutual_nearest", f"select id, other, round(d, 6) as distance from ({MNN})")
 def jn15(v: Views):
-    return rounded(near.mutual_nearest(frame(v, 1), frame(v, 2, "other"), 15, "id", "other", same=["label"]))
+    return rounded(mutual(v))
 
 
 @query("JN16_anchor_match", f"select id, other, round(d, 6) as distance from (select *, row_number() over (partition by other order by d, id) as rn from ({MNN})) where rn = 1 and d < 10")
 def jn16(v: Views):
-    m = near.mutual_nearest(frame(v, 1), frame(v, 2, "other"), 15, "id", "other", same=["label"]).filter("distance < 10")
-    return rounded(select.top_k(m, 1, ["other"], ["distance", "id"]))
+    return rounded(select.top_k(mutual(v).filter("distance < 10"), 1, ["other"], ["distance", "id"]))
 
 
-LC = "select label, cast(floor(x / 10) as bigint) as ix, cast(floor(y / 10) as bigint) as iy, count(*) as n from pts where frame {f} group by all"
+LC = "select pair, label, cast(floor(x / 10) as bigint) as ix, cast(floor(y / 10) as bigint) as iy, count(*) as n from {f} f group by all"
 
 
-@query("JN17_labelled_cell", f"""select a.label, a.ix, a.iy, b.ix as bx, b.iy as b_y from ({LC.format(f='= 1')}) a join ({LC.format(f='= 2')}) b on a.label = b.label and abs(a.ix - b.ix) <= 1 and abs(a.iy - b.iy) <= 1
-  qualify row_number() over (partition by a.label, a.ix, a.iy order by (a.ix-b.ix)*(a.ix-b.ix) + (a.iy-b.iy)*(a.iy-b.iy), b.iy, b.ix) = 1""")
+@query("JN17_labelled_cell", f"""select a.pair, a.label, a.ix, a.iy, b.ix as bx, b.iy as b_y from ({LC.format(f=A)}) a join ({LC.format(f=B)}) b on a.pair = b.pair and a.label = b.label and abs(a.ix - b.ix) <= 1 and abs(a.iy - b.iy) <= 1
+  qualify row_number() over (partition by a.pair, a.label, a.ix, a.iy order by (a.ix-b.ix)*(a.ix-b.ix) + (a.iy-b.iy)*(a.iy-b.iy), b.iy, b.ix) = 1""")
 def jn17(v: Views):
     from waymark.operators.grid import neighbours, with_cells
 
-    cells = lambda k: with_cells(frame(v, k), 10, ("x", "y")).groupBy("label", "ix", "iy").agg(F.count("*").alias("n"))
-    a = neighbours(cells(1).select("label", "ix", "iy", F.col("ix").alias("ax"), F.col("iy").alias("ay")), 1)
-    pairs = a.join(cells(2).select("label", "ix", "iy"), ["label", "ix", "iy"])
+    cells = lambda k: with_cells(frames(v, k), 10, ("x", "y")).groupBy("pair", "label", "ix", "iy").agg(F.count("*").alias("n"))
+    a = neighbours(cells(0).select("pair", "label", "ix", "iy", F.col("ix").alias("ax"), F.col("iy").alias("ay")), 1)
+    pairs = a.join(cells(1).select("pair", "label", "ix", "iy"), ["pair", "label", "ix", "iy"])
     d2 = (F.col("ax") - F.col("ix")) ** 2 + (F.col("ay") - F.col("iy")) ** 2
-    best = pairs.groupBy("label", "ax", "ay").agg(F.min(F.struct(d2.alias("d2"), "iy", "ix")).alias("m"))
-    return best.select("label", F.col("ax").alias("ix"), F.col("ay").alias("iy"), F.col("m.ix").alias("bx"), F.col("m.iy").alias("b_y"))
+    best = pairs.groupBy("pair", "label", "ax", "ay").agg(F.min(F.struct(d2.alias("d2"), "iy", "ix")).alias("m"))
+    return best.select("pair", "label", F.col("ax").alias("ix"), F.col("ay").alias("iy"), F.col("m.ix").alias("bx"), F.col("m.iy").alias("b_y"))
 
 
-@query("JN18_mature_anchor", f"""with b as (select *, row_number() over (partition by label order by id) as age from {B}) select a.id, b.id as anchor from {A} a join b on a.label = b.label and b.age >= 2 and b.conf >= 0.06 and sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) < 25
+@query("JN18_mature_anchor", f"""with b as (select *, row_number() over (partition by pair, label order by id) as age from {B} f) select a.id, b.id as anchor from {A} a join b on a.pair = b.pair and a.label = b.label and b.age >= 2 and b.conf >= 0.06 and sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) < 25
   qualify row_number() over (partition by a.id order by sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)), b.id) = 1""")
 def jn18(v: Views):
-    anchors = select.numbered(frame(v, 2, "anchor"), ["label"], ["anchor"]).filter("rn >= 1 and conf >= 0.06")
-    return near.grid_nearest(frame(v, 1), anchors, 25, "id", "anchor", same=["label"]).select("id", "anchor")
+    anchors = select.numbered(frames(v, 1, "anchor"), ["pair", "label"], ["anchor"]).filter("rn >= 1 and conf >= 0.06")
+    return near.grid_nearest(frames(v, 0), anchors, 25, "id", "anchor", ["pair"], ["label"]).select("id", "anchor")
 
 
-@query("JN19_nearest_cell", """select p.id, r.ix, r.iy, (r.ix-p.ix)*(r.ix-p.ix) + (r.iy-p.iy)*(r.iy-p.iy) as d2 from (select id, cast(floor(x) as bigint) as ix, cast(floor(y / 5) as bigint) as iy from pts where frame < 8) p join (select * from raster where occ > 0.5) r on abs(r.ix-p.ix) <= 2 and abs(r.iy-p.iy) <= 2
+@query("JN19_nearest_cell", """select p.id, r.ix, r.iy, (r.ix-p.ix)*(r.ix-p.ix) + (r.iy-p.iy)*(r.iy-p.iy) as d2 from (select id, cast(floor(x) as bigint) as ix, cast(floor(y / 5) as bigint) as iy from pts) p join (select * from raster where occ > 0.5) r on abs(r.ix-p.ix) <= 2 and abs(r.iy-p.iy) <= 2
   qualify row_number() over (partition by p.id order by d2, r.iy, r.ix) = 1""")
 def jn19(v: Views):
-    points = v.pts.filter("frame < 8").select("id", scalars.cell(F.col("x"), 1).alias("ix"), scalars.cell(F.col("y"), 5).alias("iy"))
+    points = v.pts.select("id", scalars.cell(F.col("x"), 1).alias("ix"), scalars.cell(F.col("y"), 5).alias("iy"))
     return near.nearest_cell(points, v.raster.filter("occ > 0.5"), 2, "id")
 
 
@@ -221,21 +226,13 @@ def jn29(v: Views):
     return rounded(rows.groupBy("frame").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("coverage"), F.avg(F.coalesce((F.col("label") > 0).cast("int"), F.lit(0))).alias("known")))
 
 
-REMAP = {0: 0, 1: 40, 2: 48, 3: 50, 4: 70, 5: 10, 6: 99}
-
-
-@query("JN30_label_remap", "select id, case label when 0 then 0 when 1 then 40 when 2 then 48 when 3 then 50 when 4 then 70 when 5 then 10 else 99 end as label from pts")
-def jn30(v: Views):
-    table = v.spark.createDataFrame(list(REMAP.items()), "label int, raw int")  # seven rows
-    return v.pts.select("id", "label").join(F.broadcast(table), "label", "left").select("id", F.col("raw").alias("label"))
-
-
-@query("OPT9_height_consensus", f"""with m as ({MNN}), h as (select p.id, a.z - b.z as dz from m p join pts a on a.id = p.id join pts b on b.id = p.other), c as (select median(dz) as m from h where abs(dz) < 4), i as (select dz, m from h, c where abs(dz - m) < 1.5), f as (select median(dz) as f, count(*) as n from i)
-  select round(f, 6) as dz, round((select median(abs(dz - f)) from i), 6) as mad, n, n >= 5 as accepted from f""")
+@query("OPT9_height_consensus", f"""with m as ({MNN}), h as (select m.pair, a.z - b.z as dz from m join pts a on a.id = m.id and a.frame = m.pair join pts b on b.id = m.other and b.frame = m.pair + 1), c as (select pair, median(dz) as m from h where abs(dz) < 4 group by pair),
+  i as (select h.pair, dz from h join c using (pair) where abs(dz) < 4 and abs(dz - m) < 1.5), f as (select pair, median(dz) as f, count(*) as n from i group by pair), d as (select pair, median(abs(dz - f)) as mad from i join f using (pair) group by pair)
+  select pair, round(f, 6) as dz, round(mad, 6) as mad, n, n >= 5 and abs(f) <= 1 and mad <= 1 as accepted from f join d using (pair)""")
 def opt9(v: Views):
-    m = near.mutual_nearest(frame(v, 1), frame(v, 2, "other"), 15, "id", "other", same=["label"])
-    z = m.join(v.pts.select("id", "frame", F.col("z").alias("za")), "id").join(v.pts.select(F.col("id").alias("other"), F.col("z").alias("zb")), "other").select("frame", (F.col("za") - F.col("zb")).alias("dz"))
+    """Height between each frame and the next: median of the mutual matches near the median of all."""
+    z = mutual(v).join(frames(v, 0).select("id", "pair", F.col("z").alias("za")), "id").join(frames(v, 1, "other").select("other", F.col("z").alias("zb")), "other").select("pair", (F.col("za") - F.col("zb")).alias("dz"))
     broad = z.filter("abs(dz) < 4")
-    inner = broad.join(broad.groupBy("frame").agg(F.median("dz").alias("m")), "frame").filter("abs(dz - m) < 1.5").select("frame", "dz")
-    out = stats.median_mad(inner, ["frame"], "dz").join(inner.groupBy("frame").agg(F.count("*").alias("n")), "frame")
-    return out.select(r("median").alias("dz"), r("mad").alias("mad"), "n", (F.col("n") >= 5).alias("accepted"))
+    inner = broad.join(broad.groupBy("pair").agg(F.median("dz").alias("m")), "pair").filter("abs(dz - m) < 1.5").select("pair", "dz")
+    out = stats.median_mad(inner, ["pair"], "dz").join(inner.groupBy("pair").agg(F.count("*").alias("n")), "pair")
+    return out.select("pair", r("median").alias("dz"), r("mad").alias("mad"), "n", ((F.col("n") >= 5) & (F.abs("median") <= 1) & (F.col("mad") <= 1)).alias("accepted"))

@@ -126,19 +126,6 @@ def opt4(v: Views):
     return rounded(hits.groupBy("frame", "c").agg(F.coalesce(score, F.lit(0.0)).alias("score"), F.count("occ").alias("hits")))
 
 
-@query("OPT2_feature_alignment", """with k as (select row_number() over (order by x) - 1 as c, x as dx from (select unnest([-5, 0, 5]) as x)), a as (select id, x, y, label from pts where frame = 1), b as (select id, x, y, label from pts where frame = 2),
-  d as (select c, a.id, min(sqrt((a.x + dx - b.x)*(a.x + dx - b.x) + (a.y - b.y)*(a.y - b.y))) as d from a, k join b on a.label = b.label and sqrt((a.x + dx - b.x)*(a.x + dx - b.x) + (a.y - b.y)*(a.y - b.y)) < 20 group by c, a.id)
-  select c, round(sum(exp(-d / 8)), 6) as score, count(*) as matched from d group by c""")
-def opt2(v: Views):
-    from waymark.operators import near
-
-    shifts = F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("c"), F.lit(float(x)).alias("dx")) for k, x in enumerate((-5, 0, 5))])).alias("k")
-    a = v.pts.filter("frame = 1").select("id", "x", "y", "label", shifts).select(F.concat_ws(":", "id", "k.c").alias("aid"), "k.c", (F.col("x") + F.col("k.dx")).alias("x"), "y", "label")
-    b = v.pts.filter("frame = 2").select(F.col("id").alias("bid"), "x", "y", "label")
-    found = near.grid_nearest(a, b, 20, "aid", "bid", same=["label"]).join(a.select("aid", "c"), "aid")
-    return rounded(found.groupBy("c").agg(F.sum(F.exp(-F.col("distance") / 8)).alias("score"), F.count("*").alias("matched")))
-
-
 @query("OPT5_edge_chamfer", """with e as (select ix, iy from raster where occ > 0.9), k as (select unnest([-1, 0, 1]) as s), q as (select s, ix + s as ix, iy from raster, k where occ between 0.6 and 0.9),
   d as (select q.s, q.ix, q.iy, least(4, coalesce(min(sqrt((q.ix-e.ix)*(q.ix-e.ix) + (q.iy-e.iy)*(q.iy-e.iy))), 4)) as d from q left join e on abs(q.ix - e.ix) <= 4 and abs(q.iy - e.iy) <= 4 group by all)
   select s, round(avg(d), 6) as chamfer, round(quantile_cont(d, 0.9), 6) as p90 from d group by s""")
@@ -148,40 +135,6 @@ def opt5(v: Views):
     return rounded(q.join(d, ["ix", "iy"]).groupBy("s").agg(F.avg("distance").alias("chamfer"), F.percentile("distance", 0.9).alias("p90")))
 
 
-RANSAC = f"""with p as (select *, x as id from (select frame, w, sx, sy, tx, ty, id as x from (select p.*, q.id from ({PAIRS.replace('select frame,', 'select id, frame,')}) p join pts q on p.id = q.id))),
-  f as (select *, row_number() over w as h, lead(sx) over w as sx2, lead(sy) over w as sy2, lead(tx) over w as tx2, lead(ty) over w as ty2 from p window w as (partition by frame order by id)),
-  g as (select frame, h, sx, sy, tx, ty, atan2((sx2-sx)*(ty2-ty) - (sy2-sy)*(tx2-tx), (sx2-sx)*(tx2-tx) + (sy2-sy)*(ty2-ty)) as yaw from f where h <= 12 and sx2 is not null and (sx2-sx)*(sx2-sx) + (sy2-sy)*(sy2-sy) > 1),
-  y as (select frame, h, yaw, tx - (cos(yaw)*sx - sin(yaw)*sy) as dx, ty - (sin(yaw)*sx + cos(yaw)*sy) as dy from g),
-  c as (select p.frame, h, sum(cast((cos(yaw)*p.sx - sin(yaw)*p.sy + dx - p.tx)*(cos(yaw)*p.sx - sin(yaw)*p.sy + dx - p.tx) + (sin(yaw)*p.sx + cos(yaw)*p.sy + dy - p.ty)*(sin(yaw)*p.sx + cos(yaw)*p.sy + dy - p.ty) <= 0.002809 as bigint)) as inliers, count(*) as n from p join y on p.frame = y.frame group by p.frame, h)
-  select frame, cast(inliers as bigint) as inliers, n from (select *, row_number() over (partition by frame order by inliers desc, h) as rn from c) where rn = 1"""
-
-
-@query("OPT6_ransac", RANSAC.replace("cast((cos", "cast((cos"))
-def opt6(v: Views):
-    rows = v.sql(PAIRS.replace("select frame,", "select id, frame,"))
-    return search.ransac_pairs(rows, ["frame"], "id", 12, 0.053).select("frame", "inliers", "n")
-
-
-@query("OPT7_weighted_inliers", "select frame, round(sum(case when abs(y - m) <= 20 then conf else 0 end) / sum(conf), 6) as share from pts join (select frame, median(y) as m from pts group by frame) using (frame) group by frame")
-def opt7(v: Views):
-    middle = v.pts.groupBy("frame").agg(F.median("y").alias("m"))
-    rows = v.pts.join(middle, "frame")
-    return rounded(rows.groupBy("frame").agg((F.sum(F.when(F.abs(F.col("y") - F.col("m")) <= 20, F.col("conf")).otherwise(0.0)) / F.sum("conf")).alias("share")))
-
-
-def _huber(rounds: int) -> str:
-    sql = "with m0 as (select frame, avg(y) as m from pts group by frame)"
-    for k in range(rounds):
-        w = "case when abs(y - m) <= 15 then 1 else 15 / abs(y - m) end"
-        sql += f", m{k + 1} as (select frame, sum({w} * y) / sum({w}) as m from pts join m{k} using (frame) group by frame)"
-    return f"{sql} select frame, round(m, 5) as m from m{rounds}"
-
-
-@query("AG23_huber_rounds", _huber(3))
-def ag23(v: Views):
-    return rounded(search.huber_shift(v.pts, ["frame"], "y", 15, 3), 5)
-
-
 @query("AG22_kabsch", """with p as (select frame, x as ax, y as ay, z as az, x * cos(0.4) - y * sin(0.4) + 3 as bx, x * sin(0.4) + y * cos(0.4) - 1 as b_y, z + 2 as bz from pts) select frame, round(0.4, 5) as yaw, round(0.4, 5) as angle, round(3.0, 5) as tx, round(-1.0, 5) as ty, round(2.0, 5) as tz from p group by frame having count(*) > 10""")
 def ag22(v: Views):
     c, s = math.cos(0.4), math.sin(0.4)
@@ -190,102 +143,14 @@ def ag22(v: Views):
     return rounded(graph.kabsch(graph.cross_sums(pairs, ["frame"]), ["frame"]), 5)
 
 
-@query("AG25_normal_equations", "select frame, round(sum(w), 5) as h00, round(sum(w * x * z), 4) as h01, round(sum(w * x * x), 3) as h11, round(sum(w * e), 5) as g0, count(distinct cast(floor((atan2(y, x) + pi()) / (pi() / 4)) as bigint)) as sectors from (select frame, x, y, z, z - 0.1 * x as e, case when abs(z - 0.1 * x) <= 1 then 1 else 1 / abs(z - 0.1 * x) end as w from pts) group by frame")
-def ag25(v: Views):
-    rows = v.pts.withColumn("e", F.col("z") - 0.1 * F.col("x")).withColumn("w", scalars.huber_weight(F.col("e"), 1))
-    sector = F.floor((F.atan2("y", "x") + math.pi) / (math.pi / 4))
-    return rows.groupBy("frame").agg(r(F.sum("w"), 5).alias("h00"), r(F.sum(F.col("w") * F.col("x") * F.col("z")), 4).alias("h01"), r(F.sum(F.col("w") * F.col("x") ** 2), 3).alias("h11"), r(F.sum(F.col("w") * F.col("e")), 5).alias("g0"), F.countDistinct(sector).alias("sectors"))
-
-
-@query("AG26_photometric_equations", "select frame, count(*) as n, round(corr(x, y), 6) as ncc, round(sum((x - y)*(x - y)), 3) as cost from pts group by frame having corr(x, y) > -0.5 and count(*) > 20")
-def ag26(v: Views):
-    out = v.pts.groupBy("frame").agg(F.count("*").alias("n"), F.corr("x", "y").alias("ncc"), F.sum((F.col("x") - F.col("y")) ** 2).alias("cost")).filter("ncc > -0.5 and n > 20")
-    return out.select("frame", "n", r("ncc").alias("ncc"), r("cost", 3).alias("cost"))
-
-
-@query("JN20_local_planes", "select cast(floor(x / 20) as bigint) as ix, cast(floor(y / 40) as bigint) as iy, count(*) as n, round(var_pop(x) + var_pop(y) + var_pop(z), 3) as total from pts group by all having count(*) >= 5")
-def jn20(v: Views):
-    rows = v.pts.select(scalars.cell(F.col("x"), 20).alias("ix"), scalars.cell(F.col("y"), 40).alias("iy"), "x", "y", "z")
-    return graph.planes(rows, ["ix", "iy"], 5).select("ix", "iy", "n", r(F.col("l0") + F.col("l1") + F.col("l2"), 3).alias("total"))
-
-
-@query("JN21_plane_strategies")
-def jn21(v: Views):
-    rows = v.pts.select(scalars.cell(F.col("x"), 10).alias("ix"), scalars.cell(F.col("y"), 20).alias("iy"), "x", "y", "z")
-    fine = graph.planes(rows, ["ix", "iy"], 5).filter("valid").select("ix", "iy", F.col("nz").alias("fine"))
-    wide = graph.planes(grid.neighbours(rows, 1), ["ix", "iy"], 12).filter("valid").select("ix", "iy", F.col("nz").alias("wide"))
-    cells_ = rows.select("ix", "iy").distinct().join(fine, ["ix", "iy"], "left").join(wide, ["ix", "iy"], "left")
-    return cells_.select("ix", "iy", F.coalesce("fine", "wide").alias("nz"), F.when(F.col("fine").isNotNull(), "voxel").when(F.col("wide").isNotNull(), "neighbours").otherwise("none").alias("strategy"))
-
-
 # graphs
 
-def _relaxed(rounds: int) -> str:
-    sql = "with n as (select run, k, sum(d) over (partition by run order by k) - d as x from ranked), v0 as (select run, k, x * 1.01 + (k % 3) * 0.2 as x from n)"
-    for t in range(rounds):
-        sql += f""", m{t} as (select e.run, e.i, e.j, case when e.loop then 0.5 else 1 end as w, a.x + e.dx - b.x as m from edges e join v{t} a on a.run = e.run and a.k = e.i join v{t} b on b.run = e.run and b.k = e.j),
-        p{t} as (select run, k, sum(w * m) / sum(w) as pull from (select run, j as k, w, m from m{t} union all select run, i, w, -m from m{t}) group by run, k),
-        v{t + 1} as (select v.run, v.k, case when v.k = 1 then v.x else v.x + greatest(-0.5, least(0.5, 0.4 * coalesce(pull, 0))) end as x from v{t} v left join p{t} p on p.run = v.run and p.k = v.k)"""
-    return f"{sql} select run, k, round(x, 6) as x from v{rounds}"
-
-
-def vertices(v: Views):
-    return v.sql("select run, cast(k as bigint) as k, (sum(d) over (partition by run order by k) - d) * 1.01 + (k % 3) * 0.2 as x from ranked")
-
-
-@query("OPT11_relaxation", _relaxed(3))
-def opt11(v: Views):
-    e = v.edges.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long"))
-    return rounded(graph.relax(vertices(v), e, ["run"], 3, 0.4, 0.5, 0.5))
-
-
-@query("OPT13_graph_solution")
-def opt13(v: Views):
-    return rounded(graph.solve_chain(v.edges.withColumn("i", F.col("i").cast("long")).withColumn("j", F.col("j").cast("long")), ["run"]))
-
-
-@query("OPT14_factors", "select run, i, j, round(0.05 + 0.02 * abs(dx), 6) as sigma_x, case when loop then 1000.0 else 0.1 end as sigma_z, case when loop then 'huber' else 'none' end as kernel from edges")
-def opt14(v: Views):
-    return rounded(v.edges.select("run", "i", "j", (0.05 + 0.02 * F.abs("dx")).alias("sigma_x"), F.when(F.col("loop"), 1000.0).otherwise(0.1).alias("sigma_z"), F.when(F.col("loop"), "huber").otherwise("none").alias("kernel")))
-
-
-@query("OPT15_loop_admission", f"""with c as (select run, i, j, dx, case when dx < 0.3 then 'quality' when j - i < 2 then 'time_gap' when j % 7 = 0 then 'disagreement' else 'accepted' end as reason from edges) select run, i, j, reason from c""")
-def opt15(v: Views):
-    rules = [(F.col("dx") < 0.3, "quality"), (F.col("j") - F.col("i") < 2, "time_gap"), (F.col("j") % 7 == 0, "disagreement")]
-    return v.edges.select("run", "i", "j", filters.first_reason(rules).alias("reason"))
-
-
-@query("OPT16_best_reference", "select run, j, i, kind from (select run, j, i, case when dx > 1.5 then 'xy' when dx > 0.7 then 'z' else 'none' end as kind, row_number() over (partition by run, j order by case when dx > 1.5 then 0 when dx > 0.7 then 1 else 2 end, dx desc, i) as rn from edges) where rn = 1 and kind <> 'none'")
-def opt16(v: Views):
-    rank = F.when(F.col("dx") > 1.5, 0).when(F.col("dx") > 0.7, 1).otherwise(2)
-    rows = v.edges.withColumn("rank", rank).withColumn("kind", F.element_at(F.array(F.lit("xy"), F.lit("z"), F.lit("none")), F.col("rank") + 1))
-    return select.top_k(rows, 1, ["run", "j"], ["rank", F.desc("dx"), "i"]).filter("kind <> 'none'").select("run", "j", "i", "kind")
-
-
-@query("OPT17_loop_ambiguity", "with o as (select run, j, i, dx, row_number() over (partition by run, j order by dx desc, i) as rn from edges) select a.run, a.j, a.i as best, round((a.dx - b.dx) / a.dx, 6) as gap, (a.dx - b.dx) / a.dx >= 0.2 as clear from o a join o b on a.run = b.run and a.j = b.j and a.rn = 1 and b.rn = 2")
-def opt17(v: Views):
-    two = select.best_and_second(v.edges.select("run", "j", "i", "dx"), ["run", "j"], "dx", "i").filter("second_score is not null")
-    gap = F.col("gap") / F.col("best_score")
-    return two.select("run", "j", "best", r(gap).alias("gap"), (gap >= 0.2).alias("clear"))
-
-
-@query("OPT18_consistency", "select run, i, j, abs(dx - 1.2) <= 0.9 and j - i <= 5 as consistent from edges")
-def opt18(v: Views):
-    return v.edges.select("run", "i", "j", ((F.abs(F.col("dx") - 1.2) <= 0.9) & (F.col("j") - F.col("i") <= 5)).alias("consistent"))
-
-
 @query("OPT19_loop_weight", "select run, i, j, round(greatest(0.2, least(1, dx / 3)) * greatest(0.3, least(1, 1 / (1 + cast(j - i as double)))), 6) as weight from edges where loop")
 def opt19(v: Views):
     weight = scalars.clamp(F.col("dx") / 3, 0.2, 1) * scalars.clamp(1 / (1 + (F.col("j") - F.col("i")).cast("double")), 0.3, 1)
     return rounded(v.edges.filter("loop").select("run", "i", "j", weight.alias("weight")))
 
 
-@query("OPT20_correction", """with k as (select run, arg_max(x, (t, id)) as lx, arg_max(v, (t, id)) as lv from track where id % 10 = 0 group by run) select t.id, round(t.x + lv - lx / 100, 5) as x from track t join k using (run)""")
-def opt20(v: Views):
-    last = v.track.filter("id % 10 = 0").groupBy("run").agg(*[F.max_by(c, F.struct("t", "id")).alias(f"l{c}") for c in ("x", "v")])
-    return rounded(v.track.join(last, "run").select("id", (F.col("x") + F.col("lv") - F.col("lx") / 100).alias("x")), 5)
-
-
 @query("EST15_rebuilt_map", "select frame, id, round(x * cos(frame / 10.0) - y * sin(frame / 10.0) + frame, 5) as x, round(x * sin(frame / 10.0) + y * cos(frame / 10.0) - frame, 5) as y from pts")
 def est15(v: Views):
     poses = v.pts.select("frame").distinct().select("frame", F.cos(F.col("frame") / 10).alias("c"), F.sin(F.col("frame") / 10).alias("s"))

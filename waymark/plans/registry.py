@@ -11,7 +11,7 @@ from waymark.plans.views import Views, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-MODULES = ["clouds", "joins", "windows", "rasters", "estimates", "documents", "streams", "composites"]
+MODULES = ["clouds", "joins", "windows", "rasters", "estimates", "documents", "streams", "composites", "graphs", "registrations", "inertia", "acceptance"]
 
 
 def query(name: str, sql: str | None = None) -> Callable:

@@ -34,6 +34,16 @@ SQL = {
     "geo": """select s_suppkey as id, s_acctbal / 200 as lat, s_suppkey * 0.001 as lon, s_acctbal / 10 as alt from supplier""",
     # pose-graph edges: orders of a customer in turn
     "ranked": """select o_custkey as run, cast(row_number() over (partition by o_custkey order by o_orderdate, o_orderkey) as bigint) as k, o_totalprice / 99991.0 as d from orders""",
+    # keyframes: raw poses that drift, and poses that a graph gives them
+    "kf": """select run, k, k * 2000000 as t, s + 0.03 * k as x, sin(k / 3.0) + 0.02 * k as y, 0.01 * k as z, 0.1 * sin(k / 2.0) + 0.004 * k as yaw,
+        s as gx, sin(k / 3.0) as gy, cast(0 as double) as gz, 0.1 * sin(k / 2.0) as gyaw from (select run, k, sum(d) over (partition by run order by k rows between unbounded preceding and current row) - d as s from ranked) q""",
+    # proposals of loops: reference i, current j, both poses, a measured pose near the graph's
+    "loops": """select e.run, e.i, e.j, a.t as t_ref, b.t as t_cur, a.x as ax, a.y as ay, a.z as az, a.yaw as ayaw, b.x as bx, b.y as b_y, b.z as bz, b.yaw as byaw,
+        a.gx as gax, a.gy as gay, a.gz as gaz, a.gyaw as gayaw, b.gx as gbx, b.gy as gby, b.gz as gbz, b.gyaw as gbyaw,
+        cos(a.gyaw) * (b.gx - a.gx) + sin(a.gyaw) * (b.gy - a.gy) + ((e.run * 31 + e.i * 17 + e.j * 13) % 41 - 20) / 25.0 as mx, cos(a.gyaw) * (b.gy - a.gy) - sin(a.gyaw) * (b.gx - a.gx) + ((e.run * 7 + e.i * 5 + e.j * 3) % 41 - 20) / 50.0 as my,
+        b.gz - a.gz + ((e.run * 3 + e.i) % 21 - 10) / 40.0 as mz, b.gyaw - a.gyaw + ((e.run + e.i * 7) % 21 - 10) / 100.0 as myaw,
+        ((e.run * 11 + e.i * 3 + e.j) % 20) / 20.0 as quality
+        from edges e join kf a on a.run = e.run and a.k = e.i join kf b on b.run = e.run and b.k = e.j where e.loop""",
     "edges": """select a.run, a.k as i, b.k as j, a.d as dx, b.k - a.k > 1 as loop from ranked a join ranked b on a.run = b.run and b.k in (a.k + 1, a.k + 5)""",
 }
 

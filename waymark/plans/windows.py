@@ -88,9 +88,12 @@ def wn8(v: Views):
     return windows.monotonic(v.track.withColumn("arrival", -F.col("id")), ["run"], ["arrival"], "t").select("run", "id")
 
 
-@query("WN9_dedupe", f"select run, id from (select run, id, t - lag(t) over {W} as d from track) where d is null or d > {H}")
+@query("WN9_dedupe", f"""with recursive s as (select run, id, t, row_number() over (partition by run order by t, id) as n from track),
+  f as (select run, n, id, t as last, cast(0 as bigint) as dropped, true as kept, cast(0 as bigint) as before from s where n = 1 union all
+    select s.run, s.n, s.id, case when s.t - f.last > {H} then s.t else f.last end, case when s.t - f.last > {H} then 0 else f.dropped + 1 end, s.t - f.last > {H}, f.dropped from f join s on s.run = f.run and s.n = f.n + 1)
+  select run, id, before as dropped from f where kept""")
 def wn9(v: Views):
-    return windows.dedupe_by_time(v.track, ["run"], ["t", "id"], "t", H).select("run", "id")
+    return windows.dedupe_by_time(v.track.select("run", "id", "t"), ["run"], ["t", "id"], "t", H).select("run", "id", "dropped")
 
 
 @query("WN10_voxel_ring", "select id from (select id, row_number() over (partition by cast(floor(x / 8) as bigint), cast(floor(y / 8) as bigint) order by id desc) as n from pts) where n <= 3")

@@ -83,3 +83,16 @@ def pixel_position(u: Column, v: Column, width: int, height: int, east: tuple[fl
     fu = (clamp(u, 0, width - 1) + 0.5) / width
     fv = (clamp(v, 0, height - 1) + 0.5) / height
     return east[0] + fu * (east[1] - east[0]), north[1] - fv * (north[1] - north[0])
+
+
+def packed_points(packets: DataFrame, keys: list[str], order: list[str], stride: int, least: float, most: float) -> DataFrame:
+    """Points of a packed sensor: every stride-th of a packet whose range lies between least and most, with intensity from reflectivity, line, its offset from the packet's stamp in nanoseconds, and its own time in microseconds.
+
+    Packets are (keys, order, x, y, z, reflectivity, line, offset_time, stamp). The stride counts
+    points before the range gate, as the sensor sends them.
+    """
+    from waymark.operators.select import every_nth
+
+    r2 = F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2
+    rows = every_nth(packets, stride, keys, order).filter(r2.between(least * least, most * most))
+    return rows.withColumnRenamed("reflectivity", "intensity").withColumn("t", F.col("stamp") + F.floor(F.col("offset_time") / 1000).cast("long"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from waymark.operators import asof, backend, filters, folds, graph, raster, search, select
+from waymark.operators import asof, backend, equations, estimate, folds, raster, registration, select
 from waymark.plans.clouds import r, rounded
 from waymark.plans.registry import query
 from waymark.plans.views import Views
@@ -25,7 +25,9 @@ def fil23(v: Views):
     return rounded(near.select("id", (F.col("x") - F.col("x0")).alias("east"), (F.col("y") - F.col("y0")).alias("north"), F.col("match_w").alias("yaw"), F.when(F.col("id") % 5 == 0, 100.0).otherwise(0.04).alias("variance")))
 
 
-@query("SNK6_pose_recorder")
+@query("SNK6_pose_recorder", f"""with recursive s as (select *, row_number() over (partition by run order by t, id) as n from track),
+  f as (select run, n, id, t as last, true as kept, t, x, y from s where n = 1 union all select s.run, s.n, s.id, case when s.t - f.last >= {20 * H} then s.t else f.last end, s.t - f.last >= {20 * H}, s.t, s.x, s.y from f join s on s.run = f.run and s.n = f.n + 1)
+  select run, id, printf('%.3f', t / 1000000.0) || chr(9) || printf('%.4f', x) || chr(9) || printf('%.4f', y) as line from f where kept""")
 def snk6(v: Views):
     kept = folds.fold(v.track.select("run", "id", "t", "x", "y"), ["run"], ["t", "id"], folds.rate_gate("t", 20 * H), "run long, id long, t long, x double, y double")
     return kept.select("run", "id", F.concat_ws("\t", F.format_string("%.3f", F.col("t") / 1e6), F.format_string("%.4f", "x"), F.format_string("%.4f", "y")).alias("line"))
@@ -65,37 +67,19 @@ def udf2(v: Views):
     return requests.select("id").join(back, "id")
 
 
-def planar_controller(alpha: float, most: float, needed: int) -> Callable:
-    """Correction (cx, cy) that follows residuals (x, y) that agree for a while, by limited steps."""
-
-    def start():
-        def step(state, row):
-            cx, cy, streak, last = state
-            ex, ey = row["x"] - cx, row["y"] - cy
-            agrees = last is not None and ex * last[0] + ey * last[1] > 0
-            streak = streak + 1 if agrees else 1
-            if streak >= needed:
-                cx += max(-most, min(most, alpha * ex))
-                cy += max(-most, min(most, alpha * ey))
-            return (cx, cy, streak, (ex, ey)), [{**row, "cx": cx, "cy": cy, "streak": streak}]
-
-        return (0.0, 0.0, 0, None), step
-
-    return start
-
-
 @query("EST14_planar_controller")
 def est14(v: Views):
-    out = folds.fold(v.track.select("run", "id", "t", "x", "y"), ["run"], ["t", "id"], planar_controller(0.3, 5.0, 2), "run long, id long, t long, x double, y double, cx double, cy double, streak long")
-    return rounded(out.select("id", "cx", "cy", "streak"), 5)
-
-
-def pair_frames(v: Views):
-    """Points of even frames, and the same of the next frame number, as (pair, points)."""
-    a = v.pts.filter("frame % 2 = 0 and frame < 16").select(F.col("frame").alias("pair"), "id", "x", "y", "label")
-    b = v.pts.filter("frame % 2 = 0 and frame < 16 and id % 5 <> 0").select(F.col("frame").alias("pair"), F.col("id").alias("other"), (F.cos(F.lit(0.02)) * F.col("x") - F.sin(F.lit(0.02)) * F.col("y") + 0.5).alias("x"), (F.sin(F.lit(0.02)) * F.col("x") + F.cos(F.lit(0.02)) * F.col("y") - 0.3).alias("y"), "label")
-    start = a.select("pair").distinct().select("pair", *[F.lit(0.0).alias(c) for c in ("yaw", "dx", "dy")])
-    return a, b, start
+    """Corrections of four runs: each frame's consensus, its robust fit over the inliers, then the controller."""
+    turn = (F.col("frame") % 16) * 0.002
+    x, y = F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y") + 0.5 + (F.col("frame") % 8) * 0.1, F.sin(turn) * F.col("x") + F.cos(turn) * F.col("y") - 0.4
+    rows = v.pts.select("frame", "id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.when(F.col("id") % 3 == 0, x + 3 + F.col("z")).otherwise(x).alias("tx"), y.alias("ty"), F.col("conf").alias("w"))
+    marked = registration.weighted_consensus(rows, ["frame"], "id", registration.with_gates(hypotheses=150, inlier=0.3, max_yaw=0.2))
+    counts = marked.groupBy("frame").agg(F.count("*").alias("n"), F.count_if("inlier").alias("inliers"))
+    inliers = rows.join(marked.filter("inlier").select("frame", "id"), ["frame", "id"])
+    fits = equations.planar_rounds(inliers, ["frame"], 0.3, 3)
+    frames = counts.join(fits, "frame", "left").select((F.col("frame") % 4).alias("run"), F.col("frame").alias("id"), "n", "inliers", *[F.round(c, 6).alias(c) for c in ("yaw", "x", "y")])
+    out = folds.fold(frames, ["run"], ["id"], estimate.plane_controller(), "run long, id long, n long, inliers long, yaw double, x double, y double, cx double, cy double, ca double, streak long, reason string")
+    return rounded(out.select("id", "cx", "cy", "ca", "streak", "reason"), 4)
 
 
 @query("ST2_idle_flush", f"select run, count(*) as n, cast(sum(cast(coalesce(d > {40 * H}, true) as bigint)) as bigint) as flushes from (select run, lead(t) over (partition by run order by t, id) - t as d from track) group by run")
@@ -131,7 +115,10 @@ def landmark_upkeep(missed_most: int) -> Callable:
     return start
 
 
-@query("VIS3_landmark_upkeep")
+@query("VIS3_landmark_upkeep", """with recursive s as (select instance as landmark, id, label > 2 as seen, row_number() over (partition by instance order by stamp, id) as n from pts),
+  f as (select landmark, n, id, case when seen then 1 else 0 end as weight, case when seen then 0 else 1 end as missed, false as culled from s where n = 1 union all
+    select s.landmark, s.n, s.id, case when s.seen then least(10, f.weight + 1) when f.missed + 1 > 2 then 0 else f.weight end, case when s.seen or f.missed + 1 > 2 then 0 else f.missed + 1 end, not s.seen and f.missed + 1 > 2 from f join s on s.landmark = f.landmark and s.n = f.n + 1)
+  select id, cast(weight as bigint) as weight, culled from f""")
 def vis3(v: Views):
     rows = v.pts.select(F.col("instance").alias("landmark"), "stamp", "id", (F.col("label") > 2).alias("seen"))
     return folds.fold(rows, ["landmark"], ["stamp", "id"], landmark_upkeep(2), "landmark long, stamp long, id long, seen boolean, weight long, culled boolean").select("id", "weight", "culled")

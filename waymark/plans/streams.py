@@ -33,8 +33,8 @@ def st4(v: Views):
 
 @query("ST5_lag_drop", f"""with r as ({KINDS}), l as (select *, coalesce(greatest(0, max(t) over (partition by run order by id % 7, id rows between unbounded preceding and 1 preceding) - t), 0) as lag from r) select id, lag, lag <= case kind when 'view' then {20 * H} else {60 * H} end as kept from l""")
 def st5(v: Views):
-    rows = kinds(v).withColumn("arrival", F.col("id") % 7)
-    return folds.fold(rows, ["run"], ["arrival", "id"], queues.late_drop("t", "kind", {"view": 20 * H}, 60 * H), EVENT + ", arrival long, lag long, kept boolean").select("id", "lag", "kept")
+    rows = queues.lag_budget(kinds(v).withColumn("arrival", F.col("id") % 7), ["run"], ["arrival", "id"], "t", "kind", {"view": 20 * H}, 60 * H)
+    return rows.select("id", "lag", "kept")
 
 
 @query("ST6_stale_drop", f"with r as ({KINDS}) select id from (select id, t, max(t) over (partition by run order by id % 7, id rows between unbounded preceding and 1 preceding) as seen from r) where seen is null or t > seen")
@@ -58,7 +58,9 @@ def st9(v: Views):
     return folds.fold(rows, ["run"], ["t", "id"], queues.evicting_state("t", "cell", 200 * H, 6), EVENT + ", cell long, evicted long, why string").select("run", "id", "evicted", "why")
 
 
-@query("ST12_clock_rewind")
+@query("ST12_clock_rewind", f"""with recursive r as ({KINDS}), s as (select run, id, t, row_number() over (partition by run order by id % 7, id) as n from r),
+  f as (select run, n, id, t as last, false as reset, true as kept from s where n = 1 union all select s.run, s.n, s.id, case when s.t < f.last or s.t - f.last >= {20 * H} then s.t else f.last end, s.t < f.last, s.t < f.last or s.t - f.last >= {20 * H} from f join s on s.run = f.run and s.n = f.n + 1)
+  select id, reset from f where kept""")
 def st12(v: Views):
     rows = kinds(v).withColumn("arrival", F.col("id") % 7)
     return folds.fold(rows, ["run"], ["arrival", "id"], queues.rewind_gate("t", 20 * H), EVENT + ", arrival long, reset boolean").select("id", "reset")

@@ -139,7 +139,10 @@ def wn17(v: Views):
     return rounded(folds.fold(track(v), ["run"], ["t", "id"], folds.rate_limited("t", "v", 0.0001, 100 * H, "applied"), TRACK + ", applied double").select("id", "applied"), 5)
 
 
-@query("WN18_grade_limited")
+@query("WN18_grade_limited", """with recursive s as (select *, row_number() over (partition by run order by t, id) as n from track),
+  f as (select run, n, id, x, y, v as z, cast(0 as double) as c from s where n = 1 union all select s.run, s.n, s.id, s.x, s.y, p.prior, case when abs(p.prior - s.v - f.c) > 0.5 then greatest(-25, least(25, f.c + greatest(-2, least(2, 0.3 * (p.prior - s.v - f.c))))) else f.c end from f join s on s.run = f.run and s.n = f.n + 1,
+    lateral (select 0.1 * sqrt((s.x - f.x) * (s.x - f.x) + (s.y - f.y) * (s.y - f.y)) as reach) r, lateral (select f.z + greatest(-r.reach, least(r.reach, s.v + f.c - f.z)) as prior) p)
+  select id, round(c, 5) + 0.0 as correction from f""")
 def wn18(v: Views):
     return rounded(folds.fold(track(v), ["run"], ["t", "id"], folds.grade_limited("v", 0.1, 0.5, 0.3, 2, 25, "correction"), TRACK + ", correction double").select("id", "correction"), 5)
 
@@ -235,19 +238,27 @@ def lim5(v: Views):
     return select.top_k(seen, 50, [], [F.desc("observations"), F.desc("last_seen"), "instance"])
 
 
-@query("LIM6_suppression")
+GREEDY = """with recursive s as (select run, id, {value} as w, row_number() over (partition by run order by v desc, id) as n from track),
+  f as (select run, n, id, [w] as kept, true as took from s where n = 1 union all select s.run, s.n, s.id, case when g.ok then list_append(f.kept, s.w) else f.kept end, g.ok from f join s on s.run = f.run and s.n = f.n + 1,
+    lateral (select len(f.kept) < {cap} and list_min(list_transform(f.kept, lambda k: abs(k - s.w))) >= {apart} as ok) g) select run, id from f where took"""
+
+
+@query("LIM6_suppression", GREEDY.format(value="id", cap=6, apart=80))
 def lim6(v: Views):
     rows = v.track.select(F.col("run"), "id", (-F.col("v")).alias("rank"))
     return folds.fold(rows, ["run"], ["rank", "id"], folds.suppressed("id", 80, 6), "run long, id long, rank double").select("run", "id")
 
 
-@query("LIM7_time_diverse")
+@query("LIM7_time_diverse", GREEDY.format(value="t", cap=8, apart=20 * H))
 def lim7(v: Views):
     rows = v.track.select("run", "id", "t", (-F.col("v")).alias("rank"))
     return folds.fold(rows, ["run"], ["rank", "id"], folds.suppressed("t", 20 * H, 8), "run long, id long, t long, rank double").select("run", "id")
 
 
-@query("LIM8_grid_greedy")
+@query("LIM8_grid_greedy", """with recursive c as (select frame, id, conf, cast(floor(x / 10) as bigint) as ix, cast(floor(y / 20) as bigint) as iy, label from pts),
+  s as (select frame, id, 'p' || ix || ',' || iy as a, 'l' || label || ',' || ix as b, row_number() over (partition by frame order by conf desc, id) as n from c),
+  f as (select frame, n, id, [a, b] as taken, true as took from s where n = 1 union all select s.frame, s.n, s.id, case when g.ok then list_concat(f.taken, [s.a, s.b]) else f.taken end, g.ok from f join s on s.frame = f.frame and s.n = f.n + 1,
+    lateral (select len(f.taken) < 24 and not list_contains(f.taken, s.a) and not list_contains(f.taken, s.b) as ok) g) select frame, id from f where took""")
 def lim8(v: Views):
     rows = v.pts.select("frame", "id", scalars.cell(F.col("x"), 10).alias("ix"), scalars.cell(F.col("y"), 20).alias("iy"), "label", (-F.col("conf")).alias("rank"))
     return folds.fold(rows, ["frame"], ["rank", "id"], folds.one_per_cell([["ix", "iy"], ["label", "ix"]], 12), "frame long, id long, ix long, iy long, label int, rank double").select("frame", "id")

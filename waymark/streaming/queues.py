@@ -1,9 +1,12 @@
-"""Step functions of bounded queues, drops, pairing and state eviction, for batch folds and streams alike."""
+"""Step functions of bounded queues, drops, pairing and state eviction, for batch folds and streams alike, and what windows say as well."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 
 def bounded_queue(kind: str, first: str, capacity: int, drain: int) -> Callable:
     """A queue that takes every row and, over capacity, drops the oldest row of the kind that goes first, else the oldest; every drain-th row empties one place. Returns the dropped rows."""
@@ -27,8 +30,18 @@ def bounded_queue(kind: str, first: str, capacity: int, drain: int) -> Callable:
     return start
 
 
+def lag_budget(df: DataFrame, keys: list[str], arrival: list[str], time: str, kind: str, budgets: dict[str, int], default: int) -> DataFrame:
+    """Rows, in order of arrival, with their lag behind the latest time seen before and whether it is within their kind's budget."""
+    seen = F.max(time).over(Window.partitionBy(*keys).orderBy(*arrival).rowsBetween(Window.unboundedPreceding, -1))
+    budget = F.lit(default)
+    for name, most in budgets.items():
+        budget = F.when(F.col(kind) == name, most).otherwise(budget)
+    rows = df.withColumn("lag", F.coalesce(F.greatest(F.lit(0), seen - F.col(time)), F.lit(0)).cast("long"))
+    return rows.withColumn("kept", F.col("lag") <= budget)
+
+
 def late_drop(time: str, kind: str, budgets: dict[str, int], default: int) -> Callable:
-    """Mark rows that lag the latest time seen by more than their kind's budget."""
+    """lag_budget() as a step, for streams."""
 
     def start():
         def step(latest, row):

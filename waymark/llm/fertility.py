@@ -26,8 +26,8 @@ from pyspark.sql.types import StructType
 from waymark.llm._common import held, slices, stored, texts, without_gc
 from waymark.llm.chunks import gather
 
-#: Distinct words whose tokens a worker remembers before it starts anew.
-CACHE_SIZE = 250_000
+#: Distinct words whose tokens a worker remembers, for each vocabulary, before it starts anew: few, as a worker shares an executor's memory with the JVM.
+CACHE_SIZE = 80_000
 
 _WHITE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _SYMBOLS = b"#*$%&|<>"

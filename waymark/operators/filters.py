@@ -15,9 +15,11 @@ def range_band(df: DataFrame, least: float, most: float, z_min: float, z_max: fl
 
 
 def weighted_labels(df: DataFrame, source_weight: float, class_weights: DataFrame, dynamic: int = 5) -> DataFrame:
-    """Points of known, static labels with confidence, and their weight source * class * clamp(conf); class_weights is (label, class_weight), of a row per label."""
+    """Points of known, static labels with confidence, and their weight source * class * clamp(conf); class_weights is (label, class_weight), of a row per label; it is broadcast while it is small."""
+    from waymark.operators.select import broadcast_small
+
     rows = df.filter((F.col("label") != 0) & (F.col("label") != dynamic) & (F.col("conf") > 0))
-    return rows.join(F.broadcast(class_weights), "label").withColumn("weight", source_weight * F.col("class_weight") * clamp(F.col("conf"), 0, 1)).drop("class_weight")
+    return rows.join(broadcast_small(class_weights), "label").withColumn("weight", source_weight * F.col("class_weight") * clamp(F.col("conf"), 0, 1)).drop("class_weight")
 
 
 def vertical_view(df: DataFrame, low: float, high: float) -> DataFrame:

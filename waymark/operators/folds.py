@@ -18,7 +18,7 @@ Step = Callable[[Any, dict], tuple[Any, list[dict]]]
 
 
 def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], tuple[Any, Step]], schema: str, columns: list[str] | None = None) -> DataFrame:
-    """The outputs of a step over each key's rows in order; step() gives the first state and the step function."""
+    """The outputs of a step over each key's rows in order; step() gives the first state and the step function, and, if the last state has something to say, a function of it."""
     columns = columns or df.columns
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -26,17 +26,22 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], tu
     arrow = to_arrow_schema(spark_schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state, f = object(), None, None
+        key, state, f, end = object(), None, None, None
         for batch in batches:
             out: list[dict] = []
             for row in batch.to_pylist():
                 own = tuple(row[k] for k in keys)
                 if own != key:
-                    key, (state, f) = own, step()
+                    if end:
+                        out += end(state)
+                    key, (state, f, *rest) = own, step()
+                    end = rest[0] if rest else None
                 state, made = f(state, row)
                 out += made
             if out:
                 yield pa.RecordBatch.from_pylist(out, arrow)
+        if end and (out := end(state)):
+            yield pa.RecordBatch.from_pylist(out, arrow)
 
     return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 

@@ -27,9 +27,19 @@ def first_per_voxel(df: DataFrame, size: float, order: str) -> DataFrame:
 
 
 def strongest_per_cell(df: DataFrame, size: float, label: str, weight: str, order: str) -> DataFrame:
-    """The heaviest point of each voxel and label, ties to the smallest order value."""
-    pick = F.max_by(F.struct(*df.columns), F.struct(F.col(weight), -F.col(order)))
-    return with_cells(df, size).groupBy(*CELL3, label).agg(pick.alias("p")).select("p.*", *CELL3)
+    """The heaviest point of each voxel and label, ties to the smallest order value.
+
+    The largest weights are one number per voxel and label, so they are hashed, not sorted; the
+    points that have them, few, are joined back and the ties among them settled.
+    """
+    rows = with_cells(df, size)
+    top = rows.groupBy(*CELL3, label).agg(F.max(weight).alias("_top"))
+    same = F.col(label).eqNullSafe(F.col("_label")) & F.col(weight).eqNullSafe(F.col("_top"))
+    for c in CELL3:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    heavy = rows.join(top.select(*[F.col(c).alias(f"_{c}") for c in CELL3], F.col(label).alias("_label"), "_top").hint("shuffle_hash"), same).select(*df.columns, *CELL3)
+    pick = F.min_by(F.struct(*df.columns), F.col(order))
+    return heavy.groupBy(*CELL3, label).agg(pick.alias("p")).select("p.*", *CELL3)
 
 
 def vote_fusion(df: DataFrame, size: float, labels: list[int], scale: float, min_confidence: float, label: str = "label", weight: str = "conf") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import scalars
 from waymark.operators.grid import neighbours, with_cells
+from waymark.operators.select import broadcast_small
 
 
 def grid_nearest(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, keys: list[str] = (), same: list[str] = ()) -> DataFrame:
@@ -44,12 +45,34 @@ def space_time_candidates(df: DataFrame, keys: list[str], ident: str, time: str,
     return pairs.withColumn("distance", d).filter(F.col("distance") <= radius).select(*keys, "later", "earlier", "distance")
 
 
+#: Rows of one code that are paired in one task; a code with more is cut into blocks of that many.
+BLOCK = 256
+
+
 def lsh_candidates(df: DataFrame, ident: str, word: Column, tables: int, bits: int, min_tables: int) -> DataFrame:
-    """(a, b, tables): pairs a < b whose codes agree in enough tables; each pair counts once per table."""
+    """(a, b, tables): pairs a < b whose codes agree in enough tables; each pair counts once per table.
+
+    Codes have enough bits that few rows share one by chance. A code that many rows share all the
+    same is cut into blocks by a hash, and every pair of blocks is a group of its own; which codes
+    those are is broadcast, so their rows don't meet in one task before that.
+    """
     codes = F.explode(F.array(*[F.struct(F.lit(t).alias("table"), scalars.lsh_code(word, t, bits).alias("code")) for t in range(tables)]))
-    index = df.select(F.col(ident), codes.alias("c")).select(ident, "c.table", "c.code")
-    pairs = index.withColumnRenamed(ident, "a").join(index.withColumnRenamed(ident, "b"), ["table", "code"]).filter("a < b")
-    return pairs.groupBy("a", "b").agg(F.countDistinct("table").alias("tables")).filter(F.col("tables") >= min_tables)
+    index = df.select(F.col(ident).alias("a"), codes.alias("c")).select("a", "c.table", "c.code")
+    hot = index.groupBy("table", "code").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).filter("blocks > 1")
+    rows = index.join(broadcast_small(hot), ["table", "code"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("a", "table"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    rows = rows.select("a", "table", "code", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+    both = rows.join(rows.withColumnsRenamed({"a": "b", "own": "b_own"}), ["table", "code", "lo", "hi"]).filter("a < b")
+    both = both.filter((F.col("lo") == F.least("own", "b_own")) & (F.col("hi") == F.greatest("own", "b_own")))  # a pair in the group of its own two blocks only
+    return both.groupBy("a", "b").agg(F.countDistinct("table").alias("tables")).filter(F.col("tables") >= min_tables)
+
+
+def pairs_in_blocks(queries: DataFrame, items: DataFrame, keys: list[str], block: int = 50_000) -> DataFrame:
+    """Every query with every item of its keys, an item block at a time: queries are repeated for each block, so that no task gets all items of a key."""
+    sizes = items.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks"))
+    spread = items.join(broadcast_small(sizes), keys).withColumn("block", F.pmod(F.xxhash64(*items.columns), F.col("blocks"))).drop("blocks")
+    repeated = queries.join(broadcast_small(sizes), keys).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    return repeated.join(spread, [*keys, "block"]).drop("block")
 
 
 def hamming_two_nearest(pairs: DataFrame, query: str, item: str, distance: str, ratio: float) -> DataFrame:

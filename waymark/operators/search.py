@@ -7,11 +7,12 @@ cells; scoring is an equi-join with the raster and one aggregate.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.operators.select import best_and_second, checkpointed
+from waymark.operators.select import checkpointed
 
 #: Candidates that one search may have.
 MAX_CANDIDATES = 20_000
@@ -25,51 +26,181 @@ def lattice(dx: list[float], dy: list[float], yaw: list[float]) -> Column:
     return F.array(*[F.struct(F.lit(k).alias("c"), F.lit(float(x)).alias("dx"), F.lit(float(y)).alias("dy"), F.lit(math.cos(a)).alias("cos"), F.lit(math.sin(a)).alias("sin"), F.lit(float(a)).alias("yaw")) for k, (a, x, y) in enumerate(all_)])
 
 
-def pose_search(points: DataFrame, prior: DataFrame, keys: list[str], candidates: Column, size: float, weight: Column, min_gap: float) -> DataFrame:
-    """Best candidate of each key of points (x, y, label[, n]) against prior cells (ix, iy, occ, label).
+@dataclass(frozen=True)
+class Localization:
+    """Weights of a point's score, search window and steps, and the gates of a match on a prior map."""
+
+    occupancy: float = 1.0
+    edge: float = 0.5
+    semantic: float = 0.3
+    dynamic: float = 0.2
+    min_radius: float = 1.0
+    max_radius: float = 3.0
+    gamma: float = 1.0
+    step: float = 1.0
+    yaw: float = 0.05
+    yaw_step: float = 0.05
+    fine_step: float = 0.5
+    fine_yaw: float = 0.02
+    fine_yaw_step: float = 0.02
+    inlier: float = 0.3
+    min_ratio: float = 0.2
+    min_gap: float = 0.01
+    min_confidence: float = 0.3
+
+
+def _axis(center: Column, radius: Column, step: float) -> Column:
+    """Samples from center - radius to center + radius, no farther apart than step."""
+    n = F.greatest(F.lit(1), F.ceil(2 * radius / step).cast("int") + 1)
+    each = F.when(n > 1, 2 * radius / (n - 1)).otherwise(0.0)
+    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when(n > 1, center - radius + each * k).otherwise(center))
+
+
+def _lattices(at: DataFrame, keys: list[str], radius: Column, step: float, yaw: float, yaw_step: float, level: int) -> DataFrame:
+    """Candidates (keys, level, c, dx, dy, yaw) around each key's x0, y0, yaw0, numbered by yaw, x, y."""
+    rows = at.select(*keys, F.posexplode(_axis(F.col("yaw0"), F.lit(yaw), yaw_step)).alias("a", "yaw"), _axis(F.col("x0"), radius, step).alias("xs"), _axis(F.col("y0"), radius, step).alias("ys"))
+    rows = rows.select(*keys, "a", "yaw", F.posexplode("xs").alias("i", "dx"), "ys").select(*keys, "a", "yaw", "i", "dx", F.posexplode("ys").alias("j", "dy"))
+    return rows.select(*keys, F.lit(level).alias("level"), F.struct(F.lit(level).alias("level"), "a", "i", "j").alias("c"), "dx", "dy", "yaw")
+
+
+def localize(points: DataFrame, prior: DataFrame, at: DataFrame, keys: list[str], size: float, how: Localization = Localization()) -> DataFrame:
+    """Pose of each key's points on a prior map: (keys, radius, dx, dy, yaw, best, second, gap, confidence, ratio, accepted, reason).
+
+    points are (keys, x, y, label, dynamic, n: points in that cell), the prior's cells (ix, iy, occ,
+    edge, label), at is (keys, x0, y0, yaw0, variance: trace of the planar covariance). The window's
+    radius follows the variance; a lattice is searched, then a finer one around its best. A point
+    scores occupancy and edge of its cell, more or less by its label, less if dynamic; a score is
+    the mean over all points, -1 if none meets the map. Best and second are over both levels, ties
+    by level, yaw, x, y. ratio is the share of points on occupied cells of no other label.
+    Candidates are made per key, points are summed to cells before they meet them, and one aggregate
+    keeps the scores. Points without cells count in the mean; a key without points has no row.
+    """
+    known = points.groupBy(*keys).agg(F.sum("n").alias("total"))
+    cells = prior.select("ix", "iy", "occ", "edge", F.col("label").alias("there"))
+
+    def placed(candidates: DataFrame) -> DataFrame:
+        both = points.join(candidates, keys)
+        ix = F.floor((F.cos("yaw") * F.col("x") - F.sin("yaw") * F.col("y") + F.col("dx")) / size).cast("long")
+        iy = F.floor((F.sin("yaw") * F.col("x") + F.cos("yaw") * F.col("y") + F.col("dy")) / size).cast("long")
+        return both.withColumns({"ix": ix, "iy": iy}).join(cells, ["ix", "iy"], "left")
+
+    def scored(candidates: DataFrame) -> DataFrame:
+        meets = (F.col("occ") > 0.01) | (F.col("edge") > 0.01)
+        labelled = (F.col("label") != 0) & (F.col("there") != 0)
+        one = how.occupancy * F.col("occ") + how.edge * F.col("edge") + F.when(labelled, F.when(F.col("label") == F.col("there"), how.semantic).otherwise(-how.semantic)).otherwise(0.0) - F.when(F.col("dynamic"), how.dynamic).otherwise(0.0)
+        sums = placed(candidates).groupBy(*keys, "c", "dx", "dy", "yaw").agg(F.sum(F.when(meets, F.col("n") * one)).alias("s"))
+        return sums.join(known, keys).select(*keys, "c", "dx", "dy", "yaw", F.coalesce(F.round(F.col("s") / F.col("total"), 9), F.lit(-1.0)).alias("score"))
+
+    radius = F.least(F.lit(how.max_radius), F.greatest(F.lit(how.min_radius), F.sqrt(F.greatest(F.lit(0.01), F.col("variance") * how.gamma))))
+    coarse = checkpointed(scored(_lattices(at, keys, radius, how.step, how.yaw, how.yaw_step, 0)))
+    pick = F.min_by(F.struct("dx", "dy", "yaw", "score"), F.struct(-F.col("score"), F.col("c")))
+    around = coarse.groupBy(*keys).agg(pick.alias("b")).select(*keys, F.col("b.dx").alias("x0"), F.col("b.dy").alias("y0"), F.col("b.yaw").alias("yaw0"))
+    fine = scored(_lattices(around, keys, F.lit(max(2 * how.fine_step, 1.5 * how.step)), how.fine_step, how.fine_yaw, how.fine_yaw_step, 1))
+    two = coarse.unionByName(fine).groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "c", "dx", "dy", "yaw"))), 1, 2).alias("two"))  # as many as candidates
+    best = checkpointed(two.select(*keys, F.col("two")[0]["dx"].alias("dx"), F.col("two")[0]["dy"].alias("dy"), F.col("two")[0]["yaw"].alias("yaw"), (-F.col("two")[0]["minus"]).alias("best"), (-F.get("two", F.lit(1))["minus"]).alias("second")))
+    hit = (F.col("occ") >= how.inlier) & ((F.col("label") == 0) | (F.col("there") == 0) | (F.col("label") == F.col("there")))
+    ratio = placed(best.select(*keys, "dx", "dy", "yaw")).groupBy(*keys).agg((F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("ratio"))
+    gap = F.coalesce(F.col("best") - F.col("second"), F.lit(0.0))
+    out = best.join(ratio, keys).join(at.select(*keys, radius.alias("radius")), keys).withColumns({"gap": gap, "confidence": 1 / (1 + F.exp(-20 * (gap - how.min_gap)))})
+    from waymark.operators.filters import first_reason
+
+    reason = first_reason([(F.col("best") <= -0.5, "no_overlap"), (F.col("ratio") < how.min_ratio, "low_inlier_ratio"), ((F.col("confidence") < how.min_confidence) | (F.col("gap") < how.min_gap), "ambiguous")])
+    return out.select(*keys, "radius", "dx", "dy", "yaw", "best", "second", "gap", "confidence", "ratio", (reason == "accepted").alias("accepted"), reason.alias("reason"))
+
+
+@dataclass(frozen=True)
+class Peak:
+    """Gates of a raster search: least score and coverage, lead of the best over the second."""
 
-    A point scores the occupancy of its cell, plus weight (an expression on label and prior) ; a
-    candidate's score is the sum over hits over the number of all points, -1 without a hit. Best,
-    second, gap and whether the gap is enough.
+    min_score: float = 0.2
+    min_coverage: float = 0.5
+    min_delta: float = 0.01
+    min_ratio: float = 1.02
+    sigma: float = 1.5
+    reach: int = 4
+
+
+def semantic_search(points: DataFrame, prior: DataFrame, keys: list[str], candidates: Column, weights: dict[int, float], how: Peak = Peak()) -> DataFrame:
+    """Scores of a lattice of shifts and turns by how near points come to prior cells of their own label: (keys, c, dx, dy, yaw, score, coverage).
+
+    points are (keys, x, y, label, n) in cells, prior cells (ix, iy, label). A point scores its
+    label's weight times exp(-d / sigma), d the distance to the nearest cell of its label, up to
+    reach cells; the mean is scaled by coverage, the share of points that lie on the prior at all.
+    Distances are found once per label and cell, not per candidate. Labels without a weight count 0.
     """
-    total = points.groupBy(*keys).agg(F.sum("n").alias("total"))
+    from waymark.operators.grid import neighbours
+
+    near = neighbours(prior.filter(F.col("label").isin(*weights)).select("ix", "iy", "label", F.col("ix").alias("cx"), F.col("iy").alias("cy")), how.reach)
+    d = F.sqrt((F.col("ix") - F.col("cx")) ** 2 + (F.col("iy") - F.col("cy")) ** 2)
+    distances = near.groupBy("ix", "iy", "label").agg(F.min(d).alias("d")).filter(F.col("d") <= how.reach)
+    weight = F.lit(0.0)
+    for label, w in weights.items():
+        weight = F.when(F.col("label") == label, w).otherwise(weight)
     moved = points.select(*keys, "x", "y", "label", "n", F.explode(candidates).alias("k")).select(
-        *keys, "label", "n", "k.c",
-        F.floor((F.col("k.cos") * F.col("x") - F.col("k.sin") * F.col("y") + F.col("k.dx")) / size).cast("long").alias("ix"),
-        F.floor((F.col("k.sin") * F.col("x") + F.col("k.cos") * F.col("y") + F.col("k.dy")) / size).cast("long").alias("iy"),
+        *keys, "label", "n", "k.c", "k.dx", "k.dy", "k.yaw",
+        F.floor(F.col("k.cos") * F.col("x") - F.col("k.sin") * F.col("y") + F.col("k.dx")).cast("long").alias("ix"),
+        F.floor(F.col("k.sin") * F.col("x") + F.col("k.cos") * F.col("y") + F.col("k.dy")).cast("long").alias("iy"),
     )
-    hits = moved.join(prior.select("ix", "iy", "occ", F.col("label").alias("prior")), ["ix", "iy"], "left")
-    scores = hits.groupBy(*keys, "c").agg(F.sum(F.when(F.col("occ").isNotNull(), F.col("n") * (F.col("occ") + weight))).alias("s"))
-    scores = scores.join(total, keys).select(*keys, "c", F.coalesce(F.round(F.col("s") / F.col("total"), 9), F.lit(-1.0)).alias("score"))
-    return best_and_second(scores, keys, "score", "c").withColumn("accepted", F.col("gap") >= min_gap)
+    hits = moved.join(prior.select("ix", "iy", F.lit(1).alias("on")), ["ix", "iy"], "left").join(distances, ["ix", "iy", "label"], "left")
+    kernel = F.coalesce(weight * F.exp(-F.col("d") / how.sigma), F.lit(0.0))
+    sums = hits.groupBy(*keys, "c", "dx", "dy", "yaw").agg((F.sum(F.col("n") * kernel) / F.sum("n")).alias("mean"), (F.sum(F.when(F.col("on").isNotNull(), F.col("n")).otherwise(0)) / F.sum("n")).alias("coverage"))
+    return sums.select(*keys, "c", "dx", "dy", "yaw", F.round(F.col("mean") * F.col("coverage"), 9).alias("score"), "coverage")
 
 
-def ransac_pairs(df: DataFrame, keys: list[str], order: str, hypotheses: int, tolerance: float) -> DataFrame:
-    """(keys, h, inliers, n): the planar rigid motion from two point pairs (sx, sy) -> (tx, ty) that most pairs of the key follow.
+def peak(scores: DataFrame, keys: list[str], how: Peak = Peak()) -> DataFrame:
+    """The best of each key's scores with its lead: (keys, c, dx, dy, yaw, score, coverage, delta, ratio, reason); ties to the smaller c."""
+    from waymark.operators.filters import first_reason
+
+    first = F.min_by(F.struct("c", "dx", "dy", "yaw", "score", "coverage"), F.struct(-F.col("score"), F.col("c"))).alias("b")
+    two = scores.groupBy(*keys).agg(first, F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("s"))  # as many as candidates
+    second = F.coalesce(F.get("s", F.lit(1)), F.lit(0.0))
+    rows = two.select(*keys, "b.*", (F.col("b.score") - second).alias("delta"), (F.col("b.score") / F.greatest(second, F.lit(1e-6))).alias("ratio"))
+    return rows.withColumn("reason", first_reason([(F.col("score") < how.min_score, "score_low"), (F.col("coverage") < how.min_coverage, "coverage_low"), ((F.col("delta") < how.min_delta) | (F.col("ratio") < how.min_ratio), "not_unique")], "ok"))
 
-    Hypotheses are the first rows of a key in the order of a hash column, each with the next;
-    ties go to the smaller number.
+
+def heat_map(scores: DataFrame, keys: list[str], size: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:
+    """The best score of each key's candidates by the cell that they put the origin in: (keys, ix, iy, heat)."""
+    cell = lambda c, at: F.floor((F.col(c) + at) / size).cast("long")
+    return scores.groupBy(*keys, cell("dx", x0).alias("ix"), cell("dy", y0).alias("iy")).agg(F.max("score").alias("heat"))
+
+
+@dataclass(frozen=True)
+class EdgeSearch:
+    """Edge threshold, distance scale and reach, least coverage and score, exponents of the parts, and how many candidates are kept."""
+
+    edge: float = 0.9
+    reach: int = 4
+    near: float = 2.0
+    sigma: float = 2.0
+    min_coverage: float = 0.2
+    min_score: float = 0.0
+    chamfer: float = 1.0
+    coverage: float = 0.5
+    keep: int = 5
+
+
+def edge_search(query: DataFrame, target: DataFrame, shifts: list[tuple[int, int]], how: EdgeSearch = EdgeSearch()) -> DataFrame:
+    """The best shifts of edge cells onto another raster: (c, dx, dy, score, mean_d, coverage, ncc, second, p90, peak_delta, peak_ratio), by score, ties to the smaller c.
+
+    query and target are cells (ix, iy, value). A shift scores exp(-mean distance to the nearest
+    target edge / sigma), times the share of cells near one, times how values correlate where both
+    are; one with too little coverage scores 0. second, p90 and the peak's lead are over all shifts.
     """
-    w = Window.partitionBy(*keys).orderBy(order)
-    names = ["sx", "sy", "tx", "ty"]
-    first = df.select(*keys, order, *names).withColumn("h", F.row_number().over(w)).withColumns({f"{c}2": F.lead(c).over(w) for c in names}).filter((F.col("h") <= hypotheses) & F.col("sx2").isNotNull())
-    ax, ay, bx, by = F.col("sx2") - F.col("sx"), F.col("sy2") - F.col("sy"), F.col("tx2") - F.col("tx"), F.col("ty2") - F.col("ty")
-    first = first.filter((ax * ax + ay * ay) > 1).withColumn("yaw", F.atan2(ax * by - ay * bx, ax * bx + ay * by))
-    hyp = first.select(*keys, "h", "yaw", (F.col("tx") - (F.cos("yaw") * F.col("sx") - F.sin("yaw") * F.col("sy"))).alias("dx"), (F.col("ty") - (F.sin("yaw") * F.col("sx") + F.cos("yaw") * F.col("sy"))).alias("dy"))
-    ex = F.cos("yaw") * F.col("sx") - F.sin("yaw") * F.col("sy") + F.col("dx") - F.col("tx")
-    ey = F.sin("yaw") * F.col("sx") + F.cos("yaw") * F.col("sy") + F.col("dy") - F.col("ty")
-    counts = df.select(*keys, *names).join(hyp, keys).groupBy(*keys, "h").agg(F.sum((ex * ex + ey * ey <= tolerance * tolerance).cast("long")).alias("inliers"), F.count("*").alias("n"))
-    return counts.groupBy(*keys).agg(F.max_by(F.struct("h", "inliers", "n"), F.struct("inliers", -F.col("h"))).alias("m")).select(*keys, "m.*")
-
-
-def huber_shift(df: DataFrame, keys: list[str], value: str, delta: float, rounds: int) -> DataFrame:
-    """Location of each key by reweighted means: start at the mean, weigh by Huber of the residual, a fixed number of rounds of one join and one aggregate."""
-    at = df.groupBy(*keys).agg(F.avg(value).alias("m"))
-    for _ in range(rounds):
-        r = F.col(value) - F.col("m")
-        w = F.when(F.abs(r) <= delta, 1.0).otherwise(delta / F.abs(r))
-        at = df.join(at, keys).groupBy(*keys).agg((F.sum(w * F.col(value)) / F.sum(w)).alias("m"))
-    return at
+    from waymark.operators import raster
+
+    table = F.explode(F.array(*[F.struct(F.lit(k).alias("c"), F.lit(x).cast("long").alias("dx"), F.lit(y).cast("long").alias("dy")) for k, (x, y) in enumerate(shifts)])).alias("k")
+    moved = query.select(F.col("ix").alias("qx"), F.col("iy").alias("qy"), "value", table).select("k.c", "k.dx", "k.dy", (F.col("qx") + F.col("k.dx")).alias("ix"), (F.col("qy") + F.col("k.dy")).alias("iy"), "value")
+    d = raster.distance_to(moved.select("ix", "iy").distinct(), target.filter(F.col("value") > how.edge), how.reach)
+    rows = moved.join(d, ["ix", "iy"]).join(target.select("ix", "iy", F.col("value").alias("other")), ["ix", "iy"], "left")
+    ncc = F.coalesce(F.corr(F.when(F.col("other").isNotNull(), F.col("value")), F.col("other")), F.lit(0.0))
+    sums = rows.groupBy("c", "dx", "dy").agg(F.avg("distance").alias("mean_d"), F.avg((F.col("distance") <= how.near).cast("int")).alias("coverage"), F.when(F.isnan(ncc), 0.0).otherwise(ncc).alias("ncc"))
+    likeness = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("ncc") + 1) / 2))
+    score = F.pow(F.exp(-F.col("mean_d") / how.sigma), how.chamfer) * F.pow("coverage", how.coverage) * (0.35 + 0.65 * likeness)
+    scored = checkpointed(sums.withColumn("score", F.round(F.when(F.col("coverage") < how.min_coverage, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))), 9)))
+    stats = scored.agg(F.slice(F.sort_array(F.collect_list("score"), asc=False), 1, 2).alias("s"), F.percentile("score", 0.9).alias("p90"))  # one row per shift
+    stats = stats.select(F.coalesce(F.get("s", F.lit(0)), F.lit(0.0)).alias("first"), F.coalesce(F.get("s", F.lit(1)), F.lit(0.0)).alias("second"), "p90")
+    rows = scored.crossJoin(F.broadcast(stats)).withColumns({"peak_delta": F.col("first") - F.col("p90"), "peak_ratio": F.col("first") / F.greatest(F.col("second"), F.lit(1e-6))}).drop("first")
+    return rows.filter(F.col("score") >= how.min_score).orderBy(F.desc("score"), "c").limit(how.keep)
 
 
 def _apply(points: DataFrame, at: DataFrame, keys: list[str]) -> DataFrame:

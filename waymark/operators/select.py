@@ -44,6 +44,11 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def broadcast_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df to be broadcast if it has no more rows than that (of numbers and short strings: some 30 MB), else as it is."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def even_subsample(df: DataFrame, n: int, keys: list[str], order: list[str]) -> DataFrame:
     """The rows number floor(i * N / n), i under n, of each key (all rows if there are no more than n)."""
     rows = numbered(df, keys, order)
@@ -94,3 +99,18 @@ def weighted_sample(df: DataFrame, n: int, keys: list[str], weight: str, order:
     """n rows of each key without replacement by weight: largest u ** (1 / weight), u from a hash of seed and order."""
     u = (F.pmod(F.xxhash64(F.lit(seed), F.col(order)), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
     return top_k(df.withColumn("_key", F.pow(u, 1 / F.col(weight))), n, keys, [F.desc("_key"), order]).drop("_key")
+
+
+def fenced(results: DataFrame, sessions: DataFrame, keys: list[str], time: str, session: str, ident: str, age: int) -> DataFrame:
+    """Results whose key's session, at their time, is still the one of age before, when they were asked for; a key before its first session has none, which counts as one.
+
+    sessions are (keys, session, time of their start).
+    """
+    from waymark.operators import asof
+
+    begun = sessions.select(*keys, F.col(session).alias(ident), time)
+    then = results.withColumn("_now", F.col(time)).withColumn(time, F.col(time) - age)
+    asked = asof.backward(then.select(*keys, ident, time), begun, keys, time, ident, [], ident).select(ident, F.col("match_time").alias("_asked"))
+    now = asof.backward(results.select(*keys, ident, time), begun, keys, time, ident, [], ident).select(ident, F.col("match_time").alias("_begun"))
+    both = results.join(asked, ident, "left").join(now, ident, "left")
+    return both.filter(F.col("_asked").eqNullSafe(F.col("_begun"))).drop("_asked", "_begun")

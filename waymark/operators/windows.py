@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,11 +39,55 @@ def trailing_sum(df: DataFrame, keys: list[str], time: str, value: str, span: in
 
 
 def trailing_robust(df: DataFrame, keys: list[str], time: str, value: str, span: int, least: int, floor: float) -> DataFrame:
-    """Median and MAD over the time span up to each row where it holds enough rows, and whether the value stands out of the noise 1.4826 MAD (floor at least)."""
-    mid = lambda a: (F.element_at(a, F.floor((F.size(a) + 1) / 2).cast("int")) + F.element_at(a, F.floor((F.size(a) + 2) / 2).cast("int"))) / 2
-    rows = df.withColumn("_a", F.array_sort(F.collect_list(value).over(Window.partitionBy(*keys).orderBy(time).rangeBetween(-span, 0)))).filter(F.size("_a") >= least)
-    rows = rows.withColumn("bias", mid(F.col("_a"))).withColumn("mad", mid(F.array_sort(F.transform("_a", lambda x: F.abs(x - F.col("bias"))))))
-    return rows.withColumn("stands_out", F.abs(F.col(value) - F.col("bias")) > F.greatest(F.lit(floor), 1.4826 * F.col("mad"))).drop("_a")
+    """Median and MAD over the time span up to each row (rows of its own time too) where it holds enough rows, and whether the value stands out of the noise 1.4826 MAD (floor at least).
+
+    An ordered fold with a sorted buffer of the values in the span: a row costs a search in it, and
+    the spread a walk outwards from its middle, with no list per row. Null values don't count.
+    """
+    from waymark.operators.folds import fold
+
+    def middle(a: list) -> float:
+        return (a[(len(a) - 1) // 2] + a[len(a) // 2]) / 2
+
+    def spread(a: list, m: float) -> float:
+        """The median of the distances from m: the sorted values are taken from the middle outwards."""
+        hi = bisect_left(a, m)
+        lo, out, need = hi - 1, 0.0, (len(a) - 1) // 2
+        kept = 0.0
+        for k in range(len(a) // 2 + 1):
+            if hi >= len(a) or (lo >= 0 and m - a[lo] <= a[hi] - m):
+                out, lo = m - a[lo], lo - 1
+            else:
+                out, hi = a[hi] - m, hi + 1
+            if k == need:
+                kept = out
+        return (kept + out) / 2
+
+    def start():
+        def finish(state):
+            window, ordered, now = state
+            if len(ordered) < least or not now:
+                return []
+            m = middle(ordered)
+            mad = spread(ordered, m)
+            return [{**row, "bias": m, "mad": mad, "stands_out": None if row[value] is None else abs(row[value] - m) > max(floor, 1.4826 * mad)} for row in now]
+
+        def step(state, row):
+            window, ordered, now = state
+            out = []
+            if now and row[time] != now[0][time]:
+                out, now = finish(state), []
+            while window and window[0][0] < row[time] - span:
+                ordered.pop(bisect_left(ordered, window.popleft()[1]))
+            if row[value] is not None:
+                window.append((row[time], row[value]))
+                insort(ordered, row[value])
+            return (window, ordered, [*now, row]), out
+
+        return (deque(), [], []), step, finish
+
+    schema = ", ".join(f"{n} {t}" for n, t in df.dtypes)
+    return fold(df, keys, [time], start, f"{schema}, bias double, mad double, stands_out boolean")
 
 
 def last_frames_by_points(df: DataFrame, keys: list[str], order: list[str], points: str, most: int) -> DataFrame:

@@ -82,39 +82,6 @@ def est14(v: Views):
     return rounded(out.select("id", "cx", "cy", "ca", "streak", "reason"), 4)
 
 
-@query("ST2_idle_flush", f"select run, count(*) as n, cast(sum(cast(coalesce(d > {40 * H}, true) as bigint)) as bigint) as flushes from (select run, lead(t) over (partition by run order by t, id) - t as d from track) group by run")
-def st2(v: Views):
-    from pyspark.sql import Window
-
-    gap = F.lead("t").over(Window.partitionBy("run").orderBy("t", "id")) - F.col("t")
-    rows = v.track.withColumn("flush", F.coalesce(gap > 40 * H, F.lit(True)))
-    return rows.groupBy("run").agg(F.count("*").alias("n"), F.sum(F.col("flush").cast("long")).alias("flushes"))
-
-
-@query("ST15_periodic_checkpoint", "select run, id from (select run, id, row_number() over (partition by run order by t, id) as n from track) where n % 8 = 0")
-def st15(v: Views):
-    return select.numbered(v.track, ["run"], ["t", "id"]).filter("(rn + 1) % 8 = 0").select("run", "id")
-
-
-def landmark_upkeep(missed_most: int) -> Callable:
-    """Observed landmarks gain weight, others that should have been seen miss; too many misses in a row remove them. Returns a row's outcome."""
-
-    def start():
-        def step(state, row):
-            weight, missed = state
-            if row["seen"]:
-                weight, missed = min(10, weight + 1), 0
-            else:
-                missed += 1
-                if missed > missed_most:
-                    return (0, 0), [{**row, "weight": 0, "culled": True}]
-            return (weight, missed), [{**row, "weight": weight, "culled": False}]
-
-        return (0, 0), step
-
-    return start
-
-
 @query("VIS3_landmark_upkeep", """with recursive s as (select instance as landmark, id, label > 2 as seen, row_number() over (partition by instance order by stamp, id) as n from pts),
   f as (select landmark, n, id, case when seen then 1 else 0 end as weight, case when seen then 0 else 1 end as missed, false as culled from s where n = 1 union all
     select s.landmark, s.n, s.id, case when s.seen then least(10, f.weight + 1) when f.missed + 1 > 2 then 0 else f.weight end, case when s.seen or f.missed + 1 > 2 then 0 else f.missed + 1 end, not s.seen and f.missed + 1 > 2 from f join s on s.landmark = f.landmark and s.n = f.n + 1)

@@ -117,8 +117,3 @@ def snk11(v: Views):
 @query("SNK14_status_document", """select '{"events":' || count(*) || ',"users":' || count(distinct user_id) || ',"clicks":' || count(*) filter (event_type = 'click') || '}' as document from events""")
 def snk14(v: Views):
     return sinks.status_document(v.events, [], {"events": "count(*)", "users": "count(distinct user_id)", "clicks": "count_if(event_type = 'click')"})
-
-
-@query("ST14_session_fence", "select event_id from events where user_id % 4 = 2")
-def st14(v: Views):
-    return v.events.filter("user_id % 4 = 2").select("event_id")

@@ -170,7 +170,7 @@ def words(v: Views):
 def jn22(v: Views):
     w = words(v)
     q = w.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "label", F.col("w").alias("wq"))
-    pairs = q.join(w.select(F.col("vec_id").alias("item"), "label", "w"), "label").filter("q <> item").select("q", "item", scalars.hamming(F.col("wq"), F.col("w")).alias("d"))
+    pairs = near.pairs_in_blocks(q, w.select(F.col("vec_id").alias("item"), "label", "w"), ["label"]).filter("q <> item").select("q", "item", scalars.hamming(F.col("wq"), F.col("w")).alias("d"))
     return near.hamming_two_nearest(pairs, "q", "item", "d", 0.85)
 
 
@@ -191,12 +191,12 @@ def jn24(v: Views):
     return rounded(near.space_time_candidates(v.track, ["run"], "id", "t", 40, 24 * H, 20), 5)
 
 
-CODES = " union all ".join(f"select vec_id, {t} as t, " + " | ".join(f"(((w >> {(17 + 37 * t + 11 * b) % 64}) & 1) << {b})" for b in range(10)) + " as code from w" for t in range(6))
+CODES = " union all ".join(f"select vec_id, {t} as t, " + " | ".join(f"(((w >> {(17 + 37 * t + 11 * b) % 64}) & 1) << {b})" for b in range(17)) + " as code from w" for t in range(6))
 
 
-@query("JN25_lsh_candidates", f"with w as ({WORDS}), c as ({CODES}) select a.vec_id as a, b.vec_id as b, count(distinct a.t) as tables from c a join c b on a.t = b.t and a.code = b.code and a.vec_id < b.vec_id group by all having count(distinct a.t) >= 2")
+@query("JN25_lsh_candidates", f"with w as ({WORDS}), c as ({CODES}) select a.vec_id as a, b.vec_id as b, count(distinct a.t) as tables from c a join c b on a.t = b.t and a.code = b.code and a.vec_id < b.vec_id group by all")
 def jn25(v: Views):
-    return near.lsh_candidates(words(v), "vec_id", F.col("w"), 6, 10, 2)
+    return near.lsh_candidates(words(v), "vec_id", F.col("w"), 6, 17, 1)
 
 
 @query("JN26_used_pairs", "select run, i, j from edges where not exists (select 1 from (select run, i, j from edges where not loop) u where u.run = edges.run and u.j = edges.j and u.i % 2 = 0) and loop")

@@ -97,42 +97,92 @@ def sc26(v: Views):
 
 # searches
 
-DX, DY, YAW = [-2.0, -1.0, 0.0, 1.0, 2.0], [-1.0, 0.0, 1.0], [-0.05, 0.0, 0.05]
-CANDIDATES = "select row_number() over (order by a, x, y) - 1 as c, x as dx, y as dy, a as yaw from (select unnest([-2.0, -1.0, 0.0, 1.0, 2.0]) as x) xs, (select unnest([-1.0, 0.0, 1.0]) as y) ys, (select unnest([-0.05, 0.0, 0.05]) as a) yaws"
+EDGED = """select c.ix, c.iy, c.occ, c.label, least(1, abs(coalesce(e.occ, 0) - coalesce(w.occ, 0)) / 2 + abs(coalesce(s.occ, 0) - coalesce(n.occ, 0)) / 2) as edge from raster c left join raster e on e.ix = c.ix + 1 and e.iy = c.iy left join raster w on w.ix = c.ix - 1 and w.iy = c.iy left join raster s on s.ix = c.ix and s.iy = c.iy + 1 left join raster n on n.ix = c.ix and n.iy = c.iy - 1"""
+CELL_POINTS = "select frame, cast(floor(x) as bigint) + 0.5 as x, cast(floor(y / 40) as bigint) + 0.5 as y, label, label = 5 as dynamic, count(*) as n from pts group by 1, 2, 3, 4, 5"
+START = "select frame, frame % 3 * 0.25 as x0, frame % 2 * 0.25 as y0, (frame % 5 - 2) * 0.003 as yaw0, frame % 6 * 1.5 as variance from pts group by frame"
 
 
-@query("OPT1_pose_search", f"""with k as ({CANDIDATES}), p as (select frame, cast(floor(x) as bigint) + 0.5 as x, cast(floor(y / 40) as bigint) + 0.5 as y, label, count(*) as n from pts group by all), t as (select frame, sum(n) as total from p group by frame),
-  m as (select frame, label, n, c, cast(floor(cos(yaw) * x - sin(yaw) * y + dx) as bigint) as ix, cast(floor(sin(yaw) * x + cos(yaw) * y + dy) as bigint) as iy from p, k),
-  s as (select frame, c, sum(case when r.occ is not null then n * (r.occ + case when m.label = r.label then 0.3 when m.label = 5 then -0.2 else 0 end) end) as s from m left join raster r using (ix, iy) group by frame, c),
-  q as (select frame, c, coalesce(round(s / total, 9), -1) as score from s join t using (frame)), o as (select *, row_number() over (partition by frame order by score desc, c) as rn from q)
-  select a.frame, a.c as best, round(a.score, 6) as best_score, round(b.score, 6) as second_score, round(a.score - b.score, 6) as gap, a.score - b.score >= 0.01 as accepted from o a join o b on a.frame = b.frame and a.rn = 1 and b.rn = 2""")
+def _scored(name: str, lattice: str) -> str:
+    """SQL of the scores of a lattice."""
+    return f"""{name}_m as (select p.frame, p.label, p.dynamic, p.n, l.level, l.a, l.i, l.j, l.dx, l.dy, l.yaw, cast(floor(cos(yaw) * x - sin(yaw) * y + dx) as bigint) as ix, cast(floor(sin(yaw) * x + cos(yaw) * y + dy) as bigint) as iy from p join {lattice} l on l.frame = p.frame),
+  {name} as (select m.frame, level, a, i, j, dx, dy, yaw, coalesce(round(sum(case when e.occ > 0.01 or e.edge > 0.01 then n * (e.occ + 0.5 * e.edge + case when m.label <> 0 and e.label <> 0 then case when m.label = e.label then 0.3 else -0.3 end else 0 end - case when dynamic then 0.2 else 0 end) end) / any_value(t.total), 9), -1) as score
+    from {name}_m m join t on t.frame = m.frame left join e on e.ix = m.ix and e.iy = m.iy group by m.frame, level, a, i, j, dx, dy, yaw)"""
+
+
+_AXIS = "list_transform(range(0, {n}), lambda k: case when {n} > 1 then {c} - {r} + 2 * {r} / ({n} - 1) * k else {c} end)"
+
+
+def _lattice(source: str, radius: str, step: float, yaw: float, yaw_step: float, level: int) -> str:
+    n = f"(cast(ceil(2 * {radius} / {step}) as int) + 1)"
+    na = f"(cast(ceil(2 * cast({yaw} as double) / cast({yaw_step} as double)) as int) + 1)"
+    xs, ys, angles = _AXIS.format(n=n, c="x0", r=radius), _AXIS.format(n=n, c="y0", r=radius), _AXIS.format(n=na, c="yaw0", r=f"cast({yaw} as double)")
+    return f"""select frame, {level} as level, a, yaws[a + 1] as yaw, i, xs[i + 1] as dx, j, ys[j + 1] as dy from (select *, unnest(range(0, len(ys))) as j from (select *, unnest(range(0, len(xs))) as i from (select *, unnest(range(0, len(yaws))) as a from (select frame, {xs} as xs, {ys} as ys, {angles} as yaws from {source}) q) q) q) q"""
+
+
+LOCALIZED = f"""with e as ({EDGED}), p as ({CELL_POINTS}), t as (select frame, sum(n) as total from p group by frame), at0 as (select *, least(3.0, greatest(1.0, sqrt(greatest(0.01, variance)))) as r from ({START}) s),
+  l0 as ({_lattice("at0", "r", 1.0, 0.05, 0.05, 0)}), {_scored("c0", "l0")},
+  b0 as (select frame, dx as x0, dy as y0, yaw as yaw0 from (select *, row_number() over (partition by frame order by score desc, a, i, j) as rn from c0) q where rn = 1),
+  l1 as ({_lattice("b0", "1.5", 0.5, 0.02, 0.02, 1)}), {_scored("c1", "l1")},
+  o as (select *, row_number() over (partition by frame order by score desc, level, a, i, j) as rn from (select * from c0 union all select * from c1) u),
+  b as (select a.frame, a.dx, a.dy, a.yaw, a.score as best, q.score as second from o a join o q on q.frame = a.frame and a.rn = 1 and q.rn = 2),
+  h as (select p.frame, sum(case when e.occ >= 0.3 and (p.label = 0 or e.label = 0 or p.label = e.label) then n else 0 end) / cast(sum(n) as double) as ratio from p join b on b.frame = p.frame left join e on e.ix = cast(floor(cos(yaw) * x - sin(yaw) * y + dx) as bigint) and e.iy = cast(floor(sin(yaw) * x + cos(yaw) * y + dy) as bigint) group by p.frame),
+  g as (select b.*, r, ratio, best - second as gap, 1 / (1 + exp(-20 * (best - second - 0.01))) as confidence from b join h using (frame) join at0 using (frame)),
+  k as (select *, case when best <= -0.5 then 'no_overlap' when ratio < 0.2 then 'low_inlier_ratio' when confidence < 0.3 or gap < 0.01 then 'ambiguous' else 'accepted' end as reason from g)
+  select frame, round(r, 6) as radius, round(dx, 6) + 0.0 as dx, round(dy, 6) + 0.0 as dy, round(yaw, 6) + 0.0 as yaw, round(best, 6) + 0.0 as best, round(second, 6) + 0.0 as second, round(gap, 6) + 0.0 as gap, round(confidence, 6) as confidence, round(ratio, 6) as ratio, reason = 'accepted' as accepted, reason from k"""
+
+
+@query("OPT1_pose_search", LOCALIZED)
 def opt1(v: Views):
-    points = v.pts.select("frame", (scalars.cell(F.col("x"), 1) + 0.5).alias("x"), (scalars.cell(F.col("y"), 40) + 0.5).alias("y"), "label").groupBy("frame", "x", "y", "label").agg(F.count("*").alias("n"))
-    weight = F.when(F.col("label") == F.col("prior"), 0.3).when(F.col("label") == 5, -0.2).otherwise(0.0)
-    out = search.pose_search(points, v.raster, ["frame"], search.lattice(DX, DY, YAW), 1.0, weight, 0.01)
-    return rounded(out.select("frame", F.col("best").cast("long").alias("best"), "best_score", "second_score", "gap", "accepted"))
+    """Each frame on the prior raster: window by covariance, lattice and finer lattice, gates."""
+    return rounded(search.localize(v.sql(CELL_POINTS), v.sql(EDGED), v.sql(START), ["frame"], 1.0))
 
 
-@query("OPT4_semantic_search", """with k as (select row_number() over (order by x, y) - 1 as c, x as dx, y as dy from (select unnest([-3, 0, 3]) as x) xs, (select unnest([-2, 0, 2]) as y) ys),
-  p as (select frame, cast(floor(x) as bigint) as ix, cast(floor(y / 40) as bigint) as iy, label, count(*) as n from pts where label > 0 group by all),
-  s as (select frame, c, sum(n * (case when p.label = r.label then 1.0 else -0.1 end) * exp(-(1 - r.occ))) / sum(n) as s, count(r.ix) as hits from p, k left join raster r on r.ix = p.ix + k.dx and r.iy = p.iy + k.dy group by frame, c)
-  select frame, c, round(coalesce(s, 0), 6) as score, hits from s""")
+LATTICE4 = "select row_number() over (order by a, x, y) - 1 as c, x as dx, y as dy, a as yaw from (select unnest([-3.0, 0.0, 3.0]) as x) xs, (select unnest([-2.0, 0.0, 2.0]) as y) ys, (select unnest([-0.04, 0.0, 0.04]) as a) yaws"
+WEIGHTS4 = {1: 0.6, 2: 0.4, 3: 1.0, 4: 0.5}
+SEMANTIC = f"""k as ({LATTICE4}), p as (select frame, cast(floor(x) as bigint) + 0.5 as x, cast(floor(y / 40) as bigint) + 0.5 as y, label, count(*) as n from pts where label > 0 group by 1, 2, 3, 4),
+  d as (select x.ix, x.iy, r.label, min(sqrt((x.ix - r.ix) * (x.ix - r.ix) + (x.iy - r.iy) * (x.iy - r.iy))) as d from (select range - 80 as ix from range(0, 300)) xx, (select 0) z, raster r, lateral (select xx.ix as ix, yy.iy as iy from (select range - 80 as iy from range(0, 300)) yy where yy.iy between r.iy - 4 and r.iy + 4) x where xx.ix between r.ix - 4 and r.ix + 4 and r.label in (1, 2, 3, 4) group by 1, 2, 3),
+  m as (select frame, label, n, c, dx, dy, yaw, cast(floor(cos(yaw) * x - sin(yaw) * y + dx) as bigint) as ix, cast(floor(sin(yaw) * x + cos(yaw) * y + dy) as bigint) as iy from p, k),
+  s as (select frame, c, dx, dy, yaw, sum(n * coalesce(case when d.d <= 4 then case m.label when 1 then 0.6 when 2 then 0.4 when 3 then 1.0 when 4 then 0.5 end * exp(-d.d / 1.5) end, 0)) / sum(n) as mean, sum(case when r.ix is not null then n else 0 end) / cast(sum(n) as double) as coverage
+    from m left join raster r on r.ix = m.ix and r.iy = m.iy left join d on d.ix = m.ix and d.iy = m.iy and d.label = m.label group by frame, c, dx, dy, yaw),
+  q as (select *, round(mean * coverage, 9) as score from s)"""
+
+
+def semantic_scores(v: Views):
+    points = v.pts.filter("label > 0").select("frame", (scalars.cell(F.col("x"), 1) + 0.5).alias("x"), (scalars.cell(F.col("y"), 40) + 0.5).alias("y"), "label").groupBy("frame", "x", "y", "label").agg(F.count("*").alias("n"))
+    return search.semantic_search(points, v.raster, ["frame"], search.lattice([-3.0, 0.0, 3.0], [-2.0, 0.0, 2.0], [-0.04, 0.0, 0.04]), WEIGHTS4)
+
+
+@query("OPT4_semantic_search", f"""with {SEMANTIC}, o as (select *, row_number() over (partition by frame order by score desc, c) as rn from q)
+  select a.frame, a.c, a.dx, a.dy, a.yaw, round(a.score, 6) as score, round(a.coverage, 6) as coverage, round(a.score - b.score, 6) + 0.0 as delta, round(a.score / greatest(b.score, 0.000001), 5) as ratio,
+    case when a.score < 0.05 then 'score_low' when a.coverage < 0.5 then 'coverage_low' when a.score - b.score < 0.002 or a.score / greatest(b.score, 0.000001) < 1.005 then 'not_unique' else 'ok' end as reason from o a join o b on a.frame = b.frame and a.rn = 1 and b.rn = 2""")
 def opt4(v: Views):
-    at = F.array(*[F.struct(F.lit(k).cast("long").alias("c"), F.lit(x).alias("dx"), F.lit(y).alias("dy")) for k, (x, y) in enumerate((x, y) for x in (-3, 0, 3) for y in (-2, 0, 2))])
-    points = v.pts.filter("label > 0").select("frame", scalars.cell(F.col("x"), 1).alias("px"), scalars.cell(F.col("y"), 40).alias("py"), "label").groupBy("frame", "px", "py", "label").agg(F.count("*").alias("n"))
-    moved = points.select("frame", "label", "n", "px", "py", F.explode(at).alias("k")).select("frame", "label", "n", "k.c", (F.col("px") + F.col("k.dx")).alias("ix"), (F.col("py") + F.col("k.dy")).alias("iy"))
-    hits = moved.join(v.raster.select("ix", "iy", "occ", F.col("label").alias("prior")), ["ix", "iy"], "left")
-    score = F.sum(F.col("n") * F.when(F.col("label") == F.col("prior"), 1.0).otherwise(-0.1) * F.exp(-(1 - F.col("occ")))) / F.sum("n")
-    return rounded(hits.groupBy("frame", "c").agg(F.coalesce(score, F.lit(0.0)).alias("score"), F.count("occ").alias("hits")))
+    """The best shift and turn of each frame on the labelled prior, with its lead and reason."""
+    out = search.peak(semantic_scores(v), ["frame"], search.Peak(min_score=0.05, min_delta=0.002, min_ratio=1.005))
+    return rounded(out.withColumn("c", F.col("c").cast("long")).withColumn("ratio", F.round("ratio", 5)))
+
+
+@query("OPT4_heat_map", f"with {SEMANTIC} select frame, cast(floor((dx + 32) / 2) as bigint) as ix, cast(floor((dy + 2) / 2) as bigint) as iy, round(max(score), 6) as heat from q group by 1, 2, 3")
+def opt4_heat(v: Views):
+    """The same search as a heat map."""
+    return rounded(search.heat_map(semantic_scores(v), ["frame"], 2.0, 32.0, 2.0))
+
+
+SHIFTS5 = [(x, y) for x in (-2, -1, 0, 1, 2) for y in (-1, 0, 1)]
+EDGES5 = f"""with k as (select row_number() over (order by x, y) - 1 as c, x as dx, y as dy from (select unnest([-2, -1, 0, 1, 2]) as x) xs, (select unnest([-1, 0, 1]) as y) ys), e as (select ix, iy from raster where occ > 0.9),
+  m as (select c, dx, dy, ix + dx as ix, iy + dy as iy, occ as value from raster, k where occ between 0.6 and 0.9),
+  d as (select m.c, m.dx, m.dy, m.ix, m.iy, any_value(value) as value, least(4, coalesce(min(sqrt((m.ix - e.ix) * (m.ix - e.ix) + (m.iy - e.iy) * (m.iy - e.iy))), 4)) as d from m left join e on abs(m.ix - e.ix) <= 4 and abs(m.iy - e.iy) <= 4 group by m.c, m.dx, m.dy, m.ix, m.iy),
+  s as (select c, dx, dy, avg(d) as mean_d, avg(cast(d <= 2 as int)) as coverage, coalesce(corr(value, r.occ), 0) as ncc from d left join raster r on r.ix = d.ix and r.iy = d.iy group by c, dx, dy),
+  q as (select *, round(case when coverage < 0.2 then 0 else greatest(0, least(1, exp(-mean_d / 2) * pow(coverage, 0.5) * (0.35 + 0.65 * greatest(0, least(1, (ncc + 1) / 2))))) end, 9) as score from s),
+  p as (select quantile_cont(score, 0.9) as p90, max(score) as top, list_sort(list(score), 'DESC')[2] as second from q)
+  select c, cast(dx as bigint) as dx, cast(dy as bigint) as dy, round(mean_d, 6) as mean_d, round(coverage, 6) as coverage, round(ncc, 6) + 0.0 as ncc, round(score, 6) as score, round(second, 6) as second, round(p90, 6) as p90, round(top - p90, 6) + 0.0 as peak_delta, round(top / greatest(second, 0.000001), 5) as peak_ratio from q, p order by score desc, c limit 5"""
 
 
-@query("OPT5_edge_chamfer", """with e as (select ix, iy from raster where occ > 0.9), k as (select unnest([-1, 0, 1]) as s), q as (select s, ix + s as ix, iy from raster, k where occ between 0.6 and 0.9),
-  d as (select q.s, q.ix, q.iy, least(4, coalesce(min(sqrt((q.ix-e.ix)*(q.ix-e.ix) + (q.iy-e.iy)*(q.iy-e.iy))), 4)) as d from q left join e on abs(q.ix - e.ix) <= 4 and abs(q.iy - e.iy) <= 4 group by all)
-  select s, round(avg(d), 6) as chamfer, round(quantile_cont(d, 0.9), 6) as p90 from d group by s""")
+@query("OPT5_edge_chamfer", EDGES5)
 def opt5(v: Views):
-    q = v.raster.filter("occ between 0.6 and 0.9").select("ix", "iy", F.explode(F.array(*[F.lit(s) for s in (-1, 0, 1)])).alias("s")).select("s", (F.col("ix") + F.col("s")).alias("ix"), "iy")
-    d = raster.distance_to(q.select("ix", "iy").distinct(), v.raster.filter("occ > 0.9"), 4)
-    return rounded(q.join(d, ["ix", "iy"]).groupBy("s").agg(F.avg("distance").alias("chamfer"), F.percentile("distance", 0.9).alias("p90")))
+    """The five best shifts of middling cells onto the edges, by distance, coverage and correlation."""
+    query_, target = v.raster.filter("occ between 0.6 and 0.9").select("ix", "iy", F.col("occ").alias("value")), v.raster.select("ix", "iy", F.col("occ").alias("value"))
+    out = search.edge_search(query_, target, SHIFTS5)
+    return rounded(out.withColumn("c", F.col("c").cast("long")).withColumn("peak_ratio", F.round("peak_ratio", 5)))
 
 
 @query("AG22_kabsch", """with p as (select frame, x as ax, y as ay, z as az, x * cos(0.4) - y * sin(0.4) + 3 as bx, x * sin(0.4) + y * cos(0.4) - 1 as b_y, z + 2 as bz from pts) select frame, round(0.4, 5) as yaw, round(0.4, 5) as angle, round(3.0, 5) as tx, round(-1.0, 5) as ty, round(2.0, 5) as tz from p group by frame having count(*) > 10""")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Window
@@ -131,3 +132,34 @@ def pending(time: str, kind: str, request: str, wait: int, tries: int) -> Callab
         return [], step
 
     return start
+
+
+def back_pressure(kind: str, request: str, result: str, most: int) -> Callable:
+    """Admit requests while fewer than most are pending; results take one off. Returns the requests with admitted and how many were pending."""
+
+    def start():
+        def step(pending, row):
+            if row[kind] == result:
+                return max(0, pending - 1), []
+            if row[kind] != request:
+                return pending, []
+            admitted = pending < most
+            return pending + admitted, [{**row, "admitted": admitted, "pending": pending}]
+
+        return 0, step
+
+    return start
+
+
+def published(time: str, every: int) -> Callable:
+    """A trajectory's state at every so-manieth keyframe (x, y): its number n and the path's length so far, what a map publisher writes out."""
+
+    def start():
+        def step(state, row):
+            n, length, last = state
+            n, length = n + 1, length + (math.hypot(row["x"] - last[0], row["y"] - last[1]) if last else 0.0)
+            return (n, length, (row["x"], row["y"])), [{**row, "n": n, "length": length}] if n % every == 0 else []
+
+        return (0, 0.0, None), step
+
+    return start

@@ -125,6 +125,48 @@ def op9_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages, urls.mine(pages, table(spark, sf_dir, "labels")))
 
 
+def _url_sql(url: str) -> str:
+    """SQL of a URL's host, path and distinct tokens."""
+    rest = f"case when strpos({url}, '://') > 0 then substr({url}, strpos({url}, '://') + 3) else '' end"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return f"""u as (select *, translate(regexp_extract(coalesce({rest}, ''), '^[^/?#]*'), '{upper}', '{lower}') as host, regexp_extract(coalesce({rest}, ''), '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(coalesce({url}, ''), '[?]([^#]*)', 1) as query from numbered),
+  parts as (select *, string_split(host, '.') as p from u),
+  tokens as (select n, page_id, host, path, case when host = '' then cast([] as varchar[]) else list_distinct(list_concat(['site:' || array_to_string(p[greatest(len(p) - 2, 1):], '.')],
+      list_transform(list_filter(string_split_regex(host, '[^a-z0-9\\x{{80}}-\\x{{10FFFF}}]+'), lambda x: x <> ''), lambda x: 'host:' || x),
+      list_transform(list_filter(string_split(regexp_replace(lower(path), '[0-9]+', '#', 'g'), '/'), lambda x: x <> ''), lambda x: 'path:' || x),
+      list_transform(list_filter(list_transform(string_split(query, '&'), lambda x: regexp_extract(x, '^[^=]*')), lambda x: x <> ''), lambda x: 'key:' || x))) end as tokens from parts)"""
+
+
+_OP9_SQL = f"""
+with recursive numbered as (select *, row_number() over () as n from pages),
+  {_url_sql("url")},
+  bad as (select doc_id as id, max((coalesce(toxic, 0) = 1 or coalesce(quality, 1) = 0)) as bad from labels where doc_id is not null group by doc_id),
+  items as (select t.n, t.tokens, bad from tokens t join bad on bad.id = t.page_id where bad or len(t.tokens) > 0),
+  least_ as (select count(*) as rows_, greatest({urls.MIN_SUPPORT} * count(*), {urls.MIN_COUNT}) as least from items),
+  unwanted as (select n, tokens from items where bad),
+  often as (select tok, list(n order by n) as rows_ from (select n, unnest(tokens) as tok from items) q group by tok having count(*) >= (select least - 0.000001 from least_)),
+  classes as (select tok, min(tok) over (partition by rows_) as rep from often),
+  bad_reps as (select n, list_distinct(list(rep)) as reps from (select n, unnest(tokens) as tok from unwanted) q join classes using (tok) group by n),
+  item_reps as (select n, bad, list_distinct(list(rep)) as reps from (select n, bad, unnest(tokens) as tok from items) q join classes using (tok) group by n, bad),
+  singles as (select tok from (select unnest(reps) as tok from bad_reps) q group by tok having count(*) >= (select least - 0.000001 from least_)),
+  sets as (
+    select [tok] as x from singles
+    union all
+    select list_append(s.x, t.tok) as x from sets s join singles t on t.tok > s.x[len(s.x)] join bad_reps b on list_has_all(b.reps, list_append(s.x, t.tok)) group by list_append(s.x, t.tok) having count(*) >= (select least - 0.000001 from least_)),
+  sure as (select x, sum(case when bad then 1 else 0 end) / cast(count(*) as double) as confidence from sets join item_reps on list_has_all(reps, x) group by x having sum(case when bad then 1 else 0 end) / cast(count(*) as double) >= {urls.MIN_CONFIDENCE}),
+  mined as (select x, confidence from sure a where not exists (select 1 from sure b where len(b.x) < len(a.x) and list_has_all(a.x, b.x) and b.confidence >= a.confidence)),
+  firsts as (select n, rep, min(tok) as tok from (select n, unnest(tokens) as tok from tokens) q join classes using (tok) group by n, rep),
+  own as (select n, list(rep) as reps from firsts group by n),
+  matched as (select o.n, m.confidence, m.x, unnest(m.x) as rep from own o join mined m on list_has_all(o.reps, m.x)),
+  shown as (select n, confidence, x, list_sort(list(f.tok)) as toks from matched join firsts f using (n, rep) group by n, confidence, x),
+  best as (select n, toks as x, confidence from shown qualify row_number() over (partition by n order by confidence desc, len(toks), toks) = 1),
+  written as (select * from (values {", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in urls.RULES)}) r(h, p, v)),
+  ruled as (select t.n, h || p as rule, v from tokens t join written on (t.host = h or ends_with(t.host, '.' || h)) and starts_with(t.path, p) qualify row_number() over (partition by t.n order by length(h) + length(p) desc, h desc, p desc) = 1)
+select t.page_id, t.host, t.path, r.rule, coalesce(r.v, case when b.n is null then 'allow' else 'block' end) as verdict, array_to_string(b.x, ' ') as mined_rule, b.confidence
+from tokens t left join ruled r on r.n = t.n left join best b on b.n = t.n
+"""
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Format all conversations, and one full of control strings, and read them back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -172,4 +214,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {"op7_source_mix": _OP7_SQL, "op10_chat_format": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op7_source_mix": _OP7_SQL, "op9_url_rules": _OP9_SQL, "op10_chat_format": _OP10_SQL}

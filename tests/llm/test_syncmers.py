@@ -58,7 +58,7 @@ def shown(a):
 
 def brute(rows):
     """rows: (doc_id, text) with the ids in any order."""
-    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), r[1] or ""))
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), xx(r[1] or ""), r[1] or ""))
     out = []
     for k, (i, t) in enumerate(order):
         t, nxt = t or "", order[(k + 1) % len(order)][1] or ""
@@ -148,3 +148,19 @@ def test_copies_with_insertions(spark):
     got = {r.doc_id: r for r in syncmers.compare_edited(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[6].near_next > 0.98 and got[4].near_next > 0.95 and got[2].near_next > 0.95
     assert got[5].near_next == 0 and len(got[6].fingerprint.split()) > 500
+
+
+def test_hot_ids(spark, monkeypatch):
+    """Ids that very many rows share, none among them, are cut into groups with the same result; equal rows too."""
+    rng = random.Random(9)
+    text = lambda: " ".join(f"w{rng.randrange(40)}" for _ in range(rng.choice([0, 3, 9, 30])))
+    rows = [(rng.choice([None, None, 5, 6, 700, 701, 10_000, k]), text()) for k in range(150)] + [(5, "one and the same text of many rows")] * 40 + [(None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows)
+    assert sorted(map(tuple, syncmers.compare_edited(df).collect()), key=str) == want
+    monkeypatch.setattr(syncmers, "HOT_ROWS", 3)
+    assert sorted(map(tuple, syncmers.compare_edited(df).collect()), key=str) == want
+    monkeypatch.setattr(syncmers, "MAX_BROADCAST_GROUPS", 0)
+    assert sorted(map(tuple, syncmers.compare_edited(df).collect()), key=str) == want
+    one = spark.createDataFrame([(1, f"t {k % 7}") for k in range(40)], "doc_id long, text string")
+    assert sorted(map(tuple, syncmers.compare_edited(one).collect()), key=str) == brute([tuple(r) for r in one.collect()])

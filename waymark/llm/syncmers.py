@@ -24,6 +24,11 @@ GROUP_BITS, LEVEL_BITS = 8, (28, 44)
 #: Groups up to which the list of their last documents is broadcast (16 bytes each).
 MAX_BROADCAST_GROUPS = 500_000
 
+#: Rows of one id from which they are dealt out by a hash of their columns, copies counted instead of dealt.
+HOT_ROWS = 4_096
+#: Bits of that hash.
+BUCKET_BITS = 12
+
 _LEAST = -(2**63)
 
 
@@ -111,24 +116,64 @@ def _last_of_groups(ids: DataFrame) -> DataFrame:
     return top.select(F.col("node").alias("host"), F.col("below").alias("guest"))
 
 
+def _hot_groups(rows: DataFrame, hosts: DataFrame, hot: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows and hosts where some ids have very many rows: groups that hold such an id are cut by id and, for it, by bucket.
+
+    Rows get host (three columns) and copies, rows of a hot id that are equal become one; hosts
+    name, for every group, the id and bucket that follow it.
+    """
+    few = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_GROUPS else hot
+    majors = hot.select(F.shiftright("key", GROUP_BITS).alias("major")).distinct()
+    own = [c for c in rows.columns]
+    equal = rows.join(few, "key", "left_semi").groupBy(*own).agg(F.count("*").alias("copies")).withColumn("bucket", F.shiftright("place", 64 - BUCKET_BITS))
+    rest = rows.join(few, "key", "left_anti").withColumns({"copies": F.lit(1).cast("long"), "bucket": F.lit(0).cast("long")})
+    both = equal.select(*own, "copies", "bucket").unionByName(rest).withColumn("major", F.shiftright("key", GROUP_BITS))
+    both = both.join(F.broadcast(majors.withColumn("cut", F.lit(True))), "major", "left").withColumn("part", F.when(F.col("cut"), F.col("key"))).drop("cut")
+
+    groups = stored(both.filter("part is not null").select("major", "part", "bucket").distinct(), "next-parts")
+    starts = groups.join(few.select(F.col("key").alias("part")), "part").groupBy(F.col("part").alias("guest")).agg(F.min("bucket").alias("guest_bucket"))
+    after = hosts.select(F.col("host").alias("major"), "guest").join(starts, "guest", "left").withColumn("guest_bucket", F.coalesce("guest_bucket", F.lit(0).cast("long")))
+    order = Window.partitionBy("major").orderBy(F.desc("part"), "bucket")  # at most an id's buckets for each of a group's ids
+    inner = groups.withColumn("inside", F.lead(F.struct("part", "bucket")).over(order)).join(after, "major")
+    cut = inner.select("major", "part", "bucket", F.coalesce("inside.part", "guest").alias("guest"), F.coalesce("inside.bucket", "guest_bucket").alias("guest_bucket"))
+    whole = after.join(majors, "major", "left_anti").select("major", F.lit(None).cast("long").alias("part"), F.lit(0).cast("long").alias("bucket"), "guest", "guest_bucket")
+    return both, stored(cut.unionByName(whole), "next-groups")
+
+
 def with_next(df: DataFrame, columns: list[str], derived: dict[str, str], id_col: str = "doc_id") -> DataFrame:
     """id, columns and derived columns (name: SQL over columns) of df and, for each, next_<column>: its value in the next document by descending id (after the last: the first).
 
-    A null id comes last; rows of one id follow each other in the order of the columns. Rows are
-    shuffled once, by groups of ids, before the derived columns are made; each group also gets the document that follows its last one.
-    That list is broadcast while it is small, else joined.
+    A null id comes last; rows of one id follow each other in the order of a hash of the columns,
+    then of the columns. Rows are shuffled once, by groups of ids, before the derived columns are
+    made; each group also gets the document that follows its last one. That list is broadcast while
+    it is small, else joined. An id (or none) that very many rows share is cut into groups by the
+    hash, and rows of it that are equal are counted, so no task gets all of them.
     """
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST))
     hosts = stored(_last_of_groups(df.select(key.alias("key"))), "next-groups")
+    hot = stored(df.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > HOT_ROWS).select("key"), "next-hot")
+    rows = df.select(key.alias("key"), id_col, *columns).withColumn("place", F.xxhash64(*columns))
+    if hot.isEmpty():
+        rows = rows.withColumns({"major": F.shiftright("key", GROUP_BITS), "part": F.lit(None).cast("long"), "bucket": F.lit(0).cast("long"), "copies": F.lit(1).cast("long")})
+        hosts = hosts.select(F.col("host").alias("major"), F.lit(None).cast("long").alias("part"), F.lit(0).cast("long").alias("bucket"), "guest", F.lit(0).cast("long").alias("guest_bucket"))
+    else:
+        rows, hosts = _hot_groups(rows, hosts, hot, columns)
     small = hosts.count() <= MAX_BROADCAST_GROUPS
-    rows = df.select(key.alias("key"), id_col, *columns).withColumn("host", F.shiftright("key", GROUP_BITS))
-    guests = rows.drop("host").join(F.broadcast(hosts) if small else hosts, F.col("key") == F.col("guest"))
-    both = rows.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True)).select("key", id_col, *columns, "host", "guest"))
-    both = both.repartition("host").selectExpr("*", *[f"{sql} as {name}" for name, sql in derived.items()])
-    order = Window.partitionBy("host").orderBy("guest", F.desc("key"), *columns)
+    own = ["key", id_col, *columns, "place", "copies"]
+    to = hosts.select(F.col("major").alias("to_major"), F.col("part").alias("to_part"), F.col("bucket").alias("to_bucket"), "guest", "guest_bucket")
+    guests = rows.join(F.broadcast(to) if small else to, (F.col("key") == F.col("guest")) & (F.col("bucket") == F.col("guest_bucket")))
+    guests = guests.select(*own, F.col("to_major").alias("major"), F.col("to_part").alias("part"), F.col("to_bucket").alias("bucket"), F.lit(True).alias("guest"))
+    both = rows.select(*own, "major", "part", "bucket", F.lit(False).alias("guest")).unionByName(guests)
+    host = ["major", "part", "bucket"]
+    both = both.repartition(*host).selectExpr("*", *[f"{sql} as {name}" for name, sql in derived.items()])
+    order = Window.partitionBy(*host).orderBy("guest", F.desc("key"), "place", *columns)
     every = [*columns, *derived]
     after = [F.lead(c).over(order).alias(f"next_{c}") for c in every]
-    return both.select(id_col, *every, "guest", *after).filter(~F.col("guest")).drop("guest")
+    out = both.select(id_col, *every, "copies", "guest", *after).filter(~F.col("guest")).drop("guest")
+    if hot.isEmpty():
+        return out.drop("copies")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))  # a copy is followed by the next one, the last by the next document
+    return out.select(id_col, *every, *[F.when(F.col("copy") < F.col("copies"), F.col(c)).otherwise(F.col(f"next_{c}")).alias(f"next_{c}") for c in every])
 
 
 def compare_edited(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -164,7 +164,9 @@ def test_visual_update_decides_on_height():
 
 
 @pytest.mark.parametrize("d", [1, 3, 6])
-def test_block_solver_equals_dense(d):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_block_solver_equals_dense(d, small, monkeypatch):
+    monkeypatch.setattr(posegraph, "SMALL", small)
     rng = np.random.default_rng(d)
     n = 60
     edges = [(k, k + 1) for k in range(n - 1)] + [(2, 50), (10, 40), (11, 41), (0, 59)]

@@ -190,11 +190,16 @@ def plane_by_strategies(queries: DataFrame, points: DataFrame, voxels: DataFrame
 
     strategy is "voxels", "points", "finer" or "none".
     """
-    agreeing = local_planes(queries, voxels, ident, size, reach, 8, 4, 1, max_flatness / 2)
     half = points.groupBy(*[scalars.cell(F.col(c), size / 2).alias(f"v{c}") for c in "xyz"]).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in "xyz"], *[F.covar_pop(a, b).alias(f"c{a}{b}") for a, b in AXES])
-    plans: list[tuple[str, Callable]] = [("voxels", lambda: agreeing), ("points", lambda: point_planes(queries, points, ident, size, reach, nearest, max_flatness)), ("finer", lambda: local_planes(queries, half, ident, size / 2, reach / 2, 8, 4, 1, 2 * max_flatness))]
-    out = queries.select(ident)
-    for name, make in plans:
-        found = make().filter("valid").select(ident, F.struct(F.lit(name).alias("strategy"), "nx", "ny", "nz", "distance").alias(name))
-        out = out.join(found, ident, "left")
-    return out.select(ident, F.coalesce(*[name for name, _ in plans]).alias("p")).select(ident, F.coalesce("p.strategy", F.lit("none")).alias("strategy"), "p.nx", "p.ny", "p.nz", "p.distance")
+    plans: list[tuple[str, Callable]] = [
+        ("voxels", lambda left: local_planes(left, voxels, ident, size, reach, 8, 4, 1, max_flatness / 2)),
+        ("points", lambda left: point_planes(left, points, ident, size, reach, nearest, max_flatness)),
+        ("finer", lambda left: local_planes(left, half, ident, size / 2, reach / 2, 8, 4, 1, 2 * max_flatness)),
+    ]
+    out, left = None, queries
+    for name, find in plans:  # what one strategy finds, the next one isn't asked for
+        found = checkpointed(find(left).filter("valid").select(ident, F.lit(name).alias("strategy"), "nx", "ny", "nz", "distance"))
+        out = found if out is None else out.unionByName(found)
+        left = left.join(found.select(ident), ident, "left_anti")
+    none = [F.lit(None).cast("double").alias(c) for c in ("nx", "ny", "nz", "distance")]
+    return out.unionByName(left.select(ident, F.lit("none").alias("strategy"), *none))

@@ -104,13 +104,24 @@ def _chain_solve(factors: list, b: np.ndarray) -> np.ndarray:
     return np.stack(x[::-1])
 
 
+#: Unknowns of a system up to which it is solved as one dense matrix.
+SMALL = 400
+
+
 def solve_blocks(diagonal: np.ndarray, i: np.ndarray, j: np.ndarray, off: np.ndarray, b: np.ndarray, tolerance: float = 1e-12) -> np.ndarray:
     """x of the symmetric positive system with those blocks: diagonal (n, d, d), off (m, d, d) at (i, j) with i < j, and transposed at (j, i).
 
     Memory is that of the blocks. Blocks next to the diagonal are solved exactly as a chain; the
     others by conjugate gradients on top, which end when the residual is tolerance times that of b.
+    A system of no more than SMALL numbers is solved as one matrix, which is faster there.
     """
     n, d = b.shape
+    if n * d <= SMALL:
+        whole = np.zeros((n, d, n, d))
+        np.add.at(whole, (i, slice(None), j), off)
+        whole = whole + np.transpose(whole, (2, 3, 0, 1))
+        whole[np.arange(n), :, np.arange(n)] += diagonal
+        return np.linalg.solve(whole.reshape(n * d, n * d), b.ravel()).reshape(n, d)
     below = np.zeros((max(0, n - 1), d, d))
     near = j - i == 1
     np.add.at(below, i[near], np.swapaxes(off[near], 1, 2))

@@ -256,11 +256,11 @@ def ag6(v: Views):
 @query("AG7_semantic_map", """with m as (select cast(floor((x + frame) / 6) as bigint) as ix, cast(floor((y - frame) / 6) as bigint) as iy, label, conf from pts),
   t as (select ix, iy, sum(conf) as w from m group by ix, iy), l as (select ix, iy, label, sum(conf) as v from m group by ix, iy, label),
   b as (select *, row_number() over (partition by ix, iy order by round(v, 9) desc, label) as rn from l)
-  select ix, iy, label, round(v / w, 6) as confidence from t join b using (ix, iy) where rn = 1""")
+  select ix, iy, label, round(v / w, 10) as confidence from t join b using (ix, iy) where rn = 1""")
 def ag7(v: Views):
     poses = v.pts.select("frame").distinct().withColumn("tx", F.col("frame").cast("double")).withColumn("ty", -F.col("frame").cast("double"))
     moved = v.pts.join(poses, "frame").withColumn("x", F.col("x") + F.col("tx")).withColumn("y", F.col("y") + F.col("ty"))
-    return rounded(stats.label_map(grid.with_cells(moved, 6, ("x", "y")), ["ix", "iy"], "label", "conf"))
+    return rounded(stats.label_map(grid.with_cells(moved, 6, ("x", "y")), ["ix", "iy"], "label", "conf"), 10)
 
 
 @query("AG8_cell_stats", "select cast(floor(x / 4) as bigint) as ix, cast(floor(y / 4) as bigint) as iy, min(z) as z_min, max(z) as z_max, count(*) as n from pts group by all")

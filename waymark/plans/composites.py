@@ -27,10 +27,10 @@ def fil23(v: Views):
 
 @query("SNK6_pose_recorder", f"""with recursive s as (select *, row_number() over (partition by run order by t, id) as n from track),
   f as (select run, n, id, t as last, true as kept, t, x, y from s where n = 1 union all select s.run, s.n, s.id, case when s.t - f.last >= {20 * H} then s.t else f.last end, s.t - f.last >= {20 * H}, s.t, s.x, s.y from f join s on s.run = f.run and s.n = f.n + 1)
-  select run, id, printf('%.3f', t / 1000000.0) || chr(9) || printf('%.4f', x) || chr(9) || printf('%.4f', y) as line from f where kept""")
+  select run, id, printf('%.3f', (t // 1000) / 1000.0) || chr(9) || printf('%.4f', x) || chr(9) || printf('%.4f', y) as line from f where kept""")
 def snk6(v: Views):
     kept = folds.fold(v.track.select("run", "id", "t", "x", "y"), ["run"], ["t", "id"], folds.rate_gate("t", 20 * H), "run long, id long, t long, x double, y double")
-    return kept.select("run", "id", F.concat_ws("\t", F.format_string("%.3f", F.col("t") / 1e6), F.format_string("%.4f", "x"), F.format_string("%.4f", "y")).alias("line"))
+    return kept.select("run", "id", F.concat_ws("\t", F.format_string("%.3f", F.expr("t div 1000") / 1e3), F.format_string("%.4f", "x"), F.format_string("%.4f", "y")).alias("line"))
 
 
 @query("SNK7_queue_export", """select event_id as id, '{"id":"' || printf('%06d', event_id) || '","session":"s' || user_id || '","stamp":{"secs":' || epoch_us(ts) // 1000000 || ',"nsecs":' || (epoch_us(ts) % 1000000) * 1000 || '}}' as document from events""")
@@ -82,6 +82,25 @@ def est14(v: Views):
     return rounded(out.select("id", "cx", "cy", "ca", "streak", "reason"), 4)
 
 
+def landmark_upkeep(missed_most: int) -> Callable:
+    """Observed landmarks gain weight, others that should have been seen miss; too many misses in a row remove them. Returns a row's outcome."""
+
+    def start():
+        def step(state, row):
+            weight, missed = state
+            if row["seen"]:
+                weight, missed = min(10, weight + 1), 0
+            else:
+                missed += 1
+                if missed > missed_most:
+                    return (0, 0), [{**row, "weight": 0, "culled": True}]
+            return (weight, missed), [{**row, "weight": weight, "culled": False}]
+
+        return (0, 0), step
+
+    return start
+
+
 @query("VIS3_landmark_upkeep", """with recursive s as (select instance as landmark, id, label > 2 as seen, row_number() over (partition by instance order by stamp, id) as n from pts),
   f as (select landmark, n, id, case when seen then 1 else 0 end as weight, case when seen then 0 else 1 end as missed, false as culled from s where n = 1 union all
     select s.landmark, s.n, s.id, case when s.seen then least(10, f.weight + 1) when f.missed + 1 > 2 then 0 else f.weight end, case when s.seen or f.missed + 1 > 2 then 0 else f.missed + 1 end, not s.seen and f.missed + 1 > 2 from f join s on s.landmark = f.landmark and s.n = f.n + 1)

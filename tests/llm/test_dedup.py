@@ -1,6 +1,8 @@
 import random
 import re
 
+import duckdb
+
 from waymark.llm import dedup, queries
 
 
@@ -134,3 +136,11 @@ def test_hot_keys_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(dedup, "MAX_BROADCAST_BYTES", 0)
     assert sorted(map(tuple, dedup.near_duplicates(df, 85, 3).collect())) == brute(rows)
     assert sorted(r.doc_id for r in dedup.keep_one_of_each(df, 85, 3).collect()) == [r[0] for r in brute(rows) if r[3]]
+
+
+def test_query_equals_sql(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{sf}/documents.parquet'")
+    rel = con.sql(queries.ORACLE_SQL["op1_minhash_dedup"])
+    got = queries.op1_minhash_dedup(spark, sf)
+    assert rel.columns == got.columns and sorted(map(tuple, got.collect())) == sorted(rel.fetchall())

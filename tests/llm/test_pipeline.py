@@ -1,10 +1,11 @@
+import os
 import random
 
 from test_dedup import brute
 from test_fertility import kept_by_hand
 
 import corpus_pipeline
-from waymark.llm import langid
+from waymark.llm import _common, langid
 
 
 def test_stages_equal_brute_force(spark, sf):
@@ -62,3 +63,11 @@ def test_odd_rows(spark, tmp_path):
             assert made.columns == docs.columns and set(ids) <= {r[0] for r in rows}
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     assert 0 < corpus_pipeline.run(spark, str(tmp_path)).count() < len(rows)
+
+
+def test_run_leaves_one_copy(spark, sf):
+    """Of what the stages store only the last one's input stays in the shared folder."""
+    folder = _common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert [n.rsplit("-", 1)[0] for n in set(os.listdir(folder)) - before] == ["pipeline-source_mix"]

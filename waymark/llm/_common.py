@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 import functools
 import gc
@@ -44,13 +45,39 @@ def fresh_path(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """The rows written as Parquet to the shared folder and read back: cuts lineage, survives lost executors."""
+    """The rows written as Parquet to the shared folder and read back: cuts lineage, survives lost executors.
+
+    Files belong to the enclosing scratch() block, if there is one, and go with it.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, what)
+    if _OWNERS:
+        _OWNERS[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_OWNERS: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns what stored() writes inside the block and deletes it at the end; for results that were written elsewhere by then."""
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for path in _OWNERS.pop():
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any file system that Spark knows; a folder that isn't there is none of its business."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def slices(batches: Iterable[pa.RecordBatch], text_at: int, most: int = SLICE_BYTES, rows: int = 100_000) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows into pieces with at most that many rows and bytes of text (one row at least)."""
     for batch in batches:

@@ -83,7 +83,11 @@ def _leaf_columns(domain: Column | None, lang_col: str, source_col: str) -> list
 
 
 def sizes(df: DataFrame, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """(doc_id, domain, lang, source, n_tokens) of every document with a word, written to the shared folder."""
+    """(doc_id, domain, lang, source, n_tokens) of every document with a word, written to the shared folder.
+
+    Null, empty and blank texts have no row; a null domain, language or source is "unknown"; null and
+    repeated ids keep a row each; an empty table gives an empty one; other columns are ignored.
+    """
     rows = df.select(F.col(id_col).alias("doc_id"), *_leaf_columns(domain, lang_col, source_col), count_tokens(F.col(text_col)).alias("n_tokens"))
     return stored(rows.filter("n_tokens > 0"), "mix-sizes")
 
@@ -134,7 +138,12 @@ def mix_documents(rows: DataFrame, plan: DataFrame, seed: int = 17) -> DataFrame
 
 
 def mixed_rows(df: DataFrame, plan: DataFrame, seed: int = 17, domain: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """The rows of df, all columns, as often as the plan takes them."""
+    """The rows of df, all columns, as often as the plan takes them.
+
+    Texts without words are never taken; a leaf that the plan doesn't know isn't either; rows of one
+    id (or none) in a leaf are taken or left together; ties of the order hash fall on one side of
+    the cut; columns of df may have any names; an empty table gives an empty one.
+    """
     own = [F.struct(F.col(c)).alias(f"own{k}") for k, c in enumerate(df.columns)]  # names in df can't clash with the plan's
     rows = df.filter(F.col(text_col).rlike("[^\\x20\\x09-\\x0D]")).select(*own, F.col(id_col).cast("string").alias("id_text"), *_leaf_columns(domain, lang_col, source_col))
     taken = rows.join(plan, LEAF).withColumn("copies", F.col("epochs") + (order_hash(seed, F.col("epochs"), F.col("id_text")) < F.col("cut")).cast("long"))

@@ -17,6 +17,21 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85, words=3)
 
 
+#: Links by counting shared shingles of every two texts that share any; equal sets are one node, so that closures stay small.
+_OP1_SQL = """
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+sets as (select doc_id, case when len(w) = 0 then cast([] as varchar[]) when len(w) < 3 then [array_to_string(w, ' ')] else list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda k: array_to_string(w[k:k + 2], ' ')))) end as s from w),
+kinds as (select s, min(doc_id) as node, len(s) as n from sets where len(s) > 0 group by s),
+shingles as (select node, n, unnest(s) as x from kinds),
+links as (select a.node as a, b.node as b from shingles a join shingles b on a.x = b.x and a.node < b.node and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by a.node, b.node having 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+ways as (select a, b from links union select b, a from links),
+reached as (select node, node as root from kinds union select ways.b, reached.root from reached join ways on ways.a = reached.node),
+labels as (select node, min(root) as component from reached group by node)
+select d.doc_id, cast(len(d.s) as bigint) as n_shingles, coalesce(l.component, d.doc_id) as component_id, d.doc_id = coalesce(l.component, d.doc_id) as kept
+from sets d left join kinds k on k.s = d.s left join labels l on l.node = k.node
+"""
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text of documents."""
     return bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
@@ -214,4 +229,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {"op7_source_mix": _OP7_SQL, "op9_url_rules": _OP9_SQL, "op10_chat_format": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1_SQL, "op7_source_mix": _OP7_SQL, "op9_url_rules": _OP9_SQL, "op10_chat_format": _OP10_SQL}

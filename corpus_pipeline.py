@@ -11,14 +11,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm import bpe, dedup, fertility, langid, mixing, queries
-from waymark.llm._common import stored, table
+from waymark.llm._common import delete, fresh_path, scratch, table
 
 #: Share of the tokens that reach the mixing stage, and how often it may take a document.
 MIX_SHARE, MIX_EPOCHS = 0.9, 1
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is near the centroids of a language; the others go."""
+    """Documents whose text is near the centroids of a language; the others go.
+
+    Null, empty and letterless texts go; rows without an id or language are judged like others,
+    repeated rows alike; an empty table gives an empty one.
+    """
     return langid.keep_identified(docs, langid.fit(docs))
 
 
@@ -32,19 +36,27 @@ def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, 80 per cent."""
+    """One document of each group of near duplicates: five-word shingles, 80 per cent.
+
+    That with the smallest id stays (none last); rows of one id with unlike texts are documents of
+    their own, repeated rows are one, texts without words are like nothing.
+    """
     return dedup.keep_one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken for nine tenths of the tokens, each once at most, at target weights."""
+    """Documents taken for nine tenths of the tokens, each once at most, at target weights.
+
+    Texts without words are never taken; null languages and sources are nodes of their own; rows of
+    one id are taken or left together.
+    """
     rows = mixing.sizes(docs, queries.mix_domain())
     plan = mixing.mix_plan(rows, MIX_SHARE, MIX_EPOCHS, queries.MIX_WEIGHTS, queries.MIX_SEED)
     return mixing.mixed_rows(docs, plan, queries.MIX_SEED, queries.mix_domain())
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with the digests of ids and decoded bytes."""
+    """Token ids of what is left, with the digests of ids and decoded bytes; a null text has no tokens, every row one result."""
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -60,10 +72,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents, each written to the shared folder and read back by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = stored(docs, f"pipeline-{name}")
-    return docs
+    """All stages on documents, each written to the shared folder and read back by the next, whose input is then dropped."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = fresh_path(spark, f"pipeline-{name}")
+        with scratch(spark):  # what a stage stored on its way goes once its result is written
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before:
+            delete(spark, before)
+        before = path
+    return STAGES[-1][1](spark, docs, sf_dir)

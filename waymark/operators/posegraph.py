@@ -171,15 +171,10 @@ def normal_blocks(n: int, i: np.ndarray, j: np.ndarray, ji: np.ndarray, jj: np.n
 
 
 def _jacobians(residual: Callable, poses: np.ndarray, i: np.ndarray, j: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
-    """Derivatives of the residuals by a turn and shift of the first and of the second pose, in their own frames."""
-    out = []
-    for end in (0, 1):
-        columns = []
-        for c in range(6):
-            bump = lie.motion(np.eye(6)[c] * 1e-6)
-            pi, pj = poses[i], poses[np.maximum(j, 0)]
-            columns.append((residual(pi @ bump if end == 0 else pi, pj @ bump if end else pj) - base) / 1e-6)
-        out.append(np.stack(columns, axis=2))
+    """Derivatives of the residuals by a turn and shift of the first and of the second pose, in their own frames; all directions at once."""
+    bumps = lie.motion(np.eye(6) * 1e-6)[:, None]
+    pi, pj = poses[i], poses[np.maximum(j, 0)]
+    out = [np.moveaxis(residual(*ends) - base, 0, 2) / 1e-6 for ends in ((pi @ bumps, pj[None]), (pi[None], pj @ bumps))]
     out[1][j < 0] = 0
     return out
 

@@ -1,11 +1,12 @@
 import os
 import random
 
+import duckdb
 from test_dedup import brute
 from test_fertility import kept_by_hand
 
 import corpus_pipeline
-from waymark.llm import _common, langid
+from waymark.llm import _common, langid, queries
 
 
 def test_stages_equal_brute_force(spark, sf):
@@ -31,6 +32,11 @@ def test_stages_equal_brute_force(spark, sf):
     mixed = corpus_pipeline.mix_sources(spark, made, sf).cache()
     assert mixed.columns == columns and 0.8 * before < mixed.count() < before
     assert mixed.count() == mixed.select("doc_id").distinct().count()
+    con = duckdb.connect()
+    con.register("rows_in", made.toPandas())
+    con.sql("create view documents as select * from rows_in")
+    taken = con.sql(queries.mix_sql(corpus_pipeline.MIX_SHARE, corpus_pipeline.MIX_EPOCHS)).fetchall()
+    assert sorted(r.doc_id for r in mixed.collect()) == sorted(r[0] for r in taken) and {r[5] for r in taken} == {1}
     words = lambda df: df.selectExpr("sum(size(filter(split(text, '[ \\\\t-\\\\r]+'), w -> w <> ''))) as n").first().n
     assert abs(words(mixed) / words(made) - 0.9) < 0.08
 

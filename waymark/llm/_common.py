@@ -19,8 +19,20 @@ from pyspark.sql import DataFrame, SparkSession
 SLICE_BYTES = 1_000_000
 
 
+#: Rows of an Arrow batch: texts are long, and a batch stands in the JVM's memory and in the worker's.
+ARROW_ROWS = 2_000
+_ARROW_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Ask the session for Arrow batches of ARROW_ROWS rows, unless it has a number of its own (Spark's is 10,000). Results don't depend on it."""
+    if spark.conf.get(_ARROW_SETTING) == "10000":
+        spark.conf.set(_ARROW_SETTING, str(ARROW_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder."""
+    """One table of a data folder, read by a session with small Arrow batches."""
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

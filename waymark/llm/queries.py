@@ -96,18 +96,20 @@ def _filled(name: str, nodes: str, parents: str, child: str) -> str:
 {name} as (select {key}{child}, case when final is null or capacity <= final * weight then cast(capacity as double) else final * weight end as budget from {name}_level)"""
 
 
-_OP7_SQL = f"""
+def mix_sql(share: float = MIX_SHARE, epochs: int = MIX_EPOCHS) -> str:
+    """DuckDB SQL of the documents that a mix of that share of the tokens takes, each so often at most."""
+    return f"""
 with rows_ as (
   select doc_id, coalesce('domain' || (try_cast(regexp_extract(source, '([0-9]+)$', 1) as bigint) % 3), 'unknown') as domain,
     coalesce(lang, 'unknown') as lang, coalesce(source, 'unknown') as source,
     cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as n_tokens
   from documents),
 leaves as (select domain, lang, source, cast(sum(n_tokens) as bigint) as tokens from rows_ where n_tokens > 0 group by all),
-sized as (select *, tokens * {MIX_EPOCHS} as capacity, cast(1 as double) as weight from leaves),
+sized as (select *, tokens * {epochs} as capacity, cast(1 as double) as weight from leaves),
 domains as (
   select domain, cast(sum(capacity) as bigint) as capacity,
     cast(case domain when 'domain0' then 3 when 'domain1' then 2 when 'domain2' then 1 else 1 end as double) as weight,
-    (select floor(sum(tokens) * cast({MIX_SHARE} as double)) from leaves) as total
+    (select floor(sum(tokens) * cast({share} as double)) from leaves) as total
   from sized group by domain),{_filled("top_", "domains", "", "domain")},
 langs as (
   select domain, lang, capacity, weight, budget as total from (
@@ -229,4 +231,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
 }
-ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1_SQL, "op7_source_mix": _OP7_SQL, "op9_url_rules": _OP9_SQL, "op10_chat_format": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1_SQL, "op7_source_mix": mix_sql(), "op9_url_rules": _OP9_SQL, "op10_chat_format": _OP10_SQL}

@@ -11,7 +11,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm import bpe, dedup, fertility, langid, mixing, queries
-from waymark.llm._common import delete, fresh_path, scratch, table
+from waymark.llm._common import delete, fresh_path, scratch, small_batches, table
 
 #: Share of the tokens that reach the mixing stage, and how often it may take a document.
 MIX_SHARE, MIX_EPOCHS = 0.9, 1
@@ -23,6 +23,7 @@ def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Null, empty and letterless texts go; rows without an id or language are judged like others,
     repeated rows alike; an empty table gives an empty one.
     """
+    small_batches(spark)
     return langid.keep_identified(docs, langid.fit(docs))
 
 
@@ -31,6 +32,7 @@ def check_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null, empty and short texts go; texts without a language are held to their script's limits.
     """
+    small_batches(spark)
     first, second = map(public_tokenizers.path, queries.FERTILITY_VOCABULARIES)
     return fertility.keep_fertile(docs, first, second=second, labels=table(spark, sf_dir, "labels"), lang_col="lang")
 
@@ -41,6 +43,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     That with the smallest id stays (none last); rows of one id with unlike texts are documents of
     their own, repeated rows are one, texts without words are like nothing.
     """
+    small_batches(spark)
     return dedup.keep_one_of_each(docs)
 
 
@@ -50,6 +53,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Texts without words are never taken; null languages and sources are nodes of their own; rows of
     one id are taken or left together.
     """
+    small_batches(spark)
     rows = mixing.sizes(docs, queries.mix_domain())
     plan = mixing.mix_plan(rows, MIX_SHARE, MIX_EPOCHS, queries.MIX_WEIGHTS, queries.MIX_SEED)
     return mixing.mixed_rows(docs, plan, queries.MIX_SEED, queries.mix_domain())
@@ -57,6 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with the digests of ids and decoded bytes; a null text has no tokens, every row one result."""
+    small_batches(spark)
     return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, dedup, fertility, langid, licenses, mixing, syncmers, token_files, urls
+from waymark.llm import bpe, chat, dedup, fertility, langid, licenses, mixing, pieces, syncmers, token_files, urls
 from waymark.llm._common import fresh_path, table
 
 
@@ -219,6 +219,11 @@ from placed group by conv_id
 """
 
 
+def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode every text of documents in a sentencepiece model."""
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash_dedup": op1_minhash_dedup,
     "op2_bpe_round_trip": op2_bpe_round_trip,
@@ -230,5 +235,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
+    "op13_piece_round_trip": op13_piece_round_trip,
 }
 ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1_SQL, "op7_source_mix": mix_sql(), "op9_url_rules": _OP9_SQL, "op10_chat_format": _OP10_SQL}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, dedup, fertility, langid, licenses, mixing, pieces, syncmers, token_files, urls
+from waymark.llm import bpe, chat, dedup, fertility, langid, licenses, merkle, mixing, pieces, syncmers, token_files, urls
 from waymark.llm._common import fresh_path, table
 
 
@@ -219,6 +219,57 @@ from placed group by conv_id
 """
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of documents, with each row's proof checked against tampered rows."""
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+def _merkle_sql(fanout: int = merkle.FANOUT) -> str:
+    """DuckDB SQL of the manifest: levels by recursion, proofs by joins with each level, folding by recursion over a leaf's proof."""
+    field = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || {c}, '-')"
+    leaf = lambda text: f"sha256(concat({field('doc_id')}, {field('source')}, {field('lang')}, {field('n_chars')}, {field(text)}))"
+    up = lambda name, by, key: f"""{name}_levels as (
+  select {by}, 0 as lvl, idx, hash, n from {key}
+  union all
+  select {by}, lvl + 1, idx // {fanout}, sha256(string_agg(hash, '' order by idx)), any_value(n + {fanout - 1}) // {fanout} from {name}_levels where n > 1 group by {by}, lvl, idx // {fanout})"""
+    runs = lambda name, by, base: f"""{name}_runs as (
+  select {by}, lvl, idx,
+    coalesce(string_agg(hash, '') over (w rows between unbounded preceding and 1 preceding), '') as l,
+    coalesce(string_agg(hash, '') over (w rows between 1 following and unbounded following), '') as r
+  from {name}_levels where n > 1 window w as (partition by {by}, lvl, idx // {fanout} order by idx)),
+{name}_proofs as (
+  select b.{base} as name, u.lvl, u.l, u.r from {base}s b join {name}_runs u on u.{by} = b.{by} and u.idx = b.idx // cast(pow({fanout}, u.lvl) as bigint))"""
+    return f"""
+with recursive t0 as materialized (select list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end, i)) as t),
+ids as (select distinct doc_id from documents where doc_id is not null),
+crcs as (select doc_id as crc_of, xor(list_reduce(list_transform(range(1, length(cast(doc_id as varchar)) + 1), lambda k: cast(ord(substr(cast(doc_id as varchar), k, 1)) as bigint)), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295), 4294967295) as crc from ids, t0),
+hashed as (
+  select d.doc_id, case when source is null then '0' else '1' || source end as grp, {leaf('text')} as hash,
+    case when crc % 2 = 0 then {leaf("replace(text, chr(10), '')")} end as tampered
+  from documents d left join crcs c on c.crc_of = d.doc_id),
+leafs as materialized (
+  select row_number() over () as leaf, *, row_number() over (partition by grp order by doc_id nulls first, hash) - 1 as idx, count(*) over (partition by grp) as n from hashed),
+{up('tree', 'grp', 'leafs')},
+tops as materialized (select grp as top, 0 as one, hash, row_number() over (order by encode(grp)) - 1 as idx, count(*) over () as n from tree_levels where n = 1),
+{up('all', 'one', 'tops')},
+{runs('tree', 'grp', 'leaf')},
+{runs('all', 'one', 'top')},
+proofs as (
+  select name as leaf, lvl, l, r from tree_proofs
+  union all
+  select f.leaf, 1000 + a.lvl, a.l, a.r from leafs f join all_proofs a on a.name = f.grp),
+steps as materialized (select leaf, row_number() over (partition by leaf order by lvl) as step, l, r from proofs),
+folds as (
+  select leaf, 0 as step, coalesce(tampered, hash) as value from leafs
+  union all
+  select f.leaf, f.step + 1, sha256(s.l || f.value || s.r) from folds f join steps s on s.leaf = f.leaf and s.step = f.step + 1),
+proved as (select leaf, sha256(string_agg(l || r, '' order by step)) as proof_sha256, max(step) as steps from steps group by leaf),
+root as (select hash as root from all_levels where n = 1)
+select f.doc_id, f.hash as leaf, t.hash as subroot, root, coalesce(p.proof_sha256, sha256('')) as proof_sha256, v.value as folded_root, v.value = root as verified
+from leafs f join tops t on t.top = f.grp cross join root left join proved p on p.leaf = f.leaf join folds v on v.leaf = f.leaf and v.step = coalesce(p.steps, 0)
+"""
+
+
 def op13_piece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every text of documents in a sentencepiece model."""
     return pieces.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -235,6 +286,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
+    "op12_merkle_manifest": op12_merkle_manifest,
     "op13_piece_round_trip": op13_piece_round_trip,
 }
-ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1_SQL, "op7_source_mix": mix_sql(), "op9_url_rules": _OP9_SQL, "op10_chat_format": _OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1_SQL, "op7_source_mix": mix_sql(), "op9_url_rules": _OP9_SQL, "op10_chat_format": _OP10_SQL, "op12_merkle_manifest": _merkle_sql()}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import bpe, chat, dedup, fertility, langid, licenses, merkle, mixing, pieces, syncmers, token_files, urls
+from waymark.llm import bpe, chat, dedup, fertility, langid, licenses, merkle, mixing, pieces, ranked, syncmers, token_files, urls
 from waymark.llm._common import fresh_path, table
 
 
@@ -219,6 +219,28 @@ from placed group by conv_id
 """
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the highest score for each benchmark item."""
+    return ranked.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+_TERMS = "regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\\x{80}-\\x{10FFFF}]+')"
+
+_OP11_SQL = f"""
+with docs as (select row_number() over () as row, doc_id, {_TERMS} as t from documents where text is not null),
+counted as (select row, doc_id, t, cast(len(t) as bigint) as n from docs where len(t) > 0),
+held as (select row, doc_id, n, term, count(*) as tf from (select row, doc_id, n, unnest(t) as term from counted) q group by all),
+wanted as (select distinct item_id, term from (select item_id, unnest({_TERMS}) as term from benchmark where text is not null) q),
+sums as (select count(*) as docs, cast(sum(n) as bigint) as terms from counted),
+weights as (select term, cast(floor(1000 * ln(cast(2 * any_value(docs) + 2 as double) / cast(2 * count(*) + 1 as double))) as bigint) as w from held cross join sums where term in (select term from wanted) group by term),
+scores as (
+  select item_id, row, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms)))) as bigint) as score
+  from held join weights using (term) join wanted using (term) cross join sums group by item_id, row, doc_id),
+ranks as (select *, cast(row_number() over (partition by item_id order by score desc, doc_id nulls first) as integer) as rank from scores where score > 0)
+select item_id, rank, doc_id, score from ranks where rank <= 10
+"""
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of documents, with each row's proof checked against tampered rows."""
     return merkle.verify_documents(table(spark, sf_dir, "documents"))
@@ -286,7 +308,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_url_rules": op9_url_rules,
     "op10_chat_format": op10_chat_format,
+    "op11_ranked_search": op11_ranked_search,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_piece_round_trip": op13_piece_round_trip,
 }
-ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1_SQL, "op7_source_mix": mix_sql(), "op9_url_rules": _OP9_SQL, "op10_chat_format": _OP10_SQL, "op12_merkle_manifest": _merkle_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_minhash_dedup": _OP1_SQL, "op7_source_mix": mix_sql(), "op9_url_rules": _OP9_SQL, "op10_chat_format": _OP10_SQL, "op11_ranked_search": _OP11_SQL, "op12_merkle_manifest": _merkle_sql()}

@@ -1,8 +1,8 @@
 import hashlib
 import random
-import re
 import struct
 
+import regex
 import xxhash
 
 from waymark.llm import queries, syncmers
@@ -18,10 +18,8 @@ def xx(*values):
 
 
 def words_of(text):
-    out = []
-    for run in re.findall(r"[^\x20\x09-\x0d]+", text):
-        out += [run] if len(run) <= syncmers.WORD_CHARS else list(run)
-    return out
+    unspaced = "".join(rf"\p{{Script={n}}}" for n in ("Han", "Hiragana", "Katakana", "Bopomofo", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Yi"))
+    return regex.findall(rf"[{unspaced}]|[^\x20\x09-\x0d{unspaced}]+", text)
 
 
 def anchors(text):
@@ -32,12 +30,12 @@ def anchors(text):
     for x in w:
         h = xx(h, x)
     r = [xx(a, b) for a, b in zip(w, w[1:])]
-    first = {}
+    out = []
     for i in range(len(w) - K + 1):
         inner = r[i : i + K - S + 1]
         if min(inner) in (inner[0], inner[-1]):
-            first.setdefault(xx(*r[i : i + K - 1 : S]), i)
-    return sorted(first.items()) or [(h, 0)]
+            out.append((xx(*r[i : i + K - 1 : S]), i))
+    return sorted(out) or [(h, 0)]
 
 
 def likeness(a, b):
@@ -45,8 +43,12 @@ def likeness(a, b):
         return 1.0
     if not a or not b:
         return 0.0
-    there = dict(b)
-    shifts = [there[h] - p for h, p in sorted(a, key=lambda x: x[1]) if h in there]
+    places = [{}, {}]
+    for side, x in zip(places, (a, b), strict=True):
+        for h, p in x:
+            side.setdefault(h, []).append(p)
+    pairs = [(p, q - p) for h, own in places[0].items() for p, q in zip(own, places[1].get(h, []), strict=False)]
+    shifts = [d for _, d in sorted(pairs)]
     near = [None, *shifts, None]
     chained = sum(x in (near[k], near[k + 2]) for k, x in enumerate(shifts))
     return max(chained, 1) / (len(a) + len(b) - len(shifts)) if shifts else 0.0
@@ -150,6 +152,31 @@ def test_copies_with_insertions(spark):
     assert got[5].near_next == 0 and len(got[6].fingerprint.split()) > 500
 
 
+def test_repeated_passages(spark):
+    """A passage written 3 and 50 times, and one of which a piece stands earlier by chance."""
+    rng = random.Random(8)
+    passage = " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    filler = [" ".join(f"f{rng.randrange(10**6)}" for _ in range(60)) for _ in range(2)]
+    piece = " ".join(passage.split()[10:22])
+    rows = [(9, " ".join([passage] * 3)), (8, " ".join([passage] * 50)), (7, " ".join([passage] * 50)), (6, f"{piece} {filler[0]} {passage} {filler[1]}"), (5, passage), (4, f"{filler[0]} {passage}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in syncmers.compare_edited(df).collect()}
+    assert sorted(map(tuple, got.values()), key=str) == brute(rows)
+    assert got[9].fingerprint != got[8].fingerprint and 0.04 < got[9].near_next < 0.08
+    assert got[8].near_next == 1 and got[8].fingerprint == got[7].fingerprint
+    assert len(got[8].fingerprint.split()) > 16 * len(got[5].fingerprint.split())
+    own = len(got[5].fingerprint.split())
+    assert got[6].near_next >= (own - 6) / len(got[6].fingerprint.split())
+
+
+def test_long_runs_are_words(spark):
+    """A URL is one word, however long; characters of scripts without spaces are words among others."""
+    link = "http://example.org/" + "a" * 40
+    df = spark.createDataFrame([(link,), ("see " + link + " now",), ("漢字kana カナ、x",), ("สวัสดี ok",), (" \n",)], "t string")
+    got = [r.w for r in df.selectExpr(f"{syncmers.words_of('t')} as w").collect()]
+    assert got == [[link], ["see", link, "now"], ["漢", "字", "kana", "カ", "ナ", "、x"], [*"สวัสดี", "ok"], []]
+
+
 def test_hot_ids(spark, monkeypatch):
     """Ids that very many rows share, none among them, are cut into groups with the same result; equal rows too."""
     rng = random.Random(9)

@@ -2,10 +2,10 @@
 
 Of a text's windows of K words those are anchors whose smallest inner run of S words (by
 hash) stands first or last. Whether a window is one depends on its own words alone, so an
-edit moves or changes only the anchors that touch it. A fingerprint keeps all anchors with
-their places, about two of five windows; two fingerprints are compared by the anchors they
-share in chains of one shift. In long runs without white space, as in scripts that write
-none, every character is a word.
+edit moves or changes only the anchors that touch it. A fingerprint keeps every place of every
+anchor, about two of five windows; two fingerprints are compared by the anchors they share,
+equal hashes paired in the order of their places, in chains of one shift. Words are runs without
+white space; in scripts that write none every character is a word.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from waymark.llm._common import stored
 
 #: Words of a window, and of the inner runs whose smallest decides (runs of two words, windows of a whole number of them).
 K, S = 6, 2
-#: Longest word; of longer runs without white space (such as texts that use none) every character is a word.
-WORD_CHARS = 24
+#: Scripts that write no spaces between words: each of their characters is a word.
+UNSPACED = "".join(f"\\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Bopomofo", "Thai", "Lao", "Khmer", "Myanmar", "Tibetan", "Yi"))
 #: Document ids of a group that looks up its next documents together: 2 ** GROUP_BITS; then the bits of each level above.
 GROUP_BITS, LEVEL_BITS = 8, (28, 44)
 #: Groups up to which the list of their last documents is broadcast (16 bytes each).
@@ -33,13 +33,13 @@ _LEAST = -(2**63)
 
 
 def words_of(text: str) -> str:
-    """SQL of a text's words: runs without white space, those longer than WORD_CHARS as single characters."""
-    word = f"(?<!\\\\S)\\\\S{{1,{WORD_CHARS}}}(?!\\\\S)|\\\\S"  # within a longer run the first form fits nowhere
-    return f"if({text} rlike '\\\\S{{{WORD_CHARS + 1}}}', regexp_extract_all({text}, '{word}', 0), filter(split({text}, '\\\\s+'), w -> w <> ''))"
+    """SQL of a text's words: runs without white space, cut around and between the characters of UNSPACED scripts."""
+    own = UNSPACED.replace("\\", "\\\\")
+    return f"if({text} rlike '[{own}]', regexp_extract_all({text}, '[{own}]|[^\\\\s{own}]+', 0), filter(split({text}, '\\\\s+'), w -> w <> ''))"
 
 
 def anchors_of(text: str) -> str:
-    """SQL of a text's anchors, array<struct<h bigint, p int>>: all distinct hashes, each at its first place, by hash.
+    """SQL of a text's anchors, array<struct<h bigint, p int>>: every place of every hash, by hash, then place.
 
     A text with words but without a syncmer (as any of fewer than K) has one anchor, the hash of all of them.
     """
@@ -53,9 +53,7 @@ def anchors_of(text: str) -> str:
         f"case when size(w) = 0 then array() when size(w) < {K} then {whole} "
         f"else transform(transform(array(transform(w, (x, i) -> xxhash64(x, w[least(i + 1, size(w) - 1)]))), r -> {hashed}), x -> if(size(x) = 0, {whole}, x))[0] end)[0]"
     )
-    # sorted by hash and place, so that of equal hashes the first is the first place
-    firsts = "filter(s, (x, i) -> i = 0 or s[greatest(i - 1, 0)].h <> x.h)"
-    return f"transform(array(sort_array({made})), s -> {firsts})[0]"
+    return f"sort_array({made})"
 
 
 def fingerprint_text(anchors: str) -> str:
@@ -66,16 +64,23 @@ def fingerprint_text(anchors: str) -> str:
 def likeness(a: str, b: str) -> str:
     """SQL of the likeness of two arrays of anchors, 0 to 1.
 
-    Of the shared anchors, in the order of their places in a, those count whose shift is that of
-    the one before or after (one of them, if none is), over all anchors that either holds: what
-    was inserted or cut out splits a copy into chains, each with a shift of its own. Equal
-    fingerprints are 1 (a text with words has one that isn't empty), one without anchors against
-    another 0. Both arrays are merged by hash and the shared ones sorted by place, so the work is
-    n log n in the anchors.
+    A hash's first place in a is paired with its first in b, the second with the second, and so
+    on; what one has more often stays alone. Of the pairs, in the order of their places in a, those
+    count whose shift is that of the one before or after (one of them, if none is), over all
+    anchors that either holds: what was inserted or cut out splits a copy into chains, each with a
+    shift of its own. Equal fingerprints are 1 (a text with words has one that isn't empty), one
+    without anchors against another 0. Both arrays are merged by hash and the pairs sorted by
+    place, so the work is n log n in the anchors.
     """
-    sided = lambda x, k: f"transform({x}, e -> struct(e.h as h, {k} as k, e.p as p))"
-    # a hash stands once in each array, so equal neighbours are one of either
-    shared = "transform(filter(sequence(0, size(m) - 2), i -> m[i].h = m[i + 1].h), i -> struct(m[i].p as p, m[i + 1].p - m[i].p as d))"
+
+    def sided(x: str, k: int) -> str:
+        """The anchors with the number of their place among those of one hash, found from where each hash begins."""
+        begins = "filter(sequence(0, size(s) - 1), i -> i = 0 or s[greatest(i - 1, 0)].h <> s[i].h)"
+        numbered = f"transform(slice(s, b + 1, coalesce(get(f, j + 1), size(s)) - b), (e, o) -> struct(e.h as h, o as o, {k} as k, e.p as p))"
+        return f"transform(array({x}), s -> transform(array({begins}), f -> flatten(transform(f, (b, j) -> {numbered})))[0])[0]"
+
+    # a hash and number stand once in each array, so equal neighbours are one of either
+    shared = "transform(filter(sequence(0, size(m) - 2), i -> m[i].h = m[i + 1].h and m[i].o = m[i + 1].o), i -> struct(m[i].p as p, m[i + 1].p - m[i].p as d))"
     chained = "size(filter(s, (x, i) -> (i > 0 and s[greatest(i - 1, 0)].d = x.d) or (i + 1 < size(s) and s[least(i + 1, size(s) - 1)].d = x.d)))"
     return (
         f"case when {a} = {b} then 1D when size({a}) = 0 or size({b}) = 0 then 0D else "
@@ -122,13 +127,14 @@ def _hot_groups(rows: DataFrame, hosts: DataFrame, hot: DataFrame, columns: list
     Rows get host (three columns) and copies, rows of a hot id that are equal become one; hosts
     name, for every group, the id and bucket that follow it.
     """
-    few = F.broadcast(hot) if hot.count() <= MAX_BROADCAST_GROUPS else hot
+    small = F.broadcast if hot.count() <= MAX_BROADCAST_GROUPS else lambda x: x  # there are no more groups of hot ids than hot ids
+    few = small(hot)
     majors = hot.select(F.shiftright("key", GROUP_BITS).alias("major")).distinct()
     own = [c for c in rows.columns]
     equal = rows.join(few, "key", "left_semi").groupBy(*own).agg(F.count("*").alias("copies")).withColumn("bucket", F.shiftright("place", 64 - BUCKET_BITS))
     rest = rows.join(few, "key", "left_anti").withColumns({"copies": F.lit(1).cast("long"), "bucket": F.lit(0).cast("long")})
     both = equal.select(*own, "copies", "bucket").unionByName(rest).withColumn("major", F.shiftright("key", GROUP_BITS))
-    both = both.join(F.broadcast(majors.withColumn("cut", F.lit(True))), "major", "left").withColumn("part", F.when(F.col("cut"), F.col("key"))).drop("cut")
+    both = both.join(small(majors.withColumn("cut", F.lit(True))), "major", "left").withColumn("part", F.when(F.col("cut"), F.col("key"))).drop("cut")
 
     groups = stored(both.filter("part is not null").select("major", "part", "bucket").distinct(), "next-parts")
     starts = groups.join(few.select(F.col("key").alias("part")), "part").groupBy(F.col("part").alias("guest")).agg(F.min("bucket").alias("guest_bucket"))

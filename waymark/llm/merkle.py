@@ -91,25 +91,22 @@ def _first_ranks(hist: DataFrame, deepest: int) -> DataFrame:
     Counts are summed up to shorter and shorter prefixes, then ranks are handed down: a prefix
     begins where its parent does, after the siblings before it.
     """
-    depths = [*range(deepest, 0, -DIGITS), 0]
-    counts: list[DataFrame] = []
-    for depth in depths:
-        here = hist.filter(F.col("depth") == depth).select("grp", "node", "n")
-        if counts:
-            here = here.unionByName(counts[-1].groupBy("grp", F.substring("node", 1, depth).alias("node")).agg(F.sum("n").alias("n")))
-        counts.append(here)
-    sizes = counts.pop()
-    above = sizes.select("grp", F.col("node").alias("up"), F.lit(0).cast("long").alias("base"))
-    bases = None
+    depths = [0, *range(WIDTH % DIGITS, deepest + 1, DIGITS)]
+    every = hist.select("grp", "node", "n", F.explode(F.array(*map(F.lit, depths))).alias("at"), "depth").filter("at <= depth")
+    every = every.groupBy("grp", "at", F.expr("substring(node, 1, at)").alias("node")).agg(F.sum("n").alias("n"))
+    counts = stored(every, "merkle-counts")
+    sizes = counts.filter(F.col("at") == 0).select("grp", "n")
+    above = sizes.select("grp", F.lit("").alias("up"), F.lit(0).cast("long").alias("base"))
     siblings = Window.partitionBy("grp", "up").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)  # of 16 ** DIGITS rows at most
-    for depth, shorter, here in zip(depths[-2::-1], depths[:0:-1], counts[::-1], strict=True):
-        here = here.withColumn("up", F.substring("node", 1, shorter)).withColumn("before", F.coalesce(F.sum("n").over(siblings), F.lit(0)))
+    bases = None
+    for shorter, depth in zip(depths, depths[1:], strict=False):
+        here = counts.filter(F.col("at") == depth).withColumn("up", F.substring("node", 1, shorter)).withColumn("before", F.coalesce(F.sum("n").over(siblings), F.lit(0)))
         here = here.join(above, ["grp", "up"]).select("grp", "node", (F.col("base") + F.col("before")).alias("base"))
         if depth >= WIDTH and (depth - WIDTH) % STEP == 0:  # prefixes may end here
             ends = here.join(hist.filter(F.col("depth") == depth).select(*_KEYS), _KEYS) if deepest > WIDTH else here
             bases = ends if bases is None else bases.unionByName(ends)
         above = here.withColumnRenamed("node", "up")
-    return bases.join(sizes.select("grp", "n"), "grp")
+    return stored(bases.join(sizes, "grp"), "merkle-bases")
 
 
 # the trie

@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,43 @@ def under(c: Column, least: float) -> Column:
     return F.coalesce(F.isnan(c) | (c < least), F.lit(True))
 
 
+class _Columns:
+    """The measures of a ladder of rules as columns."""
+
+    over, under = staticmethod(over), staticmethod(under)
+
+    def __getitem__(self, name: str) -> Column:
+        return F.col(name)
+
+    def known(self, condition: Column, otherwise: bool) -> Column:
+        return F.coalesce(condition, F.lit(otherwise))
+
+
+class _Row:
+    """The measures of a ladder of rules as one row's values; conditions are NumPy booleans."""
+
+    def __init__(self, row: dict):
+        self.row = row
+
+    def __getitem__(self, name: str):
+        value = self.row[name]
+        return np.bool_(value) if isinstance(value, (bool, np.bool_)) else np.float64(math.nan if value is None else value)
+
+    def over(self, x: np.float64, most: float) -> np.bool_:
+        return ~np.bool_(x <= most)
+
+    def under(self, x: np.float64, least: float) -> np.bool_:
+        return ~np.bool_(x >= least)
+
+    def known(self, condition, otherwise: bool) -> np.bool_:
+        return condition if isinstance(condition, np.bool_) else np.bool_(otherwise)
+
+
+def reason_of(rules: Callable, row: dict, otherwise: str) -> str:
+    """The first rule of a ladder that a row breaks, as the ladder's column would say."""
+    return next((reason for broken, reason in rules(_Row(row)) if broken), otherwise)
+
+
 # ---- registrations ----
 
 
@@ -58,21 +96,30 @@ def registration_reason(g: Registration = Registration()) -> Column:
     scan), turn_nis, yaw_total (over a trailing window), correction_shift and correction_turn,
     degenerate. Null or infinite measures break their rule.
     """
-    strong = F.coalesce((F.col("used") >= g.strong) & (F.col("rmse") <= g.strong_rmse), F.lit(False))
-    return first_reason([
-        (under(F.col("used"), g.least), "too_few_planes"),
-        (~F.coalesce("linearised", F.lit(False)), "not_linearised"),
-        (~F.coalesce("converged", F.lit(False)), "not_converged"),
-        (under(F.col("ratio"), g.least_ratio) & ~strong, "low_support"),
-        (over(F.col("rmse"), g.max_rmse), "high_residual"),
-        (over(F.col("normalised"), g.max_normalised), "high_normalised_residual"),
-        (under(F.col("directions"), g.directions) & ~strong, "unobservable"),
-        (over(F.col("shift"), g.max_shift) | over(F.col("turn"), g.max_turn), "implausible_motion"),
-        (over(F.col("turn_nis"), g.max_turn_nis), "turn_innovation"),
-        (over(F.abs("yaw_total"), g.max_yaw_total), "persistent_yaw"),
-        (over(F.col("correction_shift"), g.max_correction_shift) | over(F.col("correction_turn"), g.max_correction_turn), "implausible_correction"),
-        (F.coalesce("degenerate", F.lit(True)) & ~strong & (under(F.col("ratio"), g.weak_ratio) | over(F.col("rmse"), g.weak_rmse)), "weak_degenerate"),
-    ])
+    return first_reason(registration_rules(g)(_Columns()))
+
+
+def registration_rules(g: Registration) -> Callable:
+    """The ladder of registration_reason(), for columns or for one row."""
+
+    def rules(c):
+        strong = c.known((c["used"] >= g.strong) & (c["rmse"] <= g.strong_rmse), False)
+        return [
+            (c.under(c["used"], g.least), "too_few_planes"),
+            (~c.known(c["linearised"], False), "not_linearised"),
+            (~c.known(c["converged"], False), "not_converged"),
+            (c.under(c["ratio"], g.least_ratio) & ~strong, "low_support"),
+            (c.over(c["rmse"], g.max_rmse), "high_residual"),
+            (c.over(c["normalised"], g.max_normalised), "high_normalised_residual"),
+            (c.under(c["directions"], g.directions) & ~strong, "unobservable"),
+            (c.over(c["shift"], g.max_shift) | c.over(c["turn"], g.max_turn), "implausible_motion"),
+            (c.over(c["turn_nis"], g.max_turn_nis), "turn_innovation"),
+            (c.over(c["yaw_total"], g.max_yaw_total) | c.under(c["yaw_total"], -g.max_yaw_total), "persistent_yaw"),
+            (c.over(c["correction_shift"], g.max_correction_shift) | c.over(c["correction_turn"], g.max_correction_turn), "implausible_correction"),
+            (c.known(c["degenerate"], True) & ~strong & (c.under(c["ratio"], g.weak_ratio) | c.over(c["rmse"], g.weak_rmse)), "weak_degenerate"),
+        ]
+
+    return rules
 
 
 @dataclass(frozen=True)
@@ -94,18 +141,29 @@ def insertion_reason(g: Insertion = Insertion()) -> Column:
     Columns: directions, turn_directions, yaw_share, normalised, converged, yaw_limited,
     correction_shift, correction_turn, trusted (after an outage), keyframe.
     """
-    limit = lambda on, rule: rule if on else F.lit(False)
-    return first_reason([
-        (under(F.col("directions"), g.directions), "insufficient_observability"),
-        (limit(g.turn_directions > 0, under(F.col("turn_directions"), g.turn_directions)), "insufficient_turn_observability"),
-        (limit(g.yaw_share > 0, under(F.col("yaw_share"), g.yaw_share)), "insufficient_yaw_observability"),
-        (limit(g.max_normalised > 0, over(F.col("normalised"), g.max_normalised)), "high_normalised_residual"),
-        (limit(g.converged, ~F.coalesce("converged", F.lit(False))), "not_converged"),
-        (F.coalesce("yaw_limited", F.lit(True)), "limited_yaw"),
-        (limit(g.max_shift > 0, over(F.col("correction_shift"), g.max_shift)) | limit(g.max_turn > 0, over(F.col("correction_turn"), g.max_turn)), "large_correction"),
-        (~F.coalesce("trusted", F.lit(False)), "recovery"),
-        (~F.coalesce("keyframe", F.lit(False)), "not_keyframe"),
-    ], "updated")
+    return first_reason(insertion_rules(g)(_Columns()), "updated")
+
+
+def insertion_rules(g: Insertion) -> Callable:
+    """The ladder of insertion_reason(), for columns or for one row."""
+
+    def rules(c):
+        large = [rule for on, rule in ((g.max_shift > 0, c.over(c["correction_shift"], g.max_shift)), (g.max_turn > 0, c.over(c["correction_turn"], g.max_turn))) if on]
+        return [
+            rule for on, rule in (
+                (True, (c.under(c["directions"], g.directions), "insufficient_observability")),
+                (g.turn_directions > 0, (c.under(c["turn_directions"], g.turn_directions), "insufficient_turn_observability")),
+                (g.yaw_share > 0, (c.under(c["yaw_share"], g.yaw_share), "insufficient_yaw_observability")),
+                (g.max_normalised > 0, (c.over(c["normalised"], g.max_normalised), "high_normalised_residual")),
+                (g.converged, (~c.known(c["converged"], False), "not_converged")),
+                (True, (c.known(c["yaw_limited"], True), "limited_yaw")),
+                (bool(large), (large[0] | large[-1] if large else None, "large_correction")),
+                (True, (~c.known(c["trusted"], False), "recovery")),
+                (True, (~c.known(c["keyframe"], False), "not_keyframe")),
+            ) if on
+        ]
+
+    return rules
 
 
 def recovery_trust(needed: int) -> Callable:

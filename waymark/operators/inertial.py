@@ -382,7 +382,7 @@ def iterate(predicted: State, equations: Callable[[State], Linear], gates: Updat
     The last step is never taken without its measurements having been looked at again.
     """
     prior = np.linalg.inv(predicted.covariance)
-    s, result, confirmed, information = predicted, {"converged": False, "iterations": 0, "used": 0, "rejected": 0, "sectors": 0, "rmse": math.nan, "directions": 0, "turn_directions": 0, "condition": math.inf, "yaw_share": 0.0, "yaw_limited": False, "flags": {}}, 0, None
+    s, result, confirmed, information = predicted, {"converged": False, "iterations": 0, "used": 0, "rejected": 0, "sectors": 0, "rmse": math.nan, "directions": 0, "turn_directions": 0, "condition": math.inf, "yaw_share": 0.0, "yaw_limited": False, "flags": {}, "normalised": math.nan, "degenerate": True}, 0, None
     up = predicted.rotation.T @ np.array([0.0, 0.0, 1.0])
     for k in range(gates.iterations + 1):
         lin = equations(s)
@@ -415,7 +415,7 @@ def iterate(predicted: State, equations: Callable[[State], Linear], gates: Updat
             if abs(allowed - about) > 1e-10:
                 result["yaw_limited"] = True
                 step[TURN] = lie.rotation_vector(s.rotation.T @ predicted.rotation @ lie.rotation(turned + (allowed - about) * up))
-        result |= {"iterations": k + 1, "rmse": math.sqrt(lin.square / lin.used), "directions": directions, "turn_directions": turn_directions, "condition": condition, "yaw_share": float(np.clip(turn_part[2, 2], 0, 1))}
+        result |= {"iterations": k + 1, "rmse": math.sqrt(lin.square / lin.used), "directions": directions, "turn_directions": turn_directions, "condition": condition, "yaw_share": float(np.clip(turn_part[2, 2], 0, 1)), "normalised": lin.normalised / lin.used, "degenerate": directions < 6}
         small = float(np.linalg.norm(step[PLACE])) < gates.done_shift and float(np.linalg.norm(step[TURN])) < gates.done_turn
         confirmed = confirmed + 1 if small else 0
         if confirmed >= gates.confirmations:

@@ -62,13 +62,22 @@ def _tidy(p: np.ndarray) -> np.ndarray:
     return p
 
 
-def propagate(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float, noise: Noise) -> State:
-    """The state after dt seconds of constant turn rate and acceleration, as the sensors give them."""
-    if dt <= 0:
-        return s
-    w, a = gyro - s.gyro_bias, accel - s.accel_bias
-    middle = s.rotation @ lie.rotation(w * dt / 2)
+def _middle(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Turn rate and acceleration without biases, and the turn halfway."""
+    w = gyro - s.gyro_bias
+    return w, accel - s.accel_bias, s.rotation @ lie.rotation(w * dt / 2)
+
+
+def moved(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float) -> State:
+    """propagate() without the covariance."""
+    w, a, middle = _middle(s, gyro, accel, dt)
     world = middle @ a + s.gravity
+    return replace(s, time=s.time + dt, rotation=s.rotation @ lie.rotation(w * dt), place=s.place + s.velocity * dt + world * dt**2 / 2, velocity=s.velocity + world * dt)
+
+
+def transition(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float, noise: Noise) -> tuple[np.ndarray, np.ndarray]:
+    """What dt seconds do to errors, and the covariance that they add."""
+    w, a, middle = _middle(s, gyro, accel, dt)
     f = np.zeros((N, N))
     f[TURN, TURN], f[TURN, GYRO] = -lie.hat(w), -np.eye(3)
     f[PLACE, VELOCITY] = np.eye(3)
@@ -79,7 +88,21 @@ def propagate(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float, noise: N
     for part, value in ((TURN, noise.gyro**2 * dt), (VELOCITY, va * dt), (PLACE, va * dt**3 / 4), (GYRO, noise.gyro_walk**2 * dt), (ACCEL, noise.accel_walk**2 * dt), (GRAVITY, noise.gravity_walk**2 * dt)):
         q[part, part] = value * np.eye(3)
     q[PLACE, VELOCITY] = q[VELOCITY, PLACE] = va * dt**2 / 2 * np.eye(3)
-    return replace(s, time=s.time + dt, rotation=s.rotation @ lie.rotation(w * dt), place=s.place + s.velocity * dt + world * dt**2 / 2, velocity=s.velocity + world * dt, covariance=_tidy(f @ s.covariance @ f.T + q))
+    return f, q
+
+
+def propagate(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float, noise: Noise) -> State:
+    """The state after dt seconds of constant turn rate and acceleration, as the sensors give them."""
+    if dt <= 0:
+        return s
+    f, q = transition(s, gyro, accel, dt, noise)
+    return replace(moved(s, gyro, accel, dt), covariance=_tidy(f @ s.covariance @ f.T + q))
+
+
+def reading(row: dict | None) -> np.ndarray | None:
+    """A row's turn rates and accelerations; None if any is missing or infinite."""
+    found = [None] if row is None else [row[c] for c in ("wx", "wy", "wz", "ax", "ay", "az")]
+    return None if any(x is None or not math.isfinite(x) for x in found) else np.array(found, float)
 
 
 def propagate_to(s: State, end: float, times: np.ndarray, gyro: np.ndarray, accel: np.ndarray, noise: Noise) -> list[State] | None:
@@ -114,8 +137,7 @@ def inertial_fold(time: str, unit: float, noise: Noise, start: State | None = No
         def step(state, row):
             s, last = state
             t = row[time] / unit
-            reading = [row[c] for c in ("wx", "wy", "wz", "ax", "ay", "az")]
-            now = None if any(x is None or not math.isfinite(x) for x in reading) else np.array(reading, float)
+            now = reading(row)
             if s is None:
                 s, mode = replace(start or State(), time=t), "start"
             elif last is None or now is None or not 0 < t - s.time <= noise.max_gap:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from waymark.operators import asof, estimate, folds, grid, stats
+from waymark.operators import asof, estimate, folds, grid, prefix, stats
 from waymark.plans.clouds import rounded
 from waymark.plans.registry import query
 from waymark.plans.views import Views
@@ -80,7 +80,7 @@ def est8(v: Views):
     out="id, round(v, 6) as dv, round(p / 1e6, 6) as dp"))
 def est9(v: Views):
     rows = v.imu.select("run", "id", "t", (F.col("w") / 1e6).alias("a"))
-    out = folds.fold(rows, ["run"], ["t", "id"], folds.preintegrate("t", "a", 100 * H), "run long, id long, t long, a double, dv double, dp double")
+    out = prefix.fold(rows, ["run"], ["t", "id"], prefix.preintegrate("t", "a", 100 * H), "run long, id long, t long, a double, dv double, dp double")
     return rounded(out.select("id", "dv", (F.col("dp") / 1e6).alias("dp")))
 
 

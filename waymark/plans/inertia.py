@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from waymark.functions import lie
-from waymark.operators import folds, gates, inertial, odometry
+from waymark.operators import folds, gates, inertial, odometry, prefix
 from waymark.plans.clouds import rounded
 from waymark.plans.registry import query
 from waymark.plans.views import Views
@@ -23,7 +23,7 @@ def est1(v: Views):
     rows = v.imu.select("run", "id", "t", F.lit(0.0).alias("wx"), (F.col("w") / 50).alias("wy"), (F.col("w") - 0.25).alias("wz"), (F.col("w") * 2 - 0.5).alias("ax"), F.lit(0.1).alias("ay"), F.lit(9.81).alias("az"))
     names = ["mode string", *[f"{c} double" for c in ("px", "py", "pz", "vx", "vy", "vz", "rx", "ry", "rz", "turn_sigma", "place_sigma", "velocity_sigma")]]
     schema = ", ".join([*[f"{n} {t}" for n, t in rows.dtypes], *names])
-    out = folds.fold(rows, ["run"], ["t", "id"], inertial.inertial_fold("t", 100 * UNIT, inertial.Noise(max_gap=5.0)), schema)
+    out = prefix.fold(rows, ["run"], ["t", "id"], prefix.inertial_propagation("t", 100 * UNIT, inertial.Noise(max_gap=5.0)), schema)
     return rounded(out.drop("run", "t", "wx", "wy", "wz", "ax", "ay", "az"), 5)
 
 

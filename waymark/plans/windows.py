@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import scalars
-from waymark.operators import folds, grid, select, windows
+from waymark.operators import folds, grid, prefix, select, windows
 from waymark.plans.clouds import r, rounded
 from waymark.plans.registry import query
 from waymark.plans.views import Views
@@ -108,7 +108,7 @@ def wn11(v: Views):
 
 @query("WN12_running_mean", FOLD.format(cols="v", init="v as m, 1 as c", step="f.m + (s.v - f.m) / least(20, f.c + 1), f.c + 1", out="id, round(m, 6) as m, cast(c as bigint) as n", where=""))
 def wn12(v: Views):
-    return rounded(folds.fold(track(v), ["run"], ["t", "id"], folds.running_mean("v", 20, "m"), TRACK + ", m double, n long").select("id", "m", "n"))
+    return rounded(prefix.fold(track(v), ["run"], ["t", "id"], prefix.running_mean("v", 20, "m"), TRACK + ", m double, n long").select("id", "m", "n"))
 
 
 @query("WN13_anchor_mean", FOLD.format(cols="v", init="v as m, 1 as c, false as sk", step="case when f.c >= 5 and abs(s.v - f.m) > 30 then f.m else f.m + 0.2 * (s.v - f.m) end, case when f.c >= 5 and abs(s.v - f.m) > 30 then f.c else f.c + 1 end, f.c >= 5 and abs(s.v - f.m) > 30", out="id, round(m, 6) as m, sk as skipped", where=""))

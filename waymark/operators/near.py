@@ -45,6 +45,26 @@ def space_time_candidates(df: DataFrame, keys: list[str], ident: str, time: str,
     return pairs.withColumn("distance", d).filter(F.col("distance") <= radius).select(*keys, "later", "earlier", "distance")
 
 
+def gated_candidates(df: DataFrame, keys: list[str], ident: str, time: str, radius: float, min_gap: int, min_index: int, yaw: str, max_yaw: float, descriptor: str, min_similarity: float, most: int) -> DataFrame:
+    """space_time_candidates() whose headings (radians) differ by max_yaw at most and whose descriptors (arrays) are similar enough, the most similar of each later row: (keys, later, earlier, distance, similarity, rank).
+
+    Similarity is the cosine, 0 for descriptors of unlike lengths, without numbers or without
+    length; candidates rank by it to six digits, then by distance, then by the earlier one.
+    """
+    rows = df.select(*keys, ident, yaw, descriptor)
+    pairs = space_time_candidates(df, keys, ident, time, radius, min_gap, min_index)
+    for side in ("later", "earlier"):
+        pairs = pairs.join(rows.withColumnsRenamed({ident: side, yaw: f"_yaw_{side}", descriptor: f"_d_{side}"}), [*keys, side])
+    a, b = F.col("_d_later"), F.col("_d_earlier")
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + F.coalesce(v, F.lit(0.0)))
+    lengths = F.sqrt(dot(a, a) * dot(b, b))
+    similarity = F.when((F.size(a) == F.size(b)) & (lengths > 1e-9), dot(a, b) / lengths).otherwise(0.0)
+    turn = F.abs(F.atan2(F.sin(F.col("_yaw_later") - F.col("_yaw_earlier")), F.cos(F.col("_yaw_later") - F.col("_yaw_earlier"))))
+    pairs = pairs.filter(turn <= max_yaw).withColumn("similarity", similarity).filter(F.col("similarity") >= min_similarity)
+    order = Window.partitionBy(*keys, "later").orderBy(F.desc(F.round("similarity", 6)), "distance", "earlier")
+    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select(*keys, "later", "earlier", "distance", "similarity", "rank")
+
+
 #: Rows of one code that are paired in one task; a code with more is cut into blocks of that many.
 BLOCK = 256
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.functions import pose, scalars
-from waymark.operators import asof, near, select, stats
+from waymark.operators import asof, near, retrieval, select, stats
 from waymark.plans.clouds import r, rounded
 from waymark.plans.registry import query
 from waymark.plans.views import Views
@@ -174,6 +177,24 @@ def jn22(v: Views):
     return near.hamming_two_nearest(pairs, "q", "item", "d", 0.85)
 
 
+_GREEDY = f"""with recursive w as ({WORDS}), p as (select a.label, a.vec_id as q, b.vec_id as item, cast(bit_count(xor(a.w, b.w)) as int) as d from w a join w b on a.label = b.label and a.vec_id <> b.vec_id where a.vec_id % 20 = 0),
+  k as (select * from p qualify row_number() over (partition by q order by d, item) <= 4), n as (select *, row_number() over (partition by label order by d, q, item) as rn from k where item % 3 <> 0),
+  walk as (select label, cast(0 as bigint) as rn, cast([] as bigint[]) as lefts, cast([] as bigint[]) as rights, false as hit from n group by label
+    union all select n.label, n.rn, case when f.free then list_append(walk.lefts, n.q) else walk.lefts end, case when f.free then list_append(walk.rights, n.item) else walk.rights end, f.free from walk join n on n.label = walk.label and n.rn = walk.rn + 1,
+    lateral (select not list_contains(walk.lefts, n.q) and not list_contains(walk.rights, n.item) as free) f)
+  select n.label, n.q, n.item, n.d from n join walk on walk.label = n.label and walk.rn = n.rn where walk.hit"""
+
+
+@query("JN22_one_to_one", _GREEDY)
+def jn22_one_to_one(v: Views):
+    """Of each query's four nearest items those with depth, matched one to one within a label, nearest first."""
+    w = words(v)
+    q = w.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), "label", F.col("w").alias("wq"))
+    pairs = near.pairs_in_blocks(q, w.select(F.col("vec_id").alias("item"), "label", "w"), ["label"]).filter("q <> item").select("label", "q", "item", scalars.hamming(F.col("wq"), F.col("w")).alias("d"))
+    nearest = pairs.withColumn("rn", F.row_number().over(Window.partitionBy("q").orderBy("d", "item"))).filter("rn <= 4 and item % 3 <> 0")
+    return retrieval.greedy_matching(nearest, ["label"], "q", "item", ["d"])
+
+
 @query("JN23_keypoint_depth", """with z as (select ix, iy, min(z) as depth from (select cast(floor(x) as bigint) as ix, cast(floor(y / 5) as bigint) as iy, z from pts) group by ix, iy)
   select r.ix, r.iy, round(arg_min(depth, ((z.ix-r.ix)*(z.ix-r.ix) + (z.iy-r.iy)*(z.iy-r.iy)) * 1000000.0 + depth), 6) as depth from raster r join z on abs(z.ix-r.ix) <= 2 and abs(z.iy-r.iy) <= 2 where r.occ > 0.8 and (z.ix-r.ix)*(z.ix-r.ix) + (z.iy-r.iy)*(z.iy-r.iy) <= 4 group by r.ix, r.iy""")
 def jn23(v: Views):
@@ -191,6 +212,47 @@ def jn24(v: Views):
     return rounded(near.space_time_candidates(v.track, ["run"], "id", "t", 40, 24 * H, 20), 5)
 
 
+GATED = f"""with s as (select run, id, t, x, y, radians(id % 360) as yaw, v, cast(id % 7 as double) as d1, cast(id % 5 + 1 as double) as d2 from track),
+  p as (select a.run, a.id as later, b.id as earlier, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) as distance, (a.v * b.v + a.d1 * b.d1 + a.d2 * b.d2) / sqrt((a.v * a.v + a.d1 * a.d1 + a.d2 * a.d2) * (b.v * b.v + b.d1 * b.d1 + b.d2 * b.d2)) as similarity,
+    abs(atan2(sin(a.yaw - b.yaw), cos(a.yaw - b.yaw))) as turn from s a join s b on a.run = b.run and a.t - b.t >= {24 * H} and a.id - b.id >= 20)
+  select run, later, earlier, round(distance, 5) as distance, round(similarity, 5) as similarity, cast(row_number() over (partition by run, later order by round(similarity, 6) desc, distance, earlier) as int) as rank from p
+  where distance <= 150 and turn <= 1.2 and similarity >= 0.99 qualify rank <= 5"""
+
+
+@query("JN24_gated_candidates", GATED)
+def jn24_gated(v: Views):
+    """Loop candidates near in space, far in time, alike in heading and descriptor, the five most similar of each row."""
+    rows = v.track.select("run", "id", "t", "x", "y", F.radians(F.col("id") % 360).alias("yaw"), F.array("v", (F.col("id") % 7).cast("double"), (F.col("id") % 5 + 1).cast("double")).alias("d"))
+    return rounded(near.gated_candidates(rows, ["run"], "id", "t", 150, 24 * H, 20, "yaw", 1.2, "d", 0.99, 5), 5)
+
+
+#: Thresholds whose signs make 256 bits of 64 numbers, and features of a keyframe.
+LEVELS, FEATURES = (0.0, 0.08, -0.08, 0.16), 10
+_CODED = " union all ".join(f"select k, vec_id, {t} as t, " + " + ".join(f"(bits[{(17 + 37 * t + 11 * b) % 256 + 1}] << {b})" for b in range(17)) + " as code from f" for t in range(6))
+
+
+def features(v: Views):
+    """Ten vectors of one label are a keyframe's features, their order within the label its time."""
+    bits = [F.col("embedding")[d % 64].cast("double") > LEVELS[d // 64] for d in range(256)]
+    n = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
+    rows = v.embeddings.withColumn("n", F.floor(n / FEATURES).cast("long"))
+    return rows.select((F.col("n") * 1000 + F.col("label")).alias("keyframe"), F.col("n").alias("t"), retrieval.descriptor_of(bits).alias("descriptor"))
+
+
+@query("JN25_keyframe_votes", f"""with f as (select n * 1000 + label as k, vec_id, n, list_concat({", ".join(f"list_transform(embedding, lambda x: cast(cast(x as double) > {x} as bigint))" for x in LEVELS)}) as bits from (select *, (row_number() over (partition by label order by vec_id) - 1) // {FEATURES} as n from embeddings) e),
+  c as ({_CODED}), asked as (select distinct k, vec_id, t, code from c), kept as (select distinct k, t, code from c),
+  votes as (select a.k as keyframe, b.k as candidate, cast(count(*) as bigint) as votes, cast(count(distinct a.t) as bigint) as tables from asked a join kept b on a.t = b.t and a.code = b.code and a.k - b.k >= 500 group by a.k, b.k)
+  select *, cast(row_number() over (partition by keyframe order by votes desc, tables desc, candidate) as int) as rank from votes where votes >= 2 and tables >= 2 qualify rank <= 5""")
+def jn25_votes(v: Views):
+    """Each keyframe's five best earlier ones by votes of its features in an index to which three parts were appended."""
+    rows = features(v)
+    name = f"keyframes_{uuid.uuid4().hex}"
+    index = retrieval.KeyframeIndex(v.spark, name, f"{select.shared_folder(v.spark)}/{name}")
+    for part in range(3):
+        index.append(rows.filter(F.col("keyframe") % 3 == part))
+    return index.candidates(rows, 500, 1, 2, 2, 5)
+
+
 CODES = " union all ".join(f"select vec_id, {t} as t, " + " | ".join(f"(((w >> {(17 + 37 * t + 11 * b) % 64}) & 1) << {b})" for b in range(17)) + " as code from w" for t in range(6))
 
 

@@ -12,14 +12,15 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import combinations, product
-from math import prod
+from itertools import product
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from waymark.llm._common import stored
+
 #: Written rules: host, path, verdict. One fits its host and all subdomains if the URL's path starts with its own.
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
@@ -28,8 +29,8 @@ MIN_SUPPORT = 0.002
 MIN_COUNT = 10
 #: Least share of unwanted URLs among those that hold a combination.
 MIN_CONFIDENCE = 0.8
-#: Rules that come to the driver, and that go to the executors, at most; where a support gives more, it is doubled.
-MAX_RULES = 150_000
+#: Rules up to which their index goes to every executor; more are joined as a table.
+MAX_BROADCAST_RULES = 150_000
 
 _UNWANTED = "label:unwanted"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -69,26 +70,51 @@ def url_tokens(url: Column) -> Column:
 
 @dataclass
 class MinedRules:
-    """Rules as (tokens, confidence, support); rows counts the labelled URLs of each token.
+    """Mined rules as a table, and the frequent tokens.
 
-    The index holds, under each rule's rarest token among the labelled URLs (ties: the first by
-    name), the rules that it anchors.
+    Tokens that stand in the same labelled pages are one class, named by the first of them:
+    classes has a class's tokens by its name, rows the labelled pages of each token. table has
+    (tokens: names of classes, sorted; confidence; support; anchor: the class of the fewest
+    labelled pages, ties to the first name); a URL holds a rule if it holds a token of each class.
     """
 
-    rules: list[tuple[frozenset, float, float]]
+    table: DataFrame | None = None
+    n: int = 0
+    classes: dict[str, list[str]] = field(default_factory=dict)
     rows: dict[str, int] = field(default_factory=dict)
-    index: dict[str, list[int]] = field(default_factory=dict)
 
-    def __post_init__(self):
+    @property
+    def rules(self) -> list[tuple[frozenset, float, float]]:
+        """All rules written out for each token of their classes, for reports on few of them: by number of tokens, confidence, tokens."""
+        found = self.table.select("tokens", "confidence", "support").collect() if self.n else []
+        out = [(frozenset(each), r.confidence, r.support) for r in found for each in product(*(self.classes[t] for t in r.tokens))]
+        return sorted(out, key=lambda r: (len(r[0]), -r[1], sorted(r[0])))
+
+    def names(self) -> dict[str, str]:
+        """The class of each frequent token."""
+        return {t: name for name, tokens in self.classes.items() for t in tokens}
+
+
+class RuleIndex:
+    """Rules by their anchor, for URLs as lists of tokens."""
+
+    def __init__(self, rules: list[Row], names: dict[str, str]):
+        self.names, self.rules = names, [(r.tokens, r.confidence) for r in rules]
         index = defaultdict(list)
-        for k, (tokens, _, _) in enumerate(self.rules):
-            index[min(tokens, key=lambda t: (self.rows.get(t, 0), t))].append(k)
+        for k, r in enumerate(rules):
+            index[r.anchor].append(k)
         self.index = dict(index)
 
-    def best(self, tokens: list[str]) -> int | None:
-        """The most confident rule whose tokens are all there (ties: the first), or None."""
-        have = set(tokens)
-        return min((k for t in have for k in self.index.get(t, ()) if self.rules[k][0] <= have), key=lambda k: (-self.rules[k][1], k), default=None)
+    def best(self, tokens: list[str]) -> tuple[float, list[str]] | None:
+        """The surest rule that the tokens hold, as confidence and tokens (ties: fewer tokens, then the first); None if they hold none."""
+        first: dict[str, str] = {}
+        for t in tokens:
+            name = self.names.get(t)
+            if name is not None and (name not in first or t < first[name]):
+                first[name] = t
+        hit = [self.rules[k] for name in first for k in self.index.get(name, ()) if all(t in first for t in self.rules[k][0])]
+        found = min(((-sure, len(own), sorted(first[t] for t in own)) for own, sure in hit), default=None)
+        return None if found is None else (-found[0], found[2])
 
 
 def mine(pages: DataFrame, labels: DataFrame, page_col: str = "page_id", url_col: str = "url", label_id_col: str = "doc_id") -> MinedRules:
@@ -96,14 +122,13 @@ def mine(pages: DataFrame, labels: DataFrame, page_col: str = "page_id", url_col
 
     A page is unwanted if any of its label rows is toxic or not of quality; null labels don't
     count. Every labelled page is a transaction of all its tokens. Of frequent tokens that stand
-    in the same labelled pages one is mined and the rules found are written out for each, so that
-    tokens that always come together don't multiply combinations. A combination stands in
-    MIN_SUPPORT of the pages and in MIN_COUNT pages at least, together with the label; a support
-    that gives more than MAX_RULES confident rules is doubled, so what comes to the driver is
-    bounded: rules by that, frequent tokens by a page's tokens / support. A rule stays if it is
-    surer than every rule on a part of its tokens. Rules have as many tokens as the support
-    allows, and come in the order of their number of tokens, confidence and tokens. Without
-    labelled pages there are no rules; null ids and URLs don't count, repeated pages count each.
+    in the same labelled pages one is mined for all, so that tokens that always come together
+    don't multiply combinations. A combination stands in MIN_SUPPORT of the pages and in MIN_COUNT
+    pages at least, together with the label; all rules that are confident enough count, however
+    many they are and whatever their length. A rule stays if it is surer than every rule on a part
+    of its tokens. The rules stay a table; only the frequent tokens come to the driver, at most a
+    page's tokens / support of them. Without labelled pages there are no rules; null ids and URLs
+    don't count, repeated pages count each.
     """
     bad = labels.select(F.col(label_id_col).alias("id"), ((F.coalesce("toxic", F.lit(0)) == 1) | (F.coalesce("quality", F.lit(1)) == 0)).alias("bad")).filter("id is not null")
     bad = bad.groupBy("id").agg(F.max("bad").alias("bad"))
@@ -111,38 +136,48 @@ def mine(pages: DataFrame, labels: DataFrame, page_col: str = "page_id", url_col
     items = known.select("id", F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(_UNWANTED)))).otherwise(F.col("tokens")).alias("items")).filter(F.size("items") > 0).persist()
     try:
         n = items.count()
-        if not n:
-            return MinedRules([])
-        support = max(MIN_SUPPORT, MIN_COUNT / n)
+        support = max(MIN_SUPPORT, MIN_COUNT / n) if n else 2
         if support > 1:
-            return MinedRules([])
-        twins, rows = _twins(items, support * n)
-        rest = [t for first, tokens in twins.items() for t in tokens if t != first]
+            return MinedRules()
+        classes, rows = _classes(items, support * n)
+        rest = [t for first, tokens in classes.items() for t in tokens if t != first]
         mined = items.select((F.array_except("items", F.array(*map(F.lit, rest))) if rest else F.col("items")).alias("items"))
-        while True:
-            model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(mined)
-            rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == _UNWANTED)).select("antecedent", "confidence", "support")
-            found = rules.limit(MAX_RULES + 1).collect()
-            kept = _surer(found) if len(found) <= MAX_RULES else {}
-            if len(found) <= MAX_RULES and sum(prod(len(twins.get(t, [t])) for t in tokens) for tokens in kept) <= MAX_RULES:
-                break
-            support *= 2
+        model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=MIN_CONFIDENCE).fit(mined)
+        sets = model.freqItemsets.filter(F.array_contains("items", _UNWANTED)).select(F.array_sort(F.array_except("items", F.array(F.lit(_UNWANTED)))).alias("tokens")).filter(F.size("tokens") > 0)
+        rules = model.associationRules.filter((F.size("consequent") == 1) & (F.col("consequent")[0] == _UNWANTED)).select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
+        found = stored(sets.join(rules, "tokens", "left").withColumn("size", F.size("tokens")), "url-sets")
     finally:
         items.unpersist()
-    written = [(frozenset(each), confidence, share) for tokens, (confidence, share) in kept.items() for each in product(*(twins.get(t, [t]) for t in tokens))]
-    return MinedRules(sorted(written, key=lambda r: (len(r[0]), -r[1], sorted(r[0]))), rows)
-
+    kept = _surer(found)
+    counted = F.create_map(*[F.lit(x) for name in classes for x in (name, rows[name])]) if classes else F.create_map().cast("map<string,int>")
+    order = F.array_min(F.transform("tokens", lambda t: F.struct(counted[t].alias("n"), t.alias("t"))))
+    table = stored(kept.select("tokens", "confidence", "support", order["t"].alias("anchor")), "url-rules")
+    return MinedRules(table, table.count(), classes, rows)
 
-def _surer(found: list) -> dict[frozenset, tuple[float, float]]:
-    """Of the mined rules those surer than every kept one on a part of their tokens: confidence and support by tokens."""
-    kept: dict[frozenset, tuple[float, float]] = {}
-    for _, minus, tokens, share in sorted((len(r.antecedent), -r.confidence, sorted(r.antecedent), r.support) for r in found):
-        if all(kept[p][0] < -minus for p in _parts(tokens, kept)):
-            kept[frozenset(tokens)] = (-minus, share)
-    return kept
 
+def _surer(sets: DataFrame) -> DataFrame:
+    """Of combinations (tokens, confidence: null where that isn't enough, support, size) the rules surer than every rule on a part of their tokens.
 
-def _twins(items: DataFrame, least: float) -> tuple[dict[str, list[str]], dict[str, int]]:
+    By size: the surest rule on any part of a combination is that of the parts that lack one token,
+    or on a part of these. All parts of a combination are there, as they are at least as frequent.
+    """
+    largest = sets.agg(F.max("size")).first()[0] or 0
+    below, kept = None, None
+    for size in range(1, largest + 1):
+        here = sets.filter(F.col("size") == size).drop("size")
+        if below is None:
+            here = here.withColumn("best", F.lit(None).cast("double"))
+        else:
+            parts = here.select("tokens", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("gone")).select("tokens", F.expr("filter(tokens, (t, i) -> i <> gone)").alias("part"))
+            best = parts.join(below.select(F.col("tokens").alias("part"), F.greatest("confidence", "best").alias("sure")), "part").groupBy("tokens").agg(F.max("sure").alias("best"))
+            here = here.join(best, "tokens", "left")
+        below = stored(here, "url-sets")
+        own = below.filter(F.col("confidence").isNotNull() & (F.col("best").isNull() | (F.col("confidence") > F.col("best")))).drop("best")
+        kept = own if kept is None else kept.unionByName(own)
+    return kept if kept is not None else sets.filter(F.col("confidence").isNotNull()).drop("size")
+
+
+def _classes(items: DataFrame, least: float) -> tuple[dict[str, list[str]], dict[str, int]]:
     """Tokens of at least so many rows, by the first of those that stand in exactly the same rows (by the sum of the rows' hashes); and the number of rows of each."""
     rows = items.select(F.xxhash64("id", "items").cast("decimal(20,0)").alias("row"), F.explode("items").alias("token")).filter(F.col("token") != _UNWANTED)
     often = rows.groupBy("token").agg(F.count("*").alias("n"), F.sum("row").alias("rows")).filter(F.col("n") >= least - 1e-6)
@@ -150,16 +185,6 @@ def _twins(items: DataFrame, least: float) -> tuple[dict[str, list[str]], dict[s
     return {r.tokens[0]: r.tokens for r in same}, {t: r.n for r in same for t in r.tokens}
 
 
-def _parts(tokens: list[str], kept: dict[frozenset, tuple]) -> Iterator[frozenset]:
-    """The kept rules on a part of the tokens: looked up among all parts, or, where there are more of these, among the rules."""
-    if 2 ** len(tokens) <= 4 * len(kept):
-        for size in range(1, len(tokens)):
-            yield from (p for p in map(frozenset, combinations(tokens, size)) if p in kept)
-    else:
-        own = set(tokens)
-        yield from (p for p in kept if p < own)
-
-
 def written_rule(host: Column, path: Column, rules: list[tuple[str, str, str]], what: int | None = None) -> Column:
     """The longest written rule that fits, as host and path in one (or its verdict if what is 2); null if none does."""
     chosen = F.lit(None).cast("string")
@@ -174,25 +199,44 @@ def judge(pages: DataFrame, mined: MinedRules, rules: list[tuple[str, str, str]]
 
     rule is the longest written rule that fits (null if none does); verdict is its word, else
     "block" if a mined rule's tokens are all in the URL, else "allow". mined_rule (tokens
-    joined by blanks) and confidence name the best mined rule, null without one; of equally sure
-    ones it is the first in order. A null URL or one without "://" has an empty host and path and
-    is allowed; repeated rows stay; an empty table gives an empty result; other columns are
-    ignored. Narrow: no shuffle; at most MAX_RULES rules go to the executors.
+    joined by blanks) and confidence name the surest mined rule, null without one; of equally sure
+    ones that with fewer tokens, then the first. A null URL or one without "://" has an empty host
+    and path and is allowed; repeated rows stay; an empty table gives an empty result; other columns
+    are ignored. Up to MAX_BROADCAST_RULES rules there is no shuffle; beyond, distinct URLs meet the
+    table of rules by their anchors, with the same result.
     """
-    assert len(mined.rules) <= MAX_RULES
     url = F.col(url_col)
     rows = pages.select(F.col(page_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("tokens"))
     rows = rows.select("page_id", "host", "path", written_rule(F.col("host"), F.col("path"), rules).alias("rule"), written_rule(F.col("host"), F.col("path"), rules, 2).alias("verdict"), "tokens")
-    shared = pages.sparkSession.sparkContext.broadcast(mined)
+    kind = pages.schema[page_col].dataType.simpleString()
+    if mined.n > MAX_BROADCAST_RULES:
+        return _judged_by_join(rows, mined)
+    index = RuleIndex(mined.table.collect() if mined.n else [], mined.names())
+    shared = pages.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in batches:
             best = [known.best(t) for t in batch.column(5).to_pylist()]
             verdict = [v or ("block" if b is not None else "allow") for v, b in zip(batch.column(4).to_pylist(), best, strict=True)]
-            named = [None if b is None else " ".join(sorted(known.rules[b][0])) for b in best]
-            sure = [None if b is None else known.rules[b][1] for b in best]
+            named = [None if b is None else " ".join(b[1]) for b in best]
+            sure = [None if b is None else b[0] for b in best]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdict, pa.string()), pa.array(named, pa.string()), pa.array(sure, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "mined_rule", "confidence"])
 
-    kind = pages.schema[page_col].dataType.simpleString()
     return rows.mapInArrow(run, f"page_id {kind}, host string, path string, rule string, verdict string, mined_rule string, confidence double")
+
+
+def _judged_by_join(rows: DataFrame, mined: MinedRules) -> DataFrame:
+    """judge() of rows (page_id, host, path, rule, verdict, tokens) where the rules are too many to send: lists of tokens, each once, look their rules up."""
+    spark = rows.sparkSession
+    names = spark.createDataFrame(list(mined.names().items()), "token string, name string")  # the frequent tokens
+    lists = rows.select("tokens").distinct()
+    held = lists.select("tokens", F.explode("tokens").alias("token")).join(F.broadcast(names), "token").groupBy("tokens", "name").agg(F.min("token").alias("token"))
+    held = held.groupBy("tokens").agg(F.map_from_entries(F.collect_list(F.struct("name", "token"))).alias("first"))
+    rules = mined.table.select("anchor", F.col("tokens").alias("own"), "confidence")
+    hits = held.select("tokens", "first", F.explode(F.map_keys("first")).alias("anchor")).join(rules, "anchor").filter(F.size(F.array_except("own", F.map_keys("first"))) == 0)
+    hits = hits.select("tokens", "confidence", F.array_sort(F.transform("own", lambda t: F.element_at("first", t))).alias("named"))
+    best = hits.groupBy("tokens").agg(F.min(F.struct((-F.col("confidence")).alias("unsure"), F.size("named").alias("n"), "named")).alias("best"))
+    out = rows.join(best, "tokens", "left")
+    verdict = F.coalesce("verdict", F.when(F.col("best").isNotNull(), "block").otherwise("allow"))
+    return out.select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.array_join("best.named", " ").alias("mined_rule"), (-F.col("best.unsure")).alias("confidence"))

@@ -68,7 +68,7 @@ def matches(parsed):
         elif name == "MAX_REPEAT":
             parts.append([m * value[0] for m in matches(value[2])][: None if value[0] else 1] + (matches(value[2]) if value[0] == 0 else []))
         else:
-            assert name == "ASSERT"
+            assert name in ("ASSERT", "ASSERT_NOT")
     least = [p[0] for p in parts]
     return ["".join(least)] + ["".join([*least[:k], other, *least[k + 1 :]]) for k, p in enumerate(parts) for other in p[1:]]
 
@@ -91,7 +91,9 @@ EXPECTED = {
     "GPLv3": "gpl-3", "GPLv2 or later": "gpl-2", "LGPLv2.1": "lgpl-2.1", "AGPLv3": "agpl-3", "Apache2": "apache-2", "BSD3": "bsd-3", "GPL-3.0-or-later": "gpl-3", "Apache-2.0": "apache-2",
     "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: ISC": "isc", "SPDX-License-Identifier: Zlib": "zlib", "SPDX-License-Identifier: BSD-3-Clause": "bsd-3", "SPDX-License-Identifier: CC0-1.0": "cc0-1", "SPDX-License-Identifier: MPL-2.0": "mpl-2",
     "MIT licensed": "mit", "licensed under MIT": "mit", "License: MIT": "mit", "Artistic-2.0": "artistic-2", "BSL-1.0": "bsl-1", "0BSD": "0bsd", "CC BY-SA 4.0": "cc-by-sa-4", "released under the Creative Commons Attribution-NonCommercial 3.0 Unported License": "cc-by-nc-3",
-    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit-text",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy": "mit",
+    "the MIT license plate was green": "", "his BSD license number": "",
     "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software": "mit",
     "Redistributions of source code must retain the above copyright notice": "bsd",
     "You may not use this file except in compliance with the License.": "apache-2",
@@ -103,6 +105,49 @@ EXPECTED = {
 }
 
 
+_GNU = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} as published by the Free Software Foundation, {} of the License, or (at your option) any later version."
+#: Headers as they stand in files: what they must be labelled with, besides what their other sentences say.
+HEADERS = {
+    _GNU.format("General Public License", "either version 3"): "gpl-3", _GNU.format("General Public License", "either version 2"): "gpl-2",
+    _GNU.format("Lesser General Public License", "either version 2.1"): "lgpl-2.1", _GNU.format("Lesser General Public License", "either version 3"): "lgpl-3",
+    _GNU.format("Library General Public License", "either version 2"): "lgpl-2", _GNU.format("Affero General Public License", "either version 3"): "agpl-3",
+    _GNU.format("General Public License", "version 3"): "gpl-3", _GNU.format("Affero General Public License", "version 3"): "agpl-3",
+    "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.": "gpl-2",
+    "under the terms of version 2 of the GNU General Public License as published by the Free Software Foundation": "gpl-2",
+    "modify it under the terms of version 2.1 of the GNU Lesser General Public License": "lgpl-2.1",
+    "GNU General Public License as published by the Free Software Foundation, Inc., either version 3 of the License": "gpl-3",
+    "GNU General Public License (GPL) version 3": "gpl-3", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007": "gpl-3", "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991": "gpl-2",
+    "GNU LESSER GENERAL PUBLIC LICENSE\n Version 2.1, February 1999": "lgpl-2.1", "GNU AFFERO GENERAL PUBLIC LICENSE\n Version 3, 19 November 2007": "agpl-3",
+    "SPDX-License-Identifier: GPL-2.0-only": "gpl-2", "SPDX-License-Identifier: GPL-2.0 WITH Linux-syscall-note": "gpl-2", "SPDX-License-Identifier: LGPL-2.1-or-later": "lgpl-2.1",
+    "Dual licensed under the MIT (http://example.org/mit) and GPL Version 2 licenses.": "gpl-2",
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.": "apache-2",
+    "Apache License\n Version 2.0, January 2004": "apache-2", "licensed to the Foundation under the Apache License, Version 2.0": "apache-2",
+    "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.": "mpl-2", "The contents of this file are subject to the Mozilla Public License Version 1.1": "mpl-1.1",
+    "Mozilla Public License as published by the Mozilla Foundation, version 2.0": "mpl-2",
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\")": "mit",
+    "The MIT License (MIT)\n\nCopyright (c) 2019": "mit", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.": "mit",
+    "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.": "bsd",
+    "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd-text",
+    "BSD 3-Clause License": "bsd-3", "BSD 2-Clause \"Simplified\" License": "bsd-2", "All rights reserved. The 3-Clause BSD License": "bsd-3",
+    "Distributed under the Boost Software License, Version 1.0.": "bsl-1", "This file is distributed under the Eclipse Public License v2.0": "epl-2",
+    "made available under the terms of the Eclipse Public License 2.0": "epl-2", "Licensed under the EUPL, Version 1.2": "eupl-1.2", "European Union Public Licence (EUPL) version 1.1": "eupl-1.1",
+    "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.": "cc-by-sa-4", "Permission is granted to copy, distribute and/or modify this document under the terms of the GNU Free Documentation License, Version 1.3": "gfdl-1.3",
+    "This is free and unencumbered software released into the public domain.": "unlicense", "This Font Software is licensed under the SIL Open Font License, Version 1.1.": "ofl-1.1",
+}
+
+
+def test_headers_as_they_are_written(spark):
+    rows = list(enumerate(HEADERS))
+    got = {r.doc_id: r.labels.split(",") for r in licenses.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(rows) > 40
+    assert [(t, got[i]) for i, t in rows if HEADERS[t] not in got[i]] == []
+    # a version stands for its family, and no other version of it is there
+    for i, t in rows:
+        family = HEADERS[t].rsplit("-", 1)[0]
+        if HEADERS[t][-1].isdigit() and not family.startswith(("bsd", "cc")):
+            assert [x for x in got[i] if x.startswith(f"{family}-") and x != HEADERS[t]] == [], t
+
+
 def test_labels_by_hand(spark):
     rows = list(enumerate(EXPECTED))
     df = spark.createDataFrame(rows, "doc_id long, text string")

@@ -73,6 +73,19 @@ FAMILIES = [
     ("odc-by", "attribution", r"open data commons attribution licen[sc]e", ["1"]),
     ("openrail", "openrail", r"(?:bigscience |creativeml )?openrail(?: m)?", []),
 ]
+# Families whose headers name a publisher or the license's own text between name and version, as label, keyword, expression, publisher.
+HEADERS = [
+    ("gpl", "general", r"(?:gnu )?general public licen[sc]e", r"(?:the )?free software foundation(?: inc)?"),
+    ("lgpl", "general", r"(?:gnu )?(?:lesser|library) general public licen[sc]e", r"(?:the )?free software foundation(?: inc)?"),
+    ("agpl", "affero", r"(?:gnu )?affero general public licen[sc]e", r"(?:the )?free software foundation(?: inc)?"),
+    ("gfdl", "documentation", r"(?:gnu )?free documentation licen[sc]e", r"(?:the )?free software foundation(?: inc)?"),
+    ("mpl", "mozilla", r"mozilla public licen[sc]e", r"(?:the )?mozilla foundation"),
+    ("eupl", "union", r"european union public licen[sc]e", r"(?:the )?european commission"),
+    ("epl", "eclipse", r"eclipse public licen[sc]e", r"(?:the )?eclipse foundation(?: inc)?"),
+    ("osl", "software", r"open software licen[sc]e", r"(?:the )?open source initiative"),
+]
+#: What follows a bare name of a thing that is no license.
+_THINGS = r"(?! (?:plates?|numbers?|holders?|fees?)(?= ))"
 #: Families whose name alone, without a version or notice, says too little.
 NEEDS_MORE = {"apache"}
 # The parts of Creative Commons names, in words.
@@ -85,7 +98,7 @@ NOTICES = [
     ("proprietary", "proprietary", r"proprietary and confidential"),
     ("no-redistribution", "redistribution", r"redistribution (?:is |are )?(?:strictly )?(?:prohibited|forbidden)"),
     ("bsd-text", "redistribution", r"redistribution and use in source and binary forms"),
-    ("mit-text", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", "hereby", r"permission is hereby granted free of charge to any person obtaining a copy(?: of this software)?(?: and associated documentation files)?"),
     ("isc-text", "permission", r"permission to use copy modify and or distribute this software(?: for any purpose)?"),
     ("commercial-license", "commercial", r"commercial licen[sc]e (?:is )?required"),
     ("copyright-notice", "copyright", r"copyright (?:c )?(?:19|20)\d\d"),
@@ -222,7 +235,16 @@ def rules() -> list[dict]:
         add(exact, 0, "spdx", f"spdx licen[sc]e identifier {name}", label)
         add(named, 1, keyword, f"{_UNDER}{name}(?: licen[sc]e)?", label)
         if label not in NEEDS_MORE:
-            add(bare, 2, keyword, f"{name}(?: international| unported)?(?: licen[sc]e)?", label)
+            add(bare, 2, keyword, f"{name}(?: international| unported)?(?: licen[sc]e)?{_THINGS}", label)
+    versions_of = {label: versions for label, _, _, versions in FAMILIES}
+    for label, keyword, name, publisher in HEADERS:
+        for v in sorted(versions_of[label], key=len, reverse=True):
+            own, number = f"{label}-{v.replace(' ', '.')}", v if " " in v else f"{v}(?: 0)?"
+            # "either version 3 of the License", after who published it, and "version 3 of the ..."
+            add(exact, 0, keyword, f"{name} as published by {publisher} (?:either )?(?:version |v ?)?{number}(?: of the licen[sc]e)?", own)
+            add(exact, 0, keyword, f"{name} (?:as published|published) (?:either )?(?:version |v ?){number}(?: of the licen[sc]e)?", own)
+            add(exact, 0, keyword, f"(?:version |v ?){number} (?:or (?:any )?later |only )?of (?:the )?{name}", own)
+            add(exact, 0, keyword, f"{name} (?:l?a?gpl |mpl |fdl |gfdl |epl |eupl |osl )?(?:either |under |in )?(?:its |the )?(?:version |v ?|versions ){number}{later}", own)
     for words, label in SPDX:
         add(exact, 0, "spdx", f"spdx licen[sc]e identifier {words}{later}", label)
         if words in ALONE:

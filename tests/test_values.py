@@ -37,12 +37,21 @@ def test_registrations_find_the_motion(spark, sf, name, xy, turn):
 
 def test_weighted_inliers(spark, sf, v):
     got = {r.frame: r for r in QUERIES["OPT7_weighted_inliers"](spark, sf).collect()}
-    for r in v.pts.groupBy("frame").agg(F.count("*").alias("n"), F.count_if(F.col("id") % 3 != 0).alias("good")).collect():
+    rows = registrations.features_of(v.sql(registrations.LANDMARKS))
+    for r in rows.groupBy("frame").agg(F.count("*").alias("n"), F.count_if(F.col("id") % 3 != 0).alias("good")).collect():
         g = got[r.frame]
         assert g.n == r.n and r.good <= g.inliers <= r.good + 0.1 * r.n
         assert abs(g.x - 0.7) < 0.15 and abs(g.y + 0.4) < 0.15 and abs(g.yaw - (r.frame % 5 - 2) * 0.01) < 0.01
 
 
+def test_a_pairs_task_is_flat_in_density(spark, sf, v):
+    """Ten times the points of a frame are hardly more features: at most some for each landmark."""
+    dense = Views(spark, "/root/testdata/sf0.01")
+    few, many = (x.sql(registrations.LANDMARKS).groupBy("frame").count().agg(F.max("count")).first()[0] for x in (v, dense))
+    of = lambda x: registrations.keyframes(x).groupBy("frame").count().agg(F.max("count")).first()[0]
+    assert many > 7 * few and of(dense) <= 3 * 14 * 28 and of(dense) < 0.75 * many
+
+
 def test_scan_updates_find_the_place(spark, sf):
     rows = QUERIES["EST4_gated_update"](spark, sf).collect()
     good = [r for r in rows if r.used >= 10 and r.directions == 6]

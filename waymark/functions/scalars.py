@@ -140,6 +140,7 @@ def hamming(a: Column, b: Column) -> Column:
 
 def lsh_code(word: Column, table: int, bits: int = 8, width: int = 64) -> Column:
     """Bits of a word at places 17 + 37 table + 11 b (modulo width), as one integer."""
+    # 17, 37, 11.
     out = F.lit(0).cast("long")
     for b in range(bits):
         out = out.bitwiseOR(F.shiftleft(F.shiftrightunsigned(word, (17 + 37 * table + 11 * b) % width).bitwiseAND(F.lit(1).cast("long")), b))

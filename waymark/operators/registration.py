@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import math
+import zlib
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -49,6 +50,13 @@ class Gates:
     least_z: int = 8
     max_z_mad: float = 0.2
     max_z: float = 1.0
+    # What a match's score counts, and the largest rmse that counts.
+    per_inlier: float = 2.0
+    per_rmse: float = 180.0
+    rmse_counted: float = 2.0
+    per_z_inlier: float = 0.8
+    per_similarity: float = 80.0
+    per_coarse: float = 0.05
 
 
 @dataclass
@@ -297,7 +305,7 @@ def match(target: Features, source: Features, raw: np.ndarray, gates: Gates, see
         else "rmse" if rmse > gates.max_rmse
         else "geometry"
     )
-    score = 2.0 * inliers - 180 * min(2.0, rmse) + 0.8 * z["z_inliers"] + 80 * similarity + 0.05 * coarse
+    score = gates.per_inlier * inliers - gates.per_rmse * min(gates.rmse_counted, rmse) + gates.per_z_inlier * z["z_inliers"] + gates.per_similarity * similarity + gates.per_coarse * coarse
     return {"yaw": float(lie.yaw_of(pose)), "x": float(pose[0, 3]), "y": float(pose[1, 3]), "z": float(pose[2, 3]), "candidates": candidates, "inliers": inliers, "ratio": ratio, "rmse": rmse, "spread": size, "spread_ratio": shape, "xy_accepted": bool(accepted), **z, "score": score, "reason": reason}
 
 
@@ -426,7 +434,7 @@ def register_pairs(features: DataFrame, pairs: DataFrame, method: str = "match",
         pdf = pdf[pdf["id"].notna()]
         both = [_features(pdf[pdf["side"] == k]) for k in (0, 1)]
         start = lie.planar(first["raw_x"], first["raw_y"], first["raw_yaw"], first["raw_z"])
-        return pd.DataFrame([{"a": first["a"], "b": first["b"], **f(*both, start, gates, int(7919 + 101 * first["a"] + first["b"]) % 2**32)}])
+        return pd.DataFrame([{"a": first["a"], "b": first["b"], **f(*both, start, gates, zlib.crc32(f"{first['a']} {first['b']}".encode()))}])
 
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in "ab")
     return rows.groupBy("a", "b").applyInPandas(run, f"{kinds}, {schema}")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators import asof, backend, equations, estimate, folds, raster, registration, select
 from waymark.plans.clouds import r, rounded
+from waymark.plans.registrations import false_matches
 from waymark.plans.registry import query
 from waymark.plans.views import Views
 from waymark.sources import sinks
@@ -69,10 +70,8 @@ def udf2(v: Views):
 
 @query("EST14_planar_controller")
 def est14(v: Views):
-    """Corrections of four runs: each frame's consensus, its robust fit over the inliers, then the controller."""
-    turn = (F.col("frame") % 16) * 0.002
-    x, y = F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y") + 0.5 + (F.col("frame") % 8) * 0.1, F.sin(turn) * F.col("x") + F.cos(turn) * F.col("y") - 0.4
-    rows = v.pts.select("frame", "id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.when(F.col("id") % 3 == 0, x + 3 + F.col("z")).otherwise(x).alias("tx"), y.alias("ty"), F.col("conf").alias("w"))
+    """Corrections of four runs: the consensus of each frame's features, its robust fit over the inliers, then the controller."""
+    rows = false_matches(v, (F.col("frame") % 16) * 0.002, 0.5 + (F.col("frame") % 8) * 0.1, F.lit(-0.4))
     marked = registration.weighted_consensus(rows, ["frame"], "id", registration.with_gates(hypotheses=150, inlier=0.3, max_yaw=0.2))
     counts = marked.groupBy("frame").agg(F.count("*").alias("n"), F.count_if("inlier").alias("inliers"))
     inliers = rows.join(marked.filter("inlier").select("frame", "id"), ["frame", "id"])

@@ -1,7 +1,8 @@
 """Queries on the registration of keyframes and on normal equations.
 
 Keyframe f is registered on itself seen from elsewhere: the second of a pair are the same
-frame's points but for every fifth, moved by a motion that differs from frame to frame.
+frame's points but for every fifth, moved by a motion that differs from frame to frame. What is
+registered are features, means of cells, so a pair's task doesn't grow with the density of points.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import math
 from pyspark.sql import functions as F
 
 from waymark.functions import scalars
-from waymark.operators import equations, registration
+from waymark.operators import equations, grid, registration
 from waymark.plans.clouds import rounded
 from waymark.plans.registry import query
 from waymark.plans.views import Views
@@ -20,13 +21,33 @@ OTHER = 1000
 GATES = registration.with_gates(lattice_xy=0.6, lattice_step=0.6, lattice_yaw=math.radians(1), lattice_turn=math.radians(1), coarse_points=200, reach=1.2, max_xy=4.0, max_yaw=math.radians(6))
 
 
+#: Points of landmarks: one in each cell of four metres, at a place, height and label of its own, its points a centimetre around it.
+LANDMARKS = """select frame, id, conf, floor(x / 4) * 4 + 0.7 + ((cix * 73 + ciy * 151) % 97) / 97.0 * 2.5 + (id % 21 - 10) / 1000.0 as x, floor(y / 4) * 4 + 0.7 + ((cix * 59 + ciy * 113) % 89) / 89.0 * 2.5 + (id % 19 - 9) / 1000.0 as y,
+  ((cix * 31 + ciy * 17) % 29) / 10.0 as z, cast((cix * 5 + ciy * 3) % 7 as int) as label from (select *, cast(floor(x / 4) as bigint) as cix, cast(floor(y / 4) as bigint) as ciy from pts) p"""
+#: Cells that a frame's points become features in.
+FEATURE_CELL = 1.0
+
+
+def features_of(points):
+    """(frame, id, x, y, z, label, structural, conf) of each occupied cell of a frame: as many as the frame's extent has cells, however dense its points are."""
+    cells = grid.keyframe_features(points, FEATURE_CELL, structural=(3, 4, 6), keys=["frame"])
+    return cells.select("frame", (F.col("ix") * 1_000_000 + F.col("iy")).alias("id"), "x", "y", "z", "label", "structural", F.least(F.lit(1.0), F.col("n") / 10).alias("conf"))
+
+
 def keyframes(v: Views):
-    """(frame, id, x, y, z, label, structural) of every frame and of its moved copy."""
-    one = v.pts.select(F.col("frame").cast("long").alias("frame"), "id", "x", "y", "z", "label", (F.col("label") > 2).alias("structural"))
+    """Features (frame, id, x, y, z, label, structural, conf) of every frame and of its moved copy, each in cells of its own."""
+    one = v.sql(LANDMARKS).withColumn("frame", F.col("frame").cast("long"))
     turn = (F.col("frame") % 5 - 2) * 0.01
     x, y = F.col("x") - (F.col("frame") % 3) * 0.3, F.col("y") + (F.col("frame") % 4) * 0.2
-    moved = one.filter("id % 5 <> 0").select((F.col("frame") + OTHER).alias("frame"), "id", (F.cos(turn) * x + F.sin(turn) * y).alias("x"), (F.cos(turn) * y - F.sin(turn) * x).alias("y"), (F.col("z") - (F.col("frame") % 2) * 0.1).alias("z"), "label", "structural")
-    return one.unionByName(moved)
+    moved = one.filter("id % 5 <> 0").select((F.col("frame") + OTHER).alias("frame"), "id", "conf", (F.cos(turn) * x + F.sin(turn) * y).alias("x"), (F.cos(turn) * y - F.sin(turn) * x).alias("y"), (F.col("z") - (F.col("frame") % 2) * 0.1).alias("z"), "label")
+    return features_of(one.select(*moved.columns)).unionByName(features_of(moved))
+
+
+def false_matches(v: Views, turn, dx, dy):
+    """(frame, id, sx, sy, tx, ty, w): each frame's features and where a motion takes them; every third one is taken elsewhere."""
+    rows = features_of(v.sql(LANDMARKS).withColumn("frame", F.col("frame").cast("long")))
+    x, y = F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y") + dx, F.sin(turn) * F.col("x") + F.cos(turn) * F.col("y") + dy
+    return rows.select("frame", "id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.when(F.col("id") % 3 == 0, x + 3 + F.col("z")).otherwise(x).alias("tx"), y.alias("ty"), F.col("conf").alias("w"))
 
 
 def pairs(v: Views):
@@ -57,10 +78,8 @@ def opt6(v: Views):
 
 @query("OPT7_weighted_inliers")
 def opt7(v: Views):
-    """Which points of a frame follow its best-weighted motion; every third pair is a false one."""
-    turn = (F.col("frame") % 5 - 2) * 0.01
-    x, y = F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y") + 0.7, F.sin(turn) * F.col("x") + F.cos(turn) * F.col("y") - 0.4
-    rows = v.pts.select("frame", "id", F.col("x").alias("sx"), F.col("y").alias("sy"), F.when(F.col("id") % 3 == 0, x + 3 + F.col("z")).otherwise(x).alias("tx"), y.alias("ty"), F.col("conf").alias("w"))
+    """Which features of a frame follow its best-weighted motion; every third pair is a false one."""
+    rows = false_matches(v, (F.col("frame") % 5 - 2) * 0.01, F.lit(0.7), F.lit(-0.4))
     out = registration.weighted_consensus(rows, ["frame"], "id", registration.with_gates(hypotheses=200, inlier=0.3, max_yaw=0.2))
     return rounded(out.groupBy("frame").agg(F.count("*").alias("n"), F.count_if("inlier").alias("inliers"), F.max("yaw").alias("yaw"), F.max("x").alias("x"), F.max("y").alias("y")), 4)
 

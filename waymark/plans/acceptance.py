@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.functions import labels
-from waymark.operators import folds, gates
+from waymark.operators import folds, gates, vision
 from waymark.plans.clouds import rounded
+from waymark.plans.registrations import LANDMARKS, features_of
 from waymark.plans.registry import query
 from waymark.plans.views import Views
 
@@ -84,6 +85,63 @@ def vis6(v: Views):
     return rounded(v.sql(ABOVE).select("id", reason.alias("reason"), confidence.alias("confidence")))
 
 
+#: A frame's landmarks, ten times as high, and the camera that sees them, above their middle and looking down.
+FOCAL = 500.0
+
+
+def correspondences(v: Views, method: str):
+    """(frame, id, x, y, z, u, v) of each frame: what a camera, a second view or an overhead image sees of its features, half a pixel off at most; two of five matches are false."""
+    rows = features_of(v.sql(LANDMARKS)).withColumn("z", F.col("z") * 10)
+    frame = F.col("frame")
+    noise = lambda k: (F.pmod(F.xxhash64("frame", "id", F.lit(k)), F.lit(2001)) - 1000) / 1000.0
+    wrong = F.pmod(F.xxhash64("frame", "id", F.lit(9)), F.lit(5)) < 2
+    turn, px, py, pz = _view(frame)
+    x, y, z = F.col("x") - 25, F.col("y") - 50, F.col("z") + 60
+    if method == "affine":
+        scale = 0.9 + (frame % 4) * 0.1
+        rows = rows.withColumns({"u": scale * (F.cos(turn) * F.col("x") - F.sin(turn) * F.col("y")) + px, "v": scale * (F.sin(turn) * F.col("x") + F.cos(turn) * F.col("y")) + py})
+        far, small = 20.0, 0.1
+    else:
+        dx, dy, dz = x - px, y - py, z - pz
+        rows = rows.withColumns({"u": (F.cos(turn) * dx + F.sin(turn) * dy) / dz, "v": (F.cos(turn) * dy - F.sin(turn) * dx) / dz})
+        # the first view is what a camera at the origin sees
+        rows = rows.withColumns({"x": x / z, "y": y / z} if method == "turn" else {"x": x, "y": y, "z": z})
+        far, small = 0.5, (0.2 if method == "turn" else 0.5) / FOCAL
+    seen = {"u": F.when(wrong, far * noise(1)).otherwise(F.col("u") + small * noise(2)), "v": F.when(wrong, far * noise(3)).otherwise(F.col("v") + small * noise(4))}
+    return rows.withColumns(seen).select("frame", "id", "x", "y", "z", "u", "v")
+
+
+def _view(frame) -> tuple:
+    """Turn and place of a frame's second view, as columns or numbers."""
+    return (frame % 7 - 3) * 0.02, (frame % 5) * 2.0 + 1, (frame % 3) * 1.5, (frame % 4) * -1.0
+
+
+@query("VIS2_loop_pose")
+def vis2_pose(v: Views):
+    """The camera of each frame's second view by consensus, what the gates say of it, and how far it is from the true one."""
+    reason, quality = gates.loop_verified()
+    found = vision.motions(correspondences(v, "pose"), ["frame"], "id", "pose", vision.Consensus(focal=FOCAL))
+    turn, px, py, pz = _view(F.col("frame"))
+    off = F.sqrt((F.col("px") - px) ** 2 + (F.col("py") - py) ** 2 + (F.col("pz") - pz) ** 2)
+    return found.select("frame", "matches", reason.alias("reason"), F.round(quality, 2).alias("quality"), F.round(off, 1).alias("off"), F.round("turn", 0).alias("turn"))
+
+
+@query("VIS1_two_view_turn")
+def vis1_turn(v: Views):
+    """The turn between each frame's two views by an essential matrix, and what the gates say of it; a direction has no length."""
+    found = vision.motions(correspondences(v, "turn"), ["frame"], "id", "turn", vision.Consensus(focal=FOCAL, hypotheses=800))
+    rows = found.withColumnRenamed("matches", "tracked").withColumn("shift", F.lit(0.0))
+    return rows.select("frame", "tracked", gates.tracking_reason().alias("reason"), F.round(gates.tracking_quality(), 2).alias("quality"), F.round("turn", 0).alias("turn"))
+
+
+@query("VIS6_plane_map")
+def vis6_map(v: Views):
+    """The affine map of each frame's features onto an overhead image by consensus, and what the gates say of it."""
+    reason, confidence = gates.overhead_match(gates.Overhead(max_offset=40))
+    found = vision.motions(correspondences(v, "affine"), ["frame"], "id", "affine", vision.Consensus(reach=0.3))
+    return found.select("frame", "matches", reason.alias("reason"), F.round(confidence, 2).alias("confidence"), F.round("dx", 1).alias("dx"), F.round("dy", 1).alias("dy"), F.round("scale", 2).alias("scale"))
+
+
 @query("SNK13_pair_stages", """with p as (select run, i, quality >= 0.5 as applied, sqrt((mx - gbx + gax) * (mx - gbx + gax) + my * my) as r from loops)
   select run, stage, count(*) as n from (select run, case when r > 3 then 'outlier' when r > 1 then 'candidate' when applied then 'applied' else 'inlier' end as stage from p) s group by run, stage""")
 def snk13(v: Views):

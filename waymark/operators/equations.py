@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import scalars
@@ -157,6 +157,12 @@ def _planes(rows: DataFrame, ident: str, max_flatness: float) -> DataFrame:
     return sums.mapInPandas(run, f"{ident} {rows.schema[ident].dataType.simpleString()}, used long, nx double, ny double, nz double, distance double, flatness double, valid boolean")
 
 
+def _nearest(found: DataFrame, ident: str, order: list[str], most: int, least: int) -> DataFrame:
+    """Of each query's rows the first most in an order, if it has least of them; rows beyond are dropped as they are read, so no list of all stands anywhere."""
+    rows = found.withColumn("_rn", F.row_number().over(Window.partitionBy(ident).orderBy(*order))).filter(F.col("_rn") <= most)
+    return rows.withColumn("_n", F.count("*").over(Window.partitionBy(ident))).filter(F.col("_n") >= least).drop("_rn", "_n")
+
+
 def local_planes(queries: DataFrame, voxels: DataFrame, ident: str, size: float, reach: float, nearest: int, least: int, least_points: int, max_flatness: float) -> DataFrame:
     """The plane around each query point (ident, x, y, z): (ident, used, nx, ny, nz, distance, flatness, valid).
 
@@ -168,9 +174,7 @@ def local_planes(queries: DataFrame, voxels: DataFrame, ident: str, size: float,
     found = _around(queries, ident, size, reach).join(voxels.filter(F.col("n") >= least_points), ["vx", "vy", "vz"])
     d = F.sqrt(sum((F.col(f"m{c}") - F.col(c)) ** 2 for c in "xyz"))
     found = found.withColumn("d", d).filter(F.col("d") <= reach)
-    part = F.struct("d", "vx", "vy", "vz", "n", *[f"m{c}" for c in "xyz"], *[f"c{a}{b}" for a, b in AXES])
-    best = found.groupBy(ident, "x", "y", "z").agg(F.slice(F.sort_array(F.collect_list(part)), 1, nearest).alias("near"))  # at most the voxels within reach
-    rows = best.filter(F.size("near") >= least).select(ident, "x", "y", "z", F.explode("near").alias("v")).select(ident, "x", "y", "z", "v.*")
+    rows = _nearest(found, ident, ["d", "vx", "vy", "vz"], nearest, least)
     return _planes(rows.withColumn("w", F.col("n") * F.exp(-F.col("d") / reach)), ident, max_flatness)
 
 
@@ -180,8 +184,7 @@ def point_planes(queries: DataFrame, points: DataFrame, ident: str, size: float,
     found = _around(queries, ident, size, reach).join(cells, ["vx", "vy", "vz"])
     d = F.sqrt(sum((F.col(f"m{c}") - F.col(c)) ** 2 for c in "xyz"))
     found = found.withColumn("d", d).filter(F.col("d") <= reach)
-    best = found.groupBy(ident, "x", "y", "z").agg(F.slice(F.sort_array(F.collect_list(F.struct("d", *[f"m{c}" for c in "xyz"]))), 1, nearest).alias("near"))
-    rows = best.filter(F.size("near") >= nearest).select(ident, "x", "y", "z", F.explode("near").alias("v")).select(ident, "x", "y", "z", "v.*")
+    rows = _nearest(found, ident, ["d", *[f"m{c}" for c in "xyz"]], nearest, nearest)
     return _planes(rows.withColumns({"w": F.lit(1.0), **{f"c{a}{b}": F.lit(0.0) for a, b in AXES}}), ident, max_flatness)
 
 

@@ -460,9 +460,10 @@ def admit(g: Admission = Admission()) -> Callable:
             quality = max(row["quality"], g.verified_quality) if verified else row["quality"]
             out |= {"reason": "applied", "support": count, "sigma_scale": 1 + g.sigma_growth * (1 - max(0.0, min(1.0, quality)))}
             out |= dict(zip(("fx", "fy", "fz", "fyaw"), measured, strict=True))
-            return (_Support(), made + 1, row["t_cur"], i, pairs | {(i, j)}), [out]
+            pairs.add((i, j))
+            return (_Support(), made + 1, row["t_cur"], i, pairs), [out]
 
-        return (_Support(), 0, None, None, frozenset()), step
+        return (_Support(), 0, None, None, set()), step
 
     return start
 

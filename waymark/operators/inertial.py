@@ -14,7 +14,8 @@ from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from waymark.functions import lie
 
@@ -372,6 +373,15 @@ def wheel_equations(s: State, prior: np.ndarray, wheel: Wheel, gates: UpdateGate
     return out, flags
 
 
+def wheel_gates(forward_miss: Column, forward_variance: Column, yaw_miss: Column, yaw_rate: Column, yaw_variance: Column, gates: UpdateGates) -> dict[str, Column]:
+    """The flags of wheel_equations() as columns, for a state whose predicted variances of forward speed and turn rate are known."""
+    forward = forward_miss**2 / F.greatest(F.lit(1e-8), gates.forward_noise**2 + forward_variance)
+    yaw = yaw_miss**2 / F.greatest(F.lit(1e-8), gates.yaw_noise**2 + (gates.yaw_scale * yaw_rate) ** 2 + yaw_variance)
+    passes = lambda nis, gate: F.lit(True) if gate <= 0 else F.coalesce(nis <= gate, F.lit(False))
+    good = passes(yaw, gates.yaw_gate)
+    return {"forward_rejected": ~passes(forward, gates.forward_gate), "yaw_rejected": ~good, "yaw_used": good, "forward_nis": forward, "yaw_nis": yaw}
+
+
 def observable_part(h: np.ndarray, ratio: float) -> tuple[np.ndarray, int, float]:
     """Projection on the directions whose eigenvalue is that share of the largest, their number, and the condition among them."""
     values, vectors = np.linalg.eigh((h + h.T) / 2)
@@ -486,8 +496,6 @@ def update_scans(scans: DataFrame, world: DataFrame, states: DataFrame, keys: li
     keeps its state.
     """
     kinds = ", ".join(f"{c} {scans.schema[c].dataType.simpleString()}" for c in keys)
-    from pyspark.sql import functions as F
-
     rows = scans.select(*keys, F.lit(0).alias("what"), "x", "y", "z", F.lit(None).cast("double").alias("yaw"), F.lit(None).cast("double").alias("speed"))
     rows = rows.unionByName(world.select(*keys, F.lit(1).alias("what"), "x", "y", "z", F.lit(None).cast("double").alias("yaw"), F.lit(None).cast("double").alias("speed")))
     rows = rows.unionByName(states.select(*keys, F.lit(2).alias("what"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"), "yaw", F.col("speed").cast("double").alias("speed")))

@@ -7,19 +7,41 @@ from pyspark.sql import functions as F
 
 from waymark.functions import scalars
 from waymark.operators.grid import neighbours, with_cells
-from waymark.operators.select import broadcast_small
+from waymark.operators.select import broadcast_small, checkpointed
+
+
+#: Points of one cell (in each of the keys) beyond which cells are halved, and halvings at most.
+CROWDED, HALVINGS = 8, 12
 
 
 def grid_nearest(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, keys: list[str] = (), same: list[str] = ()) -> DataFrame:
     """(left_id, right_id, distance): the nearest right point in the plane nearer than radius; keys and same must be equal (ties: smaller id).
 
-    Cells have the radius as size, so the 3 by 3 cells around a point hold all of its matches.
+    Rings of cells: the first are so small that the most crowded cell of the radius would hold some
+    CROWDED points if they lay evenly; a point meets the 3 by 3 cells around it, and what it finds
+    within a cell's size is its nearest, as all points so near lie in these. Points that find none
+    go on to cells of twice the size, up to the radius. So a point meets few others however dense
+    they are, and only those in empty surroundings look farther. Each ring is checkpointed. Rows
+    with a null coordinate, key or id match nothing; left_id names one row.
     """
-    r = with_cells(right, radius, ("x", "y")).select(*keys, *same, "ix", "iy", F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(right_id).alias("_id"))
-    l = neighbours(with_cells(left, radius, ("x", "y")).select(*keys, *same, "ix", "iy", "x", "y", left_id), 1)  # noqa: E741
-    d = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)
-    pairs = l.join(r, [*keys, *same, "ix", "iy"]).withColumn("distance", d).filter(F.col("distance") < radius)
-    return pairs.groupBy(left_id).agg(F.min(F.struct("distance", "_id")).alias("m")).select(left_id, F.col("m._id").alias(right_id), F.col("m.distance").alias("distance"))
+    r = right.select(*keys, *same, F.col("x").alias("_x"), F.col("y").alias("_y"), F.col(right_id).alias("_id")).dropna()
+    rest = left.select(*keys, *same, "x", "y", left_id).dropna()
+    crowd = r.groupBy(*keys, *same, scalars.cell(F.col("_x"), radius), scalars.cell(F.col("_y"), radius)).count().agg(F.max("count")).first()[0] or 0
+    halvings = 0
+    while crowd > CROWDED * 4**halvings and halvings < HALVINGS:
+        halvings += 1
+    out = None
+    for k in range(halvings, -1, -1):
+        size = radius / 2**k
+        cells = r.withColumns({"ix": scalars.cell(F.col("_x"), size), "iy": scalars.cell(F.col("_y"), size)})
+        d = F.sqrt((F.col("x") - F.col("_x")) ** 2 + (F.col("y") - F.col("_y")) ** 2)
+        pairs = neighbours(with_cells(rest, size, ("x", "y")), 1).join(cells, [*keys, *same, "ix", "iy"]).withColumn("distance", d)
+        found = pairs.filter((F.col("distance") <= size) & (F.col("distance") < radius)).groupBy(left_id).agg(F.min(F.struct("distance", "_id")).alias("m")).select(left_id, F.col("m._id").alias(right_id), F.col("m.distance").alias("distance"))
+        if k:
+            found = checkpointed(found)
+            rest = checkpointed(rest.join(found.select(left_id), left_id, "left_anti"))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def mutual_nearest(left: DataFrame, right: DataFrame, radius: float, left_id: str, right_id: str, keys: list[str] = (), same: list[str] = ()) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -106,21 +104,10 @@ WHEEL = """with s as (select id, v / 20 as vx, (id % 7 - 3) / 50.0 as vy, (id %
 @query("EST5_wheel_gates", WHEEL)
 def est5(v: Views):
     """Wheel speed and turn rate against a state level and straight ahead: normalised squares and gates of the wheel's equations."""
-    rows = v.track.selectExpr("id", "v / 20 as vx", "(id % 7 - 3) / 50D as vy", "(id % 5 - 2) / 100D as vz", "v / 20 + (id % 11 - 5) / 4D as forward", "(id % 9 - 4) / 40D as gyro", "(id % 6 - 3) / 40D as rate")
-    gates = inertial.UpdateGates(forward_gate=4, yaw_gate=4, yaw_noise=0.02, yaw_scale=0.02)
-
-    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        covariance = np.diag(np.repeat([1e-4, 1e-4, 0.25, 1e-4, 1e-4, 1e-6], 3))
-        covariance[inertial.TURN, inertial.TURN] = 0
-        for p in parts:
-            out = []
-            for r in p.itertuples(index=False):
-                s = inertial.State(velocity=np.array([r.vx, r.vy, r.vz]), covariance=covariance)
-                _, flags = inertial.wheel_equations(s, covariance, inertial.Wheel(r.forward, r.rate, np.array([0.0, 0.0, r.gyro])), gates)
-                out.append({"id": r.id} | {k: flags[k] for k in ("forward_rejected", "yaw_rejected", "yaw_used", "forward_nis", "yaw_nis")})
-            yield pd.DataFrame(out, columns=["id", "forward_rejected", "yaw_rejected", "yaw_used", "forward_nis", "yaw_nis"])
-
-    return rounded(rows.mapInPandas(run, "id long, forward_rejected boolean, yaw_rejected boolean, yaw_used boolean, forward_nis double, yaw_nis double"), 5)
+    rows = v.track.selectExpr("id", "v / 20 as vx", "v / 20 + (id % 11 - 5) / 4D as forward", "(id % 9 - 4) / 40D as gyro", "(id % 6 - 3) / 40D as rate")
+    gates_ = inertial.UpdateGates(forward_gate=4, yaw_gate=4, yaw_noise=0.02, yaw_scale=0.02)
+    flags = inertial.wheel_gates(F.col("vx") - F.col("forward"), F.lit(0.25), F.col("gyro") - F.col("rate"), F.col("rate"), F.lit(1e-4), gates_)
+    return rounded(rows.select("id", *[c.alias(name) for name, c in flags.items()]), 5)
 
 
 @query("EST6_observable_update")

@@ -7,6 +7,7 @@ their time. One step serves batch folds (over arrivals) and streams (over state)
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -58,11 +59,11 @@ def releasing(how: Release, time: str = "t", source: str = "source", wall: str |
         def let_go(state: dict, by: int | None, idle: bool) -> list[dict]:
             out = []
             while state["waiting"]:
-                row = state["waiting"][0]
+                row = state["waiting"][0][-1]
                 why = "idle" if idle else ready(state["latest"], row[time])
                 if why is None:
                     break
-                state["waiting"].pop(0)
+                heapq.heappop(state["waiting"])
                 if state["last"] is not None and row[time] < state["last"]:
                     why = "stale"
                 else:
@@ -80,11 +81,11 @@ def releasing(how: Release, time: str = "t", source: str = "source", wall: str |
                 state["wall"] = row[wall]
             state["latest"][row[source]] = max(row[time], state["latest"].get(row[source], row[time]))
             if row[source] in how.events:
-                state["waiting"].append(row)
-                state["waiting"].sort(key=lambda r: (r[time], r[ident]))
+                state["n"] += 1
+                heapq.heappush(state["waiting"], (row[time], row[ident], state["n"], row))
             return state, out + let_go(state, row[ident], False)
 
-        return {"waiting": [], "latest": {}, "last": None, "wall": None}, step
+        return {"waiting": [], "latest": {}, "last": None, "wall": None, "n": 0}, step
 
     return start
 

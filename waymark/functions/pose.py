@@ -68,6 +68,18 @@ def compose(a: tuple[Quaternion, Vector], b: tuple[Quaternion, Vector]) -> tuple
     return multiply(a[0], b[0]), tuple(x + y for x, y in zip(a[1], rotate(a[0], b[1]), strict=True))
 
 
+#: Coordinate modes of written trajectories: half turns before and after a rotation, from east-north-up to north-east-down and from a body's forward-left-up to forward-right-down.
+MODES: dict[str, tuple[tuple | None, tuple | None]] = {"as_is": (None, None), "enu_to_ned": ((0.0, 0.5**0.5, 0.5**0.5, 0.0), None), "enu_flu_to_ned_frd": ((0.0, 0.5**0.5, 0.5**0.5, 0.0), (0.0, 1.0, 0.0, 0.0))}
+
+
+def in_mode(q: Quaternion, v: Vector, mode: str) -> tuple[Quaternion, Vector]:
+    """A pose in one of MODES."""
+    before, after = (None if m is None else tuple(map(F.lit, m)) for m in MODES[mode])
+    if before is not None:
+        q, v = multiply(before, q), (v[1], v[0], -v[2])
+    return (q if after is None else multiply(q, after)), v
+
+
 def slerp(a: Quaternion, b: Quaternion, t: Column) -> Quaternion:
     """Spherical interpolation the short way; linear when the quaternions nearly agree."""
     d = sum((x * y for x, y in zip(a[1:], b[1:], strict=True)), a[0] * b[0])

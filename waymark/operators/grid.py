@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions.scalars import cell, clamp
+from waymark.functions.scalars import cell, clamp, finite
 
 CELL3 = ["ix", "iy", "iz"]
 
@@ -72,6 +72,29 @@ def keyframe_features(df: DataFrame, size: float, label: str = "label", weight:
     return cells.withColumn("structural", F.col("label").isin(*structural) | (F.col("z_max") - F.col("z_min") > 1.5)).withColumn("ground", (F.col("label") == ground) & (F.col("z_max") - F.col("z_min") <= 0.5))
 
 
+def optimised_map(features: DataFrame, poses: DataFrame, frame: str, order: str, size: float, most: int) -> DataFrame:
+    """(ix, iy, iz, x, y, z, label, confidence, n): labelled features (frame, order, x, y, z, label, conf) carried by their frames' poses (px, py, pz, yaw) into voxels.
+
+    Every stride-th labelled feature of a frame with a pose counts, in the order of frame and order
+    column, so that most are left; a feature weighs its conf, 0.1 at least. A voxel has the weighted
+    mean, the label of the largest weight (ties: the smaller) and that weight's share. Label 0 and
+    null labels, and features that don't come out finite, don't count.
+    """
+    from waymark.operators.select import numbered
+
+    rows = features.filter("label <> 0").join(poses.select(frame, "px", "py", "pz", "yaw"), frame)
+    stride = max(1, -(-rows.count() // max(1, most)))
+    if stride > 1:
+        rows = numbered(rows, [], [frame, order]).filter(F.col("rn") % stride == 0)
+    c, s = F.cos("yaw"), F.sin("yaw")
+    there = {"x": F.col("px") + c * F.col("x") - s * F.col("y"), "y": F.col("py") + s * F.col("x") + c * F.col("y"), "z": F.col("pz") + F.col("z")}
+    rows = rows.withColumns(there).filter(finite(F.col("x"), F.col("y"), F.col("z"))).withColumn("w", F.greatest(F.lit(0.1), F.coalesce("conf", F.lit(0.0))))
+    labels = with_cells(rows, size).groupBy(*CELL3, "label").agg(F.sum("w").alias("w"), F.count("*").alias("n"), *[F.sum(F.col(a) * F.col("w")).alias(a) for a in "xyz"])
+    best = F.min(F.struct((-F.round("w", 9)).alias("_m"), "label", "w")).alias("best")
+    cells = labels.groupBy(*CELL3).agg(best, F.sum("w").alias("w"), F.sum("n").alias("n"), *[F.sum(a).alias(a) for a in "xyz"])
+    return cells.select(*CELL3, *[(F.col(a) / F.col("w")).alias(a) for a in "xyz"], "best.label", clamp(F.col("best.w") / F.col("w"), 0, 1).alias("confidence"), "n")
+
+
 def ring_descriptor(df: DataFrame, rings: int, width: float, keys: list[str]) -> DataFrame:
     """Per key and ring around the origin the shares of structural, ground and labelled features."""
     ring = F.floor(F.sqrt(F.col("x") ** 2 + F.col("y") ** 2) / width).cast("int")

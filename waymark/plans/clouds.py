@@ -263,6 +263,17 @@ def ag7(v: Views):
     return rounded(stats.label_map(grid.with_cells(moved, 6, ("x", "y")), ["ix", "iy"], "label", "conf"), 10)
 
 
+@query("AG7_optimised_map", """with f as (select p.frame, p.id, p.label, greatest(0.1, conf) as w, k.x + cos(k.yaw) * p.x - sin(k.yaw) * p.y as x, k.y + sin(k.yaw) * p.x + cos(k.yaw) * p.y as y, k.z + p.z as z from pts p join kf k on k.run = p.frame + 1 and k.k = 2 where p.label <> 0),
+  n as (select *, row_number() over (order by frame, id) - 1 as rn, count(*) over () as total from f), m as (select *, cast(floor(x / 6) as bigint) as ix, cast(floor(y / 6) as bigint) as iy, cast(floor(z / 6) as bigint) as iz from n where rn % greatest(1, (total + 1999) // 2000) = 0),
+  t as (select ix, iy, iz, sum(w) as w, count(*) as n, sum(x * w) / sum(w) as x, sum(y * w) / sum(w) as y, sum(z * w) / sum(w) as z from m group by ix, iy, iz),
+  b as (select ix, iy, iz, label, sum(w) as v, row_number() over (partition by ix, iy, iz order by round(sum(w), 9) desc, label) as rn from m group by ix, iy, iz, label)
+  select t.ix, t.iy, t.iz, round(x, 5) + 0.0 as x, round(y, 5) + 0.0 as y, round(z, 5) + 0.0 as z, label, round(v / w, 5) + 0.0 as confidence, cast(n as bigint) as n from t join b using (ix, iy, iz) where rn = 1""")
+def ag7_map(v: Views):
+    """Labelled points in keyframes' drifting poses, strided to two thousand, as voxels with weighted means."""
+    poses = v.kf.filter("k = 2").select((F.col("run") - 1).alias("frame"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), "yaw")
+    return rounded(grid.optimised_map(v.pts.select("frame", "id", "x", "y", "z", "label", "conf"), poses, "frame", "id", 6, 2000), 5)
+
+
 @query("AG8_cell_stats", "select cast(floor(x / 4) as bigint) as ix, cast(floor(y / 4) as bigint) as iy, min(z) as z_min, max(z) as z_max, count(*) as n from pts group by all")
 def ag8(v: Views):
     return grid.cell_stats(v.pts, 4)

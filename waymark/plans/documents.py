@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from waymark.functions import pose
 from waymark.plans.clouds import rounded
 from waymark.plans.registry import query
 from waymark.plans.views import Views
@@ -80,6 +81,29 @@ def snk2(v: Views):
     return rounded(v.pts.groupBy("instance", "label").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("observations")), 4)
 
 
+@query("SNK2_object_file", """select instance as id, label, round(avg(x), 4) + 0.0 as x, round(avg(y), 4) + 0.0 as y, round(avg(z), 4) + 0.0 as z, round(var_pop(x), 3) + 0.0 as cov_x, round(var_pop(y), 3) + 0.0 as cov_y, round(var_pop(z), 3) + 0.0 as cov_z, count(*) as observations,
+  round(least(1, count(*) / 20.0), 4) + 0.0 as reliability, cast(avg(z) <= 1.5 as int) as reachable from pts group by instance, label""")
+def snk2_file(v: Views):
+    """All columns of the object file; an object is reachable if its mean height is."""
+    spread = [F.round(F.var_pop(c), 3).alias(f"cov_{c}") for c in "xyz"]
+    found = v.pts.groupBy(F.col("instance").alias("id"), "label").agg(*[F.round(F.avg(c), 4).alias(c) for c in "xyz"], *spread, F.count("*").alias("observations"), F.round(F.least(F.lit(1.0), F.count("*") / 20.0), 4).alias("reliability"), (F.avg("z") <= 1.5).cast("int").alias("reachable"))
+    return sinks.object_rows(found)
+
+
+_HALF = "0.7071067811865476"
+
+
+@query("SNK2_trajectory_modes", f"""with n as (select id, t, x, y, z, qw, qx, qy, qz, {_HALF} * (-qx - qy) as w, {_HALF} * (qw + qz) as i, {_HALF} * (qw - qz) as j, {_HALF} * (qy - qx) as k from poses)
+  select id, t, round(y, 5) + 0.0 as x, round(x, 5) + 0.0 as y, round(-z, 5) + 0.0 as z, round(-i, 5) + 0.0 as qw, round(w, 5) + 0.0 as qx, round(k, 5) + 0.0 as qy, round(-j, 5) + 0.0 as qz, round(w, 5) + 0.0 as ned_qw, round(i, 5) + 0.0 as ned_qx, round(j, 5) + 0.0 as ned_qy, round(k, 5) + 0.0 as ned_qz from n""")
+def snk2_modes(v: Views):
+    """The trajectory in north-east-down with the body forward-right-down, and its turns with the body left as it is."""
+    q, place = pose.named(), tuple(F.col(c) for c in "xyz")
+    whole, there = pose.in_mode(q, place, "enu_flu_to_ned_frd")
+    half, _ = pose.in_mode(q, place, "enu_to_ned")
+    names = ("qw", "qx", "qy", "qz")
+    return rounded(v.poses.select("id", "t", *[c.alias(n) for n, c in zip("xyz", there, strict=True)], *[c.alias(n) for n, c in zip(names, whole, strict=True)], *[c.alias(f"ned_{n}") for n, c in zip(names, half, strict=True)]), 5)
+
+
 @query("SNK3_coloured_points", "select id, [128, 128, 244, 70, 107, 220, 250][label + 1] as red, [128, 64, 35, 70, 142, 20, 170][label + 1] as green from pts")
 def snk3(v: Views):
     table = v.spark.createDataFrame([(k, *c) for k, c in enumerate(sinks.PALETTE)], "label int, red int, green int, blue int")  # seven rows

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from waymark.functions import scalars
+from waymark.functions import pose, scalars
 from waymark.operators import filters, graph, grid, raster, search, select, stats
 from waymark.plans.clouds import PAIRS, r, rounded
 from waymark.plans.registry import query
@@ -206,3 +206,28 @@ def est15(v: Views):
     poses = v.pts.select("frame").distinct().select("frame", F.cos(F.col("frame") / 10).alias("c"), F.sin(F.col("frame") / 10).alias("s"))
     p = v.pts.join(poses, "frame")
     return rounded(p.select("frame", "id", (F.col("x") * F.col("c") - F.col("y") * F.col("s") + F.col("frame")).alias("x"), (F.col("x") * F.col("s") + F.col("y") * F.col("c") - F.col("frame")).alias("y")), 5)
+
+
+def _turned(q: str, x: str, y: str, z: str) -> tuple[str, str, str]:
+    """SQL of a vector turned by the quaternion columns after a prefix."""
+    tx, ty, tz = (f"(2 * ({q}{a} * ({c}) - {q}{b} * ({d})))" for a, c, b, d in (("y", z, "z", y), ("z", x, "x", z), ("x", y, "y", x)))
+    return tuple(f"(({v}) + {q}w * {t} + ({q}{a} * {c} - {q}{b} * {d}))" for v, t, a, c, b, d in ((x, tx, "y", tz, "z", ty), (y, ty, "z", tx, "x", tz), (z, tz, "x", ty, "y", tx)))
+
+
+_TO_BODY = _turned("c", "x - ax", "y - ay", "z - az")
+_TO_WORLD = _turned("b.q", "l.lx", "l.ly", "l.lz")
+
+
+@query("EST15_corrected_map", f"""with a as (select p.frame, p.id, p.x, p.y, p.z, a.x as ax, a.y as ay, a.z as az, a.qw as cw, -a.qx as cx, -a.qy as cy, -a.qz as cz from pts p join poses a on a.id = p.frame),
+  l as (select frame, id, {_TO_BODY[0]} as lx, {_TO_BODY[1]} as ly, {_TO_BODY[2]} as lz from a)
+  select l.frame, l.id, round({_TO_WORLD[0]} + b.x, 4) + 0.0 as x, round({_TO_WORLD[1]} + b.y, 4) + 0.0 as y, round({_TO_WORLD[2]} + b.z, 4) + 0.0 as z from l join poses b on b.id = l.frame + 100""")
+def est15_corrected(v: Views):
+    """Points stored in the frame of the pose at which they were taken, emitted again from a corrected pose: all six degrees of freedom."""
+    raw = v.poses.select(F.col("id").alias("frame"), *[F.col(c).alias(f"a_{c}") for c in ("x", "y", "z", "qw", "qx", "qy", "qz")])
+    right = v.poses.select((F.col("id") - 100).alias("frame"), *[F.col(c).alias(f"b_{c}") for c in ("x", "y", "z", "qw", "qx", "qy", "qz")])
+    at = lambda p: tuple(F.col(f"{p}{c}") for c in "xyz")
+    stored = v.pts.select("frame", "id", "x", "y", "z").join(raw, "frame")
+    local = pose.rotate(pose.conjugate(pose.named("a_")), tuple(p - q for p, q in zip(at(""), at("a_"), strict=True)))
+    stored = stored.select("frame", "id", *[c.alias(f"l_{n}") for n, c in zip("xyz", local, strict=True)]).join(right, "frame")
+    world = [p + q for p, q in zip(pose.rotate(pose.named("b_"), at("l_")), at("b_"), strict=True)]
+    return rounded(stored.select("frame", "id", *[c.alias(n) for n, c in zip("xyz", world, strict=True)]), 4)

@@ -30,6 +30,15 @@ def write_table(df: DataFrame, path: str, separator: str = ",") -> None:
     df.write.mode("overwrite").csv(path, header=True, sep=separator)
 
 
+#: Columns of an object file, in their order.
+OBJECT_COLUMNS = ["id", "label", "x", "y", "z", "cov_x", "cov_y", "cov_z", "observations", "reliability", "reachable"]
+
+
+def object_rows(df: DataFrame) -> DataFrame:
+    """Objects with the columns of an object file, as write_table() takes them."""
+    return df.select(*OBJECT_COLUMNS)
+
+
 def write_ply(df: DataFrame, folder: str) -> list[str]:
     """Points (x, y, z, label, conf) as binary little-endian point files with label colours, one per partition; the names written.
 

@@ -105,3 +105,57 @@ def test_queries(spark, sf):
     for x in good:
         _, px, py, _ = acceptance._view(x.frame)
         assert abs(x.dx - px) <= 0.2 and abs(x.dy - py) <= 0.2 and abs(x.scale - (0.9 + x.frame % 4 * 0.1)) <= 0.011
+
+
+def test_photometric_equations_and_update(spark, sf):
+    """The sums against numeric derivatives of every miss; the update finds the pose from which the picture was taken."""
+    from waymark.catalog import QUERIES
+    from waymark.operators import equations
+    from waymark.plans import inertia
+    from waymark.plans.views import Views
+
+    v = Views(spark, sf)
+    pixels = inertia.image_pixels(v).filter("frame in (3, 4)")
+    got = {r.frame: r for r in equations.photometric_pose(pixels, ["frame"], "id", 81, inertia.CAMERA, 0.6, 0.5, 0.2).collect()}
+    rows = pixels.toPandas()
+    rotation, lever = np.array(inertia.CAMERA.rotation), np.array(inertia.CAMERA.lever)
+
+    def place(b, r, e):
+        """Pixel of a body's point after an error of the pose."""
+        moved = lie.rotation(e[:3]).T @ (b - r.T @ e[3:])
+        x, y, z = rotation @ (moved - lever)
+        return np.array([300 * x / z, 300 * y / z])
+
+    for frame, part in rows.groupby("frame"):
+        h, g, used = np.zeros((6, 6)), np.zeros(6), 0
+        for _, patch in part.groupby("id"):
+            one = patch.iloc[0]
+            b, r = one[["bx", "by", "bz"]].to_numpy(float), lie.from_quaternion(one[["qw", "qx", "qy", "qz"]].to_numpy(float))
+            a, c = patch["reference"].to_numpy(), patch["current"].to_numpy()
+            if np.corrcoef(a, c)[0, 1] < 0.6:
+                continue
+            used += 1
+            e = 1e-6 * np.eye(6)
+            moves = np.stack([(place(b, r, x) - place(b, r, -x)) / 2e-6 for x in e], axis=1)
+            j = patch[["gx", "gy"]].to_numpy() @ moves / c.std()
+            miss = (c - c.mean()) / c.std() - (a - a.mean()) / a.std()
+            w = np.minimum(1, 0.5 / np.maximum(np.abs(miss), 1e-12)) / 0.04
+            h, g = h + (j * w[:, None]).T @ j, g + j.T @ (w * miss)
+        x = got[frame]
+        assert x.landmarks == used and used > 20
+        mine = np.array([[x[f"h_{equations.SIX[min(p, q)]}_{equations.SIX[max(p, q)]}"] for q in range(6)] for p in range(6)])
+        assert np.abs(mine - h).max() < 1e-4 * np.abs(h).max() and np.abs(np.array([x[f"g_{n}"] for n in equations.SIX]) - g).max() < 1e-4 * np.abs(g).max()
+
+    # turns and sideways shifts look much alike at like depths, so what counts is where landmarks are seen
+    landmarks = inertia.image_pixels(v).select("frame", "bx", "by", "bz", "qw", "qx", "qy", "qz").distinct().toPandas()
+    kept = []
+    for x in QUERIES["EST6_image_update"](spark, sf).collect():
+        turn, shift = inertia.image_error(x.frame)
+        true, found = np.array([*turn, *shift]), np.array([x.turn_x, x.turn_y, x.turn_z, x.px, x.py, x.pz])
+        off = np.zeros(2)
+        for _, one in landmarks[landmarks["frame"] == x.frame].iterrows():
+            b, r = one[["bx", "by", "bz"]].to_numpy(float), lie.from_quaternion(one[["qw", "qx", "qy", "qz"]].to_numpy(float))
+            off += [np.linalg.norm(place(b, r, e) - place(b, r, true)) for e in (np.zeros(6), found)]
+        kept.append(off[1] / off[0])
+        assert x.use_z == (x.z_seen >= 0.5 and abs(x.pz) <= 0.3) or x.pz == 0
+    assert len(kept) == 64 and sorted(kept)[57] < 0.4 and sorted(kept)[32] < 0.25

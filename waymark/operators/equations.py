@@ -8,13 +8,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.functions import scalars
+from waymark.functions import pose, scalars
 from waymark.operators.inertial import observable_part, rotation_information
 from waymark.operators.select import checkpointed
 
@@ -117,6 +118,63 @@ def photometric(pixels: DataFrame, keys: list[str], point: str, patch: int, foca
     return rows.groupBy(*keys).agg(F.countDistinct(point).alias("points"), F.count("*").alias("pixels"), *h, *g, F.sum(F.col("q") * F.col("r") ** 2).alias("cost"))
 
 
+@dataclass(frozen=True)
+class Camera:
+    """Focal lengths in pixels, the rows of the rotation from the body to the camera, and the camera's place in the body."""
+
+    fx: float = 300.0
+    fy: float = 300.0
+    rotation: tuple = ((0.0, -1.0, 0.0), (0.0, 0.0, -1.0), (1.0, 0.0, 0.0))
+    lever: tuple = (0.0, 0.0, 0.0)
+
+    def turned(self, v: tuple) -> tuple:
+        """A vector of columns in the body's axes, in the camera's."""
+        return tuple(sum((r * c for r, c in zip(row, v, strict=True) if r), F.lit(0.0)) for row in self.rotation)
+
+    def seen(self, body: tuple) -> tuple:
+        """A point of the body's frame in the camera's."""
+        return self.turned(tuple(b - t for b, t in zip(body, self.lever, strict=True)))
+
+
+#: The six unknowns of a pose: a turn in the body's axes, then a shift in the world's.
+SIX = ("rx", "ry", "rz", "px", "py", "pz")
+
+
+def photometric_pose(pixels: DataFrame, keys: list[str], point: str, patch: int, camera: Camera, least_ncc: float, huber: float, noise: float, least_depth: float = 0.1) -> DataFrame:
+    """Normal equations of brightness misses for a pose: (keys, landmarks, pixels, ncc, h of SIX by SIX, g of SIX, cost).
+
+    Rows are pixels of landmarks' patches: the landmark in the body's frame (bx, by, bz), the body's
+    turn (qw, qx, qy, qz), reference and current brightness, and the current image's gradients gx,
+    gy. Patches are brought to mean 0 and deviation 1; one counts if it is whole, ahead of the
+    camera, not flat, and its two sides correlate enough. A pixel's miss moves with the landmark's
+    projection, which moves with the turn (through the camera's lever) and the shift; weights are
+    Huber's over the noise's square. Null pixels make a patch incomplete. Sums only: no list of a
+    frame's pixels stands anywhere.
+    """
+    names = ["reference", "current", "gx", "gy", "bx", "by", "bz", "qw", "qx", "qy", "qz"]
+    body = tuple(F.col(f"b{a}") for a in "xyz")
+    known = pixels.dropna(subset=names).withColumns(dict(zip(("_x", "_y", "_z"), camera.seen(body), strict=True))).filter(F.col("_z") > least_depth)
+    by = [*keys, point]
+    stats = known.groupBy(*by).agg(F.count("*").alias("_n"), F.corr("reference", "current").alias("_ncc"), *[f(c).alias(f"_{m}{c[0]}") for c in ("reference", "current") for m, f in (("m", F.avg), ("s", F.stddev_pop))])
+    good = (F.col("_n") == patch) & (F.col("_ncc") >= least_ncc) & (F.col("_sr") > 1e-6) & (F.col("_sc") > 1e-6)
+    rows = known.join(stats.filter(good), by)
+    gx, gy, z = F.col("gx") * camera.fx / F.col("_sc"), F.col("gy") * camera.fy / F.col("_sc"), F.col("_z")
+    w = (gx / z, gy / z, -(gx * F.col("_x") + gy * F.col("_y")) / (z * z))  # of the miss by the landmark's place in the camera
+    bx, by_, bz = body
+    zero = F.lit(0.0)
+    turns = [camera.turned(c) for c in ((zero, bz, -by_), (-bz, zero, bx), (by_, -bx, zero))]
+    shifts = [camera.turned(pose.rotate(pose.conjugate(pose.named()), tuple(F.lit(1.0 if a == b else 0.0) for b in range(3)))) for a in range(3)]
+    dot = lambda a, b: sum((x * y for x, y in zip(a, b, strict=True)), F.lit(0.0))
+    j = [dot(w, c) for c in turns] + [-dot(w, c) for c in shifts]
+    r = (F.col("current") - F.col("_mc")) / F.col("_sc") - (F.col("reference") - F.col("_mr")) / F.col("_sr")
+    rows = rows.withColumns({f"_j{k}": c for k, c in enumerate(j)} | {"_r": r})
+    q = F.when(F.abs("_r") <= huber, 1.0).otherwise(huber / F.abs("_r")) / noise**2
+    rows = rows.withColumn("_q", q)
+    h = [F.sum(F.col("_q") * F.col(f"_j{a}") * F.col(f"_j{b}")).alias(f"h_{SIX[a]}_{SIX[b]}") for a in range(6) for b in range(a, 6)]
+    g = [F.sum(F.col("_q") * F.col(f"_j{a}") * F.col("_r")).alias(f"g_{SIX[a]}") for a in range(6)]
+    return rows.groupBy(*keys).agg(F.count_distinct(point).alias("landmarks"), F.count("*").alias("pixels"), F.avg("_ncc").alias("ncc"), *h, *g, F.sum(F.col("_q") * F.col("_r") ** 2).alias("cost"))
+
+
 # ---- planes around points ----
 
 

@@ -9,7 +9,7 @@ each step needs the state before it, and holds one state, one scan and the map's
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -487,6 +487,47 @@ def visual_update(predicted: State, equations: Callable[[State], Linear], gates:
     return s, result | {"z_seen": seen, "z_change": change, "use_z": use}
 
 
+def image_updates(sums: DataFrame, keys: list[str], turn: str, gates: UpdateGates = UpdateGates(), max_z: float = 0.3, covariance: np.ndarray | None = None) -> DataFrame:
+    """visual_update() by the sums of equations.photometric_pose(), a row a key: (keys, px, py, pz, turn_x, turn_y, turn_z, landmarks, converged, z_seen, use_z).
+
+    sums also has the predicted place (x, y, z) and, under the name turn, the predicted turn as an
+    array (w, x, y, z). The equations are those at the prediction, moved along with the state to
+    first order; turn_* is the change of turn in the body's axes. Keys without sums keep their
+    prediction; a row is all that a task needs of a key.
+    """
+    from waymark.operators.equations import SIX
+
+    kinds = ", ".join(f"{c} {sums.schema[c].dataType.simpleString()}" for c in keys)
+    names = ["px", "py", "pz", "turn_x", "turn_y", "turn_z", "landmarks", "converged", "z_seen", "use_z"]
+    first = np.diag(np.repeat([1e-4, 0.04, 0.25, 1e-8, 1e-6, 1e-8], 3)) if covariance is None else covariance
+
+    def one(row) -> dict:
+        start = State(rotation=lie.from_quaternion(np.array(row[turn], float)), place=np.array([row["x"], row["y"], row["z"]], float), covariance=first)
+        h, g = np.zeros((6, 6)), np.zeros(6)
+        n = 0 if row["landmarks"] is None or pd.isna(row["landmarks"]) else int(row["landmarks"])
+        if n:
+            for a in range(6):
+                g[a] = row[f"g_{SIX[a]}"]
+                for b in range(a, 6):
+                    h[a, b] = h[b, a] = row[f"h_{SIX[a]}_{SIX[b]}"]
+
+        def equations(s: State) -> Linear:
+            out, change = Linear(used=n), s.minus(start)[:6]
+            out.h[:6, :6], out.g[:6] = h, g + h @ change
+            out.square = max(0.0, float(0 if not n else row["cost"]))
+            return out
+
+        s, result = visual_update(start, equations, gates, max_z)
+        change = lie.rotation_vector(start.rotation.T @ s.rotation)
+        return dict(zip(names, [*map(float, s.place), *map(float, change), n, bool(result["converged"]), result["z_seen"], bool(result["use_z"])], strict=True))
+
+    def run(parts: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            yield pd.DataFrame([{c: row[c] for c in keys} | one(row) for row in p.to_dict("records")], columns=[*keys, *names])
+
+    return sums.mapInPandas(run, f"{kinds}, px double, py double, pz double, turn_x double, turn_y double, turn_z double, landmarks long, converged boolean, z_seen double, use_z boolean")
+
+
 def update_scans(scans: DataFrame, world: DataFrame, states: DataFrame, keys: list[str], plane_gates: PlaneGates = PlaneGates(), gates: UpdateGates = UpdateGates()) -> DataFrame:
     """Scans (keys, x, y, z in the body's frame) registered on a map's points (keys, x, y, z) from states (keys, px, py, pz, yaw, speed).
 

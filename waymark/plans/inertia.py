@@ -6,9 +6,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from waymark.functions import lie
-from waymark.operators import folds, gates, inertial, odometry, prefix
+from waymark.functions import lie, pose
+from waymark.operators import equations, folds, gates, inertial, odometry, prefix
 from waymark.plans.clouds import rounded
+from waymark.plans.registrations import LANDMARKS, features_of
 from waymark.plans.registry import query
 from waymark.plans.views import Views
 
@@ -139,3 +140,43 @@ def est6(v: Views):
         return pd.DataFrame([{"frame": frame, "x": s.place[0], "y": s.place[1], "z": s.place[2], "used": result["used"], "converged": result["converged"], "z_seen": result["z_seen"], "use_z": result["use_z"], "heading": float(lie.yaw_of(s.rotation))}])
 
     return rounded(rows.groupBy("frame").applyInPandas(run, "frame long, x double, y double, z double, used int, converged boolean, z_seen double, use_z boolean, heading double"), 3)
+
+
+CAMERA = equations.Camera(lever=(0.3, 0.0, 0.1))
+
+
+def image_pixels(v: Views):
+    """Nine by nine pixels around each frame's landmarks, in a picture taken from a pose that is off the predicted one; (frame, id, body place, turn, brightness, gradients)."""
+    frame = F.col("frame")
+    rows = features_of(v.sql(LANDMARKS)).select("frame", "id", (6 + F.col("x") / 5).alias("bx"), ((F.col("y") - 50) / 10).alias("by"), (F.col("z") * 2 - 2.5).alias("bz"))
+    half = (frame % 8) * 0.1
+    q = (F.cos(half), F.lit(0.0), F.lit(0.0), F.sin(half))
+    turn, shift = image_error(frame)
+    b = tuple(F.col(f"b{a}") for a in "xyz")
+    moved = tuple(x - y for x, y in zip(b, pose.rotate(pose.conjugate(q), shift), strict=True))
+    there, here = CAMERA.seen(pose.rotate(pose.conjugate(pose.exp(turn)), moved)), CAMERA.seen(b)
+    off = {"du": CAMERA.fx * (here[0] / here[2] - there[0] / there[2]), "dv": CAMERA.fy * (here[1] / here[2] - there[1] / there[2])}
+    rows = rows.withColumns(dict(zip(("qw", "qx", "qy", "qz"), q, strict=True)) | off)
+    steps = F.explode(F.sequence(F.lit(-4), F.lit(4)))
+    rows = rows.withColumn("ou", steps).withColumn("ov", steps)
+    a, c = F.pmod(F.col("id"), F.lit(7)) + 1, F.pmod(F.col("id"), F.lit(5)) + 1
+    k, m = 0.6 + 0.05 * a, 0.6 + 0.06 * c  # waves of seven to ten pixels
+    wave = lambda u, w: 40 * F.sin(u * k + a) + 30 * F.cos(w * m + c) + 10 * F.sin((u + w) * 0.5)
+    u, w = F.col("ou") + F.col("du"), F.col("ov") + F.col("dv")
+    gx = 40 * k * F.cos(u * k + a) + 5 * F.cos((u + w) * 0.5)
+    gy = -30 * m * F.sin(w * m + c) + 5 * F.cos((u + w) * 0.5)
+    return rows.select("frame", "id", "bx", "by", "bz", "qw", "qx", "qy", "qz", (100 + wave(F.col("ou"), F.col("ov"))).alias("reference"), (120 + 0.9 * wave(u, w)).alias("current"), (0.9 * gx).alias("gx"), (0.9 * gy).alias("gy"))
+
+
+def image_error(frame) -> tuple[tuple, tuple]:
+    """How a frame's true pose is off the predicted one: turn in the body's axes, shift in the world's; as columns or numbers."""
+    return ((frame % 5 - 2) * 0.0005, (frame % 3 - 1) * 0.001, (frame % 7 - 3) * 0.0005), ((frame % 4 - 1) * 0.006, (frame % 6 - 2) * 0.005, (frame % 3 - 1) * 0.006)
+
+
+@query("EST6_image_update")
+def est6_image(v: Views):
+    """Each frame's predicted pose moved by the photometric equations of its landmarks' patches: six unknowns, sums made before the update."""
+    sums = equations.photometric_pose(image_pixels(v), ["frame"], "id", 81, CAMERA, least_ncc=0.6, huber=0.5, noise=0.2)
+    half = (F.col("frame") % 8) * 0.1
+    rows = sums.withColumns({"x": F.lit(0.0), "y": F.lit(0.0), "z": F.lit(0.0), "q": F.array(F.cos(half), F.lit(0.0), F.lit(0.0), F.sin(half))})
+    return rounded(inertial.image_updates(rows, ["frame"], "q", inertial.UpdateGates(least=3)), 4)

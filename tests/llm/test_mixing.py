@@ -59,6 +59,19 @@ def test_edge_rows(spark):
     assert mixing.mix_documents(none, mixing.mix_plan(none, 0.5, 1, {})).count() == 0
 
 
+def test_a_very_long_text(spark):
+    """A text of half a million words is one document: taken whole, as often as its epochs, or left."""
+    rows = [(1, "word " * 500_000, "en", "src1"), *[(k, "some words " * 20, "en", "src1") for k in range(2, 60)]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    size = mixing.sizes(df, queries.mix_domain())
+    assert {r.n_tokens for r in size.collect()} == {500_000, 40}
+    for share, copies in ((1.0, 1), (2.0, 2)):
+        got = {r.doc_id: r.copies for r in mixing.mix_documents(size, mixing.mix_plan(size, share, 2, {})).collect()}
+        assert got == {k: copies for k in range(1, 60)}
+    some = {r.doc_id for r in mixing.mix_documents(size, mixing.mix_plan(size, 0.5, 1, {})).collect()}
+    assert some and some <= set(range(1, 60))
+
+
 def test_query_equals_sql(spark, sf):
     got = sorted(map(tuple, queries.op7_source_mix(spark, sf).select("doc_id", "domain", "lang", "source", "n_tokens", "copies", "in_prefix").collect()))
     con = duckdb.connect()

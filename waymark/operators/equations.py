@@ -172,7 +172,8 @@ def photometric_pose(pixels: DataFrame, keys: list[str], point: str, patch: int,
     rows = rows.withColumn("_q", q)
     h = [F.sum(F.col("_q") * F.col(f"_j{a}") * F.col(f"_j{b}")).alias(f"h_{SIX[a]}_{SIX[b]}") for a in range(6) for b in range(a, 6)]
     g = [F.sum(F.col("_q") * F.col(f"_j{a}") * F.col("_r")).alias(f"g_{SIX[a]}") for a in range(6)]
-    return rows.groupBy(*keys).agg(F.count_distinct(point).alias("landmarks"), F.count("*").alias("pixels"), F.avg("_ncc").alias("ncc"), *h, *g, F.sum(F.col("_q") * F.col("_r") ** 2).alias("cost"))
+    landmarks = F.round(F.count("*") / patch).cast("long")  # patches that count are whole
+    return rows.groupBy(*keys).agg(landmarks.alias("landmarks"), F.count("*").alias("pixels"), F.avg("_ncc").alias("ncc"), *h, *g, F.sum(F.col("_q") * F.col("_r") ** 2).alias("cost"))
 
 
 # ---- planes around points ----

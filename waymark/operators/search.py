@@ -1,7 +1,8 @@
-"""Exhaustive pose scoring on lattices and robust fitting by hypotheses.
+"""Pose scoring on lattices and robust fitting by hypotheses.
 
-Candidates are a literal of fixed, checked size that is exploded onto points already summed to
-cells; scoring is an equi-join with the raster and one aggregate.
+Small lattices of candidates are a literal of checked size that is exploded onto points already
+summed to cells; scoring is an equi-join with the raster and one aggregate. Poses on a prior map
+are searched by branch and bound, a key in a task.
 """
 
 from __future__ import annotations
@@ -9,9 +10,12 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators import branch
 from waymark.operators.select import checkpointed
 
 #: Candidates that one search may have.
@@ -49,63 +53,91 @@ class Localization:
     min_confidence: float = 0.3
 
 
-def _axis(center: Column, radius: Column, step: float) -> Column:
+def _axis(center: float, radius: float, step: float) -> np.ndarray:
     """Samples from center - radius to center + radius, no farther apart than step."""
-    n = F.greatest(F.lit(1), F.ceil(2 * radius / step).cast("int") + 1)
-    each = F.when(n > 1, 2 * radius / (n - 1)).otherwise(0.0)
-    return F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.when(n > 1, center - radius + each * k).otherwise(center))
-
-
-def _lattices(at: DataFrame, keys: list[str], radius: Column, step: float, yaw: float, yaw_step: float, level: int) -> DataFrame:
-    """Candidates (keys, level, c, dx, dy, yaw) around each key's x0, y0, yaw0, numbered by yaw, x, y."""
-    rows = at.select(*keys, F.posexplode(_axis(F.col("yaw0"), F.lit(yaw), yaw_step)).alias("a", "yaw"), _axis(F.col("x0"), radius, step).alias("xs"), _axis(F.col("y0"), radius, step).alias("ys"))
-    rows = rows.select(*keys, "a", "yaw", F.posexplode("xs").alias("i", "dx"), "ys").select(*keys, "a", "yaw", "i", "dx", F.posexplode("ys").alias("j", "dy"))
-    return rows.select(*keys, F.lit(level).alias("level"), F.struct(F.lit(level).alias("level"), "a", "i", "j").alias("c"), "dx", "dy", "yaw")
+    n = max(1, math.ceil(2 * radius / step) + 1)
+    return center - radius + 2 * radius / (n - 1) * np.arange(n) if n > 1 else np.array([center])
+
+
+#: Cells of the map are dealt out in tiles of this many a side.
+TILE = 32
+
+
+def _on_map(points: pd.DataFrame, cells: pd.DataFrame, size: float, how: Localization) -> dict:
+    """One key's search: points with the key's start, and the cells of the map within reach."""
+    label, dynamic = points["label"].fillna(0).astype(int).to_numpy(), points["dynamic"].fillna(False).astype(bool).to_numpy()
+    n = points["n"].fillna(0).to_numpy(float)
+    cells = cells.sort_values(["ix", "iy", "occ", "edge", "there"], ascending=[True, True, False, False, False], na_position="last").drop_duplicates(["ix", "iy"])
+    cells = cells[(cells["ix"].abs() < branch.FAR) & (cells["iy"].abs() < branch.FAR)]
+    ix, iy, there = cells["ix"].to_numpy(np.int64), cells["iy"].to_numpy(np.int64), cells["there"].fillna(0).astype(int).to_numpy()
+    occ, edge = cells["occ"].to_numpy(float), cells["edge"].to_numpy(float)
+    kinds, classes = np.unique(np.c_[label, dynamic], axis=0, return_inverse=True)
+    meets = ((occ > 0.01) | (edge > 0.01)) & ~np.isnan(occ + edge)
+    values = np.zeros((len(cells), len(kinds) + 1))
+    for k, (of, moving) in enumerate(kinds):
+        semantic = np.where((there != 0) & (of != 0), np.where(there == of, how.semantic, -how.semantic), 0.0)
+        values[:, k] = np.where(meets, how.occupancy * occ + how.edge * edge + semantic - (how.dynamic if moving else 0.0), 0.0)
+    values[:, -1] = meets
+    scores = branch.Scores(branch.Maxima(ix, iy, values), points["x"].to_numpy(float), points["y"].to_numpy(float), classes.reshape(-1), n, size)
+    x0, y0, yaw0, radius = (float(points[c].iloc[0]) for c in ("x0", "y0", "yaw0", "radius"))
+    coarse = branch.best_two(scores, 0, _axis(yaw0, how.yaw, how.yaw_step), _axis(x0, radius, how.step), _axis(y0, radius, how.step), [])
+    _, _, dx, dy, yaw = coarse[0]
+    around = max(2 * how.fine_step, 1.5 * how.step)
+    two = branch.best_two(scores, 1, _axis(yaw, how.fine_yaw, how.fine_yaw_step), _axis(dx, around, how.fine_step), _axis(dy, around, how.fine_step), coarse)
+    minus, _, dx, dy, yaw = two[0]
+    hits = branch.Maxima(ix, iy, np.column_stack([(np.nan_to_num(occ) >= how.inlier) & ((of == 0) | (there == 0) | (there == of)) for of, _ in kinds]).astype(float))
+    hit = hits.at(0, *scores.cells(scores.turned(yaw), dx, dy), scores.classes)
+    ratio = float(n @ hit) / scores.total if scores.total else math.nan
+    return {"radius": radius, "dx": dx, "dy": dy, "yaw": yaw, "best": -minus, "second": -two[1][0] if len(two) > 1 else math.nan, "ratio": ratio, "scored": scores.scored}
 
 
 def localize(points: DataFrame, prior: DataFrame, at: DataFrame, keys: list[str], size: float, how: Localization = Localization()) -> DataFrame:
-    """Pose of each key's points on a prior map: (keys, radius, dx, dy, yaw, best, second, gap, confidence, ratio, accepted, reason).
+    """Pose of each key's points on a prior map: (keys, radius, dx, dy, yaw, best, second, gap, confidence, ratio, scored, accepted, reason).
 
     points are (keys, x, y, label, dynamic, n: points in that cell), the prior's cells (ix, iy, occ,
     edge, label), at is (keys, x0, y0, yaw0, variance: trace of the planar covariance). The window's
     radius follows the variance; a lattice is searched, then a finer one around its best. A point
     scores occupancy and edge of its cell, more or less by its label, less if dynamic; a score is
     the mean over all points, -1 if none meets the map. Best and second are over both levels, ties
-    by level, yaw, x, y. ratio is the share of points on occupied cells of no other label.
-    Candidates are made per key, points are summed to cells before they meet them, and one aggregate
-    keeps the scores. Points without cells count in the mean; a key without points has no row.
+    by level, yaw, x, y. ratio is the share of points on occupied cells of no other label, scored
+    the number of poses that branch and bound had to score; the result is that of scoring all.
+
+    A key is one task of its points, summed to cells, and the tiles of the map within their reach,
+    so it grows with the area that a key covers and not with points, poses or the map. Points
+    without cells count in the mean; a key without points or start has no row, nor has a null key.
+    Null labels are no labels, cells with a null score nothing, places that are no numbers meet
+    nothing; of repeated cells the most occupied counts.
     """
-    known = points.groupBy(*keys).agg(F.sum("n").alias("total"))
-    cells = prior.select("ix", "iy", "occ", "edge", F.col("label").alias("there"))
-
-    def placed(candidates: DataFrame) -> DataFrame:
-        both = points.join(candidates, keys)
-        ix = F.floor((F.cos("yaw") * F.col("x") - F.sin("yaw") * F.col("y") + F.col("dx")) / size).cast("long")
-        iy = F.floor((F.sin("yaw") * F.col("x") + F.cos("yaw") * F.col("y") + F.col("dy")) / size).cast("long")
-        return both.withColumns({"ix": ix, "iy": iy}).join(cells, ["ix", "iy"], "left")
-
-    def scored(candidates: DataFrame) -> DataFrame:
-        meets = (F.col("occ") > 0.01) | (F.col("edge") > 0.01)
-        labelled = (F.col("label") != 0) & (F.col("there") != 0)
-        one = how.occupancy * F.col("occ") + how.edge * F.col("edge") + F.when(labelled, F.when(F.col("label") == F.col("there"), how.semantic).otherwise(-how.semantic)).otherwise(0.0) - F.when(F.col("dynamic"), how.dynamic).otherwise(0.0)
-        sums = placed(candidates).groupBy(*keys, "c", "dx", "dy", "yaw").agg(F.sum(F.when(meets, F.col("n") * one)).alias("s"))
-        return sums.join(known, keys).select(*keys, "c", "dx", "dy", "yaw", F.coalesce(F.round(F.col("s") / F.col("total"), 9), F.lit(-1.0)).alias("score"))
-
     radius = F.least(F.lit(how.max_radius), F.greatest(F.lit(how.min_radius), F.sqrt(F.greatest(F.lit(0.01), F.col("variance") * how.gamma))))
-    coarse = checkpointed(scored(_lattices(at, keys, radius, how.step, how.yaw, how.yaw_step, 0)))
-    pick = F.min_by(F.struct("dx", "dy", "yaw", "score"), F.struct(-F.col("score"), F.col("c")))
-    around = coarse.groupBy(*keys).agg(pick.alias("b")).select(*keys, F.col("b.dx").alias("x0"), F.col("b.dy").alias("y0"), F.col("b.yaw").alias("yaw0"))
-    fine = scored(_lattices(around, keys, F.lit(max(2 * how.fine_step, 1.5 * how.step)), how.fine_step, how.fine_yaw, how.fine_yaw_step, 1))
-    two = coarse.unionByName(fine).groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("minus"), "c", "dx", "dy", "yaw"))), 1, 2).alias("two"))  # as many as candidates
-    best = checkpointed(two.select(*keys, F.col("two")[0]["dx"].alias("dx"), F.col("two")[0]["dy"].alias("dy"), F.col("two")[0]["yaw"].alias("yaw"), (-F.col("two")[0]["minus"]).alias("best"), (-F.get("two", F.lit(1))["minus"]).alias("second")))
-    hit = (F.col("occ") >= how.inlier) & ((F.col("label") == 0) | (F.col("there") == 0) | (F.col("label") == F.col("there")))
-    ratio = placed(best.select(*keys, "dx", "dy", "yaw")).groupBy(*keys).agg((F.sum(F.when(hit, F.col("n")).otherwise(0)) / F.sum("n")).alias("ratio"))
+    start = at.select(*keys, *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "yaw0")], radius.alias("radius"))
+    placed = points.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), "label", "dynamic", "n").join(start, keys)
+    reach = F.col("radius") + max(2 * how.fine_step, 1.5 * how.step) + size + F.hypot("x", "y") * (how.yaw + how.fine_yaw)
+    u = F.cos("yaw0") * F.col("x") - F.sin("yaw0") * F.col("y") + F.col("x0")
+    v = F.sin("yaw0") * F.col("x") + F.cos("yaw0") * F.col("y") + F.col("y0")
+    near = placed.select(*keys, u.alias("u"), v.alias("v"), reach.alias("reach")).filter((F.abs("u") < branch.FAR * size) & (F.abs("v") < branch.FAR * size))
+    tiles = lambda c: F.explode(F.sequence(*[F.floor((F.col(c) + s * F.col("reach")) / (size * TILE)).cast("long") for s in (-1, 1)]))
+    wanted = near.select(*keys, tiles("u").alias("_tx"), "v", "reach").select(*keys, "_tx", tiles("v").alias("_ty")).distinct()
+    tile = lambda c: F.floor(F.col(c) / TILE).cast("long")
+    cells = prior.select(tile("ix").alias("_tx"), tile("iy").alias("_ty"), "ix", "iy", F.col("occ").cast("double").alias("occ"), F.col("edge").cast("double").alias("edge"), F.col("label").alias("there"))
+    theirs = [f"_key{i}" for i in range(len(keys))]  # names of their own: both sides stem from the same points
+    maps = wanted.join(cells, ["_tx", "_ty"]).select(*[F.col(k).alias(t) for k, t in zip(keys, theirs, strict=True)], "ix", "iy", "occ", "edge", "there")
+    of = placed.schema
+
+    def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([{**dict(zip(keys, key, strict=True)), **_on_map(left, right, size, how)}])
+
+    schema = ", ".join([*[f"`{k}` {of[k].dataType.simpleString()}" for k in keys], *[f"{c} double" for c in ("radius", "dx", "dy", "yaw", "best", "second", "ratio")], "scored long"])
+    # a number given, as tasks are long for their few bytes and would be merged by size
+    spark = points.sparkSession
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    placed, maps = placed.repartition(n, *keys), maps.repartition(n, *theirs)
+    best = placed.groupBy(*keys).cogroup(maps.groupBy(*theirs)).applyInPandas(search, schema)
     gap = F.coalesce(F.col("best") - F.col("second"), F.lit(0.0))
-    out = best.join(ratio, keys).join(at.select(*keys, radius.alias("radius")), keys).withColumns({"gap": gap, "confidence": 1 / (1 + F.exp(-20 * (gap - how.min_gap)))})
+    out = best.withColumns({"gap": gap, "confidence": 1 / (1 + F.exp(-20 * (gap - how.min_gap)))})
     from waymark.operators.filters import first_reason
 
     reason = first_reason([(F.col("best") <= -0.5, "no_overlap"), (F.col("ratio") < how.min_ratio, "low_inlier_ratio"), ((F.col("confidence") < how.min_confidence) | (F.col("gap") < how.min_gap), "ambiguous")])
-    return out.select(*keys, "radius", "dx", "dy", "yaw", "best", "second", "gap", "confidence", "ratio", (reason == "accepted").alias("accepted"), reason.alias("reason"))
+    return out.select(*keys, "radius", "dx", "dy", "yaw", "best", "second", "gap", "confidence", "ratio", "scored", (reason == "accepted").alias("accepted"), reason.alias("reason"))
 
 
 @dataclass(frozen=True)

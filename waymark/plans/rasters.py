@@ -134,7 +134,7 @@ LOCALIZED = f"""with e as ({EDGED}), p as ({CELL_POINTS}), t as (select frame, s
 @query("OPT1_pose_search", LOCALIZED)
 def opt1(v: Views):
     """Each frame on the prior raster: window by covariance, lattice and finer lattice, gates."""
-    return rounded(search.localize(v.sql(CELL_POINTS), v.sql(EDGED), v.sql(START), ["frame"], 1.0))
+    return rounded(search.localize(v.sql(CELL_POINTS), v.sql(EDGED), v.sql(START), ["frame"], 1.0).drop("scored"))
 
 
 LATTICE4 = "select row_number() over (order by a, x, y) - 1 as c, x as dx, y as dy, a as yaw from (select unnest([-3.0, 0.0, 3.0]) as x) xs, (select unnest([-2.0, 0.0, 2.0]) as y) ys, (select unnest([-0.04, 0.0, 0.04]) as a) yaws"

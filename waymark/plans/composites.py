@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import functions as F
 
-from waymark.operators import asof, backend, equations, estimate, folds, raster, registration, select
+from waymark.operators import asof, backend, equations, estimate, folds, landmarks, raster, registration, select
 from waymark.plans.clouds import r, rounded
 from waymark.plans.registrations import false_matches
 from waymark.plans.registry import query
@@ -107,3 +107,35 @@ def landmark_upkeep(missed_most: int) -> Callable:
 def vis3(v: Views):
     rows = v.pts.select(F.col("instance").alias("landmark"), "stamp", "id", (F.col("label") > 2).alias("seen"))
     return folds.fold(rows, ["landmark"], ["stamp", "id"], landmark_upkeep(2), "landmark long, stamp long, id long, seen boolean, weight long, culled boolean").select("id", "weight", "culled")
+
+
+WALL = landmarks.Landmarks(width=96, height=64, fx=60.0, fy=60.0, cx=48.0, cy=32.0, grid=6, max_missed=3, refresh=3)
+
+
+def wall_frames(v: Views):
+    """Sixteen frames of each of four runs along a wall five metres off, with their pixels and points; four frames believe to be elsewhere. Rows for landmarks.keep_map()."""
+    frames = v.pts.select("frame").distinct().select((F.col("frame") % 4).alias("run"), F.floor(F.col("frame") / 4).cast("long").alias("k"))
+    true = F.col("k") * 0.12
+    believed = true + F.when(F.col("k").between(6, 9), 0.3).otherwise(0.0)
+    posed = frames.select("run", "k", F.array(*[F.lit(c) for c in (1.0, 0.0, 0.0, 0.0)]).alias("q"), F.array(believed, F.lit(0.0), F.lit(0.0)).alias("p"), (F.col("k") % 3 != 1).alias("accepted"))
+    places = frames.withColumn("u", F.explode(F.sequence(F.lit(0), F.lit(WALL.width - 1)))).withColumn("v", F.explode(F.sequence(F.lit(0), F.lit(WALL.height - 1))))
+    x, y = (F.col("u") - WALL.cx) / 12 + true, (F.col("v") - WALL.cy) / 12
+    value = 120 + 50 * F.sin(9 * x + F.col("run") * 0.7) + 40 * F.cos(8 * y) + 20 * F.sin(5 * (x + y))
+    masked = F.col("u").between(F.col("k") * 6, F.col("k") * 6 + 8) & (F.col("v") < 32)
+    pixels = places.select("run", "k", "u", "v", value.alias("value"), F.pmod(F.floor(x + 10), F.lit(7)).alias("label"), masked.alias("masked"))
+    points = v.pts.select((F.col("frame") % 4).alias("run"), F.floor(F.col("frame") / 4).cast("long").alias("k"), "id", (F.col("x") / 7 - 3.2).alias("x"), (F.col("y") / 25 - 2.1).alias("y"), F.lit(5.0).alias("z"), "label", F.col("conf").alias("weight"))
+    return landmarks.frame_rows(posed, pixels, points, ["run", "k"], WALL)
+
+
+@query("VIS3_landmark_map")
+def vis3_map(v: Views):
+    """What each frame does to its run's landmark map: compared, confirmed, hidden, seeded, culled."""
+    out = folds.fold(wall_frames(v), ["run"], ["k"], landmarks.keep_map("k", WALL), f"run long, k long, {landmarks.FRAME_OUTPUT}")
+    return rounded(out, 4)
+
+
+@query("VIS3_landmarks")
+def vis3_landmarks(v: Views):
+    """The landmarks that each run ends with."""
+    out = folds.fold(wall_frames(v), ["run"], ["k"], landmarks.keep_map("k", WALL, ["run"]), f"run long, {landmarks.LANDMARK_OUTPUT}")
+    return rounded(out, 5)

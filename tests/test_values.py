@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.catalog import QUERIES
 from waymark.functions import labels, lie
-from waymark.operators import folds, gates, posegraph
+from waymark.operators import folds, gates, inertial, posegraph
 from waymark.plans import graphs, inertia, registrations
 from waymark.plans.views import Views
 
@@ -131,13 +131,13 @@ def dense(vertices, factors, rounds, max_step=math.inf, window=None):
     return {k: poses[n] for k, n in at.items()}
 
 
-@pytest.mark.parametrize("name, rounds, most, window", [("OPT13_graph_solution", 15, math.inf, None), ("OPT12_window_solution", 6, 1.0, 12), ("OPT21_map_match_factor", 8, 2.0, 12)])
+@pytest.mark.parametrize("name, rounds, most, window", [("OPT13_graph_solution", 15, math.inf, None), ("OPT13_all_sensors", 15, math.inf, None), ("OPT12_window_solution", 6, 1.0, 12), ("OPT21_map_match_factor", 8, 2.0, 12)])
 def test_smoothing_equals_dense(spark, sf, v, name, rounds, most, window):
     runs = [r.run for r in v.kf.groupBy("run").count().filter("count between 7 and 14").orderBy("run").limit(4).collect()]
     starts, links = {}, {}
     for r in graphs.vertices(v).filter(F.col("run").isin(runs)).collect():
         starts.setdefault(r.run, {})[r.k] = lie.compose(lie.from_quaternion(np.array([r.qw, r.qx, r.qy, r.qz])), np.array([r.x, r.y, r.z]))
-    used = graphs.map_factors(v) if name.startswith("OPT21") else graphs.factors(v)
+    used = {"OPT21_map_match_factor": graphs.map_factors, "OPT13_all_sensors": graphs.sensor_factors}.get(name, graphs.factors)(v)
     for r in used.filter(F.col("run").isin(runs)).collect():
         m = lie.compose(lie.from_quaternion(np.array([r.m_qw, r.m_qx, r.m_qy, r.m_qz])), np.array([r.m_x, r.m_y, r.m_z]))
         links.setdefault(r.run, []).append({"i": r.i, "j": r.j, "m": m, "s": [r[f"s{k}"] for k in range(6)], "huber": r.huber, "c": r.confidence})
@@ -149,6 +149,30 @@ def test_smoothing_equals_dense(spark, sf, v, name, rounds, most, window):
             assert np.abs(p[:3, 3] - [g.x, g.y, g.z]).max() < 2e-3 and abs(abs(g.qw) - abs(posegraph.quaternions(p[:3, :3])[0])) < 1e-3
 
 
+def test_scans_at_any_density(spark):
+    """A scan of floor and walls finds its known place; ten times the points make no larger task; nulls and scans without state don't count."""
+    rng = np.random.default_rng(5)
+
+    def room(n):
+        a, b = rng.uniform(-6, 6, (2, n))
+        return np.concatenate([np.c_[a, b, np.zeros(n)], np.c_[a, np.full(n, 6.0), abs(b)], np.c_[np.full(n, -6.0), a, abs(b)]])
+
+    pose = lie.planar(0.3, -0.2, 0.02, 1.0)
+    gates_ = inertial.PlaneGates(voxel=1.0, reach=1.9, nearest=8, least=4, least_points=1, least_width=0.01, max_flatness=0.1)
+    states = spark.createDataFrame([(1, 0.4, -0.28, 1.06, 0.03, 0.0)], "frame long, px double, py double, pz double, yaw double, speed double")
+    sizes = []
+    for n in (1500, 15000):
+        world = room(n)
+        seen = (room(n) - pose[:3, 3]) @ pose[:3, :3]
+        table = lambda p, *more: spark.createDataFrame([(1, *map(float, q)) for q in p] + list(more), "frame long, x double, y double, z double")
+        scan, held = table(seen, (1, None, 1.0, 1.0), (1, math.nan, 1.0, 1.0), (2, 1.0, 1.0, 1.0)), table(world)
+        sizes.append(inertial.scan_parts(scan, held, states, ["frame"], gates_, 0.3).filter("frame = 1").count())
+        [got] = inertial.update_scans(scan, held, states, ["frame"], gates_, inertial.UpdateGates(least=5)).collect()
+        assert got.frame == 1 and got.converged and np.abs(np.array([got.px, got.py, got.pz]) - pose[:3, 3]).max() < 0.03 and abs(got.yaw - 0.02) < 0.005
+    cells = 40 * 40 * 3 * 4
+    assert sizes[1] < cells and sizes[1] < 4 * sizes[0]
+
+
 # ---- admission ----
 
 

@@ -202,6 +202,15 @@ class PlaneMap:
         np.add.at(self.square, at, points[:, :, None] * points[:, None, :])
         self.means = self.sum / self.n[:, None]
 
+    @classmethod
+    def of_sums(cls, keys: np.ndarray, n: np.ndarray, sums: np.ndarray, squares: np.ndarray, gates: PlaneGates) -> PlaneMap:
+        """A map of voxels that were summed before: distinct cells, counts, sums, sums of the upper products xx, xy, xz, yy, yz, zz."""
+        out = cls(np.zeros((0, 3)), gates)
+        out.cells = {tuple(k): i for i, k in enumerate(keys.astype(np.int64).tolist())}
+        out.n, out.sum, out.square = n.astype(float), sums, squares[:, [0, 1, 2, 1, 3, 4, 2, 4, 5]].reshape(-1, 3, 3)
+        out.means = out.sum / out.n[:, None]
+        return out
+
     def planes(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For each point: whether it has a plane, its normal, a point on it, and the variance across it."""
         g, m = self.gates, len(points)
@@ -528,22 +537,38 @@ def image_updates(sums: DataFrame, keys: list[str], turn: str, gates: UpdateGate
     return sums.mapInPandas(run, f"{kinds}, px double, py double, pz double, turn_x double, turn_y double, turn_z double, landmarks long, converged boolean, z_seen double, use_z boolean")
 
 
-def update_scans(scans: DataFrame, world: DataFrame, states: DataFrame, keys: list[str], plane_gates: PlaneGates = PlaneGates(), gates: UpdateGates = UpdateGates()) -> DataFrame:
+_PRODUCTS = ("xx", "xy", "xz", "yy", "yz", "zz")
+
+
+def scan_parts(scans: DataFrame, world: DataFrame, states: DataFrame, keys: list[str], plane_gates: PlaneGates, scan_cell: float) -> DataFrame:
+    """Rows that a scan's task needs: means of the scan's cells (what 0), sums of the map's voxels (1), the state (2).
+
+    So a task grows with the space that scan and map cover and not with their density. Points with
+    a place that is null or no number don't count.
+    """
+    places = ["x", "y", "z"]
+    cells = lambda size: {f"i{c}": F.floor(F.col(c) / size).cast("long") for c in places}
+    finite = lambda df: df.filter(" and ".join(f"{c} is not null and abs({c}) < double('Infinity')" for c in places))
+    of_scan = finite(scans).withColumns(cells(scan_cell)).groupBy(*keys, "ix", "iy", "iz").agg(F.lit(0).alias("what"), F.count("*").alias("n"), *[F.avg(c).cast("double").alias(c) for c in places])
+    of_map = finite(world).withColumns(cells(plane_gates.voxel)).groupBy(*keys, "ix", "iy", "iz").agg(F.lit(1).alias("what"), F.count("*").alias("n"), *[F.sum(c).cast("double").alias(c) for c in places], *[F.sum(F.col(a) * F.col(b)).cast("double").alias(f"s{a}{b}") for a, b in _PRODUCTS])
+    first = states.select(*keys, F.lit(2).alias("what"), *[F.col(f"p{c}").cast("double").alias(c) for c in places], F.col("yaw").cast("double").alias("yaw"), F.col("speed").cast("double").alias("speed"))
+    return of_scan.unionByName(of_map, allowMissingColumns=True).unionByName(first, allowMissingColumns=True)
+
+
+def update_scans(scans: DataFrame, world: DataFrame, states: DataFrame, keys: list[str], plane_gates: PlaneGates = PlaneGates(), gates: UpdateGates = UpdateGates(), scan_cell: float = 0.3) -> DataFrame:
     """Scans (keys, x, y, z in the body's frame) registered on a map's points (keys, x, y, z) from states (keys, px, py, pz, yaw, speed).
 
     (keys, px, py, pz, yaw, converged, iterations, used, rejected, sectors, rmse, directions,
-    turn_directions, condition, yaw_share). A scan is one task that holds its map; speed, if it is
-    there, is the wheels' forward speed. Scans without a state don't count; one without points
-    keeps its state.
+    turn_directions, condition, yaw_share). A scan is one task of its cells' means and its map's
+    voxel sums, both made before; speed, if it is there, is the wheels' forward speed. Scans
+    without a state don't count; one without points keeps its state.
     """
     kinds = ", ".join(f"{c} {scans.schema[c].dataType.simpleString()}" for c in keys)
-    rows = scans.select(*keys, F.lit(0).alias("what"), "x", "y", "z", F.lit(None).cast("double").alias("yaw"), F.lit(None).cast("double").alias("speed"))
-    rows = rows.unionByName(world.select(*keys, F.lit(1).alias("what"), "x", "y", "z", F.lit(None).cast("double").alias("yaw"), F.lit(None).cast("double").alias("speed")))
-    rows = rows.unionByName(states.select(*keys, F.lit(2).alias("what"), F.col("px").alias("x"), F.col("py").alias("y"), F.col("pz").alias("z"), "yaw", F.col("speed").cast("double").alias("speed")))
+    rows = scan_parts(scans, world, states, keys, plane_gates, scan_cell)
     columns = {"px": "double", "py": "double", "pz": "double", "yaw": "double", "converged": "boolean", "iterations": "int", "used": "int", "rejected": "int", "sectors": "int", "rmse": "double", "directions": "int", "turn_directions": "int", "condition": "double", "yaw_share": "double"}
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = {k: g.sort_values(["x", "y", "z"]) for k, g in pdf.groupby("what")}
+        part = {k: g.sort_values(["ix", "iy", "iz"]) for k, g in pdf.groupby("what")}
         if 2 not in part:
             return pd.DataFrame({c: pd.Series(dtype="object") for c in [*keys, *columns]})
         first = part[2].iloc[0]
@@ -552,7 +577,8 @@ def update_scans(scans: DataFrame, world: DataFrame, states: DataFrame, keys: li
         forward = np.array([0.0 if pd.isna(speed) else speed, 0, 0])
         start = State(rotation=pose[:3, :3], place=pose[:3, 3], velocity=pose[:3, :3] @ forward, covariance=np.diag(np.repeat([0.02, 0.5, 0.5, 1e-6, 1e-4, 1e-6], 3)))
         points = part[0][["x", "y", "z"]].to_numpy(float) if 0 in part else np.zeros((0, 3))
-        known = PlaneMap(part[1][["x", "y", "z"]].to_numpy(float) if 1 in part else np.zeros((0, 3)), plane_gates)
+        held = part.get(1)
+        known = PlaneMap(np.zeros((0, 3)), plane_gates) if held is None else PlaneMap.of_sums(held[["ix", "iy", "iz"]].to_numpy(np.int64), held["n"].to_numpy(float), held[["x", "y", "z"]].to_numpy(float), held[[f"s{c}" for c in _PRODUCTS]].to_numpy(float), plane_gates)
         s, result = scan_update(start, points, known, gates, None if pd.isna(speed) else Wheel(float(speed)))
         out = {c: pdf[c].iloc[0] for c in keys} | {"px": s.place[0], "py": s.place[1], "pz": s.place[2], "yaw": float(lie.yaw_of(s.rotation))}
         return pd.DataFrame([out | {c: result[c] for c in columns if c in result}])

@@ -299,6 +299,7 @@ class Sigmas:
     loop_yaw: float = 0.02
     loop_xy: float = 0.2
     loop_z: float = 0.1
+    ground_z: float = 0.05
     huber: float = 1.5
 
 
@@ -306,7 +307,8 @@ def with_sigmas(factors: DataFrame, kind: str = "kind", distance: str = "distanc
     """Rows with s0 ... s5 (tilt, tilt, yaw, x, y, z), huber and confidence by their kind.
 
     Kinds: odometry (all axes, growing with distance), wheel (forward and sideways), rotation (a
-    visual turn), visual (a visual turn and shift), loop_xy (heading and plane), loop_z (height).
+    visual turn), visual (a visual turn and shift), loop_xy (heading and plane), loop_z (height), ground (height
+    between neighbours).
     Axes that a kind says nothing about are FREE; loops and visual factors are robust; sigmas of
     visual factors and loops grow as quality (0 to 1, null as 1) falls. Other kinds give nulls.
     """
@@ -322,6 +324,7 @@ def with_sigmas(factors: DataFrame, kind: str = "kind", distance: str = "distanc
         "visual": [tilt, tilt, yaw, *[(s.visual_xy + s.visual_per_metre * d) * grown] * 2, (s.visual_z + s.visual_per_metre * d) * grown],
         "loop_xy": [free, free, s.loop_yaw * grown, s.loop_xy * grown, s.loop_xy * grown, free],
         "loop_z": [free] * 5 + [s.loop_z * grown],
+        "ground": [free] * 5 + [F.lit(s.ground_z)],
     }
     out = {}
     for k in range(6):

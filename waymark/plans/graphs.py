@@ -95,6 +95,27 @@ def opt13(v: Views):
     return rounded(posegraph.smooth(vertices(v), factors(v), ["run"], 15).select("run", "k", "x", "y", "z", "qw", "qz"), 4)
 
 
+def sensor_factors(v: Views):
+    """Beside odometry and loops what other sensors say about each step: wheels (distance, sidewise), a visual turn and shift, a visual turn alone, the ground's height."""
+    a, b = (v.kf.select("run", F.col("k").cast("long").alias(n), *[F.col(f"g{c}").alias(f"{n}{c}") for c in POSE4]) for n in "ij")
+    rows = a.join(b.withColumn("i", F.col("j") - 1), ["run", "i"])
+    true = dict(zip(POSE4, posegraph.relative4(posegraph.pose4("i"), posegraph.pose4("j")), strict=True))
+    off = lambda n, size: (F.pmod(F.col("run") * 7 + F.col("i") * n, F.lit(21)) - 10) / 10.0 * size
+    rows = rows.select("run", "i", "j", (true["x"] + off(5, 0.03)).alias("dx"), (true["y"] + off(3, 0.03)).alias("dy"), (true["z"] + off(11, 0.04)).alias("dz"), (true["yaw"] + off(2, 0.004)).alias("dyaw"), F.explode(F.array(*map(F.lit, ("wheel", "rotation", "visual", "ground")))).alias("kind"))
+    # images serve some steps only, and with a quality
+    rows = rows.withColumn("quality", F.when(F.col("kind").isin("rotation", "visual"), 0.4 + F.pmod(F.col("run") + F.col("i"), F.lit(6)) / 10.0).otherwise(1.0))
+    rows = rows.filter((F.col("kind") != "visual") | (F.col("quality") >= 0.6)).withColumn("distance", F.hypot("dx", "dy"))
+    rows = posegraph.with_sigmas(rows)
+    more = rows.select("run", "i", "j", *[F.col(f"d{c}").alias(f"m_{c}") for c in "xyz"], *[c.alias(f"m_q{n}") for c, n in zip(posegraph.yaw_quaternion(F.col("dyaw")), "wxyz", strict=True)], *[f"s{k}" for k in range(6)], "huber", "confidence")
+    return factors(v).unionByName(more)
+
+
+@query("OPT13_all_sensors")
+def opt13_sensors(v: Views):
+    """Whole runs smoothed from odometry, wheels, visual turns and shifts, the ground and loops."""
+    return rounded(posegraph.smooth(vertices(v), sensor_factors(v), ["run"], 15).select("run", "k", "x", "y", "z", "qw", "qz"), 4)
+
+
 @query("OPT12_window_solution")
 def opt12(v: Views):
     """The last twelve keyframes of each run, with capped steps."""

@@ -31,12 +31,12 @@ SURFACE = "case when id % 3 = 1 then cast(-6 as double) else x / 4 - 6 end as x,
 
 
 def scans(v: Views):
-    """Of each frame: a map's points, the scan of every fourth one from a place of its own, and a guess of that place."""
+    """Of each frame: a map's points, the scan of all of them from a place of its own, and a guess of that place."""
     world = v.sql(f"select frame, id, {SURFACE} from pts")
     yaw = (F.col("frame") % 5 - 2) * 0.01
     px, py = (F.col("frame") % 3) * 0.2, (F.col("frame") % 4) * 0.15
     dx, dy, dz = F.col("x") - px, F.col("y") - py, F.col("z") - 1.0
-    scan = world.filter("id % 4 = 0").select("frame", (F.cos(yaw) * dx + F.sin(yaw) * dy).alias("x"), (F.cos(yaw) * dy - F.sin(yaw) * dx).alias("y"), dz.alias("z"))
+    scan = world.select("frame", (F.cos(yaw) * dx + F.sin(yaw) * dy).alias("x"), (F.cos(yaw) * dy - F.sin(yaw) * dx).alias("y"), dz.alias("z"))
     states = world.select("frame").distinct().select("frame", (px + 0.1).alias("px"), (py - 0.08).alias("py"), F.lit(1.06).alias("pz"), (yaw + 0.012).alias("yaw"), F.lit(0.0).alias("speed"))
     return scan, world, states
 

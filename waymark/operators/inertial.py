@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import lie
+from waymark.operators.select import in_tasks
 
 TURN, PLACE, VELOCITY, GYRO, ACCEL, GRAVITY = (slice(3 * k, 3 * k + 3) for k in range(6))
 N = 18
@@ -583,4 +584,4 @@ def update_scans(scans: DataFrame, world: DataFrame, states: DataFrame, keys: li
         out = {c: pdf[c].iloc[0] for c in keys} | {"px": s.place[0], "py": s.place[1], "pz": s.place[2], "yaw": float(lie.yaw_of(s.rotation))}
         return pd.DataFrame([out | {c: result[c] for c in columns if c in result}])
 
-    return rows.groupBy(*keys).applyInPandas(run, f"{kinds}, " + ", ".join(f"{c} {t}" for c, t in columns.items()))
+    return in_tasks(rows, keys).groupBy(*keys).applyInPandas(run, f"{kinds}, " + ", ".join(f"{c} {t}" for c, t in columns.items()))

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import lie
-from waymark.operators.select import checkpointed
+from waymark.operators.select import checkpointed, in_tasks
 
 #: Standard deviation of an axis that a factor says nothing about.
 FREE = 1e3
@@ -274,7 +274,8 @@ def smooth(vertices: DataFrame, factors: DataFrame, keys: list[str], rounds: int
     # both sides may come from the same rows: names of their own keep the keys apart
     left = vertices.select(*[F.col(c).alias(f"left_{c}") for c in keys], "k", *POSE)
     right = factors.select(*[F.col(c).alias(f"right_{c}") for c in keys], "i", "j", *FACTOR, "huber", "confidence")
-    return left.groupBy(*[f"left_{c}" for c in keys]).cogroup(right.groupBy(*[f"right_{c}" for c in keys])).applyInPandas(run, schema)
+    ours, theirs = [f"left_{c}" for c in keys], [f"right_{c}" for c in keys]
+    return in_tasks(left, ours).groupBy(*ours).cogroup(in_tasks(right, theirs).groupBy(*theirs)).applyInPandas(run, schema)
 
 
 # ---- factors ----

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators import branch
-from waymark.operators.select import checkpointed
+from waymark.operators.select import checkpointed, in_tasks
 
 #: Candidates that one search may have.
 MAX_CANDIDATES = 20_000
@@ -127,11 +127,7 @@ def localize(points: DataFrame, prior: DataFrame, at: DataFrame, keys: list[str]
         return pd.DataFrame([{**dict(zip(keys, key, strict=True)), **_on_map(left, right, size, how)}])
 
     schema = ", ".join([*[f"`{k}` {of[k].dataType.simpleString()}" for k in keys], *[f"{c} double" for c in ("radius", "dx", "dy", "yaw", "best", "second", "ratio")], "scored long"])
-    # a number given, as tasks are long for their few bytes and would be merged by size
-    spark = points.sparkSession
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    placed, maps = placed.repartition(n, *keys), maps.repartition(n, *theirs)
-    best = placed.groupBy(*keys).cogroup(maps.groupBy(*theirs)).applyInPandas(search, schema)
+    best = in_tasks(placed, keys).groupBy(*keys).cogroup(in_tasks(maps, theirs).groupBy(*theirs)).applyInPandas(search, schema)
     gap = F.coalesce(F.col("best") - F.col("second"), F.lit(0.0))
     out = best.withColumns({"gap": gap, "confidence": 1 / (1 + F.exp(-20 * (gap - how.min_gap)))})
     from waymark.operators.filters import first_reason

@@ -44,6 +44,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def in_tasks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """df by its keys in a given number of partitions: for groups whose tasks are long for their few bytes, which would be merged by size."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism), *keys)
+
+
 def broadcast_small(df: DataFrame, most: int = 200_000) -> DataFrame:
     """df to be broadcast if it has no more rows than that (of numbers and short strings: some 30 MB), else as it is."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

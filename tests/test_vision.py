@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from waymark.functions import lie
-from waymark.operators import vision
+from waymark.operators import equations, vision
 from waymark.operators.vision import Consensus
 from waymark.plans import acceptance
 
@@ -159,3 +159,14 @@ def test_photometric_equations_and_update(spark, sf):
         kept.append(off[1] / off[0])
         assert x.use_z == (x.z_seen >= 0.5 and abs(x.pz) <= 0.3) or x.pz == 0
     assert len(kept) == 64 and sorted(kept)[57] < 0.4 and sorted(kept)[32] < 0.25
+
+
+def test_flat_patches_have_no_correlation_to_divide_by(spark):
+    """A patch whose reference doesn't vary counts in the shift's equations, and not in the pose's."""
+    rows = [(1, p, float(u), float(v), 0.5 if p == 7 else 0.1 * (u + 2 * v), 0.1 * u + 0.2 * v, 0.1, 0.2, 5.0) for p in (7, 8) for u in (-1, 0, 1) for v in (-1, 0, 1)]
+    pixels = spark.createDataFrame(rows, "frame long, id long, u double, v double, reference double, current double, gx double, gy double, depth double")
+    got = equations.photometric(pixels, ["frame"], "id", 9, 300.0, 0.6, 0.1).collect()
+    assert [(r.points, r.pixels) for r in got] == [(2, 18)]
+    seen = pixels.selectExpr("*", "5D as bx", "0D as by", "0D as bz", "1D as qw", "0D as qx", "0D as qy", "0D as qz")
+    got = equations.photometric_pose(seen, ["frame"], "id", 9, equations.Camera(), 0.6, 0.5, 0.2).collect()
+    assert [(r.landmarks, r.pixels) for r in got] == [(1, 9)]

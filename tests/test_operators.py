@@ -177,3 +177,19 @@ def test_statistics(spark):
     assert got == {1: (2.5, 1.0), 2: (5.0, 0.0)}
     assert {r.k: r.median for r in stats.replicated_median(df, ["k"], "v", "w", 3).collect()} == {1: 2.5, 2: 5.0}
     assert [r.a for r in spark.createDataFrame([(7.0,), (-7.0,), (3.0,)], "v double").select(F.round(scalars.wrap_angle(F.col("v")), 6).alias("a")).collect()] == [round(math.remainder(v, 2 * math.pi), 6) for v in (7.0, -7.0, 3.0)]
+
+
+def test_optimised_map_does_not_depend_on_partitions(spark):
+    """Sums of a voxel run in the order of frame and id: those of a plain loop, to the last bit."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(k % 4, k, rng.uniform(0, 6), rng.uniform(0, 6), 10.0 ** rng.randint(-9, 0), 1 + k % 2, rng.uniform(0.1, 1)) for k in range(300)]
+    poses = spark.createDataFrame([(f, 0.0, 0.0, 0.0, 0.0) for f in range(4)], "frame long, px double, py double, pz double, yaw double")
+    w = z = 0.0
+    for r in sorted(rows):
+        w, z = w + r[6], z + r[4] * r[6]
+    for parts in (1, 7, 23):
+        df = spark.createDataFrame(rows, "frame long, id long, x double, y double, z double, label int, conf double").repartition(parts, "id")
+        got = grid.optimised_map(df, poses, "frame", "id", 6, 2000).collect()
+        assert [(r.n, r.z) for r in got] == [(300, z / w)]

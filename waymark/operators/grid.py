@@ -78,7 +78,8 @@ def optimised_map(features: DataFrame, poses: DataFrame, frame: str, order: str,
     Every stride-th labelled feature of a frame with a pose counts, in the order of frame and order
     column, so that most are left; a feature weighs its conf, 0.1 at least. A voxel has the weighted
     mean, the label of the largest weight (ties: the smaller) and that weight's share. Label 0 and
-    null labels, and features that don't come out finite, don't count.
+    null labels, and features that don't come out finite, don't count. Sums run in the order of
+    frame and order column, so that they are the same however the rows are partitioned.
     """
     from waymark.operators.select import numbered
 
@@ -89,10 +90,14 @@ def optimised_map(features: DataFrame, poses: DataFrame, frame: str, order: str,
     c, s = F.cos("yaw"), F.sin("yaw")
     there = {"x": F.col("px") + c * F.col("x") - s * F.col("y"), "y": F.col("py") + s * F.col("x") + c * F.col("y"), "z": F.col("pz") + F.col("z")}
     rows = rows.withColumns(there).filter(finite(F.col("x"), F.col("y"), F.col("z"))).withColumn("w", F.greatest(F.lit(0.1), F.coalesce("conf", F.lit(0.0))))
-    labels = with_cells(rows, size).groupBy(*CELL3, "label").agg(F.sum("w").alias("w"), F.count("*").alias("n"), *[F.sum(F.col(a) * F.col("w")).alias(a) for a in "xyz"])
-    best = F.min(F.struct((-F.round("w", 9)).alias("_m"), "label", "w")).alias("best")
-    cells = labels.groupBy(*CELL3).agg(best, F.sum("w").alias("w"), F.sum("n").alias("n"), *[F.sum(a).alias(a) for a in "xyz"])
-    return cells.select(*CELL3, *[(F.col(a) / F.col("w")).alias(a) for a in "xyz"], "best.label", clamp(F.col("best.w") / F.col("w"), 0, 1).alias("confidence"), "n")
+    members = F.sort_array(F.collect_list(F.struct(F.col(frame).alias("_f"), F.col(order).alias("_o"), "label", "w", *"xyz")))  # few, as most features are left
+    cells = with_cells(rows, size).groupBy(*CELL3).agg(members.alias("m"))
+    total = lambda rows, value: F.aggregate(rows, F.lit(0.0), lambda s, p: s + value(p))
+    votes = F.transform(F.array_distinct("m.label"), lambda k: F.struct(k.alias("label"), total(F.filter("m", lambda p: p["label"] == k), lambda p: p["w"]).alias("w")))
+    best = F.array_min(F.transform(votes, lambda p: F.struct((-F.round(p["w"], 9)).alias("_m"), p["label"].alias("label"), p["w"].alias("w"))))
+    w = total("m", lambda p: p["w"])
+    cells = cells.withColumns({"w": w, "best": best, **{a: total("m", lambda p, a=a: p[a] * p["w"]) for a in "xyz"}})
+    return cells.select(*CELL3, *[(F.col(a) / F.col("w")).alias(a) for a in "xyz"], "best.label", clamp(F.col("best.w") / F.col("w"), 0, 1).alias("confidence"), F.size("m").cast("long").alias("n"))
 
 
 def ring_descriptor(df: DataFrame, rings: int, width: float, keys: list[str]) -> DataFrame:

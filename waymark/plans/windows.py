@@ -151,7 +151,7 @@ def wn18(v: Views):
   select id, round(a - 2 * pi() * round(a / (2 * pi())), 5) as yaw from s where abs(abs(a / pi()) % 2 - 1) > 1e-6""")
 def wn20(v: Views):
     rows = v.imu.withColumn("w", F.col("w") / 1000)
-    return rounded(windows.integrate_yaw(rows, ["run"], ["t", "id"], "t", "w", 100 * H).filter("abs(abs(yaw) - pi()) > 1e-6").select("id", "yaw"), 5)
+    return rounded(windows.integrate_yaw(rows, ["run"], ["t", "id"], "t", "w", 100 * H).filter("abs(abs(yaw) / pi() - 1) > 1e-6").select("id", "yaw"), 5)
 
 
 @query("WN21_running_metrics", """select id, round(max(v) over w, 6) as running_max, round(avg(v) over w, 6) as running_mean, round(sqrt(avg(v * v) over w), 6) as running_rmse from track window w as (partition by run order by t, id rows between unbounded preceding and current row)""")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from waymark.catalog import QUERIES
 from waymark.functions import lie
 from waymark.operators import estimate, folds, gates, inertial, odometry
 from waymark.plans import inertia
@@ -192,3 +193,20 @@ def test_query_batch_and_stream(spark, sf, tmp_path):
     key = lambda r: (r.run, r.t, r.reason, r.map_reason, r.cells, r.used, round(r.px, 9), round(r.py, 9), round(r.pz, 9))
     assert sorted(map(key, got)) == sorted(map(key, batch))
     rows.unpersist()
+
+
+def test_scan_points_are_never_shuffled(spark, sf):
+    """Points of scans are made after the shuffle and sort by run; their means of cells and slices are those of scan_rows()."""
+
+    def shuffled(plan):
+        own = [plan.output().mkString(",")] if plan.nodeName() in ("RepartitionByExpression", "Sort", "Aggregate") else []
+        return own + [o for k in range(plan.children().size()) for o in shuffled(plan.children().apply(k))]
+
+    outputs = shuffled(QUERIES["EST4_scan_run"](spark, sf)._jdf.queryExecution().optimizedPlan())
+    assert len(outputs) > 1 and not any("points" in o or "before" in o for o in outputs)
+    rng = np.random.default_rng(8)
+    raw = np.c_[rng.uniform(-1, 1, (400, 3)), rng.uniform(0, 0.05, 400)]
+    df = spark.createDataFrame([(1, *map(float, p)) for p in raw], "scan int, x double, y double, z double, before double").coalesce(1)
+    [row] = odometry.scan_rows(df, ["scan"], 0.5, 0.01).collect()
+    means = odometry.slice_means(raw, 0.5, 0.01)
+    assert 100 < len(means) < 350 and np.allclose(means, [tuple(p) for p in row.points], atol=1e-12)

@@ -12,13 +12,19 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+
+from waymark.operators.select import in_tasks
 
 Step = Callable[[Any, dict], tuple[Any, list[dict]]]
 
 
-def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], tuple[Any, Step]], schema: str, columns: list[str] | None = None) -> DataFrame:
-    """The outputs of a step over each key's rows in order; step() gives the first state and the step function, and, if the last state has something to say, a function of it."""
+def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], tuple[Any, Step]], schema: str, columns: list[str] | None = None, late: dict[str, Column] | None = None) -> DataFrame:
+    """The outputs of a step over each key's rows in order; step() gives the first state and the step function, and, if the last state has something to say, a function of it.
+
+    late are columns that are made of the others once the rows are in order, so that large ones
+    are never shuffled or sorted; as their bytes don't show before, tasks are a given number then.
+    """
     columns = columns or df.columns
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -43,7 +49,8 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], tu
         if end and (out := end(state)):
             yield pa.RecordBatch.from_pylist(out, arrow)
 
-    return df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    rows = in_tasks(df.select(*columns), keys) if late else df.select(*columns).repartition(*keys)
+    return rows.sortWithinPartitions(*keys, *order).withColumns(late or {}).mapInArrow(run, schema)
 
 
 def rate_gate(time: str, interval: int) -> Callable:

@@ -34,6 +34,8 @@ class Odometry:
     outage: Outage = Outage()
     voxel: Voxel = Voxel()
     planes: PlaneGates = PlaneGates()
+    slice_cell: float | None = None
+    slice_s: float = 0.01
     scan_cell: float = 0.3
     map_cell: float = 1.0
     radius: float = 60.0
@@ -161,6 +163,20 @@ def cell_means(points: np.ndarray, cell: float) -> np.ndarray:
     return out / n[:, None]
 
 
+def slice_means(points: np.ndarray, cell: float, slice_s: float) -> np.ndarray:
+    """Means of points (x, y, z, before) of each cell and slice of time, as scan_rows() makes them, in its order."""
+    if not len(points):
+        return points
+    at = np.floor(points[:, [3, 0, 1, 2]] / [slice_s, cell, cell, cell]).astype(np.int64)
+    order = np.lexsort(at.T[::-1])
+    at, points = at[order], points[order]
+    first = np.r_[True, (at[1:] != at[:-1]).any(axis=1)]
+    group = np.cumsum(first) - 1
+    out = np.zeros((group[-1] + 1, 4))
+    np.add.at(out, group, points)
+    return out / np.bincount(group)[:, None]
+
+
 def deskew(points: np.ndarray, before: np.ndarray, path: list[State]) -> np.ndarray:
     """Points, each taken so many seconds before the last state of the path (in the body's frame then), in its frame at the end.
 
@@ -270,6 +286,8 @@ def follow(how: Odometry = Odometry(), time: str = "t", unit: float = 1e6, first
             given = () if row["points"] is None else row["points"]  # from a stream an array, not a list
             raw = np.array([[p["x"], p["y"], p["z"], p["before"]] for p in given if p is not None and None not in (p["x"], p["y"], p["z"], p["before"])], float).reshape(-1, 4)
             raw = raw[np.isfinite(raw).all(axis=1)]
+            if how.slice_cell is not None:
+                raw = slice_means(raw, how.slice_cell, how.slice_s)
             points = cell_means(deskew(raw[:, :3], raw[:, 3], path), how.scan_cell)
             result, reason, map_reason, estimate = {}, "insufficient_points", "registration_rejected", predicted
             if len(points) >= how.least_points and run.inserted is None:

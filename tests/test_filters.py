@@ -355,3 +355,36 @@ def test_regrid_search():
     truth = lie.planar(1.0, -1.0, math.radians(2))
     got = registration.regrid_search(target, seen_from(target, truth), np.eye(4), registration.with_gates(lattice_xy=2.0, lattice_step=0.5))
     assert abs(got["x"] - 1) <= 0.51 and abs(got["y"] + 1) <= 0.51 and abs(got["yaw"] - truth[1, 0]) < 0.04
+
+
+def test_graphs_are_solved_together(spark, monkeypatch):
+    """Graphs of several sizes solved at once equal each alone, in few solutions; a long graph among short ones is still whole."""
+    rng = np.random.default_rng(3)
+    count = np.r_[rng.integers(2, 9, 120), 70]
+    first = np.cumsum(count) - count
+    n, owner = int(count.sum()), np.repeat(np.arange(len(count)), count)
+    j = np.flatnonzero(np.arange(n) > first[owner])
+    i = j - 1
+    loops = np.flatnonzero(np.arange(n) - first[owner] >= 4)
+    i, j = np.r_[i, loops - 4, first[::3]], np.r_[j, loops, np.full(len(first[::3]), -1)]
+    start = lie.motion(rng.normal(0, 0.2, (n, 6)))
+    measured = lie.motion(rng.normal(0, 0.3, (len(i), 6)))
+    information = np.broadcast_to(np.diag([100.0, 100, 400, 25, 25, 4]), (len(i), 6, 6))
+    huber, confidence = np.where(j < 0, 1.0, 0.0), rng.uniform(0.5, 1, len(i))
+    fixed = np.arange(len(count)) % 3 != 0
+    solutions = []
+    solve = np.linalg.solve
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: solutions.append(len(a)) or solve(a, b))
+    poses, done, error = posegraph.solve_many(start, count, i, j, measured, information, huber, confidence, 6, 1.0, fixed)
+    assert len(solutions) <= 6 * 7
+    for g in range(len(count)):
+        at, own = slice(first[g], first[g] + count[g]), owner[i] == g
+        alone = posegraph.solve_poses(start[at], i[own] - first[g], np.where(j[own] < 0, -1, j[own] - first[g]), measured[own], information[own], huber[own], confidence[own], 6, 1.0, bool(fixed[g]))
+        assert np.abs(poses[at] - alone[0]).max() < 1e-6 and done[g] == alone[1] and abs(error[g] - alone[2]) <= 1e-6 * (1 + error[g])
+    lengths = {"a": 3, "b": 6000, "c": 1, "d": 4}
+    vertices = spark.createDataFrame([(r, k, k * 1.01, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0) for r, m in lengths.items() for k in range(m)], "run string, k long, x double, y double, z double, qw double, qx double, qy double, qz double")
+    steps = [(r, k, k + 1, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, *[0.1] * 6, 0.0, None) for r, m in [*lengths.items(), ("none", 2)] for k in range(m)]
+    factors = spark.createDataFrame(steps, "run string, i long, j long, " + ", ".join(f"{c} double" for c in posegraph.FACTOR) + ", huber double, confidence double")
+    got = posegraph.smooth(vertices, factors.coalesce(1), ["run"], 4).collect()
+    assert sorted((r.run, r.k) for r in got) == sorted((r, k) for r, m in lengths.items() for k in range(m))
+    assert max(abs(r.x - r.k) + abs(r.y) for r in got) < 1e-4

@@ -1,15 +1,15 @@
 """Pose graphs: relaxation by joins, windows and whole runs by Gauss-Newton, factors, gates, corrections.
 
 Relaxation is relational: one round is two joins and one aggregate over all graphs at once. The
-solvers take one graph per task and keep only its blocks: normal equations are never a dense
-matrix, and are solved by conjugate gradients whose preconditioner is the exact solution of the
-chain, so that loops, which are few, cost few rounds.
+solvers keep only a graph's blocks: normal equations of long graphs are never a dense matrix, and
+are solved by conjugate gradients whose preconditioner is the exact solution of the chain, so that
+loops, which are few, cost few rounds. Small graphs are solved many at once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -154,31 +154,128 @@ def solve_blocks(diagonal: np.ndarray, i: np.ndarray, j: np.ndarray, off: np.nda
     return x
 
 
+def _summed(n: int, at: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Sums of the values at each of n places."""
+    out = np.zeros((n, *values.shape[1:]))
+    if len(at):
+        order = np.argsort(at, kind="stable")
+        places, start = np.unique(at[order], return_index=True)
+        out[places] = np.add.reduceat(values[order], start, axis=0)
+    return out
+
+
 def normal_blocks(n: int, i: np.ndarray, j: np.ndarray, ji: np.ndarray, jj: np.ndarray, r: np.ndarray, information: np.ndarray) -> tuple:
     """Blocks and right side of the normal equations of factors between vertices i and j (j < 0: on i alone)."""
-    d = ji.shape[2]
-    diagonal, b = np.zeros((n, d, d)), np.zeros((n, d))
-    wi = np.einsum("mra,mrs->mas", ji, information)
-    wj = np.einsum("mra,mrs->mas", jj, information)
-    np.add.at(diagonal, i, wi @ ji)
-    np.add.at(b, i, -np.einsum("mas,ms->ma", wi, r))
     two = j >= 0
-    np.add.at(diagonal, j[two], (wj @ jj)[two])
-    np.add.at(b, j[two], -np.einsum("mas,ms->ma", wj, r)[two])
-    off = (wi @ jj)[two]
+    wi = np.swapaxes(ji, 1, 2) @ information
+    wj = (np.swapaxes(jj, 1, 2) @ information)[two]
+    ends = np.concatenate([i, j[two]])
+    diagonal = _summed(n, ends, np.concatenate([wi @ ji, wj @ jj[two]]))
+    b = _summed(n, ends, -np.concatenate([wi @ r[:, :, None], wj @ r[two][:, :, None]])[:, :, 0])
+    off = wi[two] @ jj[two]
     lo, hi = np.minimum(i[two], j[two]), np.maximum(i[two], j[two])
     return diagonal, lo, hi, np.where((i[two] <= j[two])[:, None, None], off, np.swapaxes(off, 1, 2)), b
 
 
-def _jacobians(residual: Callable, poses: np.ndarray, i: np.ndarray, j: np.ndarray, base: np.ndarray) -> list[np.ndarray]:
-    """Derivatives of the residuals by a turn and shift of the first and of the second pose, in their own frames; all directions at once."""
-    bumps = lie.motion(np.eye(6) * 1e-6)[:, None]
-    pi, pj = poses[i], poses[np.maximum(j, 0)]
-    out = [np.moveaxis(residual(*ends) - base, 0, 2) / 1e-6 for ends in ((pi @ bumps, pj[None]), (pi[None], pj @ bumps))]
-    out[1][j < 0] = 0
+def _logarithm(m: np.ndarray) -> np.ndarray:
+    """lie.motion_vector() of motions that lie.rotation_vector() needs no care for, by the closed form of the shift; others go there."""
+    skew = [(m[..., 2, 1] - m[..., 1, 2]) / 2, (m[..., 0, 2] - m[..., 2, 0]) / 2, (m[..., 1, 0] - m[..., 0, 1]) / 2]
+    sine = np.sqrt(skew[0] * skew[0] + skew[1] * skew[1] + skew[2] * skew[2])
+    cosine = (m[..., 0, 0] + m[..., 1, 1] + m[..., 2, 2] - 1) / 2
+    angle = np.arctan2(sine, cosine)
+    scale = np.where(sine > 1e-9, angle / np.where(sine > 1e-9, sine, 1), 1.0)
+    x, y, z = (c * scale for c in skew)
+    near = angle < 1e-3
+    a = np.where(near, 1.0, angle)
+    share = np.where(near, 1 / 12 + angle * angle / 720, (1 - a / 2 / np.tan(a / 2)) / (a * a))
+    tx, ty, tz = m[..., 0, 3], m[..., 1, 3], m[..., 2, 3]
+    cx, cy, cz = y * tz - z * ty, z * tx - x * tz, x * ty - y * tx
+    out = np.empty((*angle.shape, 6))
+    out[..., 0], out[..., 1], out[..., 2] = x, y, z
+    out[..., 3] = tx - cx / 2 + share * (y * cz - z * cy)
+    out[..., 4] = ty - cy / 2 + share * (z * cx - x * cz)
+    out[..., 5] = tz - cz / 2 + share * (x * cy - y * cx)
+    odd = (sine <= 1e-6) & (cosine < 0)
+    if odd.any():
+        out[odd] = lie.motion_vector(m[odd])
     return out
 
 
+def _solve_graphs(n: int, first: np.ndarray, count: np.ndarray, diagonal: np.ndarray, lo: np.ndarray, hi: np.ndarray, off: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """solve_blocks() of graphs that lie one after the other, each count vertices from first; small graphs of one size are solved at once."""
+    d = b.shape[1]
+    x = np.zeros((n, d))
+    graph = np.searchsorted(first, lo, "right") - 1
+    for size in np.unique(count):
+        chosen = np.flatnonzero(count == size)
+        if size * d > SMALL:
+            for g in chosen:
+                own, at = graph == g, slice(first[g], first[g] + size)
+                x[at] = solve_blocks(diagonal[at], lo[own] - first[g], hi[own] - first[g], off[own], b[at])
+            continue
+        place = np.full(len(count), -1)
+        place[chosen] = np.arange(len(chosen))
+        own = place[graph] >= 0
+        g, i, j = place[graph[own]], lo[own] - first[graph[own]], hi[own] - first[graph[own]]
+        whole = _summed(len(chosen) * size * size, (g * size + i) * size + j, off[own]).reshape(len(chosen), size, size, d, d).transpose(0, 1, 3, 2, 4)
+        whole = whole + np.transpose(whole, (0, 3, 4, 1, 2))
+        at = first[chosen][:, None] + np.arange(size)
+        k = np.arange(size)
+        whole[:, k, :, k] += np.swapaxes(diagonal[at], 0, 1)
+        x[at] = np.linalg.solve(whole.reshape(len(chosen), size * d, size * d), b[at].reshape(len(chosen), size * d, 1)).reshape(len(chosen), size, d)
+    return x
+
+
+def solve_many(start: np.ndarray, count: np.ndarray, i: np.ndarray, j: np.ndarray, measured: np.ndarray, information: np.ndarray, huber: np.ndarray, confidence: np.ndarray, rounds: int, max_step: float, fixed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """solve_poses() of many graphs at once, which lie one after the other in start, count vertices each; fixed says whose first pose stays.
+
+    i and j count over all graphs. A graph that is done takes no part in further rounds.
+    """
+    poses = np.array(start, float)
+    first = np.cumsum(count) - count
+    owner = np.repeat(np.arange(len(count)), count)
+    back = lie.inverse(measured)
+    bumps = lie.motion(np.eye(6) * 1e-6)
+    done, error = np.zeros(len(count), int), np.zeros(len(count))
+    active = np.ones(len(count), bool)
+    for number in range(1, rounds + 1):
+        if not active.any():
+            break
+        done[active] = number
+        held = np.flatnonzero(active[owner])  # the vertices of graphs that go on, numbered anew
+        anew = np.cumsum(active[owner]) - 1
+        f = np.flatnonzero(active[owner[i]])
+        fi, fj, two = i[f], np.maximum(j[f], 0), j[f] >= 0
+        pj = np.where(two[:, None, None], poses[fj], np.eye(4))
+        seen = np.where(two[:, None, None], lie.inverse(poses[fi]) @ pj, poses[fi])
+        missed = back[f] @ seen
+        r = _logarithm(missed)
+        # a bump of j comes after what is seen; one of i before it, or, without a j, after it
+        after = np.moveaxis((_logarithm(missed @ bumps[:, None]) - r) / 1e-6, 0, 2)
+        before = np.moveaxis((_logarithm((back[f] @ lie.inverse(bumps)[:, None]) @ seen) - r) / 1e-6, 0, 2)
+        ji, jj = np.where(two[:, None, None], before, after), np.where(two[:, None, None], after, 0.0)
+        square = np.maximum((r[:, None, :] @ information[f] @ r[:, :, None])[:, 0, 0], 0)
+        size = np.sqrt(square)
+        weight = confidence[f] * np.where((huber[f] > 0) & (size > huber[f]), huber[f] / np.maximum(size, 1e-12), 1.0)
+        error = np.where(active, np.bincount(owner[fi], weight * square, len(count)), error)
+        diagonal, lo, hi, off, b = normal_blocks(len(held), anew[fi], np.where(two, anew[fj], -1), ji, jj, r, weight[:, None, None] * information[f])
+        diagonal += 1e-9 * np.eye(6)
+        chosen = np.flatnonzero(active)
+        starts = anew[first[chosen]]
+        stays = np.zeros(len(held), bool)
+        stays[starts[fixed[chosen]]] = True
+        keep = ~stays[lo]
+        diagonal[stays], b[stays] = np.eye(6), 0
+        step = _solve_graphs(len(held), starts, count[chosen], diagonal, lo[keep], hi[keep], off[keep], b)
+        norm = np.sqrt(np.bincount(owner[held], (step * step).sum(axis=1), len(count)))
+        active &= np.isfinite(norm)
+        goes = active[owner[held]]
+        cut = np.minimum(1.0, max_step / np.maximum(norm, 1e-12))[owner[held]][:, None]
+        poses[held[goes]] = lie.orthonormal(poses[held[goes]] @ lie.motion((step * cut)[goes]))
+        active &= ~((norm < 1e-6) | (error < 1e-14))
+    return poses, done, error
+
+
 def solve_poses(start: np.ndarray, i: np.ndarray, j: np.ndarray, measured: np.ndarray, information: np.ndarray, huber: np.ndarray, confidence: np.ndarray, rounds: int = 20, max_step: float = math.inf, fix_first: bool = True) -> tuple[np.ndarray, int, float]:
     """Poses that best meet the factors: Gauss-Newton on motions, with the rounds it took and the last weighted error.
 
@@ -188,35 +285,8 @@ def solve_poses(start: np.ndarray, i: np.ndarray, j: np.ndarray, measured: np.nd
     it. max_step bounds the norm of a whole step. The first pose stays unless fix_first is false,
     which needs an absolute factor.
     """
-    poses = np.array(start, float)
-    back = lie.inverse(measured)
-
-    def residual(pi: np.ndarray, pj: np.ndarray) -> np.ndarray:
-        seen = np.where((j >= 0)[:, None, None], lie.inverse(pi) @ pj, pi)
-        return lie.motion_vector(back @ seen)
-
-    error = 0.0
-    for done in range(1, rounds + 1):
-        r = residual(poses[i], poses[np.maximum(j, 0)])
-        square = np.einsum("ma,mab,mb->m", r, information, r)
-        size = np.sqrt(np.maximum(square, 0))
-        weight = confidence * np.where((huber > 0) & (size > huber), huber / np.maximum(size, 1e-12), 1.0)
-        error = float((weight * square).sum())
-        ji, jj = _jacobians(residual, poses, i, j, r)
-        diagonal, lo, hi, off, b = normal_blocks(len(poses), i, j, ji, jj, r, weight[:, None, None] * information)
-        diagonal += 1e-9 * np.eye(6)
-        if fix_first:
-            keep = lo > 0
-            lo, hi, off = lo[keep], hi[keep], off[keep]
-            diagonal[0], b[0] = np.eye(6), 0
-        step = solve_blocks(diagonal, lo, hi, off, b)
-        norm = float(np.linalg.norm(step))
-        if not np.isfinite(norm):
-            break
-        poses = lie.orthonormal(poses @ lie.motion(step * min(1.0, max_step / max(norm, 1e-12))))
-        if norm < 1e-6 or error < 1e-14:
-            break
-    return poses, done, error
+    poses, done, error = solve_many(start, np.array([len(start)]), i, j, measured, information, huber, confidence, rounds, max_step, np.array([fix_first]))
+    return poses, int(done[0]), float(error[0])
 
 
 #: Columns of a pose, and of the factors that the solvers take.
@@ -236,6 +306,16 @@ def quaternions(r: np.ndarray) -> np.ndarray:
     return np.concatenate([np.cos(angle / 2), v * np.where(angle > 1e-12, np.sin(angle / 2) / np.maximum(angle, 1e-12), 0.5)], axis=-1)
 
 
+#: Rows of vertices and factors from which whole graphs are solved together.
+TOGETHER = 8_000
+
+
+def _changes(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Whether a row's keys differ from those of the row before; the first row's do."""
+    codes = np.stack([pd.factorize(pdf[c])[0] for c in keys], axis=1)
+    return np.r_[True, (codes[1:] != codes[:-1]).any(axis=1)]
+
+
 def smooth(vertices: DataFrame, factors: DataFrame, keys: list[str], rounds: int = 20, max_step: float = math.inf, window: int | None = None) -> DataFrame:
     """Vertices (keys, k, pose) that best meet the factors of their key, with rounds and error.
 
@@ -243,39 +323,69 @@ def smooth(vertices: DataFrame, factors: DataFrame, keys: list[str], rounds: int
     i (of i itself, if j is null), standard deviations in the order turn, shift (FREE: not
     constrained). The first vertex stays where it is, unless an absolute factor on it says
     otherwise. With a window only the last so many vertices of a key and the factors between them
-    count; older ones are dropped, as in a sliding window. A graph is one task; its memory grows
-    with its vertices and edges only. Factors of unknown vertices don't count; a key without
-    factors keeps its vertices.
+    count; older ones are dropped, as in a sliding window. A task takes many graphs, each whole,
+    and solves them at once; its memory grows with the largest graph's vertices and edges only.
+    Factors of unknown vertices don't count; a key without factors keeps its vertices.
     """
     kinds = [f"{c} {vertices.schema[c].dataType.simpleString()}" for c in keys]
+    columns = [*keys, "k", *POSE, "rounds", "error"]
 
-    def run(group: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("k").reset_index(drop=True)
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        graph = np.cumsum(_changes(pdf, keys)) - 1
+        vertex = (pdf["what"] == 0).to_numpy()
+        left, of_left = pdf[vertex], graph[vertex]
         if window:
-            left = left.tail(window).reset_index(drop=True)
-        place = pd.Series(np.arange(len(left)), index=left["k"])
-        i = right["i"].map(place)
-        j = right["j"].map(place)
-        known = i.notna() & (j.notna() | right["j"].isna())
-        right, i, j = right[known], i[known].astype(int).to_numpy(), j[known].fillna(-1).astype(int).to_numpy()
-        poses, done, error = _motions(left) if len(left) else np.zeros((0, 4, 4)), 0, 0.0
-        if len(right) and len(left):
+            last = np.searchsorted(of_left, of_left, "right") - np.arange(len(left)) <= window
+            left, of_left = left[last], of_left[last]
+        right, of_right = pdf[~vertex], graph[~vertex]
+        place = pd.MultiIndex.from_arrays([of_left, left["i"].to_numpy()])
+        i, j = (place.get_indexer(pd.MultiIndex.from_arrays([of_right, right[c].fillna(-1).astype("int64").to_numpy()])) for c in "ij")
+        alone = right["j"].isna().to_numpy()
+        known = right["i"].notna().to_numpy() & (i >= 0) & (alone | (j >= 0))
+        right, of_right, i, j = right[known], of_right[known], i[known], np.where(alone, -1, j)[known]
+        poses = _motions(left, "m_") if len(left) else np.zeros((0, 4, 4))
+        done, error = np.zeros(len(left), int), np.zeros(len(left))
+        # graphs to solve: with factors, and with more than one vertex or an absolute factor on the first
+        some, first, n = np.unique(of_left, return_index=True, return_counts=True)
+        at = np.searchsorted(some, of_right)
+        absolute = np.zeros(len(some), bool)
+        absolute[at[(j < 0) & (i == first[at])]] = True
+        live = np.isin(some, of_right) & ((n > 1) | absolute)
+        if live.any():
+            held, used = np.repeat(live, n), live[at]
+            anew = np.cumsum(held) - 1
+            right, i, j = right[used], i[used], j[used]
             sigma = right[[f"s{k}" for k in range(6)]].to_numpy(float)
             information = (1 / sigma**2)[:, :, None] * np.eye(6)
-            absolute = bool(((j < 0) & (i == 0)).any())
-            if len(left) > 1 or absolute:
-                poses, done, error = solve_poses(poses, i, j, _motions(right, "m_"), information, right["huber"].fillna(0).to_numpy(float), right["confidence"].fillna(1).to_numpy(float).clip(0, 1), rounds, max_step, not absolute)
-        out = {c: [v] * len(left) for c, v in zip(keys, group, strict=True)} | {"k": left["k"].astype("int64")}
-        out |= {c: poses[:, a, 3] for a, c in enumerate(POSE[:3])}
+            found, rounds_, error_ = solve_many(poses[held], n[live], anew[i], np.where(j < 0, -1, anew[j]), _motions(right, "m_"), information, right["huber"].fillna(0).to_numpy(float), right["confidence"].fillna(1).to_numpy(float).clip(0, 1), rounds, max_step, ~absolute[live])
+            poses[held], done[held], error[held] = found, np.repeat(rounds_, n[live]), np.repeat(error_, n[live])
         q = quaternions(poses[:, :3, :3]) if len(left) else np.zeros((0, 4))
-        return pd.DataFrame(out | {c: q[:, a] for a, c in enumerate(POSE[3:])} | {"rounds": done, "error": error})
+        out = {c: left[c].to_numpy() for c in keys} | {"k": left["i"].astype("int64").to_numpy()}
+        out |= {c: poses[:, a, 3] for a, c in enumerate(POSE[:3])} | {c: q[:, a] for a, c in enumerate(POSE[3:])}
+        return pd.DataFrame(out | {"rounds": done, "error": error}, columns=columns)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n, most = [], 0, TOGETHER
+        for pdf in batches:
+            held.append(pdf)
+            n += len(pdf)
+            if n < most:
+                continue
+            joint = pd.concat(held, ignore_index=True)
+            cut = int(np.flatnonzero(_changes(joint, keys))[-1])
+            if cut:
+                yield solved(joint[:cut])
+            # the last graph waits for the rest of it, a long one ever longer, so that its rows are seldom joined
+            held, n = [joint[cut:]], len(joint) - cut
+            most = max(TOGETHER, 2 * n)
+        if n:
+            yield solved(pd.concat(held, ignore_index=True))
 
     schema = ", ".join([*kinds, "k long", *[f"{c} double" for c in POSE], "rounds int", "error double"])
-    # both sides may come from the same rows: names of their own keep the keys apart
-    left = vertices.select(*[F.col(c).alias(f"left_{c}") for c in keys], "k", *POSE)
-    right = factors.select(*[F.col(c).alias(f"right_{c}") for c in keys], "i", "j", *FACTOR, "huber", "confidence")
-    ours, theirs = [f"left_{c}" for c in keys], [f"right_{c}" for c in keys]
-    return in_tasks(left, ours).groupBy(*ours).cogroup(in_tasks(right, theirs).groupBy(*theirs)).applyInPandas(run, schema)
+    left = vertices.select(*keys, F.lit(0).alias("what"), F.col("k").cast("long").alias("i"), *[F.col(c).cast("double").alias(f"m_{c}") for c in POSE])
+    right = factors.select(*keys, F.lit(1).alias("what"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), *[F.col(c).cast("double").alias(c) for c in [*FACTOR, "huber", "confidence"]])
+    rows = in_tasks(left.unionByName(right, allowMissingColumns=True), keys).sortWithinPartitions(*keys, "what", "i", "j")
+    return rows.mapInPandas(run, schema)
 
 
 # ---- factors ----

@@ -4,12 +4,13 @@ import math
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from waymark.catalog import QUERIES
-from waymark.operators import near
+from waymark.operators import folds, near
 from waymark.plans import streams
 from waymark.plans.views import Views
 
@@ -197,3 +198,21 @@ def test_codes_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, near.lsh_candidates(df, "id", F.col("w"), 3, 8, 2).collect())) == want and len(want) > 8000
     q, items = df.filter("id < 9").selectExpr("id as q", "id % 2 as k"), df.selectExpr("id as item", "id % 2 as k")
     assert sorted((r.q, r.item) for r in near.pairs_in_blocks(q, items, ["k"], 5).collect()) == [(a, b) for a in range(9) for b in range(200) if a % 2 == b % 2]
+
+
+def test_association_looks_at_its_own_label_once(monkeypatch):
+    """An observation measures its distance to each object of its label once; rows are numbers and nulls as Arrow has them."""
+    looked = []
+    hypot = math.hypot
+    monkeypatch.setattr(folds.math, "hypot", lambda *a: looked.append(a) or hypot(*a))
+    state, step = folds.associate(1.0, 60)()
+    for k in range(60):
+        state, [out] = step(state, {"id": k, "label": k % 6, "x": 10.0 * k, "y": 0.0})
+        assert out["object"] == k
+    looked.clear()
+    state, [out] = step(state, {"id": 60, "label": 3, "x": 90.5, "y": 0.0})
+    assert out["object"] == 9 and len(looked) == 10
+    assert step(state, {"id": 61, "label": 3, "x": 95.0, "y": 0.0})[1][0]["object"] is None
+    rows = [{"a": 1, "b": None, "c": 0.5, "d": "x", "e": True}, {"a": -(2**62) - 1, "b": 7, "c": math.inf, "d": None, "e": None}]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.float64()), ("d", pa.string()), ("e", pa.bool_())]))
+    assert list(folds._rows(batch)) == rows and folds._batch(rows, batch.schema).equals(batch)

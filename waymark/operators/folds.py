@@ -19,6 +19,19 @@ from waymark.operators.select import in_tasks
 Step = Callable[[Any, dict], tuple[Any, list[dict]]]
 
 
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """A batch's rows as dictionaries, numbers by way of NumPy, which is much faster than one by one."""
+    plain = lambda c: not c.null_count and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type))
+    columns = [c.to_numpy(zero_copy_only=False).tolist() if plain(c) else c.to_pylist() for c in batch.columns]
+    names = batch.schema.names
+    return (dict(zip(names, values, strict=True)) for values in zip(*columns, strict=True))
+
+
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Dictionaries as a batch, column by column."""
+    return pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in schema], schema=schema)
+
+
 def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], tuple[Any, Step]], schema: str, columns: list[str] | None = None, late: dict[str, Column] | None = None) -> DataFrame:
     """The outputs of a step over each key's rows in order; step() gives the first state and the step function, and, if the last state has something to say, a function of it.
 
@@ -35,7 +48,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], tu
         key, state, f, end = object(), None, None, None
         for batch in batches:
             out: list[dict] = []
-            for row in batch.to_pylist():
+            for row in _rows(batch):
                 own = tuple(row[k] for k in keys)
                 if own != key:
                     if end:
@@ -45,9 +58,9 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], tu
                 state, made = f(state, row)
                 out += made
             if out:
-                yield pa.RecordBatch.from_pylist(out, arrow)
+                yield _batch(out, arrow)
         if end and (out := end(state)):
-            yield pa.RecordBatch.from_pylist(out, arrow)
+            yield _batch(out, arrow)
 
     rows = in_tasks(df.select(*columns), keys) if late else df.select(*columns).repartition(*keys)
     return rows.sortWithinPartitions(*keys, *order).withColumns(late or {}).mapInArrow(run, schema)
@@ -256,18 +269,26 @@ def associate(radius: float, cap: int) -> Callable:
     """Assign each observation (x, y, label) to the nearest object of its label within radius, else to a new one; objects follow by running mean."""
 
     def start():
-        def step(objects, row):
-            best = min((o for o in objects if o["label"] == row["label"] and math.hypot(o["x"] - row["x"], o["y"] - row["y"]) < radius), key=lambda o: (math.hypot(o["x"] - row["x"], o["y"] - row["y"]), o["object"]), default=None)
-            if best is None and len(objects) < cap:
-                best = {"object": len(objects), "label": row["label"], "x": row["x"], "y": row["y"], "n": 0}
-                objects.append(best)
+        def step(state, row):
+            known, n = state  # objects by label, and how many there are
+            x, y, label = row["x"], row["y"], row["label"]
+            best, least = None, radius
+            for o in known.get(label, ()):  # in the order of their numbers, so of equally near ones the first stays
+                distance = math.hypot(o[0] - x, o[1] - y)
+                if distance < least:
+                    best, least = o, distance
+            if best is None and n < cap:
+                best = [x, y, 0, n]
+                known.setdefault(label, []).append(best)
+                n += 1
             if best is None:
-                return objects, [{**row, "object": None}]
-            best["n"] += 1
-            best["x"] += (row["x"] - best["x"]) / min(20, best["n"])
-            best["y"] += (row["y"] - best["y"]) / min(20, best["n"])
-            return objects, [{**row, "object": best["object"]}]
-
-        return [], step
+                return (known, n), [{**row, "object": None}]
+            best[2] += 1
+            share = min(20, best[2])
+            best[0] += (x - best[0]) / share
+            best[1] += (y - best[1]) / share
+            return (known, n), [{**row, "object": best[3]}]
+
+        return ({}, 0), step
 
     return start

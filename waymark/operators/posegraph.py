@@ -52,6 +52,8 @@ def relax_poses(vertices: DataFrame, edges: DataFrame, keys: list[str], rounds:
     kernel. The least k of a key stays. A key whose largest step is under stop moves no more. A
     pose without edges stays; edges of unknown vertices don't count; null weights are 0.
     """
+    # made once: each round would make them anew from the tables
+    edges = checkpointed(edges.select(*keys, "i", "j", "dx", "dy", "dz", "dyaw", "loop", "w_xy", "w_z", "w_yaw"))
     first = vertices.groupBy(*keys).agg(F.min("k").alias("anchor"))
     at = vertices.join(first, keys).select(*keys, "k", "x", "y", "z", "yaw", (F.col("k") == F.col("anchor")).alias("fixed"), F.lit(False).alias("done"))
     for _ in range(rounds):

@@ -388,3 +388,15 @@ def test_graphs_are_solved_together(spark, monkeypatch):
     got = posegraph.smooth(vertices, factors.coalesce(1), ["run"], 4).collect()
     assert sorted((r.run, r.k) for r in got) == sorted((r, k) for r, m in lengths.items() for k in range(m))
     assert max(abs(r.x - r.k) + abs(r.y) for r in got) < 1e-4
+
+
+def test_relaxation_makes_edges_once(spark, monkeypatch):
+    """Edges are stored once for all rounds; the last round stores nothing."""
+    stored = []
+    keep = posegraph.checkpointed
+    monkeypatch.setattr(posegraph, "checkpointed", lambda df: stored.append(df.columns) or keep(df))
+    vertices = spark.createDataFrame([(1, k, 1.1 * k, 0.0, 0.0, 0.0) for k in range(4)], "run long, k long, x double, y double, z double, yaw double")
+    edges = spark.createDataFrame([(1, k, k + 1, 1.0, 0.0, 0.0, 0.0, False, 1.0, 1.0, 1.0) for k in range(3)], "run long, i long, j long, dx double, dy double, dz double, dyaw double, loop boolean, w_xy double, w_z double, w_yaw double")
+    got = {r.k: r.x for r in posegraph.relax_poses(vertices, edges, ["run"], 3).collect()}
+    assert got[0] == 0 and 3.0 < got[3] < 3.3
+    assert len(stored) == 3 and ["dx" in c for c in stored] == [True, False, False]

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import lie
@@ -56,7 +56,7 @@ def relax_poses(vertices: DataFrame, edges: DataFrame, keys: list[str], rounds:
     edges = checkpointed(edges.select(*keys, "i", "j", "dx", "dy", "dz", "dyaw", "loop", "w_xy", "w_z", "w_yaw"))
     first = vertices.groupBy(*keys).agg(F.min("k").alias("anchor"))
     at = vertices.join(first, keys).select(*keys, "k", "x", "y", "z", "yaw", (F.col("k") == F.col("anchor")).alias("fixed"), F.lit(False).alias("done"))
-    for _ in range(rounds):
+    for number in range(1, rounds + 1):
         ends = [at.select(*keys, F.col("k").alias(n), F.struct("x", "y", "z", "yaw").alias(f"p{n}"), *([F.col("done")] if n == "i" else [])) for n in "ij"]
         both = edges.join(ends[0], [*keys, "i"]).join(ends[1], [*keys, "j"]).filter(~F.col("done"))
         cos, sin = F.cos("pi.yaw"), F.sin("pi.yaw")
@@ -76,9 +76,12 @@ def relax_poses(vertices: DataFrame, edges: DataFrame, keys: list[str], rounds:
         clip = lambda c, most: F.greatest(F.lit(-most), F.least(F.lit(most), c))
         moved = moved.withColumns({"sx": gain("mx") * cut, "sy": gain("my") * cut, "sz": clip(gain("mz"), how.max_climb), "sa": clip(gain("ma"), how.max_turn)})
         moved = moved.withColumn("step", F.greatest(F.hypot("sx", "sy"), F.abs("sz"), F.abs("sa")))
-        moved = checkpointed(moved.select(*keys, "k", (F.col("x") + F.col("sx")).alias("x"), (F.col("y") + F.col("sy")).alias("y"), (F.col("z") + F.col("sz")).alias("z"), wrapped(F.col("yaw") + F.col("sa")).alias("yaw"), "fixed", "step"))
-        largest = moved.groupBy(*keys).agg((F.max("step") < how.stop).alias("done"))
-        at = moved.drop("step").join(largest, keys)
+        moved = moved.select(*keys, "k", (F.col("x") + F.col("sx")).alias("x"), (F.col("y") + F.col("sy")).alias("y"), (F.col("z") + F.col("sz")).alias("z"), wrapped(F.col("yaw") + F.col("sa")).alias("yaw"), "fixed", "step")
+        if number == rounds:
+            at = moved
+            continue
+        done = F.max("step").over(Window.partitionBy(*keys)) < how.stop
+        at = checkpointed(moved.withColumn("done", done).drop("step"))
     return at.select(*keys, "k", "x", "y", "z", "yaw")
 
 

@@ -15,3 +15,15 @@ def test_yaw_near_half_a_turn(spark, tmp_path):
     got = sorted((r.id, r.yaw) for r in QUERIES["WN20_yaw_integral"](spark, str(tmp_path)).collect())
     want = sorted(con.sql(f"select id, yaw from ({ORACLE_SQL['WN20_yaw_integral']})").fetchall())
     assert got == want and len(want) == 6 + 2
+
+
+def test_keyframes_at_the_distance(spark, tmp_path):
+    """Steps of just the distance that makes a keyframe count as in the SQL, whichever way they round."""
+    con = duckdb.connect()
+    rows = "select 2 * k + i as event_id, timestamp '2024-01-01' + to_seconds(i) as ts, k as user_id, 'view' as event_type, case when i = 0 then k % 997 + 0.25 else 149.55 end::double as value, '{}' as props from range(2000) a(k), range(2) b(i)"
+    con.sql(f"copy ({rows}) to '{tmp_path}/events.parquet' (format parquet)")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = sorted(map(tuple, QUERIES["WN6_keyframes_or"](spark, str(tmp_path)).select("run", "id").collect()))
+    want = sorted(con.sql(f"select run, id from ({ORACLE_SQL['WN6_keyframes_or']})").fetchall())
+    assert got == want
+    assert 2000 < len(want) < 4000  # steps on both sides

@@ -86,7 +86,8 @@ def keyframes(time: str, distance: float, interval: int, both: bool = False) ->
     def start():
         def step(last, row):
             if last is not None:
-                far = math.hypot(row["x"] - last[0], row["y"] - last[1]) >= distance
+                dx, dy = row["x"] - last[0], row["y"] - last[1]
+                far = math.sqrt(dx * dx + dy * dy) >= distance  # not hypot(), whose last bit may be another at the limit
                 late = row[time] - last[2] >= interval
                 if not ((far and late) if both else (far or late)):
                     return last, []

@@ -173,6 +173,18 @@ def test_scans_at_any_density(spark):
     assert sizes[1] < cells and sizes[1] < 4 * sizes[0]
 
 
+def test_scan_parts_work_out_a_place_once(spark):
+    """What a point's place is made of stands once in the plan for the scan and once for the map, however many sums and checks use it."""
+    points = spark.range(1000).select(F.lit(1).cast("long").alias("frame"), F.length(F.translate(F.md5(F.col("id").cast("string")), "0123456789", "")).alias("n"))
+    points = points.select("frame", (F.col("n") * 0.3).alias("x"), (F.col("n") % 5 * 0.7).alias("y"), F.when(F.col("n") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("n") % 4).alias("z"))
+    states = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 0.0, 0.0)], "frame long, px double, py double, pz double, yaw double, speed double")
+    parts = inertial.scan_parts(points, points, states, ["frame"], inertial.PlaneGates(), 0.3)
+    assert parts._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 2
+    kept = points.filter("not isnan(z)").count()
+    assert 0 < kept < 1000
+    assert [r.n for r in parts.filter("what < 2").groupBy("what").agg(F.sum("n").alias("n")).collect()] == [kept, kept]
+
+
 # ---- admission ----
 
 

@@ -545,13 +545,16 @@ def scan_parts(scans: DataFrame, world: DataFrame, states: DataFrame, keys: list
     """Rows that a scan's task needs: means of the scan's cells (what 0), sums of the map's voxels (1), the state (2).
 
     So a task grows with the space that scan and map cover and not with their density. Points with
-    a place that is null or no number don't count.
+    a place that is null or no number don't count; they are left out of the sums, as a filter before
+    would be pushed down to the tables and work out the places there once more for each of its terms.
     """
     places = ["x", "y", "z"]
     cells = lambda size: {f"i{c}": F.floor(F.col(c) / size).cast("long") for c in places}
-    finite = lambda df: df.filter(" and ".join(f"{c} is not null and abs({c}) < double('Infinity')" for c in places))
-    of_scan = finite(scans).withColumns(cells(scan_cell)).groupBy(*keys, "ix", "iy", "iz").agg(F.lit(0).alias("what"), F.count("*").alias("n"), *[F.avg(c).cast("double").alias(c) for c in places])
-    of_map = finite(world).withColumns(cells(plane_gates.voxel)).groupBy(*keys, "ix", "iy", "iz").agg(F.lit(1).alias("what"), F.count("*").alias("n"), *[F.sum(c).cast("double").alias(c) for c in places], *[F.sum(F.col(a) * F.col(b)).cast("double").alias(f"s{a}{b}") for a, b in _PRODUCTS])
+    known = " and ".join(f"coalesce(abs({c}) < double('Infinity'), false)" for c in places)
+    counted = lambda df: df.withColumns({c: F.when(F.expr(known), F.col(c)) for c in places})
+    of_scan = counted(scans).withColumns(cells(scan_cell)).groupBy(*keys, "ix", "iy", "iz").agg(F.lit(0).alias("what"), F.count("x").alias("n"), *[F.avg(c).cast("double").alias(c) for c in places])
+    of_map = counted(world).withColumns(cells(plane_gates.voxel)).groupBy(*keys, "ix", "iy", "iz").agg(F.lit(1).alias("what"), F.count("x").alias("n"), *[F.sum(c).cast("double").alias(c) for c in places], *[F.sum(F.col(a) * F.col(b)).cast("double").alias(f"s{a}{b}") for a, b in _PRODUCTS])
+    of_scan, of_map = of_scan.filter("n > 0"), of_map.filter("n > 0")
     first = states.select(*keys, F.lit(2).alias("what"), *[F.col(f"p{c}").cast("double").alias(c) for c in places], F.col("yaw").cast("double").alias("yaw"), F.col("speed").cast("double").alias("speed"))
     return of_scan.unionByName(of_map, allowMissingColumns=True).unionByName(first, allowMissingColumns=True)
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.catalog import QUERIES
 from waymark.operators import folds, near
-from waymark.plans import streams
+from waymark.plans import composites, streams
 from waymark.plans.views import Views
 
 H = 3_600_000_000
@@ -172,6 +172,19 @@ def test_voxel_planes(spark, sf, v):
     assert planes > 100
 
 
+def test_planar_controller_makes_its_features_once(spark, sf, v, monkeypatch):
+    """Consensus, join and rounds read stored features; none of them makes them from the points again."""
+    made, real = spark.sparkContext.accumulator(0), composites.false_matches
+
+    def seen(w):
+        made.add(1)
+        return w
+
+    monkeypatch.setattr(composites, "false_matches", lambda *a: real(*a).withColumn("w", F.udf(seen, "double")("w")))
+    assert QUERIES["EST14_planar_controller"](spark, sf).count() == 64
+    assert made.value == real(v, F.lit(0.0), F.lit(0.0), F.lit(0.0)).count()
+
+
 def test_plane_controller(spark, sf, v):
     """The corrections follow each frame's true motion, where frames agree, by limited steps."""
     rows = {r.id: r for r in QUERIES["EST14_planar_controller"](spark, sf).collect()}

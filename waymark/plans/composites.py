@@ -71,8 +71,9 @@ def udf2(v: Views):
 @query("EST14_planar_controller")
 def est14(v: Views):
     """Corrections of four runs: the consensus of each frame's features, its robust fit over the inliers, then the controller."""
-    rows = false_matches(v, (F.col("frame") % 16) * 0.002, 0.5 + (F.col("frame") % 8) * 0.1, F.lit(-0.4))
-    marked = registration.weighted_consensus(rows, ["frame"], "id", registration.with_gates(hypotheses=150, inlier=0.3, max_yaw=0.2))
+    # a frame's features are as many as it has cells, so they are stored and the points looked at once
+    rows = select.checkpointed(false_matches(v, (F.col("frame") % 16) * 0.002, 0.5 + (F.col("frame") % 8) * 0.1, F.lit(-0.4)))
+    marked = select.checkpointed(registration.weighted_consensus(rows, ["frame"], "id", registration.with_gates(hypotheses=150, inlier=0.3, max_yaw=0.2)))
     counts = marked.groupBy("frame").agg(F.count("*").alias("n"), F.count_if("inlier").alias("inliers"))
     inliers = rows.join(marked.filter("inlier").select("frame", "id"), ["frame", "id"])
     fits = equations.planar_rounds(inliers, ["frame"], 0.3, 3)

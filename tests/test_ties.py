@@ -1,6 +1,7 @@
 """Queries whose SQL leaves out what lies at a tie."""
 
 import duckdb
+import pytest
 
 from waymark.catalog import ORACLE_SQL, QUERIES
 
@@ -27,3 +28,18 @@ def test_keyframes_at_the_distance(spark, tmp_path):
     want = sorted(con.sql(f"select run, id from ({ORACLE_SQL['WN6_keyframes_or']})").fetchall())
     assert got == want
     assert 2000 < len(want) < 4000  # steps on both sides
+
+
+@pytest.mark.parametrize(("name", "limit"), [("JN24_loop_candidates", 40), ("JN24_gated_candidates", 150)])
+def test_candidates_at_the_limit(spark, tmp_path, name, limit):
+    """Steps of whole length along one axis have the same sums in any order, so every row equals the SQL, at the limit and at equal ranks too."""
+    con = duckdb.connect()
+    rows = "select 360 * i as event_id, timestamp '2024-01-01' + to_seconds(1300 * i) as ts, i % 35 as user_id, 'view' as event_type, round(0.997e0 * [0, 10, 0, 20, 40, 75, 150][i * i // 11 % 7 + 1], 3) as value, '{}' as props from range(2000) r(i)"
+    con.sql(f"copy ({rows}) to '{tmp_path}/events.parquet' (format parquet)")
+    con.sql(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = QUERIES[name](spark, str(tmp_path))
+    rel = con.sql(ORACLE_SQL[name])
+    want = sorted(rel.project(", ".join(got.columns)).fetchall())
+    assert sorted(map(tuple, got.collect())) == want
+    distance = [row[got.columns.index("distance")] for row in want]
+    assert distance.count(float(limit)) > 20 and max(distance) == limit

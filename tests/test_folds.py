@@ -1,6 +1,7 @@
 """Queries that no SQL expresses, each against plain Python of its own."""
 
 import math
+import random
 import struct
 
 import numpy as np
@@ -229,3 +230,31 @@ def test_association_looks_at_its_own_label_once(monkeypatch):
     rows = [{"a": 1, "b": None, "c": 0.5, "d": "x", "e": True}, {"a": -(2**62) - 1, "b": 7, "c": math.inf, "d": None, "e": None}]
     batch = pa.RecordBatch.from_pylist(rows, pa.schema([("a", pa.int64()), ("b", pa.int64()), ("c", pa.float64()), ("d", pa.string()), ("e", pa.bool_())]))
     assert list(folds._rows(batch)) == rows and folds._batch(rows, batch.schema).equals(batch)
+
+
+def test_association_leaves_no_observation_out():
+    """Every observation gets an object, however many there are, the one that a plain look at all of them gives."""
+    rng = random.Random(12)
+    rows = [{"id": k, "label": rng.randint(1, 2), "x": rng.uniform(-40, 40), "y": float(rng.randint(-20, 20))} for k in range(3000)]
+    rows += [{"id": 3000 + k, "label": 3, "x": x, "y": 0.0} for k, x in enumerate([0.0, 6.0, 3.0])]  # as far from one as from the other
+    state, step = folds.associate(4.0)()
+    objects: list[list] = []
+    for row in rows:
+        own = [(math.hypot(o[0] - row["x"], o[1] - row["y"]), k) for k, o in enumerate(objects) if o[3] == row["label"]]
+        distance, k = min(own, default=(4.0, None))
+        if distance >= 4.0:
+            k = len(objects)
+            objects.append([row["x"], row["y"], 0, row["label"]])
+        o = objects[k]
+        o[2] += 1
+        for axis, name in enumerate("xy"):
+            o[axis] += (row[name] - o[axis]) / min(20, o[2])
+        state, [out] = step(state, row)
+        assert out["object"] == k
+    assert len(objects) > 200
+
+
+def test_association_query_gives_all_an_object(spark, sf):
+    """Observations that find the first 60 objects taken have one among all."""
+    rows = QUERIES["EST12_object_association"](spark, sf).collect()
+    assert any(r.object is None for r in rows) and all(r.object_all is not None for r in rows) and max(r.object_all for r in rows) >= 60

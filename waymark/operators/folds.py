@@ -266,29 +266,58 @@ def preintegrate(time: str, value: str, max_dt: int) -> Callable:
     return start
 
 
-def associate(radius: float, cap: int) -> Callable:
-    """Assign each observation (x, y, label) to the nearest object of its label within radius, else to a new one; objects follow by running mean."""
+def together(*starts: Callable) -> Callable:
+    """Steps that give a row for each row, one after the other on the same row, each with a state of its own."""
+
+    def start():
+        firsts, steps = zip(*(s() for s in starts), strict=True)
+
+        def step(states, row):
+            after = []
+            for state, f in zip(states, steps, strict=True):
+                state, [row] = f(state, row)
+                after.append(state)
+            return after, [row]
+
+        return list(firsts), step
+
+    return start
+
+
+def associate(radius: float, cap: int | None = None, out: str = "object") -> Callable:
+    """Assign each observation (x, y, label) to the nearest object of its label within radius, else to a new one; objects follow by running mean.
+
+    Objects lie in cells of the radius, so an observation looks at those around it only, however
+    many there are. A caller that wants no more than cap objects gets null for what would be one
+    more; so few are looked through in turn.
+    """
 
     def start():
         def step(state, row):
-            known, n = state  # objects by label, and how many there are
+            known, n = state  # objects by label and cell, and how many there are
             x, y, label = row["x"], row["y"], row["label"]
+            ix, iy = (0, 0) if cap else (x // radius, y // radius)
             best, least = None, radius
-            for o in known.get(label, ()):  # in the order of their numbers, so of equally near ones the first stays
-                distance = math.hypot(o[0] - x, o[1] - y)
-                if distance < least:
-                    best, least = o, distance
-            if best is None and n < cap:
-                best = [x, y, 0, n]
-                known.setdefault(label, []).append(best)
+            for cell in [(label, 0, 0)] if cap else [(label, ix + i, iy + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]:
+                for o in known.get(cell, ()):
+                    distance = math.hypot(o[0] - x, o[1] - y)
+                    if distance < least or (best and distance == least and o[3] < best[3]):  # of equally near ones the first
+                        best, least = o, distance
+            if best is None and (cap is None or n < cap):
+                best = [x, y, 0, n, (label, ix, iy)]
+                known.setdefault(best[4], []).append(best)
                 n += 1
             if best is None:
-                return (known, n), [{**row, "object": None}]
+                return (known, n), [{**row, out: None}]
             best[2] += 1
             share = min(20, best[2])
             best[0] += (x - best[0]) / share
             best[1] += (y - best[1]) / share
-            return (known, n), [{**row, "object": best[3]}]
+            if not cap and (moved := (label, best[0] // radius, best[1] // radius)) != best[4]:
+                known[best[4]].remove(best)
+                known.setdefault(moved, []).append(best)
+                best[4] = moved
+            return (known, n), [{**row, out: best[3]}]
 
         return ({}, 0), step
 

@@ -120,8 +120,10 @@ def est11(v: Views):
 
 @query("EST12_object_association")
 def est12(v: Views):
+    """Objects of each frame: of the first 60 at most (object, null beyond), and of all there are (object_all)."""
     rows = v.pts.select("frame", "id", "label", "x", "y").filter("label <> 0")
-    return folds.fold(rows, ["frame"], ["id"], folds.associate(12, 60), "frame long, id long, label int, x double, y double, object long").select("frame", "id", "object")
+    both = folds.together(folds.associate(12, 60), folds.associate(12, out="object_all"))
+    return folds.fold(rows, ["frame"], ["id"], both, "frame long, id long, label int, x double, y double, object long, object_all long").select("frame", "id", "object", "object_all")
 
 
 HEIGHTS = """with r as (select frame, frame % 4 as run, case when id % 10 < 3 + frame % 7 then z / 10 + (frame % 16) / 40.0 - 0.3 end as r from pts), m as (select frame, run, median(r) as median, count(r) as n from r group by frame, run)

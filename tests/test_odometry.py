@@ -4,6 +4,7 @@ import math
 import pickle
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -210,3 +211,41 @@ def test_scan_points_are_never_shuffled(spark, sf):
     [row] = odometry.scan_rows(df, ["scan"], 0.5, 0.01).collect()
     means = odometry.slice_means(raw, 0.5, 0.01)
     assert 100 < len(means) < 350 and np.allclose(means, [tuple(p) for p in row.points], atol=1e-12)
+
+
+def test_scans_come_as_records(spark):
+    """Points made late reach the step as NumPy records, with rows of none, and give what a list of them gives; lists with nulls stay lists."""
+    point = pa.struct([(c, pa.float64()) for c in ("x", "y", "z", "before")])
+    lists = [[{"x": 1.0, "y": 2.0, "z": 3.0, "before": 0.1}, {"x": -1.0, "y": 0.5, "z": math.nan, "before": 0.0}], None, [], [{"x": 4.0, "y": 5.0, "z": 6.0, "before": 0.2}]]
+    batch = pa.RecordBatch.from_arrays([pa.array(lists, pa.list_(point))], ["points"]).slice(0)
+    for some, want in ((batch, lists), (batch.slice(1), lists[1:]), (batch.slice(0, 1), lists[:1])):
+        got = [r["points"] for r in folds._rows(some, ["points"])]
+        assert [g if g is None else [repr(tuple(p)) for p in g.tolist()] for g in got] == [w if w is None else [repr(tuple(p.values())) for p in w] for w in want]
+        assert all(g is None or g.dtype.names == ("x", "y", "z", "before") for g in got)
+    holed = pa.RecordBatch.from_arrays([pa.array([[None, lists[0][0]], [lists[0][0] | {"z": None}]], pa.list_(point))], ["points"])
+    assert [r["points"] for r in folds._rows(holed, ["points"])] == [[None, lists[0][0]], [lists[0][0] | {"z": None}]]
+
+
+def test_planes_are_looked_up_once_a_cell(monkeypatch):
+    """Points get the plane with the nearest mean of the 27 cells around theirs; the keys searched are those of the cells, not of the points."""
+    rng = np.random.default_rng(5)
+    held = odometry.VoxelMap(1.0, odometry.Voxel())
+    for _ in range(30):
+        held.insert(rng.uniform(-4, 4, (300, 3)) * [1, 1, 0.02] + rng.integers(-2, 3, (300, 1)) * [0, 0, 1.0])
+    points = rng.uniform(-5, 5, (2000, 3))
+    looked = []
+    plain = np.searchsorted
+    with monkeypatch.context() as m:
+        m.setattr(np, "searchsorted", lambda a, v, *more: looked.append(np.size(v)) or plain(a, v, *more))
+        found, normal, mean, variance = held.planes(points)
+    cells = {tuple(c) for c in np.floor(points).astype(int)}
+    assert max(looked) <= max(27 * len(cells), len(points)) < 27 * len(points)
+    places = {int(k): n for n, k in enumerate(held.key)}
+    for row, p in enumerate(points):
+        c = np.floor(p).astype(np.int64)
+        around = [places.get(int(held._keys(c + [i, j, k])), -1) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
+        best = min(((float(np.linalg.norm(held.mean[n] - p)), n) for n in around if n >= 0 and held.plane[n]), default=None)
+        assert found[row] == (best is not None)
+        if best:
+            assert np.array_equal(normal[row], held.normal[best[1]]) and np.array_equal(mean[row], held.mean[best[1]]) and variance[row] == held.thin[best[1]] / held.n[best[1]]
+    assert 100 < found.sum() < len(points)

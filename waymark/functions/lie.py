@@ -10,11 +10,15 @@ from __future__ import annotations
 import numpy as np
 
 _SMALL = 1e-9
+_ONE = np.eye(3)
 
 
 def hat(v: np.ndarray) -> np.ndarray:
     """The matrix of the cross product with v."""
     v = np.asarray(v, float)
+    if v.ndim == 1:  # the same for one, without the cost of many small arrays
+        x, y, z = v.tolist()
+        return np.array([[0.0, 0.0 - z, y], [z, 0.0, 0.0 - x], [0.0 - y, x, 0.0]])
     out = np.zeros((*v.shape[:-1], 3, 3))
     out[..., 2, 1], out[..., 0, 2], out[..., 1, 0] = v[..., 0], v[..., 1], v[..., 2]
     return out - np.swapaxes(out, -1, -2)
@@ -35,9 +39,14 @@ def _series(angle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def rotation(v: np.ndarray) -> np.ndarray:
     """The rotation about v by its length."""
     v = np.asarray(v, float)
-    first, second, _ = _series(np.linalg.norm(v, axis=-1))
     k = hat(v)
-    return np.eye(3) + first[..., None, None] * k + second[..., None, None] * (k @ k)
+    if v.ndim == 1:
+        angle = np.sqrt((v * v).sum())
+        square = angle * angle
+        first, second = (1 - square / 6, 0.5 - square / 24) if angle < 1e-4 else (np.sin(angle) / angle, (1 - np.cos(angle)) / square)
+        return _ONE + first * k + second * (k @ k)
+    first, second, _ = _series(np.linalg.norm(v, axis=-1))
+    return _ONE + first[..., None, None] * k + second[..., None, None] * (k @ k)
 
 
 def rotation_vector(r: np.ndarray) -> np.ndarray:

@@ -11,7 +11,9 @@ import math
 from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 
 from waymark.operators.select import in_tasks
@@ -19,11 +21,25 @@ from waymark.operators.select import in_tasks
 Step = Callable[[Any, dict], tuple[Any, list[dict]]]
 
 
-def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
-    """A batch's rows as dictionaries, numbers by way of NumPy, which is much faster than one by one."""
+def _records(column: pa.Array) -> list | None:
+    """Lists of structs of doubles as NumPy records, one array a row; None if the column has other values, or nulls within its lists."""
+    if not pa.types.is_list(column.type) or not pa.types.is_struct(column.type.value_type):
+        return None
+    items, fields = column.flatten(), list(column.type.value_type)
+    if items.null_count or not all(pa.types.is_float64(f.type) and not items.field(k).null_count for k, f in enumerate(fields)):
+        return None
+    out = np.empty(len(items), [(f.name, float) for f in fields])
+    for k, f in enumerate(fields):
+        out[f.name] = items.field(k).to_numpy()
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy()).tolist()
+    return [out[a:b] if there else None for a, b, there in zip([0, *ends], ends, column.is_valid().to_pylist(), strict=False)]
+
+
+def _rows(batch: pa.RecordBatch, records: Iterable[str] = ()) -> Iterator[dict]:
+    """A batch's rows as dictionaries, numbers by way of NumPy, which is much faster than one by one; lists of structs of the named columns as records where they can be."""
     plain = lambda c: not c.null_count and (pa.types.is_integer(c.type) or pa.types.is_floating(c.type))
-    columns = [c.to_numpy(zero_copy_only=False).tolist() if plain(c) else c.to_pylist() for c in batch.columns]
     names = batch.schema.names
+    columns = [c.to_numpy(zero_copy_only=False).tolist() if plain(c) else (_records(c) if n in records else None) or c.to_pylist() for n, c in zip(names, batch.columns, strict=True)]
     return (dict(zip(names, values, strict=True)) for values in zip(*columns, strict=True))
 
 
@@ -37,6 +53,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], tu
 
     late are columns that are made of the others once the rows are in order, so that large ones
     are never shuffled or sorted; as their bytes don't show before, tasks are a given number then.
+    Lists of structs of doubles among them come as NumPy records.
     """
     columns = columns or df.columns
     spark_schema = df.sparkSession.createDataFrame([], schema).schema
@@ -48,7 +65,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], tu
         key, state, f, end = object(), None, None, None
         for batch in batches:
             out: list[dict] = []
-            for row in _rows(batch):
+            for row in _rows(batch, records):
                 own = tuple(row[k] for k in keys)
                 if own != key:
                     if end:
@@ -62,6 +79,7 @@ def fold(df: DataFrame, keys: list[str], order: list[str], step: Callable[[], tu
         if end and (out := end(state)):
             yield _batch(out, arrow)
 
+    records = list(late or ())
     rows = in_tasks(df.select(*columns), keys) if late else df.select(*columns).repartition(*keys)
     return rows.sortWithinPartitions(*keys, *order).withColumns(late or {}).mapInArrow(run, schema)
 

@@ -8,6 +8,7 @@ each step needs the state before it, and holds one state, one scan and the map's
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
@@ -70,35 +71,42 @@ def _middle(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float) -> tuple[n
     return w, accel - s.accel_bias, s.rotation @ lie.rotation(w * dt / 2)
 
 
-def moved(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float) -> State:
-    """propagate() without the covariance."""
-    w, a, middle = _middle(s, gyro, accel, dt)
+def moved(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float, at: tuple | None = None) -> State:
+    """propagate() without the covariance; at is _middle(), if it is known."""
+    w, a, middle = at or _middle(s, gyro, accel, dt)
     world = middle @ a + s.gravity
     return replace(s, time=s.time + dt, rotation=s.rotation @ lie.rotation(w * dt), place=s.place + s.velocity * dt + world * dt**2 / 2, velocity=s.velocity + world * dt)
 
 
-def transition(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float, noise: Noise) -> tuple[np.ndarray, np.ndarray]:
-    """What dt seconds do to errors, and the covariance that they add."""
-    w, a, middle = _middle(s, gyro, accel, dt)
+def transition(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float, noise: Noise, at: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """What dt seconds do to errors, and the covariance that they add; at is _middle(), if it is known."""
+    w, a, middle = at or _middle(s, gyro, accel, dt)
     f = np.zeros((N, N))
     f[TURN, TURN], f[TURN, GYRO] = -lie.hat(w), -np.eye(3)
     f[PLACE, VELOCITY] = np.eye(3)
     f[VELOCITY, TURN], f[VELOCITY, ACCEL], f[VELOCITY, GRAVITY] = -middle @ lie.hat(a), -middle, np.eye(3)
     f = f * dt
-    f = np.eye(N) + f + f @ f / 2
+    return np.eye(N) + f + f @ f / 2, _added(dt, noise)
+
+
+@functools.lru_cache(64)
+def _added(dt: float, noise: Noise) -> np.ndarray:
+    """The covariance that dt seconds add; not to be changed."""
     q, va = np.zeros((N, N)), noise.accel**2
     for part, value in ((TURN, noise.gyro**2 * dt), (VELOCITY, va * dt), (PLACE, va * dt**3 / 4), (GYRO, noise.gyro_walk**2 * dt), (ACCEL, noise.accel_walk**2 * dt), (GRAVITY, noise.gravity_walk**2 * dt)):
         q[part, part] = value * np.eye(3)
     q[PLACE, VELOCITY] = q[VELOCITY, PLACE] = va * dt**2 / 2 * np.eye(3)
-    return f, q
+    q.flags.writeable = False
+    return q
 
 
 def propagate(s: State, gyro: np.ndarray, accel: np.ndarray, dt: float, noise: Noise) -> State:
     """The state after dt seconds of constant turn rate and acceleration, as the sensors give them."""
     if dt <= 0:
         return s
-    f, q = transition(s, gyro, accel, dt, noise)
-    return replace(moved(s, gyro, accel, dt), covariance=_tidy(f @ s.covariance @ f.T + q))
+    at = _middle(s, gyro, accel, dt)
+    f, q = transition(s, gyro, accel, dt, noise, at)
+    return replace(moved(s, gyro, accel, dt, at), covariance=_tidy(f @ s.covariance @ f.T + q))
 
 
 def reading(row: dict | None) -> np.ndarray | None:
@@ -308,13 +316,16 @@ def point_equations(s: State, prior: np.ndarray, points: np.ndarray, found: np.n
     ok = found & (np.abs(r) <= plane_gates.max_distance)
     p, n, r, v = points[ok], normal[ok], r[ok], variance[ok]
     jacobian = np.zeros((len(p), N))
-    jacobian[:, TURN] = np.einsum("mi,mij->mj", -(n @ s.rotation), lie.hat(p))
+    body = n @ s.rotation
+    for j, a, b in ((0, 1, 2), (1, 2, 0), (2, 0, 1)):  # the normals across the points
+        jacobian[:, j] = body[:, b] * p[:, a] - body[:, a] * p[:, b]
     jacobian[:, PLACE] = n
     distance = np.linalg.norm(p, axis=1)
-    across = np.einsum("mi,mi->m", n @ s.rotation, p) / np.maximum(distance, 1e-9)
+    across = np.einsum("mi,mi->m", body, p) / np.maximum(distance, 1e-9)
     beam = (gates.beam_noise * distance) ** 2
     v = np.maximum(1e-8, gates.noise**2 + beam + (gates.range_noise**2 - beam) * across**2 + v)
-    expected = v + np.maximum(0, np.einsum("mi,ij,mj->m", jacobian, prior, jacobian))
+    pose = jacobian[:, :6]  # all other columns are zero
+    expected = v + np.maximum(0, np.einsum("mi,ij,mj->m", pose, prior[:6, :6], pose))
     inside = r**2 / expected <= gates.innovation if gates.innovation > 0 else np.ones(len(r), bool)
     out.rejected = int((~inside).sum())
     jacobian, r, v, p = jacobian[inside], r[inside], v[inside], p[inside]
@@ -323,7 +334,7 @@ def point_equations(s: State, prior: np.ndarray, points: np.ndarray, found: np.n
     out.g = jacobian.T @ (w / v * r)
     out.used, out.square, out.normalised, out.weight = len(r), float((r**2).sum()), float((r**2 / v).sum()), float(w.sum())
     share = np.clip((np.arctan2(p[:, 1], p[:, 0]) + math.pi) / (2 * math.pi), 0, 1 - 1e-12)
-    out.sectors = len(np.unique((share * sectors).astype(int)))
+    out.sectors = int(np.count_nonzero(np.bincount((share * sectors).astype(int))))
     return out
 
 

@@ -87,7 +87,7 @@ class VoxelMap:
             off = np.abs(np.einsum("mi,mi->m", self.normal[at], points - self.mean[at])) if len(self.key) else np.zeros(len(points))
             keep = ~((at >= 0) & self.plane[at] & (off > far)) if len(self.key) else np.ones(len(points), bool)
             points, keys = points[keep], keys[keep]
-        new = np.setdiff1d(keys, self.key)
+        new = np.unique(keys[self._find(keys) < 0])
         if len(new):
             where = np.searchsorted(self.key, new)
             for name in self._ARRAYS:
@@ -95,12 +95,12 @@ class VoxelMap:
                 setattr(self, name, np.insert(old, where, new if name == "key" else np.zeros((), old.dtype), axis=0))
         at = np.searchsorted(self.key, keys)
         order = np.argsort(at, kind="stable")
-        _, start, count = np.unique(at[order], return_index=True, return_counts=True)
+        cells, start, count = np.unique(at[order], return_index=True, return_counts=True)
         nth = np.empty(len(at), np.int64)
         nth[order] = np.arange(len(at)) - np.repeat(start, count)
         for k in range(int(nth.max(initial=-1)) + 1):  # the k-th point of every cell at once
             self._add(at[nth == k], points[nth == k])
-        self._refit(np.unique(at))
+        self._refit(cells)
 
     def _add(self, at: np.ndarray, p: np.ndarray) -> None:
         how = self.how
@@ -143,24 +143,46 @@ class VoxelMap:
         m = len(points)
         if not m or not len(self.key):
             return np.zeros(m, bool), np.zeros((m, 3)), np.zeros((m, 3)), np.zeros(m)
-        around = np.stack(np.meshgrid(*[np.arange(-1, 2)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
-        at = self._find(self._keys(np.floor(points / self.cell).astype(np.int64)[:, None] + around))
-        distance = np.linalg.norm(self.mean[at] - points[:, None], axis=2)
-        distance[(at < 0) | ~self.plane[at]] = np.inf
-        best = distance.argmin(axis=1)
-        rows = np.arange(m)
-        chosen, found = at[rows, best], np.isfinite(distance[rows, best])
+        cells, which = np.unique(self.keys_of(points), return_inverse=True)  # points of a cell have the same cells around
+        planes = np.nonzero(self.plane)[0]
+        if not len(planes):
+            return np.zeros(m, bool), self.normal[np.zeros(m, int)], self.mean[np.zeros(m, int)], np.zeros(m)
+        keys, want = self.key[planes], cells[:, None] + _AROUND
+        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+        held = keys[at] == want
+        first = np.r_[0, np.cumsum(held.sum(axis=1))]
+        near = planes[at[held]]  # the planes around each cell, one cell after the other
+        count = np.diff(first)[which]
+        some = np.nonzero(count)[0]
+        count = count[some]
+        start = np.cumsum(count) - count
+        pair = near[np.repeat(first[which[some]] - start, count) + np.arange(count.sum())]
+        off = self.mean[pair] - np.repeat(points[some], count, axis=0)
+        off *= off
+        distance = np.sqrt(off[:, 0] + off[:, 1] + off[:, 2])
+        found, chosen = np.zeros(m, bool), np.zeros(m, int)
+        found[some] = True
+        if len(some):
+            least = distance == np.repeat(np.minimum.reduceat(distance, start), count)
+            hit = np.nonzero(least)[0]
+            chosen[some] = pair[hit[np.searchsorted(hit, start)]]  # of equally near ones the first
         return found, self.normal[chosen], self.mean[chosen], self.thin[chosen] / np.maximum(1, self.n[chosen])
 
 
+
+#: What the keys of the cells around a cell differ by from its own.
+_AROUND = np.array([(i << 42) + (j << 21) + k for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+
+
 def cell_means(points: np.ndarray, cell: float) -> np.ndarray:
     """Means of the points of each cell, in the order of cells."""
     if not len(points):
         return points
-    _, at, n = np.unique(np.floor(points / cell).astype(np.int64), axis=0, return_inverse=True, return_counts=True)
-    out = np.zeros((len(n), 3))
-    np.add.at(out, at.ravel(), points)
-    return out / n[:, None]
+    cells = np.floor(points / cell).astype(np.int64)
+    order = np.lexsort(cells.T[::-1])
+    cells, points = cells[order], points[order]
+    group = np.cumsum(np.r_[True, (cells[1:] != cells[:-1]).any(axis=1)]) - 1
+    return np.stack([np.bincount(group, p) for p in points.T], axis=1) / np.bincount(group)[:, None]
 
 
 def slice_means(points: np.ndarray, cell: float, slice_s: float) -> np.ndarray:
@@ -284,7 +306,10 @@ def follow(how: Odometry = Odometry(), time: str = "t", unit: float = 1e6, first
                 return out(run, row, "insufficient_readings", "registration_rejected", "predicted", 0, {})
             predicted = path[-1]
             given = () if row["points"] is None else row["points"]  # from a stream an array, not a list
-            raw = np.array([[p["x"], p["y"], p["z"], p["before"]] for p in given if p is not None and None not in (p["x"], p["y"], p["z"], p["before"])], float).reshape(-1, 4)
+            if isinstance(given, np.ndarray) and given.dtype.names:
+                raw = np.stack([given[c] for c in ("x", "y", "z", "before")], axis=1)
+            else:
+                raw = np.array([[p["x"], p["y"], p["z"], p["before"]] for p in given if p is not None and None not in (p["x"], p["y"], p["z"], p["before"])], float).reshape(-1, 4)
             raw = raw[np.isfinite(raw).all(axis=1)]
             if how.slice_cell is not None:
                 raw = slice_means(raw, how.slice_cell, how.slice_s)
